@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that defines it.
 MODULES = {
+    "op3_ngram_jaccard_join": "jaccard",
     "op6_substring_dedup": "substring",
 }
 
