@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op3_ngram_jaccard_join": "jaccard",
     "op6_substring_dedup": "substring",
+    "op7_suffix_array_dedup": "suffix",
 }
 
 #: Module -> name of its dictionary of SQL by query, where it has one.
