@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module that defines it.
 MODULES = {
     "op3_ngram_jaccard_join": "jaccard",
+    "op4_quality_rules": "quality",
     "op6_substring_dedup": "substring",
     "op7_suffix_array_dedup": "suffix",
 }
