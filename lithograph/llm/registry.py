@@ -9,6 +9,8 @@ MODULES = {
     "op3_ngram_jaccard_join": "jaccard",
     "op4_quality_rules": "quality",
     "op6_substring_dedup": "substring",
+    "op8_weighted_mix": "mixing",
+    "op9_benchmark_decontamination": "decontaminate",
     "op7_suffix_array_dedup": "suffix",
 }
 
