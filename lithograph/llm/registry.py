@@ -11,6 +11,7 @@ MODULES = {
     "op6_substring_dedup": "substring",
     "op8_weighted_mix": "mixing",
     "op9_benchmark_decontamination": "decontaminate",
+    "op10_context_tree_scores": "ctw",
     "op7_suffix_array_dedup": "suffix",
 }
 
