@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that defines it.
 MODULES = {
+    "op1_url_filter": "urls",
     "op2_warc_round_trip": "warc",
     "op3_ngram_jaccard_join": "jaccard",
     "op4_quality_rules": "quality",
