@@ -1,8 +1,72 @@
-"""The corpus pipeline (being assembled)."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
+All but the last return the columns of ``documents``:
+
+* quality: documents that a rule rejects go;
+* near_duplicates: of each group of linked documents the one with the smallest id stays;
+  documents without words are linked with nothing and stay;
+* repeated_passages: words in windows of 35 that occur elsewhere go, and with them the line
+  breaks of the documents they were in; other documents stay as they are;
+* benchmark_leaks: documents in which a benchmark window occurs go;
+* mix: one row per document with what the mix takes of it.
+
+Rows with null ids or texts, repeated rows and empty tables pass through by the rules that
+the operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithograph.llm import chunks, decontaminate, jaccard, mixing, quality, substring
+from lithograph.llm.storage import stash
+
+#: SQL cannot express the hash order of the mix; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    texts = jaccard.jaccard_components(docs)
+    keep = texts.where((F.col("n_shingles") == 0) | F.col("representative")).select("sha", "min_id", (F.col("n_shingles") == 0).alias("blank"))
+    rows = docs.withColumn("sha", chunks.text_sha()).join(keep, "sha")
+    blank = rows.where("blank")
+    first = rows.where(~F.col("blank") & F.col("doc_id").eqNullSafe(F.col("min_id"))).dropDuplicates(["sha"])
+    return first.unionByName(blank).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring.substring_dedup(docs).where("n_removed > 0").select("sha", "kept")
+    rows = docs.withColumn("sha", chunks.text_sha()).join(cut, "sha", "left")
+    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
+    return rows.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hit = decontaminate.contaminated_texts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("sha")
+    return docs.withColumn("sha", chunks.text_sha()).join(hit, "sha", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("mix", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return docs

@@ -234,12 +234,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words_per: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct text (``sha``): n_shingles, min_id (of its rows) and component_id."""
+    """Per distinct text (``sha``): n_shingles, min_id (of its rows), component_id, and whether it is its component's first."""
     sets = stash(_sets(docs, words_per, percent, id_col, text_col), "sets")
     labels = components(_links(sets, percent))
     named = sets.select("sha", "node", "n_shingles", "min_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    return named.join(least, "label").select("sha", "n_shingles", "min_id", "component_id")
+    # The smallest known id of a component, and the text that holds it (by its key where ids repeat).
+    first = F.struct(F.col("min_id").isNull().alias("unknown"), "min_id", "sha")
+    least = named.groupBy("label").agg(F.min(first).alias("first")).select("label", F.col("first.min_id").alias("component_id"), F.col("first.sha").alias("_first"))
+    return named.join(least, "label").select("sha", "n_shingles", "min_id", "component_id", (F.col("sha") == F.col("_first")).alias("representative"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    A plain filter would be pushed below the projections, which copies their nested
+    expressions into each other; a generator of one row or none stays above them.
+    """
+    one = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_one")
+    return judge(docs, text_col, rules).select(*docs.columns, one).drop("_one")
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
