@@ -10,6 +10,7 @@ MODULES = {
     "op2_warc_round_trip": "warc",
     "op3_ngram_jaccard_join": "jaccard",
     "op4_quality_rules": "quality",
+    "op5_language_id": "language",
     "op6_substring_dedup": "substring",
     "op8_weighted_mix": "mixing",
     "op9_benchmark_decontamination": "decontaminate",
