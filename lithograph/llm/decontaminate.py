@@ -3,7 +3,7 @@
 A benchmark item is its windows of ``window`` consecutive words (a shorter item is one
 window).  A window occurs in a document if its words occur there in a row.
 
-1.  Windows are sets of shingles (runs of 5 words, or of the whole window if it is shorter).
+1.  Windows are sets of shingles (runs of 4 words, or of the whole window if it is shorter).
     The corpus is scanned once against the shingles of the benchmark; matches keep their
     place and the few words around it.
 2.  Shingles are ordered by their number of matches.  A window that occurs brings its
@@ -33,36 +33,48 @@ from lithograph.llm.chunks import text_sha
 from lithograph.llm.storage import stash
 
 #: Words of a shingle, and shingles of the benchmark in one broadcast (16 MB as a hash map).
-SHINGLE = 5
+SHINGLE = 4
 BLOCK_SHINGLES = 1 << 20
 
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same, for text whose letters A-Z are as they were.
-BREAK_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words, before letters A-Z are lowered.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, BREAK), lambda w: w != "")
+    """Words in their own case; only the ends of a split can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), BREAK)
+    first = (F.element_at(parts, 1) == "").cast("int")
+    last = (F.element_at(parts, -1) == "").cast("int")
+    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+
+
+def lowered(words: Column) -> Column:
+    """Words with A-Z lowered and nothing else."""
+    return F.transform(words, lambda w: F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAK_CASED), lambda w: w != "")).cast("long")
+    return F.size(words_of(text)).cast("long")
+
 
+def with_shingles(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``shingles``: hashes of every n consecutive ``words``, built up by doubling.
 
-def shingles_of(words: Column, n: int) -> Column:
-    """Hashes of every n consecutive words, in order; built up one word at a time."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    out = hashes
-    for step in range(1, n):
-        left = F.greatest(F.size(words) - step, F.lit(0))
-        out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(hashes, F.lit(1 + step), left), lambda a, b: F.xxhash64(a, b))
+    Each step is a column of its own, else it would be worked out anew wherever it is used.
+    Case is dropped altogether here, which can only add matches; words are compared later.
+    """
+    out, held = rows.withColumn("shingles", F.transform("words", lambda w: F.xxhash64(F.lower(w)))), 1
+    while held < n:
+        step = min(held, n - held)
+        left = F.greatest(F.size("words") - held - step + 1, F.lit(0))
+        out = out.withColumn("shingles", F.zip_with(F.slice("shingles", F.lit(1), left), F.slice("shingles", F.lit(1 + step), left), lambda a, b: F.xxhash64(a, b)))
+        held += step
     return out
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
     """(win, length, size, items, win_id): distinct windows and the ids of the items that hold them."""
-    words = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = items.select("item_id", lowered(words_of(F.col("text"))).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     wins = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.lit(window)))).alias("win"))
     grouped = wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
@@ -77,16 +89,17 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
     found = []
     for n in sizes:
         own = wins.where(F.col("size") == n)
-        tokens = own.select("win_id", F.posexplode(shingles_of(F.col("win"), n)).alias("offset", "token"))
+        tokens = with_shingles(own.select("win_id", F.col("win").alias("words")), n).select("win_id", F.posexplode("shingles").alias("offset", "token"))
         tokens = stash(tokens, "shingles")
         blocks = max(1, math.ceil(tokens.select("token").distinct().count() / BLOCK_SHINGLES))
         # One reading of the text for its words, then places of shared shingles.
         text = docs.select(F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-        text = text.where(F.size("words") >= n).withColumn("shingles", shingles_of(F.col("words"), n))
+        text = with_shingles(text, n)
         for b in range(blocks):
             block = tokens.where(F.pmod("token", F.lit(blocks)) == b) if blocks > 1 else tokens
             block = block.select("token").distinct()
-            places = text.select("text", "words", F.posexplode("shingles").alias("at", "token"))
+            # Not a plain posexplode: its inferred filter on the array would be worked out again below.
+            places = text.select("text", "words", F.posexplode_outer("shingles").alias("at", "token"))
             around = F.slice("words", F.greatest(F.col("at") + 1 - window, F.lit(0)) + 1, F.lit(2 * window + n))
             hit = places.join(F.broadcast(block), "token").select(
                 text_sha("text").alias("sha"), "token", "at", F.size("words").alias("n_words"),
@@ -106,7 +119,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
         part = (
             hit.join(prefix, "token")
             .where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
-            .where(F.slice("around", start - F.col("from") + 1, F.col("length")) == F.col("win"))
+            .where(lowered(F.slice("around", start - F.col("from") + 1, F.col("length"))) == F.col("win"))
             .select("sha", start.cast("int").alias("start"), "length", "win_id")
         )
         out = part if out is None else out.unionByName(part)
