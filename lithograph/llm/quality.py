@@ -107,10 +107,10 @@ def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that are kept.
 
     A plain filter would be pushed below the projections, which copies their nested
-    expressions into each other; a generator of one row or none stays above them.
+    expressions into each other; one on a generator's output stays above them.
     """
-    one = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_one")
-    return judge(docs, text_col, rules).select(*docs.columns, one).drop("_one")
+    one = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_one")
+    return judge(docs, text_col, rules).select(*docs.columns, one).where("_one").drop("_one")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
