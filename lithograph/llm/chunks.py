@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: Raw bytes of text in a chunk, and hashes in a bucket, about.
 CHUNK_BYTES = 4 << 20
-BUCKET_KEYS = 2 << 20
+BUCKET_KEYS = 1 << 20
 
 DISTINCT_SCHEMA = "chunk long, sha binary, min_id long, copies long, weight long, text binary"
 REQUEST_SCHEMA = "bucket long, chunk long, n long, payload binary"
@@ -111,7 +111,7 @@ class Chunk:
 
 
 #: Bytes of text that are hashed at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 #: True for the six ASCII white-space characters.
 SPACES = np.zeros(256, bool)
@@ -162,7 +162,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=6)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1

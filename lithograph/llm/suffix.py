@@ -37,7 +37,7 @@ GRAM = 24
 #: An anchor in 2**HOT texts or more is split by window.
 HOT = 12
 #: Suffixes sorted at once, and bytes of runs in a bucket, about.
-SORT_WINDOWS = 300_000
+SORT_WINDOWS = 150_000
 BUCKET_BYTES = 8 << 20
 
 NO_ID = np.iinfo(np.int64).max
