@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("graph_queries",)
+
+
+def _catalogs():
+    return [importlib.import_module(f"lithograph.plans.{m}").catalog for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for c in _catalogs() for name, q in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for c in _catalogs() for name, s in c.sql.items()}
