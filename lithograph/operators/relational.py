@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first in ``order``, which must be total.
+def keep_best(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
+    """One row per key: the first (or last) in ``order``, which must be total.
 
     A grouped minimum over structs, so it combines on the map side and a hot key is no hot task.
     """
     by = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_row"))
+    picked = df.groupBy(*keys).agg((F.max_by if last else F.min_by)(F.struct(*rest), by).alias("_row"))
     return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*df.columns)
 
 
@@ -32,7 +32,7 @@ def optional_filters(df: DataFrame, **equals) -> DataFrame:
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``old`` with ``new`` merged in by key: the last in ``order`` (ascending is older) stays."""
-    return keep_best(old.unionByName(new), keys, order)
+    return keep_best(old.unionByName(new), keys, order, last=True)
 
 
 def partial_update(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -49,7 +49,7 @@ def visible(rows: DataFrame, grants: DataFrame, user, owner: str = "owner_id", k
 
 
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return keep_best(df, [key], order)
+    return keep_best(df, [key], order, last=True)
 
 
 def severity_rank(column: str, levels: tuple[str, ...]) -> Column:
