@@ -21,6 +21,7 @@ step holds more than one chunk or one bucket in a Python worker.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import math
 from collections.abc import Callable, Iterator
@@ -38,6 +39,15 @@ DISTINCT_SCHEMA = "chunk long, sha binary, min_id long, copies long, weight long
 REQUEST_SCHEMA = "bucket long, chunk long, n long, payload binary"
 ANSWER_SCHEMA = "chunk long, bucket long, payload binary"
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: An odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -53,13 +63,13 @@ def text_sha(text_col: str = "text"):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def distinct_texts(docs: DataFrame, total_bytes: int, id_col: str = "doc_id", text_col: str = "text", weight=None) -> DataFrame:
+def distinct_texts(docs: DataFrame, total_bytes: int, id_col: str = "doc_id", text_col: str = "text", weight=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of DISTINCT_SCHEMA, not yet merged over map batches (see load_chunk).
 
     ``min_id`` is the smallest non-null id, ``copies`` the number of rows, ``weight`` the
     sum of the integer column expression ``weight`` (1 by default).
     """
-    chunks = max(1, math.ceil(total_bytes / CHUNK_BYTES))
+    chunks = max(1, math.ceil(total_bytes / chunk_bytes))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
@@ -263,7 +273,10 @@ def answer_requests(requests: DataFrame, keys: Keys, reply: Callable[[np.ndarray
             _, group = np.unique(key, return_inverse=True)
         out = reply(np.bincount(group, count).astype(np.int64))[group]
         edges = np.cumsum([0, *sizes])
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": pa.array([out[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+        answers = pa.array([out[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+        del parts, key, count, group, out
+        release()
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": answers})
 
     return requests.groupBy("bucket").applyInArrow(bucket, ANSWER_SCHEMA)
 

@@ -36,9 +36,10 @@ from lithograph.llm import chunks as C
 GRAM = 24
 #: An anchor in 2**HOT texts or more is split by window.
 HOT = 12
-#: Suffixes sorted at once, and bytes of runs in a bucket, about.
+#: Suffixes sorted at once, bytes of text in a chunk and of runs in a bucket, about.
 SORT_WINDOWS = 150_000
-BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 6 << 20
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -191,7 +192,7 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct text: removed byte intervals [start, end) in the document with its smallest id, and what is kept there."""
     total = C.corpus_bytes(docs, text_col)
-    texts = C.distinct_texts(docs, total, id_col, text_col)
+    texts = C.distinct_texts(docs, total, id_col, text_col, chunk_bytes=CHUNK_BYTES)
     keys = C.Keys(total // 12 + 1)
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
@@ -207,7 +208,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
         _, _, distinct, counts = anchors(chunk)
-        return C.request_table(keys.requests(chunk.number, distinct, counts.astype(np.uint32)))
+        out = C.request_table(keys.requests(chunk.number, distinct, counts.astype(np.uint32)))
+        C.release()
+        return out
 
     def entries(chunk: C.Chunk, classes: np.ndarray):
         """What a chunk sends: key, id, offset of the first window from the key's place, windows, where they start; and later copies of hot windows."""
@@ -245,6 +248,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         for lo, hi in zip([0, *edges], [*edges, len(bucket)]) if len(bucket) else ():
             bytes_ = runs.raw[ragged(start[lo:hi], count[lo:hi] + length - 1)]
             rows.append((int(bucket[lo]), chunk.number, hi - lo, b"".join(x.tobytes() for x in (key[lo:hi], id_[lo:hi], rel[lo:hi].astype(np.int16), count[lo:hi].astype(np.uint16), bytes_))))
+        del runs, bucket, key, id_, rel, count, start
+        C.release()
         return C.request_table(rows)
 
     def decide(table: pa.Table) -> pa.Table:
@@ -286,7 +291,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             done = stop
         edges = np.cumsum([0, *sizes])
         windows = np.concatenate([answer_at, [len(gone)]])
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": pa.array([np.packbits(gone[windows[a] : windows[b]]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+        bits = pa.array([np.packbits(gone[windows[a] : windows[b]]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+        del part, key, id_, rel, count, raw, gone
+        C.release()
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": bits})
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -299,17 +307,17 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             gone = [np.empty(0, bool)]
             for b, payload in zip(last["bucket"].to_pylist(), last["payload"].to_pylist()):
                 gone.append(np.unpackbits(np.frombuffer(payload, np.uint8), count=int(windows[b])).astype(bool))
-            at = np.concatenate([ragged(start, count)[np.concatenate(gone)], late])
-            cover = np.zeros(len(runs.raw) + 1, np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + length, -1)
-            covered = np.cumsum(cover)[:-1] > 0
-            for i, sha in enumerate(chunk.shas):
-                text = chunk.texts[i]
-                mask = covered[runs.offset[i] : runs.offset[i] + len(text)]
-                steps = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if len(steps) else text
-                rows.append((sha, chunk.ids[i], len(text), int(mask.sum()), steps[::2].tolist(), steps[1::2].tolist(), kept))
+            at = np.unique(np.concatenate([ragged(start, count)[np.concatenate(gone)], late]))
+            first_of = np.searchsorted(at, runs.offset)
+            for i, (lo, hi) in enumerate(zip(first_of, [*first_of[1:], len(at)])):
+                text, own = chunk.texts[i], at[lo:hi] - runs.offset[i]
+                new = np.flatnonzero(np.concatenate([[True], np.diff(own) > length])) if len(own) else own
+                begin, end = own[new], np.concatenate([own[new[1:] - 1], own[-1:]]) + length
+                edges = [0, *np.stack([begin, end], axis=1).reshape(-1).tolist(), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if len(own) else text
+                rows.append((chunk.shas[i], chunk.ids[i], len(text), int((end - begin).sum()), begin.tolist(), end.tolist(), kept))
+            del runs, bucket, count, start, late, gone, at
+            C.release()
         cols = list(zip(*rows)) if rows else [[]] * 7
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         return pa.table({k: pa.array(v, t) for k, v, t in zip(("sha", "min_id", "n_bytes", "n_removed", "starts", "ends", "kept"), cols, kinds)})
