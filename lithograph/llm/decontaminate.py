@@ -95,6 +95,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
         # One reading of the text for its words, then places of shared shingles.
         text = docs.select(F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
         text = with_shingles(text, n)
+        hits = None
         for b in range(blocks):
             block = tokens.where(F.pmod("token", F.lit(blocks)) == b) if blocks > 1 else tokens
             block = block.select("token").distinct()
@@ -105,7 +106,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
                 text_sha("text").alias("sha"), "token", "at", F.size("words").alias("n_words"),
                 F.greatest(F.col("at") + 1 - window, F.lit(0)).alias("from"), around.alias("around"),
             )
-            found.append((tokens, own, hit))
+            hits = hit if hits is None else hits.unionByName(hit)
+        found.append((tokens, own, hits))
     if not found:
         return spark.createDataFrame([], "sha binary, start int, length int, win_id long"), wins
     out = None
