@@ -31,25 +31,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows beside their text's key, so that no column of theirs meets one of ours."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), chunks.text_sha().alias("sha"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = jaccard.jaccard_components(docs)
-    keep = texts.where((F.col("n_shingles") == 0) | F.col("representative")).select("sha", "min_id", (F.col("n_shingles") == 0).alias("blank"))
-    rows = docs.withColumn("sha", chunks.text_sha()).join(keep, "sha")
-    blank = rows.where("blank")
-    first = rows.where(~F.col("blank") & F.col("doc_id").eqNullSafe(F.col("min_id"))).dropDuplicates(["sha"])
-    return first.unionByName(blank).select(*docs.columns)
+    blank = F.col("n_shingles") == 0
+    keep = texts.where(blank | F.col("representative")).select("sha", "min_id", blank.alias("blank"))
+    rows = _rows(docs).join(keep, "sha")
+    first = rows.where(~F.col("blank") & F.col("id").eqNullSafe(F.col("min_id"))).dropDuplicates(["sha"])
+    return first.unionByName(rows.where("blank")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substring.substring_dedup(docs).where("n_removed > 0").select("sha", "kept")
-    rows = docs.withColumn("sha", chunks.text_sha()).join(cut, "sha", "left")
-    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
-    return rows.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    own = lambda c: F.col("row")[c]
+    columns = [(F.when(F.col("kept").isNotNull(), new[c]).otherwise(own(c)) if c in new else own(c)).alias(c) for c in docs.columns]
+    return _rows(docs).join(cut, "sha", "left").select(*columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = decontaminate.contaminated_texts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("sha")
-    return docs.withColumn("sha", chunks.text_sha()).join(hit, "sha", "left_anti").select(*docs.columns)
+    return _rows(docs).join(hit, "sha", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,8 +109,9 @@ def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     A plain filter would be pushed below the projections, which copies their nested
     expressions into each other; one on a generator's output stays above them.
     """
+    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"))
     one = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_one")
-    return judge(docs, text_col, rules).select(*docs.columns, one).where("_one").drop("_one")
+    return judge(inner, "text", rules).select("_row", one).where("_one").select("_row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
