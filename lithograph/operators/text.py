@@ -34,14 +34,14 @@ def similar_sets(items: DataFrame, key: str, value: str, threshold: float, least
     their first n - ceil(threshold n) + 1; only such pairs are compared.
     """
     sets = items.select(key, value).distinct()
-    sizes = sets.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    counts = sets.groupBy(value).agg(F.count("*").alias("df"))
+    sizes = sets.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    counts = sets.groupBy(value).agg(F.count("*").alias("_df"))
     full = sets.join(sizes, key).join(counts, value)
-    order = W.partitionBy(key).orderBy("df", value)
-    ordered = full.withColumn("k", F.row_number().over(order))
-    prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1").select(key, value, "n")
-    left = prefix.select(F.col(key).alias("a"), F.col(value).alias("v"), F.col("n").alias("na"))
-    right = prefix.select(F.col(key).alias("b"), F.col(value).alias("v"), F.col("n").alias("nb"))
+    order = W.partitionBy(key).orderBy("_df", value)
+    ordered = full.withColumn("_k", F.row_number().over(order))
+    prefix = ordered.where(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).where("_df > 1").select(key, value, "_n")
+    left = prefix.select(F.col(key).alias("a"), F.col(value).alias("v"), F.col("_n").alias("na"))
+    right = prefix.select(F.col(key).alias("b"), F.col(value).alias("v"), F.col("_n").alias("nb"))
     near = left.join(right, "v").where("a < b").where((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)).select("a", "b", "na", "nb").distinct()
     held = full.groupBy(key).agg(F.collect_set(value).alias("values"))
     x = held.select(F.col(key).alias("a"), F.col("values").alias("va"))
