@@ -42,3 +42,23 @@ def test_edges(parsed):
 def test_incremental(spark, parsed):
     assert java.incremental(parsed, parsed).count() == 0
     assert java.incremental(parsed, parsed.limit(1)).count() == 2
+
+
+def test_chunks(parsed):
+    from lithograph.operators import chunking
+
+    rows = chunking.chunk_files(parsed).where("class_name = 'OrderService'").orderBy("chunk_index").collect()
+    assert [(r.chunk_type, r.chunk_index) for r in rows] == [("class_summary", 0), ("method", 1), ("method", 2)]
+    assert "private final OrderRepository repository;" in rows[0].page_content and rows[2].page_content.endswith("{ return null; }")
+    parts = chunking.chunk_files(parsed, most=10, size=40, overlap=10).where("chunk_type = 'method_part'").collect()
+    assert {r.chunk_index // 1000 for r in parts} == {1, 2} and len({r.chunk_id for r in parts}) == len(parts)
+
+
+def test_split_text_keeps_all_words():
+    from lithograph.operators.chunking import split_text
+
+    text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(10)) + " " + "y" * 300
+    parts = split_text(text, 100, 20)
+    assert all(len(p) <= 100 or " " not in p for p in parts)
+    assert set(text.split()) == {w for p in parts for w in p.split()}
+    assert split_text("  \n", 10, 2) == [] and split_text("short", 10, 2) == ["short"]
