@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithograph.operators import architecture as A
+from lithograph.operators import render
 from lithograph.plans.tables import Catalog, table
 
 catalog = Catalog()
@@ -127,3 +128,24 @@ def framework_detect(spark, sf):
     known = F.col("a").isin("RestController", "Service", "Repository", "Entity", "Transactional", "Component")
     rows = classes(spark, sf).select("package", F.explode_outer("annotations").alias("a"))
     return rows.groupBy("package").agg((F.count_distinct(F.when(known, F.col("a"))) >= 2).alias("uses_framework"))
+
+
+_PLACE = "list_position([" + ", ".join(f"'{x}'" for x in render.LAYERS) + "], layer)"
+
+
+@catalog.add(_ROLES + f""" SELECT string_agg(rpad(layer, 14, ' ') || ' ' || lpad(CAST(n AS VARCHAR), 5, ' ') || ' classes in ' || p || ' packages', chr(10) ORDER BY {_PLACE}) AS text
+FROM (SELECT layer, count(*) AS n, count(DISTINCT package) AS p FROM l GROUP BY layer)""")
+def architecture_layer_text(spark, sf):
+    return render.layer_lines(roles(spark, sf))
+
+
+@catalog.add(_ROLES + """ SELECT 'System: Demo (' || count(*) || ' classes)' || CASE WHEN bool_or(role = 'controller') THEN chr(10) || 'User -> Demo: requests' ELSE '' END
+|| CASE WHEN bool_or(role = 'repository') THEN chr(10) || 'Demo -> Database: reads and writes' ELSE '' END AS text FROM l""")
+def architecture_context_text(spark, sf):
+    return render.context_text(roles(spark, sf), "Demo")
+
+
+@catalog.add(_ROLES + """ , n AS (SELECT role, list_sort(list(DISTINCT class_name)) AS x FROM l GROUP BY role)
+SELECT '# Demo' || chr(10) || chr(10) || string_agg('## ' || upper(role[1]) || role[2:] || ' (' || len(x) || ')' || chr(10) || array_to_string(x[1:5], ', ') || CASE WHEN len(x) > 5 THEN ' +' || (len(x) - 5) || ' more' ELSE '' END, chr(10) || chr(10) ORDER BY role) AS markdown FROM n""")
+def architecture_onboarding(spark, sf):
+    return render.onboarding(roles(spark, sf), "Demo")
