@@ -34,7 +34,7 @@ def audit_optional_filters(spark, sf):
     return R.optional_filters(events(spark, sf), user_id=7, event_type="click", event_id=None).select("event_id", "value")
 
 
-@catalog.add("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total_k FROM events GROUP BY event_type")
+@catalog.add("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY event_type")
 def audit_json_details(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total_k"))
 
