@@ -126,3 +126,56 @@ def strategy_implementors(spark, sf):
     """Interfaces with three implementors or more, but for exempt names."""
     rows = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("source", "c"))).alias("iface")).where("iface <> '' AND NOT endswith(iface, '7')")
     return rows.distinct().groupBy("iface").agg(F.count("*").alias("implementors")).where("implementors >= 3")
+
+
+# Patterns that the computed rules count.
+_BODY, _VALID, _WEB = r"@RequestBody", r"@(?:Valid|Validated)\b", r"@(?:RestController|Controller)\b"
+_PARAMS = r"(?:public|protected|private)\s+[\w<>\[\]]+\s+\w+\s*\(([^)]+)\)"
+_PRIMITIVE = r"(?:int|long|double|float|boolean|short|byte|char)\s+\w+"
+_PUBLIC, _JAVADOC = r"public\s+[\w<>\[\]]+\s+\w+\s*\(", r"/\*\*"
+
+COMPUTED = (
+    ("Api", "@RestController class Api { public Order make(@RequestBody Order o) { return o; } public Order put(@Valid @RequestBody Order o, @RequestBody Note n) { return o; } }"),
+    ("GoodApi", "@RestController class GoodApi { public Order put(@Valid @RequestBody Order o) { return o; } }"),
+    ("Wide", "class Wide { public void go(int a, int b, long c, String d, double e, boolean f) {} private int one(int a) { return a; } }"),
+    ("Silent", "class Silent {" + " int x;" * 3 + "}" + "\nint y;" * 60),
+    ("Spoken", "class Spoken {\n/** why */\npublic int a() { return 1; }\n/** why */\npublic int b() { return 2; }\n}" + "\n// note" * 60),
+    ("Mute", "class Mute { public int a() { return 1; } public int b() { return 2; } }"),
+)
+
+
+def _hits(pattern):
+    return f"len(regexp_extract_all(content, {Q._quote(pattern)}))"
+
+
+_LINES = "string_split(content, chr(10))"
+_COMMENTS = f"len(list_filter({_LINES}, lambda x: starts_with(trim(x), '//') OR starts_with(trim(x), '*') OR starts_with(trim(x), '/*')))"
+_LISTS = f"regexp_extract_all(content, {Q._quote(_PARAMS)}, 1)"
+_COMPUTED_SQL = {
+    "SEC-003": ("medium", f"{_hits(_BODY)} > {_hits(_VALID)} AND {_hits(_WEB)} > 0"),
+    "MAINT-007": ("medium", f"coalesce(list_max(list_transform({_LISTS}, lambda x: len(string_split(x, ',')))), 0) > 5"),
+    "ANTI-005": ("low", f"coalesce(list_max(list_transform({_LISTS}, lambda x: len(regexp_extract_all(x, {Q._quote(_PRIMITIVE)})))), 0) >= 4"),
+    "MAINT-009": ("info", f"len({_LINES}) >= 50 AND {_COMMENTS} < 0.05 * len({_LINES})"),
+    "DEBT-003": ("low", f"{_hits(_PUBLIC)} > 0 AND {_hits(_JAVADOC)} < 0.5 * {_hits(_PUBLIC)}"),
+}
+_CORPUS = "(VALUES " + ", ".join(f"({Q._quote(c)}, " + " || chr(10) || ".join(Q._quote(x) for x in t.split("\n")) + ")" for c, t in COMPUTED) + ") v(unit, content)"
+
+
+@catalog.add(" UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity, unit FROM {_CORPUS} WHERE {c}" for r, (s, c) in _COMPUTED_SQL.items()))
+def rule_findings_computed(spark, sf):
+    """Rules that compare counts: validation, parameter lists, comments."""
+    count = lambda p: F.size(F.regexp_extract_all("content", F.lit(p), F.lit(0)))
+    lists = F.regexp_extract_all("content", F.lit(_PARAMS), F.lit(1))
+    most = lambda f: F.coalesce(F.array_max(F.transform(lists, f)), F.lit(0))
+    lines = F.split("content", "\n")
+    comments = F.size(F.filter(lines, lambda x: F.trim(x).startswith("//") | F.trim(x).startswith("*") | F.trim(x).startswith("/*")))
+    broken = {
+        "SEC-003": (count(_BODY) > count(_VALID)) & (count(_WEB) > 0),
+        "MAINT-007": most(lambda x: F.size(F.split(x, ","))) > 5,
+        "ANTI-005": most(lambda x: F.size(F.regexp_extract_all(x, F.lit(_PRIMITIVE), F.lit(0)))) >= 4,
+        "MAINT-009": (F.size(lines) >= 50) & (comments < 0.05 * F.size(lines)),
+        "DEBT-003": (count(_PUBLIC) > 0) & (count(_JAVADOC) < 0.5 * count(_PUBLIC)),
+    }
+    checks = [F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(_COMPUTED_SQL[r][0]).alias("severity"))) for r, c in broken.items()]
+    units = spark.createDataFrame(list(COMPUTED), "unit string, content string")
+    return units.select("unit", F.inline(F.array_compact(F.array(*checks)))).select("rule_id", "severity", "unit")
