@@ -8,7 +8,7 @@ a smaller id.
     How many texts hold each anchor is counted over the corpus (``chunks``); windows whose
     anchor is in one text only are finished.
 2.  The other windows are sent, as runs of bytes, to the bucket of their anchor's hash.
-    Windows under an anchor of very many texts go to the bucket of their own hash instead,
+    Windows under an anchor of very many places go to the bucket of their own hash instead,
     once for each chunk, so that no bucket gathers a third of the corpus.
 3.  A bucket sorts its suffixes by a merge sort that compares two of them by binary search
     for their longest common extension over prefix polynomial hashes.  Neighbours of equal
@@ -34,12 +34,12 @@ from lithograph.llm import chunks as C
 
 #: Bytes of an anchor.
 GRAM = 24
-#: An anchor in 2**HOT texts or more is split by window.
-HOT = 12
+#: An anchor with so many places or more is split by window.
+HOT = 4096
 #: Suffixes sorted at once, bytes of text in a chunk and of runs in a bucket, about.
-SORT_WINDOWS = 150_000
+SORT_WINDOWS = 100_000
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -121,8 +121,8 @@ class Suffixes:
         sorted_at, sorted_group = at[order], group[order]
         same = (sorted_group[1:] == sorted_group[:-1]) & self.equal(sorted_at[1:], sorted_at[:-1])
         step = np.arange(self.length)
-        for lo in range(0, len(same), 50_000):
-            pairs = lo + np.flatnonzero(same[lo : lo + 50_000])
+        for lo in range(0, len(same), 10_000):
+            pairs = lo + np.flatnonzero(same[lo : lo + 10_000])
             exact = (self.raw[sorted_at[pairs][:, None] + step] == self.raw[sorted_at[pairs + 1][:, None] + step]).all(axis=1)
             same[pairs[~exact]] = False
             if not exact.all():  # different strings with one hash: give up hashes here
@@ -132,6 +132,14 @@ class Suffixes:
         return out
 
 
+def anchor_kind(totals: np.ndarray) -> np.ndarray:
+    """0: in one text only; 1: in several; 2: in so many places that its windows go by their own hash.
+
+    totals: places in the upper bits, texts in the lower 16, which cannot overflow below HOT.
+    """
+    return np.where(totals >> 16 >= HOT, 2, (totals & 0xFFFF) >= 2).astype(np.uint8)
+
+
 class Runs:
     """The anchors of a chunk's texts, each with the run of windows that it serves."""
 
@@ -203,7 +211,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         fresh = np.ones(len(order), bool)
         fresh[1:] = (np.diff(cut[order]) != 0) | (np.diff(runs.owner[order]) != 0)
         distinct, counts = np.unique(cut[order][fresh], return_counts=True)
-        return runs, cut, distinct, counts
+        places = np.diff(np.concatenate([np.searchsorted(cut[order], distinct), [len(cut)]]))
+        return runs, cut, distinct, (np.minimum(places, 0xFFFF) << 16) | np.minimum(counts, 0xFFFF)
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
@@ -213,13 +222,17 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         return out
 
     def entries(chunk: C.Chunk, classes: np.ndarray):
-        """What a chunk sends: key, id, offset of the first window from the key's place, windows, where they start; and later copies of hot windows."""
+        """What a chunk sends: key, id, offset of the first window from the key's place, windows, where they start.
+
+        Also places of windows that are settled here (an earlier document of the chunk has them), and
+        places that share the answer of an entry (the same document, or one of the same id).
+        """
         runs, cut, distinct, _ = anchors(chunk)
         ids = np.array([NO_ID if i is None else i for i in chunk.ids], np.int64)
         kind = classes[np.searchsorted(distinct, cut)] if len(cut) else np.empty(0, np.uint8)
-        some, hot = np.flatnonzero((kind > 0) & (kind < HOT)), np.flatnonzero(kind >= HOT)
+        some, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
         key, id_, rel, count, start = runs.hash[some], ids[runs.owner[some]], runs.start[some] - runs.anchor[some], runs.count[some], runs.start[some]
-        late = np.empty(0, np.int64)
+        late = follow = entry = np.empty(0, np.int64)
         if len(hot):
             at = ragged(runs.start[hot], runs.count[hot])
             own = np.repeat(ids[runs.owner[hot]], runs.count[hot])
@@ -228,21 +241,25 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             at, own, window = at[order], own[order], window[order]
             lead = np.maximum.accumulate(np.where(np.concatenate([[True], window[1:] != window[:-1]]), np.arange(len(at)), 0))
             step = np.arange(length)
-            same = np.concatenate([(runs.raw[at[lo : lo + 50_000, None] + step] == runs.raw[at[lead[lo : lo + 50_000], None] + step]).all(axis=1) for lo in range(0, len(at), 50_000)])
+            same = np.concatenate([(runs.raw[at[lo : lo + 10_000, None] + step] == runs.raw[at[lead[lo : lo + 10_000], None] + step]).all(axis=1) for lo in range(0, len(at), 10_000)])
             copy = same & (lead != np.arange(len(at)))
-            late = at[copy & (own > own[lead])]  # an earlier document of this chunk has it
-            sent = np.flatnonzero(~copy | (own == own[lead]))
+            late = at[copy & (own > own[lead])]
+            sent = np.flatnonzero(~copy)
+            shared = np.flatnonzero(copy & (own == own[lead]))
+            follow, entry = at[shared], len(key) + np.searchsorted(sent, lead[shared])
             key, id_, start = np.concatenate([key, window[sent]]), np.concatenate([id_, own[sent]]), np.concatenate([start, at[sent]])
             rel, count = np.concatenate([rel, np.full(len(sent), 1)]), np.concatenate([count, np.ones(len(sent), np.int64)])
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        return runs, bucket[order], key[order], id_[order], rel[order], count[order], start[order], late
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return runs, bucket[order], key[order], id_[order], rel[order], count[order], start[order], late, follow, place[entry]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return C.request_table([])
         chunk = C.Chunk(table)
-        runs, bucket, key, id_, rel, count, start, _ = entries(chunk, C.join_answers(answers, np.uint8))
+        runs, bucket, key, id_, rel, count, start, *_ = entries(chunk, C.join_answers(answers, np.uint8))
         edges = np.flatnonzero(np.diff(bucket)) + 1
         rows = []
         for lo, hi in zip([0, *edges], [*edges, len(bucket)]) if len(bucket) else ():
@@ -302,12 +319,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             chunk = C.Chunk(table)
             rounds = answers["round"].to_numpy()
             first, last = answers.filter(pa.array(rounds == 1)), answers.filter(pa.array(rounds == 2)).sort_by("bucket")
-            runs, bucket, _, _, _, count, start, late = entries(chunk, C.join_answers(first, np.uint8))
+            runs, bucket, _, _, _, count, start, late, follow, entry = entries(chunk, C.join_answers(first, np.uint8))
             windows = np.bincount(bucket, count, buckets).astype(np.int64)
             gone = [np.empty(0, bool)]
             for b, payload in zip(last["bucket"].to_pylist(), last["payload"].to_pylist()):
                 gone.append(np.unpackbits(np.frombuffer(payload, np.uint8), count=int(windows[b])).astype(bool))
-            at = np.unique(np.concatenate([ragged(start, count)[np.concatenate(gone)], late]))
+            every = np.concatenate(gone)
+            followed = follow[every[(np.cumsum(count) - count)[entry]]]
+            at = np.unique(np.concatenate([ragged(start, count)[every], late, followed]))
             first_of = np.searchsorted(at, runs.offset)
             for i, (lo, hi) in enumerate(zip(first_of, [*first_of[1:], len(at)])):
                 text, own = chunk.texts[i], at[lo:hi] - runs.offset[i]
@@ -323,7 +342,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         return pa.table({k: pa.array(v, t) for k, v, t in zip(("sha", "min_id", "n_bytes", "n_removed", "starts", "ends", "kept"), cols, kinds)})
 
     asked = texts.groupBy("chunk").applyInArrow(ask, C.REQUEST_SCHEMA)
-    classes = C.answer_requests(asked, keys, C.log_class)
+    classes = C.answer_requests(asked, keys, anchor_kind)
     sent = texts.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(send, C.REQUEST_SCHEMA)
     decided = sent.groupBy("bucket").applyInArrow(decide, C.ANSWER_SCHEMA)
     both = classes.withColumn("round", F.lit(1)).unionByName(decided.withColumn("round", F.lit(2)))

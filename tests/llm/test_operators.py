@@ -152,7 +152,7 @@ def test_substring(docs, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [12, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     order = sorted(texts(), key=lambda r: (r[0] is None, r[0] or 0))
