@@ -37,9 +37,9 @@ GRAM = 24
 #: An anchor with so many places or more is split by window.
 HOT = 4096
 #: Suffixes sorted at once, bytes of text in a chunk and of runs in a bucket, about.
-SORT_WINDOWS = 100_000
+SORT_WINDOWS = 150_000
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -120,13 +120,13 @@ class Suffixes:
         order = self.sort(at, group)
         sorted_at, sorted_group = at[order], group[order]
         same = (sorted_group[1:] == sorted_group[:-1]) & self.equal(sorted_at[1:], sorted_at[:-1])
-        step = np.arange(self.length)
+        strings = np.lib.stride_tricks.sliding_window_view(self.raw, self.length)
         for lo in range(0, len(same), 10_000):
             pairs = lo + np.flatnonzero(same[lo : lo + 10_000])
-            exact = (self.raw[sorted_at[pairs][:, None] + step] == self.raw[sorted_at[pairs + 1][:, None] + step]).all(axis=1)
+            exact = (strings[sorted_at[pairs]] == strings[sorted_at[pairs + 1]]).all(axis=1)
             same[pairs[~exact]] = False
             if not exact.all():  # different strings with one hash: give up hashes here
-                return np.unique(np.concatenate([group[:, None].view(np.uint8).reshape(-1, 8), self.raw[at[:, None] + step]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+                return np.unique(np.concatenate([group[:, None].view(np.uint8).reshape(-1, 8), strings[at]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
         out = np.empty(len(at), np.int64)
         out[order] = np.cumsum(np.concatenate([[0], ~same]))[: len(at)]
         return out
@@ -197,6 +197,30 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
+def _first_equal(raw, key, id_, rel, count, place, length: int) -> np.ndarray:
+    """For each run the equal run (key, offset and all bytes) of the smallest id, itself if there is none.
+
+    Copies of one passage are sorted once this way, however many there are.
+    """
+    prefix, size = prefix_hashes(raw), count + length - 1
+    whole = (prefix[place + size] - prefix[place]) * C.powers(C.BASE_INVERSE, len(prefix))[place]
+    del prefix
+    order = np.lexsort((id_, whole, count, rel, key))
+    fresh = np.ones(len(order), bool)
+    for column in (key, rel, count, whole):
+        fresh[1:] &= column[order][1:] == column[order][:-1]
+    fresh[1:] = ~fresh[1:]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    copies = np.flatnonzero(first != np.arange(len(first)))
+    for lo in range(0, len(copies), 5_000):
+        some = copies[lo : lo + 5_000]
+        equal = raw[ragged(place[some], size[some])] == raw[ragged(place[first[some]], size[some])]
+        exact = np.logical_and.reduceat(equal, np.cumsum(size[some]) - size[some])
+        first[some[~exact]] = some[~exact]
+    return first
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct text: removed byte intervals [start, end) in the document with its smallest id, and what is kept there."""
     total = C.corpus_bytes(docs, text_col)
@@ -240,8 +264,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             order = np.lexsort((at, own, window))
             at, own, window = at[order], own[order], window[order]
             lead = np.maximum.accumulate(np.where(np.concatenate([[True], window[1:] != window[:-1]]), np.arange(len(at)), 0))
-            step = np.arange(length)
-            same = np.concatenate([(runs.raw[at[lo : lo + 10_000, None] + step] == runs.raw[at[lead[lo : lo + 10_000], None] + step]).all(axis=1) for lo in range(0, len(at), 10_000)])
+            strings = np.lib.stride_tricks.sliding_window_view(runs.raw, length)
+            same = np.concatenate([(strings[at[lo : lo + 10_000]] == strings[at[lead[lo : lo + 10_000]]]).all(axis=1) for lo in range(0, len(at), 10_000)])
             copy = same & (lead != np.arange(len(at)))
             late = at[copy & (own > own[lead])]
             sent = np.flatnonzero(~copy)
@@ -284,7 +308,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         place = np.cumsum(count + length - 1) - (count + length - 1)
         answer_at = np.cumsum(count) - count
         gone = np.zeros(int(count.sum()), bool)
-        order = np.argsort(key, kind="stable")
+        first = _first_equal(raw, key, id_, rel, count, place, length)
+        order = np.flatnonzero(first == np.arange(len(key)))
+        order = order[np.argsort(key[order], kind="stable")]
         group = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         several = np.bincount(group)[group] > 1
         order, group = order[several], group[several]
@@ -306,6 +332,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             np.minimum.at(least, label, ids)
             gone[ragged(answer_at[own], size)] = least[label] < ids
             done = stop
+        # Runs equal to one of a smaller id go whole; those of the same id share its answer.
+        later = np.flatnonzero(id_ > id_[first])
+        gone[ragged(answer_at[later], count[later])] = True
+        again = np.flatnonzero((id_ == id_[first]) & (first != np.arange(len(key))))
+        gone[ragged(answer_at[again], count[again])] = gone[ragged(answer_at[first[again]], count[again])]
         edges = np.cumsum([0, *sizes])
         windows = np.concatenate([answer_at, [len(gone)]])
         bits = pa.array([np.packbits(gone[windows[a] : windows[b]]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
