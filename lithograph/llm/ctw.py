@@ -8,13 +8,21 @@ block probability of the training data,
 
 so estimates of all depths are mixed as the data supports them.  A context that training
 never saw adds no evidence: the estimate above it stands.  A text is scored as its
-lower-cased bytes and an end mark (byte 0), after two such marks; the negated logarithm
-is its code length.
+lower-cased bytes and an end mark (byte 0), after ``DEPTH`` such marks; the negated
+logarithm is its code length.
 
-Training counts every training text whole: byte triples by batch, then by grouped sums.
-The model is one row of 256 numbers for each context seen, at most 65,793 rows, which is
-the proven bound of what is broadcast.  Word counts of the base score have no such bound;
-chunks ask for them (``chunks``).
+The tree grows with the corpus and is never gathered:
+
+1.  Training counts every training text whole, as paths (a byte and the ``DEPTH`` before
+    it) by batch.  Paths go to buckets by their last ``TOP`` + 1 context bytes, so that a
+    bucket owns whole subtrees; it sends up their block probabilities, summed by context
+    of ``TOP`` bytes.
+2.  Contexts of up to ``TOP`` bytes are at most 65,793 rows of 256 numbers, which is the
+    proven bound of what the driver holds and broadcasts.
+3.  Chunks of texts ask for the paths on which they lie (``chunks``); a bucket mixes each
+    path over all depths and answers with the logarithm of its byte's probability.
+
+Word counts of the base score take the same way.
 
 Defined results
     * null text: no words and no bytes, one end token;
@@ -29,14 +37,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.llm import chunks as C
 
-#: Bytes of the longest context.
-DEPTH = 2
+#: Bytes of the longest context (a path fits 64 bits up to 7), and of those whose tables are broadcast.
+DEPTH = 5
+TOP = 2
 PAD = b"\0" * DEPTH
+#: Bytes of text for each bucket of paths, and paths of blocks that are merged at once.
+PATH_BYTES = 8 << 20
+MERGE_KEYS = 1 << 22
+
+PATHS_SCHEMA = "bucket long, chunk long, payload binary"
 
 TEXTS_SCHEMA = "sha binary, n_words long, n_bytes long, known_words long, count_logs double, score double"
 
@@ -54,27 +69,150 @@ def _sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context bytes and the byte itself in one number."""
+    """The TOP context bytes and the byte itself in one number."""
     wide = raw.astype(np.uint32)
     return (wide[at - 2] << 16) | (wide[at - 1] << 8) | wide[at]
 
 
-def byte_counts(docs: DataFrame, training: Column, text_col: str = "text") -> DataFrame:
-    """(key, n): how often each context and byte occurs in the training texts."""
+def _paths(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """DEPTH context bytes, the nearest first, and the byte itself in one number."""
+    wide = raw.astype(np.uint64)
+    out = wide[at]
+    for d in range(1, DEPTH + 1):
+        out |= wide[at - d] << np.uint64(8 * (DEPTH + 1 - d))
+    return out
+
+
+def path_counts(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct paths of all texts and how often each occurs, texts taken ``weights`` times."""
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+    def merge() -> None:
+        both, back = np.unique(np.concatenate(keys), return_inverse=True)
+        counts[:] = [np.bincount(back, np.concatenate(counts), len(both)).astype(np.int64)]
+        keys[:] = [both]
+
+    for lo, hi in C.blocks(texts):
+        one, back = np.unique(_paths(*_sequence(texts[lo:hi])), return_inverse=True)
+        keys.append(one)
+        counts.append(np.bincount(back, np.repeat(weights[lo:hi], [len(t) + 1 for t in texts[lo:hi]]), len(one)).astype(np.int64))
+        if sum(map(len, keys[1:])) > MERGE_KEYS:
+            merge()
+    merge()
+    return keys[0], counts[0]
+
+
+def _dealt(paths: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each path's subtree, and the order of paths by bucket."""
+    bucket = (C.mix(paths >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)).astype(np.int64)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def _path_table(chunk: int, paths: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    """Rows of PATHS_SCHEMA: sorted paths and their counts, packed by bucket."""
+    bucket, order = _dealt(paths, buckets)
+    bucket, paths, counts = bucket[order], paths[order], counts[order].astype(np.uint64)
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    rows = []
+    for lo, hi in zip([0, *edges], [*edges, len(paths)]) if len(paths) else ():
+        raw = paths[lo:hi].view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T.tobytes() + _squeeze(counts[lo:hi])
+        rows.append((int(bucket[lo]), int(hi - lo).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _unpack_paths(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = (int.from_bytes(payload[k : k + 8], "little") for k in (0, 8))
+    raw = pa.decompress(payload[16:], size, "zstd", asbytes=True)
+    paths = np.zeros((n, 8), np.uint8)
+    paths[:, : DEPTH + 1] = np.frombuffer(raw, np.uint8, n * (DEPTH + 1)).reshape(DEPTH + 1, n).T
+    return paths.view(np.uint64)[:, 0], _expand(raw[n * (DEPTH + 1) :])
+
+
+class Subtrees:
+    """The contexts of TOP + 1 .. DEPTH bytes over some paths and their counts."""
+
+    def __init__(self, payloads: list[bytes]):
+        self.parts = [_unpack_paths(p) for p in payloads]
+        paths = np.unique(np.concatenate([p[0] for p in self.parts]))
+        counts = np.zeros(len(paths))
+        for own, n in self.parts:
+            counts[np.searchsorted(paths, own)] += n
+        #: By depth from DEPTH upwards: context and byte, counts, and the place of each in the depth above.
+        self.keys, self.counts, self.up = [paths], [counts], []
+        while len(self.keys) < DEPTH - TOP + 1:  # the last is of TOP bytes
+            keys = self.keys[-1]
+            above, up = np.unique(((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255)), return_inverse=True)
+            self.up.append(up)
+            self.keys.append(above)
+            self.counts.append(np.bincount(up, self.counts[-1], len(above)))
+
+    def decisions(self):
+        """For each bit: nodes of the contexts of TOP + 1 bytes with the logarithm of Pw; and for
+        each path its node, whether training saw it at TOP + 1 bytes, and the probability of a one."""
+        for bit in range(8):
+            levels = []
+            for keys, n in zip(self.keys[:-1], self.counts):
+                ids = keys >> np.uint64(8 - bit)
+                fresh = np.ones(len(ids), bool)
+                fresh[1:] = ids[1:] != ids[:-1]
+                node = np.cumsum(fresh) - 1
+                total = np.bincount(node, n)
+                ones = np.bincount(node, n * ((keys >> np.uint64(7 - bit)) & np.uint64(1)))
+                levels.append((ids[fresh], np.flatnonzero(fresh), node, total - ones, ones))
+            _, first, deepest, zeros, ones = levels[0]
+            weighted, p, seen = _log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0
+            at, entry = np.arange(len(first)), first  # node of each deepest node at this depth, and an entry of it
+            for (_, below_first, *_), (_, _, node, zeros, ones), up in zip(levels, levels[1:], self.up):
+                block = _log_kt(zeros, ones)
+                every = np.logaddexp(block, np.bincount(node[up[below_first]], weighted, len(block))) - math.log(2)
+                stay, own = np.exp(block - math.log(2) - every), (ones + 0.5) / (zeros + ones + 1)
+                entry = up[entry]
+                below_seen, at = seen[at], node[entry]
+                p = np.where(below_seen, stay[at] * own[at] + (1 - stay[at]) * p, own[at])
+                weighted, seen = every, zeros + ones > 0
+            yield bit, levels[-1][0], weighted, deepest, seen[at], p
+
+
+def _swap(context: np.ndarray) -> np.ndarray:
+    """Two context bytes, the nearest first, in the order of the text; and back."""
+    return ((context & 255) << 8) | (context >> 8)
+
+
+def tops(paths: DataFrame) -> DataFrame:
+    """(key, n, below): counts by context of TOP bytes and byte; where n is null, the logarithm
+    of the product of its children's Pw by context and node (1 to 255 from the first bit down)."""
+
+    def up(table: pa.Table) -> pa.Table:
+        trees = Subtrees(table["payload"].to_pylist())
+        keys, counts = trees.keys[-1].astype(np.int64), trees.counts[-1].astype(np.int64)
+        nodes, logs = [], []
+        for bit, ids, weighted, *_ in trees.decisions():
+            ids = ids.astype(np.int64)
+            nodes.append((_swap(ids >> (8 + bit)) << 8) | (1 << bit) | (ids & ((1 << bit) - 1)))
+            logs.append(weighted)
+        nodes, back = np.unique(np.concatenate(nodes), return_inverse=True)
+        logs = np.bincount(back, np.concatenate(logs), len(nodes))
+        C.release()
+        return pa.table({
+            "key": pa.array(np.concatenate([(_swap(keys >> 8) << 8) | (keys & 255), nodes])),
+            "n": pa.array([*counts.tolist(), *[None] * len(nodes)], pa.int64()),
+            "below": pa.array(np.concatenate([np.zeros(len(keys)), logs])),
+        })
+
+    rows = paths.groupBy("bucket").applyInArrow(up, "key long, n long, below double")
+    return rows.groupBy("key", F.col("n").isNull().alias("node")).agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+
+
+def training_paths(docs: DataFrame, training: Column, buckets: int, text_col: str = "text") -> DataFrame:
     rows = docs.where(training).select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def count(batches):
         for batch in batches:
             texts = batch["text"].to_pylist()
-            keys, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-            for lo, hi in C.blocks(texts):
-                one, n = np.unique(_keys(*_sequence(texts[lo:hi])), return_counts=True)
-                both = np.concatenate([keys, one])
-                keys, back = np.unique(both, return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["key", "n"])
+            yield from _path_table(-1, *path_counts(texts, np.ones(len(texts), np.int64)), buckets).to_batches()
+            C.release()
 
-    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, PATHS_SCHEMA)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -89,13 +227,16 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """log10 probability of each byte after each context that training saw.
+    """The top of the tree: log10 probability of each byte after each context of up to TOP bytes that training saw.
 
-    Rows of ``logs``: contexts of two bytes, then of one byte, then the empty context;
-    ``row`` maps the two bytes before a place to its row.
+    Rows: contexts of two bytes, then of one byte, then the empty context; ``row`` maps the
+    two bytes before a place to its row.  ``logs`` and ``base`` (by node, the probability of
+    a one) hold where no longer context was seen; else a one has probability
+    ``above`` + ``rest`` * (that of the longer contexts).  ``nodes`` and ``below`` are the
+    children of the contexts of two bytes, as ``tops`` gives them.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, nodes: np.ndarray | None = None, below: np.ndarray | None = None):
         context, byte = keys >> 8, keys & 255
         two, place = np.unique(context, return_inverse=True)
         n2 = np.zeros((len(two), 256))
@@ -106,12 +247,20 @@ class Model:
         n0 = n1.sum(axis=0, keepdims=True)
         logs = [np.zeros((len(n), 256)) for n in (n2, n1, n0)]
         symbols = np.arange(256)
+        children = np.zeros((len(two), 256))
+        if nodes is not None:
+            children[np.searchsorted(two, nodes >> 8), nodes & 255] = below
+        rows = len(two) + len(one) + 1
+        self.base, self.above, self.rest = np.full((rows, 256), 0.5), np.zeros((rows, 256)), np.zeros((rows, 256))
         for bit in range(8):
             node, side = symbols >> (8 - bit), (symbols >> (7 - bit)) & 1
             zeros, ones = zip(*(((c := n.reshape(len(n), 1 << bit, 2, 128 >> bit).sum(axis=3))[:, :, 0], c[:, :, 1]) for n in (n2, n1, n0)))
             block = [_log_kt(z, o) for z, o in zip(zeros, ones)]
+            here = slice(1 << bit, 2 << bit)
+            all2 = block[0] if nodes is None else np.logaddexp(block[0], children[:, here]) - math.log(2)
+            stay2 = np.exp(block[0] - math.log(2) - all2)
             below1, below0 = np.zeros_like(block[1]), np.zeros_like(block[2])
-            np.add.at(below1, parent, block[0])
+            np.add.at(below1, parent, all2)
             all1 = np.logaddexp(block[1], below1) - math.log(2)
             below0 = all1.sum(axis=0, keepdims=True)
             stay1 = np.exp(block[1] - math.log(2) - all1)
@@ -120,6 +269,10 @@ class Model:
             seen2, seen1 = (zeros[0] + ones[0]) > 0, (zeros[1] + ones[1]) > 0
             mix1 = np.where(seen1, stay0 * p0 + (1 - stay0) * p1, p0)
             mix2 = np.where(seen2, stay0 * p0 + (1 - stay0) * (stay1[parent] * p1[parent] + (1 - stay1[parent]) * p2), mix1[parent])
+            longer = (1 - stay0) * (1 - stay1[parent])
+            self.base[:, here] = np.concatenate([mix2, mix1, p0])
+            self.above[: len(two), here] = stay0 * p0 + (1 - stay0) * stay1[parent] * p1[parent] + longer * stay2 * p2
+            self.rest[: len(two), here] = longer * (1 - stay2)
             for out, p in zip(logs, (mix2, mix1, p0)):
                 out += np.log10(np.where(side == 1, p[:, node], 1 - p[:, node]))
         self.logs = np.concatenate(logs).astype(np.float32)
@@ -138,17 +291,33 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, training: Column, text_col: str = "text") -> Model:
-    """The table of counts has at most 2**24 rows, whatever the input."""
-    table = byte_counts(docs, training, text_col).toArrow()
-    return Model(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64))
+    def answers(self, trees: Subtrees) -> np.ndarray:
+        """log10 probability of the byte of each path, mixed over all depths."""
+        paths = trees.keys[0]
+        row = self.row[_swap((paths >> np.uint64(8 * (DEPTH - 1))).astype(np.int64))]
+        byte = (paths & np.uint64(255)).astype(np.int64)
+        out = np.zeros(len(paths))
+        for bit, _, _, node, seen, p in trees.decisions():
+            place = row, (1 << bit) | (byte >> (8 - bit))
+            one = np.where(seen[node], self.above[place] + self.rest[place] * p[node], self.base[place])
+            out += np.log10(np.where((byte >> (7 - bit)) & 1, one, 1 - one))
+        return out.astype(np.float32)
+
+
+def train(docs: DataFrame, training: Column, buckets: int, text_col: str = "text") -> Model:
+    """The top of the tree; what reaches the driver has at most 2**25 rows, whatever the input."""
+    table = tops(training_paths(docs, training, buckets, text_col)).toArrow()
+    node = table["node"].to_numpy()
+    key, n, below = table["key"].to_numpy(), table["n"].fill_null(0).to_numpy(), table["below"].to_numpy()
+    return Model(key[~node], n[~node].astype(np.float64), key[node], below[node])
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per distinct text its lengths and scores; and one row of train_words and train_types."""
     spark = docs.sparkSession
     total = C.corpus_bytes(docs, text_col)
-    model = spark.sparkContext.broadcast(train(docs, training, text_col))
+    buckets = max(1, math.ceil(total / PATH_BYTES))
+    model = spark.sparkContext.broadcast(train(docs, training, buckets, text_col))
     texts = C.distinct_texts(docs, total, id_col, text_col, weight=training.cast("int"))
     keys = C.Keys(total // 20 + 1, 8)
 
@@ -159,6 +328,19 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         counts = np.bincount(back, np.repeat(chunk.weights, np.diff(ends)), len(distinct))
         return C.request_table(keys.requests(chunk.number, distinct, np.minimum(counts, (1 << 32) - 1).astype(np.uint32)))
 
+    def ask_paths(table: pa.Table) -> pa.Table:
+        chunk = C.Chunk(table)
+        return _path_table(chunk.number, *path_counts(chunk.texts, chunk.weights), buckets)
+
+    def answer_paths(table: pa.Table) -> pa.Table:
+        trees = Subtrees(table["payload"].to_pylist())
+        logs = model.value.answers(trees)
+        payload = [logs[np.searchsorted(trees.keys[0], own)].tobytes() for own, _ in trees.parts]
+        out = pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": pa.array(payload, pa.binary())})
+        del trees, logs
+        C.release()
+        return out
+
     def total_counts(table: pa.Table) -> pa.Table:
         """Answers of each chunk, and one row of sums for the bucket (chunk -1)."""
         table = table.sort_by("chunk")
@@ -176,24 +358,38 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             "types": pa.array([0] * len(sizes) + [int((counts > 0).sum())], pa.int64()),
         })
 
+    def score(texts: list[bytes], answers: np.ndarray) -> np.ndarray:
+        paths, _ = path_counts(texts, np.zeros(len(texts), np.int64))
+        logs = np.empty(len(paths))
+        logs[_dealt(paths, buckets)[1]] = answers
+        out = np.zeros(len(texts))
+        for lo, hi in C.blocks(texts):
+            own = logs[np.searchsorted(paths, _paths(*_sequence(texts[lo:hi])))]
+            lengths = np.array([len(t) + 1 for t in texts[lo:hi]], np.int64)
+            out[lo:hi] = np.add.reduceat(own, np.cumsum(lengths) - lengths)
+        return out
+
     def rate(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list = [[]] * 6
         if table.num_rows:
             chunk = C.Chunk(table)
             hashes, ends = C.word_hashes(chunk.texts, True)
             _, back = np.unique(keys.cut(hashes), return_inverse=True)
-            answers = answers.sort_by("bucket")
+            path_answers = C.join_answers(answers.filter(pc.field("path")), np.float32)
+            answers = answers.filter(~pc.field("path")).sort_by("bucket")
             counts = np.concatenate([np.empty(0, np.uint64), *map(_expand, answers["payload"].to_pylist())])[back].astype(np.float64)
             text = np.repeat(np.arange(len(chunk.texts)), np.diff(ends))
             known = np.bincount(text, counts > 0, len(chunk.texts)).astype(np.int64)
             logs = np.bincount(text, np.log10(counts + 1), len(chunk.texts))
-            rows = [chunk.shas, np.diff(ends), [len(t) for t in chunk.texts], known, logs, model.value.score(chunk.texts)]
+            rows = [chunk.shas, np.diff(ends), [len(t) for t in chunk.texts], known, logs, score(chunk.texts, path_answers)]
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({k: pa.array(v, t) for k, v, t in zip(("sha", "n_words", "n_bytes", "known_words", "count_logs", "score"), rows, kinds)})
 
     asked = texts.groupBy("chunk").applyInArrow(ask, C.REQUEST_SCHEMA)
     answered = asked.groupBy("bucket").applyInArrow(total_counts, f"{C.ANSWER_SCHEMA}, words long, types long")
-    scored = texts.groupBy("chunk").cogroup(answered.where("chunk >= 0").groupBy("chunk")).applyInArrow(rate, TEXTS_SCHEMA)
+    mixed = texts.groupBy("chunk").applyInArrow(ask_paths, PATHS_SCHEMA).groupBy("bucket").applyInArrow(answer_paths, C.ANSWER_SCHEMA)
+    both = answered.where("chunk >= 0").select("chunk", "bucket", "payload", F.lit(False).alias("path")).unionByName(mixed.withColumn("path", F.lit(True)))
+    scored = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(rate, TEXTS_SCHEMA)
     sums = answered.where("chunk = -1").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("train_words"), F.coalesce(F.sum("types"), F.lit(0)).alias("train_types"))
     return scored, sums
 

@@ -285,6 +285,60 @@ def test_ctw_probabilities_sum_to_one():
     assert model.score([data])[0] > model.score([b"zqzqzqzqzqzqzqzqzqzqzqz"])[0]
 
 
+def test_ctw_mixes_all_depths(spark):
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abc") for _ in range(r.randint(2, 9))) for _ in range(12)]
+    many = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 60))) for _ in range(24)] + ["zzq wörd", ""]
+    table = spark.createDataFrame(list(enumerate(many)) + [(99, many[0])], "doc_id long, text string").repartition(3)
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in [*range(len(many)), 99]}
+
+    def steps(text):
+        raw = b"\0" * ctw.DEPTH + text.lower().encode() + b"\0"
+        for at in range(ctw.DEPTH, len(raw)):
+            for bit in range(8):
+                yield [(raw[at - d : at], bit, raw[at] >> (8 - bit)) for d in range(ctw.DEPTH + 1)], (raw[at] >> (7 - bit)) & 1
+
+    counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for i, held in out.items():
+        for path, one in [] if held else steps(many[i % 99]):
+            for above, node in zip([None, *path], path):
+                counts[node][one] += 1
+                children[above].add(node)
+
+    def kt(node):
+        a, b = counts[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    stay = {}
+
+    def weighted(node):
+        if len(node[0]) == ctw.DEPTH:
+            return kt(node)
+        own, below = kt(node), sum(map(weighted, children[node]))
+        every = max(own, below) + math.log1p(math.exp(-abs(own - below)))
+        stay[node] = math.exp(own - every)
+        return every - math.log(2)
+
+    for node in children[None]:
+        weighted(node)
+
+    def log_probability(text):
+        total = 0.0
+        for path, one in steps(text):
+            known = [n for n in path if n in counts] or path[:1]
+            p = None
+            for node in reversed(known):
+                a, b = counts[node] if node in counts else (0, 0)
+                own = ((a, b)[one] + 0.5) / (a + b + 1)
+                p = own if p is None else stay[node] * own + (1 - stay[node]) * p
+            total += math.log10(p)
+        return total
+
+    assert ctw.DEPTH >= 5
+    for row in ctw.score_documents(table).collect():
+        assert math.isclose(row.score, log_probability(many[row.doc_id % 99]), rel_tol=1e-5, abs_tol=1e-4)
+
+
 def test_warc(spark):
     pages = [
         (1, "u", "a WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\n x"), (2, None, None), (3, "x\r\ny", "é"), (4, "u", "a"), (5, "u", "a"), (None, "u", "a"),
