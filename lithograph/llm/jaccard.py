@@ -1,7 +1,8 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip over inverted lists.
 
 Documents are sets of word shingles; two link when their Jaccard similarity reaches
-``percent`` / 100.  The result is each document's component of links.
+``percent`` / 100.  The result is each document's component of links and its number of
+links.
 
 1.  The document frequency of every shingle is counted (``chunks``) and comes back as a
     power of two.  A document that shares fewer shingles than a partner would need is
@@ -12,14 +13,17 @@ Documents are sets of word shingles; two link when their Jaccard similarity reac
 3.  Within a cluster, DivideSkip: a document's inverted lists are split into the L
     longest and the rest; the short runs are merged (a merge of sorted runs), documents
     that occur at least T - L times are probed in the long lists by binary search, and
-    those that reach the overlap of the pair link.  Documents that are already in one
-    component are not compared again.  Clusters of over ``BLOCK_SHINGLES`` are dealt as
-    pairs of blocks, so that no task holds more than two blocks.
-4.  Components of the links.
+    those that reach the overlap of the pair link.  Every candidate is verified; links
+    are added up by document, weighted by the rows of the partner, and only those that
+    first connect two components of a task are written.  Clusters of over
+    ``BLOCK_SHINGLES`` are dealt as pairs of blocks, so that no task holds more than two
+    blocks; each pair of documents meets in one task.
+4.  Components of the links that were written.
 
 Defined results
     * null or blank text: n_shingles 0, linked with nothing;
     * 1 to 4 words: one shingle, the whole sequence;
+    * n_links counts the other rows with which a row links, those of equal text among them;
     * equal texts and repeated rows are linked; rows with a null id count as documents
       whose id is never the smallest (component_id is null if no id is known);
     * extra columns are ignored; an empty table gives an empty result.
@@ -42,7 +46,7 @@ from lithograph.llm.storage import stash
 #: Shingles of a block of documents that one task indexes.
 BLOCK_SHINGLES = 1 << 20
 
-SETS_SCHEMA = "sha binary, node binary, set_key binary, min_id long, n_shingles long, prefix array<long>, shingles binary, size long"
+SETS_SCHEMA = "sha binary, node binary, set_key binary, min_id long, copies long, n_shingles long, prefix array<long>, shingles binary, size long"
 
 
 def shingle_sets(texts: list[bytes], words_per: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +98,11 @@ class Links:
         self.up[max(a, b)] = min(a, b)
 
 
-def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, rows: np.ndarray | None = None, n_links: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all documents which are linked through this block (or pair of blocks).
 
+    Every link is verified; ``n_links`` (if given) grows by the ``rows`` of each partner.
+
     ``sets`` hold the shingles that other documents share as well; ``sizes`` count all.
     side: 0 and 1 for two blocks, of which only pairs across are wanted; all 0 for one.
     """
@@ -134,22 +140,20 @@ def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
         candidates, seen = runs[edge[:-1]], np.diff(edge)
         keep = seen >= least - skipped
         candidates, seen = candidates[keep], seen[keep]
-        best = np.argsort(-seen, kind="stable")
-        candidates, seen = candidates[best], seen[best]
-        while len(candidates):
-            other = links.roots(candidates) != links.root(q)
-            candidates, seen = candidates[other], seen[other]
-            some, count = candidates[:32], seen[:32].copy()
-            for k in long:
-                run = posting[lo[k] : hi[k]]
-                spot = np.searchsorted(run, some)
-                count += (spot < len(run)) & (run[np.minimum(spot, len(run) - 1)] == some)
-            linked = some[100 * count >= percent * (sizes[q] + sizes[some] - count)]
-            for c in linked.tolist():
-                if links.root(c) != links.root(q):
-                    links.join(c, q)
-                    found.append((c, q))
-            candidates, seen = candidates[32:], seen[32:]
+        if not len(candidates):
+            continue
+        for k in long:
+            run = posting[lo[k] : hi[k]]
+            spot = np.searchsorted(run, candidates)
+            seen += (spot < len(run)) & (run[np.minimum(spot, len(run) - 1)] == candidates)
+        linked = candidates[100 * seen >= percent * (sizes[q] + sizes[candidates] - seen)]
+        if n_links is not None:
+            n_links[linked] += rows[q]
+            n_links[q] += rows[linked].sum()
+        for c in linked[links.roots(linked) != links.root(q)].tolist():
+            if links.root(c) != links.root(q):
+                links.join(c, q)
+                found.append((c, q))
     return found
 
 
@@ -175,7 +179,7 @@ def _sets(docs: DataFrame, words_per: int, percent: int, id_col: str, text_col:
             shared = shared[starts[1:]] - shared[starts[:-1]]
             for i, sha in enumerate(chunk.shas):
                 n = int(starts[i + 1] - starts[i])
-                row = (sha, sha[:16], sha[:16], chunk.ids[i], n)
+                row = (sha, sha[:16], sha[:16], chunk.ids[i], int(chunk.copies[i]), n)
                 if n == 0 or shared[i] < (least := least_overlap(n, percent)):
                     rows.append((*row, None, None, 0))
                     continue
@@ -184,11 +188,11 @@ def _sets(docs: DataFrame, words_per: int, percent: int, id_col: str, text_col:
                 held = mine[order][rare[order] > 0]
                 prefix = held[: max(0, n - least + 1 - (n - len(held)))]
                 if len(held) == n:
-                    row = (sha, sha[:16], hashlib.blake2b(mine.tobytes(), digest_size=16).digest(), chunk.ids[i], n)
+                    row = (sha, sha[:16], hashlib.blake2b(mine.tobytes(), digest_size=16).digest(), chunk.ids[i], int(chunk.copies[i]), n)
                 rows.append((*row, prefix.view(np.int64).tolist(), held.tobytes(), len(held)))
-        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-        names = ("sha", "node", "set_key", "min_id", "n_shingles", "prefix", "shingles", "size")
-        cols = list(zip(*rows)) if rows else [[]] * 8
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+        names = ("sha", "node", "set_key", "min_id", "copies", "n_shingles", "prefix", "shingles", "size")
+        cols = list(zip(*rows)) if rows else [[]] * 9
         return pa.table({k: pa.array(v, t) for k, v, t in zip(names, cols, kinds)})
 
     asked = texts.groupBy("chunk").applyInArrow(ask, C.REQUEST_SCHEMA)
@@ -197,18 +201,19 @@ def _sets(docs: DataFrame, words_per: int, percent: int, id_col: str, text_col:
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between nodes that link; enough of them to connect every component."""
+    """(u, v, n): edges between nodes that link, enough of them to connect every component; and
+    rows with a null v that add n to the links of each row of the set whose first node is u."""
     some = sets.where(F.col("shingles").isNotNull())
-    first = some.groupBy("set_key").agg(F.min("node").alias("node"))
-    same = some.select("node", "set_key").join(first.withColumnRenamed("node", "hub"), "set_key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    unique = some.join(first.select("node"), "node", "left_semi")
+    first = some.groupBy("set_key").agg(F.min("node").alias("node"), F.sum("copies").alias("copies"))
+    same = some.select("node", "set_key").join(first.select("set_key", F.col("node").alias("hub")), "set_key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), F.lit(0).cast("long").alias("n"))
+    unique = some.drop("copies").join(first.select("node", "copies"), "node")
 
     rare = unique.select("node", F.explode("prefix").alias("shingle"))
     hubs = rare.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = rare.join(hubs, "shingle").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     clusters = components(star)
 
-    members = stash(unique.select("node", "n_shingles", "shingles", "size").join(clusters, "node"), "clusters")
+    members = stash(unique.select("node", "copies", "n_shingles", "shingles", "size").join(clusters, "node"), "clusters")
     sizes = members.groupBy("label").agg(F.sum("size").alias("total"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES))
     small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -216,10 +221,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     members = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # A cluster of k blocks becomes k (k + 1) / 2 tasks; block i goes to the pairs that hold it.
     dealt = members.select(
-        "node", "n_shingles", "shingles", "block",
+        "node", "copies", "n_shingles", "shingles", "block",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(batches)).cast("string")).otherwise(F.hex("label")).alias("task"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with_block"),
-    ).select("node", "n_shingles", "shingles", "block", "task", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"))
+    ).select("node", "copies", "n_shingles", "shingles", "block", "task", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
@@ -227,29 +232,43 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         block = np.array(table["block"].to_pylist())
         held = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
         side = (block != table["lo"][0].as_py()).astype(np.int64)
-        found = divide_skip(np.array(table["n_shingles"].to_pylist(), np.int64), held, side, percent)
-        return pa.table({"u": pa.array([nodes[a] for a, _ in found], pa.binary()), "v": pa.array([nodes[b] for _, b in found], pa.binary())})
+        n_links = np.zeros(len(nodes), np.int64)
+        found = divide_skip(np.array(table["n_shingles"].to_pylist(), np.int64), held, side, percent, table["copies"].to_numpy(), n_links)
+        some = np.flatnonzero(n_links).tolist()
+        u, v = [nodes[a] for a, _ in found] + [nodes[i] for i in some], [nodes[b] for _, b in found] + [None] * len(some)
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "n": pa.array([0] * len(found) + n_links[some].tolist(), pa.int64())})
 
-    return dealt.groupBy("task", "lo", "hi").applyInArrow(search, "u binary, v binary").unionByName(same)
+    return dealt.groupBy("task", "lo", "hi").applyInArrow(search, "u binary, v binary, n long").unionByName(same)
 
 
 def jaccard_components(docs: DataFrame, words_per: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct text (``sha``): n_shingles, min_id (of its rows), component_id, and whether it is its component's first."""
+    """Per distinct text (``sha``): n_shingles, min_id (of its rows), component_id, n_links of each of its rows, and whether it is its component's first."""
     sets = stash(_sets(docs, words_per, percent, id_col, text_col), "sets")
-    labels = components(_links(sets, percent))
-    named = sets.select("sha", "node", "n_shingles", "min_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    links = stash(_links(sets, percent), "links")
+    labels = components(links.where("v IS NOT NULL").select("u", "v"))
+    # Equal sets have equal links: those of the first node, and every row of the set.
+    near = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    firsts = sets.groupBy("set_key").agg(F.min("node").alias("node"), F.sum("copies").alias("rows"))
+    counted = firsts.join(near, "node", "left").select("set_key", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    named = sets.select("sha", "node", "set_key", "n_shingles", "min_id").join(counted, "set_key").withColumn("n_links", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0))
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # The smallest known id of a component, and the text that holds it (by its key where ids repeat).
     first = F.struct(F.col("min_id").isNull().alias("unknown"), "min_id", "sha")
     least = named.groupBy("label").agg(F.min(first).alias("first")).select("label", F.col("first.min_id").alias("component_id"), F.col("first.sha").alias("_first"))
-    return named.join(least, "label").select("sha", "n_shingles", "min_id", "component_id", (F.col("sha") == F.col("_first")).alias("representative"))
+    return named.join(least, "label").select("sha", "n_shingles", "min_id", "component_id", "n_links", (F.col("sha") == F.col("_first")).alias("representative"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _per_document(docs)
+    return document_links(docs)
 
 
 def _per_document(docs: DataFrame) -> DataFrame:
-    out = C.attach(docs, jaccard_components(docs).select("sha", "n_shingles", "component_id"))
+    return document_links(docs).drop("n_links")
+
+
+def document_links(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id and n_links."""
+    out = C.attach(docs, jaccard_components(docs).select("sha", "n_shingles", "component_id", "n_links"))
     # Texts without words link with nothing, not even with each other.
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")

@@ -115,6 +115,21 @@ def test_jaccard_in_blocks(docs, monkeypatch):
     same(jaccard._per_document(docs).collect(), [tuple(r) for r in whole])
 
 
+@pytest.mark.parametrize("block", [None, 300])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    r, base = random.Random(31), words(80, 30)
+    near = [" ".join(base[:k] + ["x" + str(k)] + base[k + 1 :]) for k in range(2, 78, 6)]
+    many = [" ".join(base), " ".join(base).upper(), *near, near[0], near[0], *(" ".join(words(30, 50 + k)) for k in range(4)), "", "  ", None, "one two", "one two"]
+    r.shuffle(many)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := (t or "").lower().split()) > 4 else {tuple(w)} if w else set() for t in many]
+    expected = [(i, len(a), sum(bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if i != j)) for i, a in enumerate(sets)]
+    found = jaccard.document_links(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(3))
+    assert max(n for *_, n in expected) > 10
+    same(found.select("doc_id", "n_shingles", "n_links").collect(), expected)
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
