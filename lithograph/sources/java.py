@@ -1,12 +1,15 @@
 """Java sources as tables: scanning a tree, file metadata, and dependency edges.
 
 Files are read once, as one table; everything else is columns over their content.  Comments
-and string contents are blanked first, so that what looks like a declaration in a comment
-is none.  Patterns stand in for a parser: nested generic types are taken by their last name.
+and string contents are blanked in place first, so that what looks like a declaration in a
+comment is none.  Edges come from a scan of each top-level type's braces.  Patterns stand in for a parser: nested generic types are taken by their last name.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +38,25 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(suffix.isin(*EXTENSIONS) & ~inside)
 
 
+_BLANKED = re.compile(r'/\*.*?(?:\*/|\Z)|//[^\n]*|"""(?:\\.|.)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
+
+
+def blank(text: str) -> str:
+    """Source with blanks for comments and contents of literals: lengths and line breaks are kept."""
+
+    def clear(m: re.Match) -> str:
+        empty = re.sub(r"[^\n]", " ", m[0])
+        return m[0][0] + empty[1:-1] + m[0][-1] if m[0][0] in "\"'" else empty
+
+    return _BLANKED.sub(clear, text)
+
+
 def bare(content) -> Column:
-    """Source without comments and with empty string literals, line breaks kept."""
-    no_block = F.regexp_replace(content, r"(?s)/\*.*?\*/", " ")
-    no_line = F.regexp_replace(no_block, r"//[^\n]*", "")
-    return F.regexp_replace(no_line, r'"(?:\\.|[^"\\\n])*"', '""')
+    @F.pandas_udf("string")
+    def blanked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else blank(t))
+
+    return blanked(content)
 
 
 def _all(source: Column, pattern: str, group: int = 1) -> Column:
@@ -64,31 +81,62 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
-def edges(parsed: DataFrame) -> DataFrame:
-    """(src, dst, dep_type, line, seq): imports, injected fields and constructor parameters of each file's first type."""
-    own = F.get(F.concat("classes", "interfaces"), F.lit(0))
-    rows = parsed.select(own.alias("src"), "imports", "source", "file_path").where("src IS NOT NULL")
-    names = F.filter("imports", lambda i: ~_starts(i, LIBRARIES))
-    targets = F.filter(F.transform(names, lambda i: F.element_at(F.split(i, r"\."), -1)), lambda t: t.rlike(r"^\p{Lu}"))
-    imported = rows.select("src", F.posexplode(targets).alias("seq", "dst"), F.lit("import").alias("dep_type"), "file_path")
-    field = r"@(?:" + "|".join(INJECTION) + r")\b(?:\([^)]*\))?\s+(?:(?:private|protected|public|final)\s+)*(?:[\w.]+<[^>]*?(\w+)>|(\w+))\s+\w+\s*[;=]"
-    pairs = F.arrays_zip(_all(F.col("source"), field, 1).alias("g"), _all(F.col("source"), field, 2).alias("p"))
-    fields = rows.select("src", F.posexplode(F.transform(pairs, lambda x: F.when(x["g"] != "", x["g"]).otherwise(x["p"]))).alias("seq", "dst"), F.lit("field_injection").alias("dep_type"), "file_path")
-    heads = rows.withColumn("params", F.expr(r"regexp_extract(source, concat('(?m)^[ \\t]*(?:@\\w+\\s+)*(?:(?:public|protected|private)\\s+)?', src, '\\s*\\(([^)]*)\\)\\s*[{t]'), 1)"))
-    plain = F.filter(F.transform(F.split("params", ","), lambda p: F.regexp_extract(F.trim(p), r"^(?:final\s+)?(?:@\w+\s+)*([A-Z]\w*)\s+\w+$", 1)), lambda t: t != "")
-    made = heads.select("src", F.posexplode(plain).alias("seq", "dst"), F.lit("constructor_injection").alias("dep_type"), "file_path")
-    return imported.unionByName(fields).unionByName(made).select("src", "dst", "dep_type", F.lit(0).alias("line"), "seq")
-
-
-def _starts(value: Column, prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | value.startswith(p)
+EDGES = "array<struct<src: string, dst: string, dep_type: string, line: int, seq: int>>"
+_TYPE = re.compile(r"[{}]|(?<![@\w.])(?:class|interface|enum|record(?=\s+\w+\s*[<(]))\s+(\w+)")
+_IMPORT = re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;", re.M)
+_FIELD = re.compile(r"@(?:" + "|".join(INJECTION) + r")\b(?:\([^)]*\))?\s+(?:(?:private|protected|public|final)\s+)*(?:[\w.]+<[^>]*?(\w+)>|(\w+))\s+\w+\s*[;=]")
+_PARAM = re.compile(r"(?:final\s+)?(?:@\w+\s+)*([A-Z]\w*)\s+\w+")
+
+
+def type_bodies(source: str) -> list[tuple[str, int, str]]:
+    """(name, offset, body) of each top-level type of a blanked source; bodies keep their own members only."""
+    out, depth, name, begin, held = [], 0, None, 0, []
+    for m in _TYPE.finditer(source):
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                begin, held, last = m.end(), [], m.end()
+            elif depth == 2:
+                held.append(source[last : m.end()])
+                last = m.end()
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            if depth == 1:
+                held.append(re.sub(r"[^\n]", " ", source[last : m.start()]))
+                last = m.start()
+            elif depth == 0 and name:
+                out.append((name, begin, "".join(held) + source[last : m.start()]))
+                name = None
+        elif depth == 0:
+            name = m[1]
     return out
 
 
+def file_edges(source: str) -> list[dict]:
+    imports = [(m[1].split(".")[-1], m.start(1)) for m in _IMPORT.finditer(source) if not m[1].startswith(LIBRARIES)]
+    out: list[dict] = []
+    for name, begin, body in type_bodies(source):
+        fields = [(m[1] or m[2], begin + m.start()) for m in _FIELD.finditer(body)]
+        heads = re.finditer(r"^[ \t]*(?:@\w+\s+)*(?:(?:public|protected|private)\s+)?" + re.escape(name) + r"\s*\(([^)]*)\)\s*(?:throws\b|\{)", body, re.M)
+        made = [(p[1], begin + m.end(0) - len(m[0].lstrip())) for m in heads for x in m[1].split(",") if (p := _PARAM.fullmatch(x.strip()))]
+        for kind, found in (("import", [i for i in imports if i[0][:1].isupper()]), ("field_injection", fields), ("constructor_injection", made)):
+            out += [{"src": name, "dst": dst, "dep_type": kind, "line": source.count("\n", 0, at) + 1, "seq": k} for k, (dst, at) in enumerate(found)]
+    return out
+
+
+def edges(parsed: DataFrame) -> DataFrame:
+    """(src, dst, dep_type, line, seq): imports, injected fields and constructor parameters of each top-level type."""
+
+    @F.pandas_udf(EDGES)
+    def found(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda t: file_edges(t or ""))
+
+    return parsed.select(F.explode(found("source")).alias("e")).select("e.*")
+
+
 def nodes(parsed: DataFrame) -> DataFrame:
-    return parsed.select(F.explode(F.concat("classes", "interfaces")).alias("id")).distinct()
+    records = _all(F.col("source"), r"\brecord\s+(\w+)\s*[<(]")
+    return parsed.select(F.explode(F.concat("classes", "interfaces", "enums", records)).alias("id")).distinct()
 
 
 def incremental(files: DataFrame, indexed: DataFrame) -> DataFrame:

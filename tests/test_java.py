@@ -62,3 +62,11 @@ def test_split_text_keeps_all_words():
     assert all(len(p) <= 100 or " " not in p for p in parts)
     assert set(text.split()) == {w for p in parts for w in p.split()}
     assert split_text("  \n", 10, 2) == [] and split_text("short", 10, 2) == ["short"]
+
+
+def test_edges_of_every_top_level_type(spark):
+    text = "package a;\n/* one\n two */\nimport com.x.Repo;\nclass A {\n  class In { @Inject Nope n; }\n}\nclass B {\n  @Autowired\n  private Mailer m;\n  char c = '{';\n  B(Clock c) { }\n}\nenum E { X, Y }\nrecord R(int n) { }\n"
+    parsed = java.parse(spark.createDataFrame([("F.java", bytearray(text.encode()))], "file_path string, content binary"))
+    found = {(r.src, r.dst, r.dep_type, r.line) for r in java.edges(parsed).collect()}
+    assert found == {*((t, "Repo", "import", 4) for t in "ABER"), ("B", "Mailer", "field_injection", 9), ("B", "Clock", "constructor_injection", 12)}
+    assert {r.id for r in java.nodes(parsed).collect()} == {"A", "In", "B", "E", "R"}
