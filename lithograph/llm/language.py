@@ -2,19 +2,28 @@
 
 Four kinds of evidence are multiplied for each language:
 
-* the text: character trigrams, with likelihoods from all labelled documents;
+* the text: byte trigrams, with likelihoods from all labelled documents;
 * the language that the markup declares, by how often pages whose text is in a language
   declare it;
 * the last label of the host, likewise;
 * the host: a prior that is smoothed towards its domain, which is smoothed towards all pages.
 
 The last three are grouped sums of the pages' text posteriors, so a host with a third of all
-pages is a partial sum like any other.
+pages is a partial sum like any other.  A page's own posterior is taken out of the sums that
+judge it (leave one out), so its text counts once.  Neighbouring trigrams overlap: one in
+three of a text's counts as independent, and ``TEXT_WEIGHT`` at most, so that the text of a
+page decides where it is plain and the other evidence where it is short or mixed.
+
+Languages are taken in blocks of ``LANGUAGE_BLOCK``: at most so many times ``BUCKETS`` counts
+reach the driver at once, and a broadcast is 8 MB at most, however many languages there are;
+each block is a pass over documents and pages.
 
 Defined results
     * null url or html: the evidence that is there decides; without any, the commonest language;
     * documents without a language or text teach nothing; no labelled documents: null languages;
-    * ties go to the language first in code-point order; repeated rows each have a result;
+    * ties (of logarithms to nine digits) go to the language first in code-point order;
+    * repeated rows each have a result, and are other pages to each other;
+    * very long texts are read whole, in pieces of 256 KB;
     * extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,52 +40,83 @@ from lithograph.llm import chunks as C
 from lithograph.llm.storage import stash
 from lithograph.llm.urls import host_and_path
 
-#: Hash buckets of trigrams, and most languages (the commonest) that a model tells apart.
+#: Hash buckets of trigrams, and languages of one pass.
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 200
+LANGUAGE_BLOCK = 128
 #: Trigrams of a text count as this many independent ones at most.
-TEXT_WEIGHT = 60.0
+TEXT_WEIGHT = 20.0
 #: Pages that a smoothing prior counts as.
 PRIOR_PAGES = 5.0
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(97, 123), *range(128, 256), 32]] = True
+
+
+def trigrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of every byte trigram without a digit or mark in it, a block at a time.
+
+    A-Z are lowered; a text has a space at either end.
+    """
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every byte trigram that has no digit or mark in it; A-Z are lowered."""
-    rows, buckets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    letter = np.zeros(256, np.uint8)
-    letter[list(range(97, 123)) + list(range(128, 256)) + [32]] = 1
-    for lo, hi in C.blocks(texts):
-        raw = C.LOWER[np.frombuffer(b" ".join([b"", *texts[lo:hi], b""]), np.uint8)]
+    def emit(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        raw = C.LOWER[np.frombuffer(b"".join(p for _, p in pieces), np.uint8)]
+        sizes = np.array([len(p) for _, p in pieces])
+        inside = np.ones(len(raw), bool)
+        ends = np.cumsum(sizes)
+        inside[ends - 1] = inside[np.maximum(ends - 2, 0)] = False
+        letter = _LETTER[raw]
+        at = np.flatnonzero(inside[:-2] & letter[:-2] & letter[1:-1] & letter[2:])
         wide = raw.astype(np.uint64)
-        code = C.mix((wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:])
-        good = (letter[raw[:-2]] & letter[raw[1:-1]] & letter[raw[2:]]).astype(bool)
-        edges = np.cumsum([1, *(len(t) + 1 for t in texts[lo:hi])])
-        text = np.searchsorted(edges, np.arange(len(code)), side="right") - 1
-        good &= (text >= 0) & (text < hi - lo)
-        rows.append(text[good] + lo)
-        buckets.append((code[good] % np.uint64(BUCKETS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(buckets)
-
-
-def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log likelihoods (language, bucket); at most MAX_LANGUAGES * BUCKETS sums reach the driver."""
-    rows = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("binary").alias("text"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in top)
+        code = C.mix((wide[at] << np.uint64(16)) | (wide[at + 1] << np.uint64(8)) | wide[at + 2])
+        owner = np.repeat(np.array([i for i, _ in pieces]), sizes)
+        return owner[at], (code % np.uint64(BUCKETS)).astype(np.int64)
+
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        padded = b" " + text + b" "
+        for k in range(0, max(1, len(padded) - 2), C.BLOCK_BYTES):
+            piece = padded[k : k + C.BLOCK_BYTES + 2]
+            if held and size + len(piece) > C.BLOCK_BYTES:
+                yield emit(held)
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        yield emit(held)
+
+
+def train(rows: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log likelihoods (language, bucket) from (lang, text as bytes)."""
     place = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(len(langs) * BUCKETS, np.int64)
         for batch in batches:
-            own = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
-            row, bucket = trigrams(batch["text"].to_pylist())
-            known = own[row] >= 0
-            key, n = np.unique(own[row][known] * BUCKETS + bucket[known], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    sums = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((max(len(langs), 1), BUCKETS), 0.5)
+            own = np.array([place[x] for x in batch["lang"].to_pylist()], np.int64)
+            for row, bucket in trigrams(batch["text"].to_pylist()):
+                key, n = np.unique(own[row] * BUCKETS + bucket, return_counts=True)
+                table[key] += n
+        key = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(table[key])], names=["key", "n"])
+
+    sums = rows.where(F.col("lang").isin(langs)).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = np.full((len(langs), BUCKETS), 0.5)
     np.add.at(table.reshape(-1), sums["key"].to_numpy(), sums["n"].to_numpy())
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def score(texts: list[bytes], model: np.ndarray) -> np.ndarray:
+    """(text, language): log likelihoods of the trigrams that count."""
+    sums, size = np.zeros((len(texts), len(model))), np.zeros(len(texts))
+    for row, bucket in trigrams(texts):
+        if len(row):
+            first = int(row[0])
+            span = slice(first, int(row[-1]) + 1)
+            size[span] += np.bincount(row - first)
+            for lang, weights in enumerate(model):
+                sums[span, lang] += np.bincount(row - first, weights[bucket])
+    return sums * (np.minimum(size / 3, TEXT_WEIGHT) / np.maximum(size, 1))[:, None]
 
 
 def declared_language(html: Column) -> Column:
@@ -89,61 +129,73 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>|&#?\w{1,8};", " ")
 
 
+def _text_scores(pages: DataFrame, documents: DataFrame, langs: list[str]) -> DataFrame:
+    """page_id, host, declared, suffix, domain and text_logs: scores of the text by language."""
+    known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("binary").alias("text"))
+    host, _ = host_and_path(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), declared_language(F.coalesce("html", F.lit(""))).alias("declared"), visible_text(F.col("html")).cast("binary").alias("visible"), F.array().cast("array<double>").alias("text_logs"))
+    for lo in range(0, len(langs), LANGUAGE_BLOCK):
+        model = pages.sparkSession.sparkContext.broadcast(train(known, langs[lo : lo + LANGUAGE_BLOCK]))
+
+        @F.arrow_udf("array<double>")
+        def likelihoods(texts: pa.Array) -> pa.Array:
+            return pa.array(score([t or b"" for t in texts.to_pylist()], model.value).tolist(), pa.list_(pa.float64()))
+
+        rows = rows.withColumn("text_logs", F.concat("text_logs", likelihoods("visible")))
+        rows = stash(rows.drop("visible") if lo + LANGUAGE_BLOCK >= len(langs) else rows, "pages")
+    return rows.withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,})$", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+
+
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, host, declared, suffix, text_lang, lang and its posterior."""
-    langs, model = train(documents)
+    langs = sorted(r[0] for r in documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().collect())
     if not langs:
         return pages.select("page_id", *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "suffix", "text_lang", "lang")), F.lit(None).cast("double").alias("posterior"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    host, _ = host_and_path(F.col("url"))
-
-    @F.arrow_udf("array<double>")
-    def likelihoods(texts: pa.Array) -> pa.Array:
-        many = [t or b"" for t in texts.to_pylist()]
-        row, bucket = trigrams(many)
-        size = np.bincount(row, minlength=len(many))
-        sums = np.stack([np.bincount(row, w[bucket], len(many)) for w in shared.value], axis=1)
-        sums *= (np.minimum(size, TEXT_WEIGHT) / np.maximum(size, 1))[:, None]
-        return pa.array((sums - sums.max(axis=1, keepdims=True)).tolist(), pa.list_(pa.float64()))
-
-    rows = pages.select("page_id", host.alias("host"), declared_language(F.coalesce("html", F.lit(""))).alias("declared"), likelihoods(visible_text(F.col("html")).cast("binary")).alias("text_logs"))
-    rows = rows.withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,})$", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    rows = stash(rows, "pages")
     n = len(langs)
-    weight = F.aggregate("text_logs", F.lit(0.0), lambda a, x: a + F.exp(x))
-    soft = rows.withColumn("p", F.transform("text_logs", lambda x: F.exp(x))).withColumn("p", F.transform("p", lambda x: x / weight))
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
-    total = soft.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n))).first()
-    overall = np.array([total[f"s{i}"] for i in range(n)]) + 1.0
-    overall_p = F.array(*(F.lit(float(x)) for x in overall / overall.sum()))
-    array = F.array(*(F.col(f"s{i}") for i in range(n)))
-
-    def smoothed(own: Column, prior: Column) -> Column:
-        size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, prior, lambda s, p: (s + PRIOR_PAGES * p) / (size + PRIOR_PAGES))
-
-    domains = soft.groupBy("domain").agg(*sums).select("domain", smoothed(array, overall_p).alias("domain_p"))
-    hosts = soft.groupBy("host", "domain").agg(*sums).select("host", "domain", array.alias("own")).join(domains, "domain").select("host", smoothed(F.col("own"), F.col("domain_p")).alias("host_p"))
-
-    def given_language(column: str) -> DataFrame:
-        """P(value | language) with one pseudo-page for each value; log, by language."""
-        each = [F.log((F.col(f"s{i}") + 1.0) / (F.lit(float(overall[i])) + F.col("values"))) for i in range(n)]
-        table = soft.groupBy(column).agg(*sums)
-        values = table.agg(F.count("*").cast("double").alias("values"))
-        return table.crossJoin(F.broadcast(values)).select(column, F.array(*each).alias(f"{column}_logs"))
-
-    out = rows.join(hosts, "host", "left").join(given_language("declared"), "declared", "left").join(given_language("suffix"), "suffix", "left")
-    log_prior = F.transform(F.coalesce("host_p", overall_p), lambda p: F.log(p))
-    parts = ["text_logs", "declared_logs", "suffix_logs"]
-    logs = log_prior
-    for part in parts:
-        logs = F.zip_with(logs, F.col(part), lambda a, b: a + b)
-    out = out.withColumn("logs", logs)
+    rows = _text_scores(pages, documents, langs)
+    total = lambda many: F.aggregate(many, F.lit(0.0), lambda a, x: a + x)
+    likely = F.transform("text_logs", lambda x: F.exp(x - F.array_max("text_logs")))
+    rows = rows.withColumn("likely", likely).withColumn("p", F.transform("likely", lambda x: x / total("likely"))).drop("likely")
+
+    sums = F.array(*(F.sum(F.col("p")[i]) for i in range(n)))
+    every = rows.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)), F.count("*").alias("pages")).first()
+    overall = F.array(*(F.lit(float(every[f"s{i}"])) for i in range(n)))
+
+    def by(column: str) -> DataFrame:
+        """The sums of a column's values, and how many values there are."""
+        table = rows.groupBy(column).agg(sums.alias(f"{column}_s"), F.count("*").alias(f"{column}_n"))
+        if column in ("host", "domain"):
+            return table
+        return table.drop(f"{column}_n").crossJoin(F.broadcast(table.agg(F.count("*").cast("double").alias(f"{column}_n"))))
+
+    out = rows
+    for column in ("host", "domain", "declared", "suffix"):
+        out = out.join(by(column), column)
+
+    def others(own: Column) -> Column:
+        """Sums without the page's own part."""
+        return F.zip_with(own, F.col("p"), lambda s, p: F.greatest(s - p, F.lit(0.0)))
+
+    def smoothed(own: Column, size: Column, prior: Column) -> Column:
+        return F.zip_with(own, prior, lambda s, q: (s + PRIOR_PAGES * q) / (size - 1 + PRIOR_PAGES))
+
+    def given_language(column: str) -> Column:
+        """log P(value | language), with one page more for each value."""
+        return F.zip_with(others(F.col(f"{column}_s")), others(overall), lambda s, t: F.log((s + 1.0) / (t + F.col(f"{column}_n"))))
+
+    out = out.withColumn("prior", F.transform(others(overall), lambda s: (s + 1.0) / (every["pages"] - 1 + n)))
+    out = out.withColumn("prior", smoothed(others(F.col("domain_s")), F.col("domain_n"), F.col("prior")))
+    out = out.withColumn("prior", smoothed(others(F.col("host_s")), F.col("host_n"), F.col("prior")))
+    logs = F.transform("prior", lambda p: F.log(p))
+    for part in (F.col("text_logs"), given_language("declared"), given_language("suffix")):
+        logs = F.zip_with(logs, part, lambda a, b: a + b)
+    out = out.withColumn("logs", logs).withColumn("logs", F.transform("logs", lambda x: F.round(x, 9)))
     best = F.array_max("logs")
+    text_logs = F.transform("text_logs", lambda x: F.round(x, 9))
     names = F.array(*map(F.lit, langs))
     return out.select(
         "page_id", "host", "declared", "suffix",
-        F.element_at(names, F.array_position("text_logs", F.array_max("text_logs")).cast("int")).alias("text_lang"),
+        F.element_at(names, F.array_position(text_logs, F.array_max(text_logs)).cast("int")).alias("text_lang"),
         F.element_at(names, F.array_position("logs", best).cast("int")).alias("lang"),
         F.round(1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - best)), 6).alias("posterior"),
     )
