@@ -1,7 +1,8 @@
 """Chunks of source files for retrieval: a summary per type, a chunk per method, or plain windows.
 
-Method bodies are found by balanced braces, up to three levels of nesting inside a body; a
-longer text than ``most`` is split at blank lines, lines and spaces, packed greedily.
+Types and members are those of ``sources.java_types``, nested types among them; texts are cut
+from the source as it is.  A method longer than ``most`` is split at blank lines, lines and
+spaces, packed greedily.
 """
 
 from __future__ import annotations
@@ -14,11 +15,6 @@ from pyspark.sql import functions as F
 
 SPLIT_SCHEMA = "array<string>"
 
-_BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
-METHOD = r"(?m)^[ \t]+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|synchronized)\s+)+[\w<>\[\], .]*\b\w+\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?" + _BRACES
-FIELD = r"(?m)^[ \t]+(?:(?:public|protected|private|static|final)\s+)+[\w<>\[\], .]+\s+\w+\s*(?:=[^;{]*)?;"
-
-
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
     """Pieces of at most ``size`` characters where the separators allow it, packed greedily with overlap.
 
@@ -60,25 +56,38 @@ def splitter(size: int, overlap: int):
     return split
 
 
-def chunk_files(files: DataFrame, most: int = 3000, size: int = 1500, overlap: int = 200) -> DataFrame:
-    """(chunk_id, file_path, package, class_name, chunk_type, chunk_index, page_content) from parsed files with ``source``.
+CHUNK_COLUMNS = ("file_path", "package", "class_name", "annotations", "method", "method_annotations", "chunk_type", "chunk_index", "page_content")
+
+
+def chunk_files(parsed: DataFrame, most: int = 3000, size: int = 1500, overlap: int = 200) -> DataFrame:
+    """(chunk_id, file_path, package, class_name, annotations, method, method_annotations, chunk_type, chunk_index, page_content).
 
-    Index 0 is the type's summary (fields, then method signatures); methods follow from 1; parts of
-    a long method have index * 1000 + part; files without a type become plain windows.
+    Index 0 is a type's summary (fields, then signatures); its methods and constructors follow from 1;
+    parts of a long one have index * 1000 + part; files without a type become plain windows.  Members
+    of an enumeration give no chunks.  ``chunk_id`` is told from file, kind and index, as an index of
+    the files' own; types of one file share it, so the key of a row is (chunk_id, class_name).
     """
-    own = F.get(F.concat("classes", "interfaces"), F.lit(0))
-    head = F.concat(F.lit("// package "), F.coalesce("package", F.lit("")), F.lit("\n// "), F.array_join(F.transform("annotations", lambda a: F.concat(F.lit("@"), a)), " "), F.lit("\n"))
-    rows = files.select("file_path", "package", own.alias("class_name"), "source", head.alias("head"), F.regexp_extract_all("source", F.lit(METHOD), F.lit(0)).alias("bodies"))
-    typed = rows.where("class_name IS NOT NULL")
-    signatures = F.transform("bodies", lambda b: F.concat(F.trim(F.regexp_extract(b, r"(?s)^([^{]*)\{", 1)), F.lit(";")))
-    fields = F.transform(F.regexp_extract_all("source", F.lit(FIELD), F.lit(0)), lambda f: F.trim(f))
-    keep = ("file_path", "package", "class_name")
-    summary = typed.select(*keep, F.lit("class_summary").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.concat("head", F.array_join(F.concat(fields, signatures), "\n")).alias("page_content"))
-    methods = typed.select(*keep, "head", F.posexplode("bodies").alias("k", "body")).withColumn("text", F.concat("head", F.trim("body")))
-    short = methods.where(F.length("text") <= most).select(*keep, F.lit("method").alias("chunk_type"), (F.col("k") + 1).alias("chunk_index"), F.col("text").alias("page_content"))
     split = splitter(size, overlap)
-    long = methods.where(F.length("text") > most).select(*keep, "k", F.posexplode(split("text")).alias("part", "page_content"))
-    long = long.select(*keep, F.lit("method_part").alias("chunk_type"), ((F.col("k") + 1) * 1000 + F.col("part")).alias("chunk_index"), "page_content")
-    plain = rows.where("class_name IS NULL").select(*keep, F.posexplode(split("source")).alias("chunk_index", "page_content")).select(*keep, F.lit("fallback").alias("chunk_type"), "chunk_index", "page_content")
+    joined = lambda c: F.array_join(c, ",")
+    nothing = F.lit(None).cast("string")
+    rows = parsed.select("file_path", F.coalesce("package", F.lit("")).alias("package"), F.explode("types").alias("t"))
+    prefix = F.concat(
+        F.when(F.col("package") != "", F.concat(F.lit("// package: "), "package", F.lit("\n"))).otherwise(""),
+        F.when(F.size("t.annotations") > 0, F.concat(F.lit("// class annotations: "), F.array_join("t.annotations", ", "), F.lit("\n"))).otherwise(""),
+        F.lit("// "), F.col("t.header"), F.lit("\n"),
+    )
+    own = F.when(F.col("t.kind") == "enum", F.slice("t.members", 1, 0)).otherwise(F.col("t.members"))
+    rows = rows.withColumn("head", prefix).withColumn("own", own).withColumns({"class_name": F.col("t.name"), "annotations": joined("t.annotations")})
+    fields = F.transform(F.filter("own", lambda m: m["kind"] == "field"), lambda m: F.concat(F.lit("    "), m["text"]))
+    calls = F.filter("own", lambda m: m["kind"] != "field")
+    lines = F.array_join(F.concat(fields, F.transform(calls, lambda m: F.concat(F.lit("    "), m["signature"], F.lit(";")))), "\n")
+    keep = ("file_path", "package", "class_name", "annotations")
+    summary = rows.select(*keep, nothing.alias("method"), nothing.alias("method_annotations"), F.lit("class_summary").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.concat("head", "t.header", F.lit(" {\n"), lines, F.lit("\n}")).alias("page_content"))
+    methods = rows.select(*keep, "head", F.posexplode(calls).alias("k", "m")).select(*keep, "head", (F.col("k") + 1).alias("k"), F.col("m.name").alias("method"), joined("m.annotations").alias("method_annotations"), F.col("m.text").alias("text"))
+    short = methods.where(F.length("text") <= most).select(*keep, "method", "method_annotations", F.lit("method").alias("chunk_type"), F.col("k").alias("chunk_index"), F.concat("head", "text").alias("page_content"))
+    long = methods.where(F.length("text") > most).select(*keep, "method", "method_annotations", "head", "k", F.posexplode(split("text")).alias("part", "piece"))
+    long = long.select(*keep, "method", "method_annotations", F.lit("method_part").alias("chunk_type"), (F.col("k") * 1000 + F.col("part")).alias("chunk_index"), F.concat("head", "piece").alias("page_content"))
+    plain = parsed.where(F.size("types") == 0).select("file_path", F.coalesce("package", F.lit("")).alias("package"), F.array_join("annotations", ",").alias("annotations"), F.posexplode(split("source")).alias("chunk_index", "page_content"))
+    plain = plain.select("file_path", "package", nothing.alias("class_name"), "annotations", nothing.alias("method"), nothing.alias("method_annotations"), F.lit("fallback").alias("chunk_type"), "chunk_index", "page_content")
     out = summary.unionByName(short).unionByName(long).unionByName(plain)
-    return out.withColumn("chunk_id", F.md5(F.concat("file_path", "chunk_type", F.col("chunk_index").cast("string"))))
+    return out.select(F.md5(F.concat("file_path", "chunk_type", F.col("chunk_index").cast("string"))).alias("chunk_id"), *CHUNK_COLUMNS)

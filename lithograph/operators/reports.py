@@ -12,6 +12,14 @@ CATEGORIES = ("solid", "security", "performance", "maintainability", "duplicates
 REPLY = "findings array<struct<category string, severity string, rule_id string, title string>>"
 
 
+# Fills of nodes and styles of edges in Graphviz texts.
+DOT_FILL = {
+    "controller": "tomato", "service": "lightblue", "repository": "lightgreen", "component": "lightyellow", "configuration": "plum", "bean": "plum", "unknown": "lightgray",
+}
+DOT_EDGE_STYLE = {"constructor_injection": ("bold", "darkblue"), "field_injection": ("solid", "steelblue"), "import": ("dashed", "gray")}
+DOT_HEAD = ("digraph java_dependencies {", '  rankdir="TB";', '  graph [fontname="Helvetica", fontsize=12];', '  node  [shape=box, style=filled, fontname="Helvetica", fontsize=10];', '  edge  [fontname="Helvetica", fontsize=8];', "")
+
+
 def parse_findings(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Findings in the outermost braces of a free-form reply; items with an unknown category or severity are skipped."""
     body = F.regexp_extract(text_col, r"(?s)\{.*\}", 0)
@@ -73,3 +81,30 @@ def first_snippets(found: DataFrame, chunks: DataFrame, limit: int = 5, width: i
     head = found.orderBy(severity_order(), "rule_seq", "unit").limit(limit)
     first = chunks.groupBy("unit").agg(F.min_by("content", "chunk_index").alias("content"))
     return head.join(first, "unit", "left").select("rule_id", "unit", F.substring(F.coalesce("content", F.lit("")), 1, width).alias("snippet"))
+
+
+def _lookup(table: dict, key: str, default: str) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col(key)], F.lit(default))
+
+
+def dot_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, key, line) of a Graphviz text; written in the order of part and key it is the file, of any size."""
+    spark = nodes.sparkSession
+    fixed = lambda part, lines: spark.createDataFrame([(part, f"{k:02d}", line) for k, line in enumerate(lines)], "part int, key string, line string")
+    label = F.concat("id", F.lit("\\n["), "class_type", F.lit("]"), F.when(F.col("package") != "", F.concat(F.lit("\\n"), "package")).otherwise(""))
+    node = F.concat(F.lit('  "'), "id", F.lit('" [label="'), label, F.lit('", fillcolor="'), _lookup(DOT_FILL, "class_type", "lightgray"), F.lit('"];'))
+    style = _lookup({k: v[0] for k, v in DOT_EDGE_STYLE.items()}, "dep_type", "dashed")
+    color = _lookup({k: v[1] for k, v in DOT_EDGE_STYLE.items()}, "dep_type", "gray")
+    edge = F.concat(F.lit('  "'), "src", F.lit('" -> "'), "dst", F.lit('" [style="'), style, F.lit('", color="'), color, F.lit('", label="'), "dep_type", F.lit('"];'))
+    out = fixed(0, DOT_HEAD).unionByName(nodes.select(F.lit(1).alias("part"), F.col("id").alias("key"), node.alias("line")))
+    return out.unionByName(edges.select(F.lit(2).alias("part"), F.concat("src", F.lit(">"), "dst").alias("key"), edge.alias("line"))).unionByName(fixed(3, ["}"]))
+
+
+def adjacency_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, key, json): a JSON object for each node and edge, and one of totals: the adjacency document, a row a value."""
+    node = F.to_json(F.struct("id", "package", "class_type", "annotations", "file_path"))
+    edge = F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "dep_type", "line"))
+    totals = nodes.agg(F.count("*").alias("total_classes")).crossJoin(edges.agg(F.count("*").alias("total_dependencies")))
+    out = nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), node.alias("json"))
+    out = out.unionByName(edges.select(F.lit("edges").alias("part"), F.concat("src", F.lit(">"), "dst").alias("key"), edge.alias("json")))
+    return out.unionByName(totals.select(F.lit("stats").alias("part"), F.lit("").alias("key"), F.to_json(F.struct("total_classes", "total_dependencies")).alias("json")))

@@ -96,3 +96,87 @@ def line_numbers(units: DataFrame, unit: str, text: str, pattern: str, most: int
     """(unit, lines): numbers of the first lines that match."""
     marked = F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(pattern), i + 1))
     return units.select(F.col(unit), F.slice(F.array_compact(marked), 1, most).alias("lines")).where(F.size("lines") > 0)
+
+
+# How a public method's signature and a list of implemented interfaces are told from text, and suffixes and names that rules leave out.
+SIGNATURE = r"(?:public|protected)\s+(?:static\s+)?(?:final\s+)?([\w<>\[\]]+)\s+(\w+)\s*\(([^)]*)\)"
+IMPLEMENTS = r"\bimplements\s+([\w,\s]+)"
+STRATEGY_EXEMPT = ("Repository", "Listener")
+TEST_SUFFIXES = ("Test", "Tests", "IT")
+TESTABLE = ("Service", "RestController", "Controller")
+ENTITIES = ("Entity", "Document", "MappedSuperclass")
+ACCESSORS = ("get", "set", "is", "has", "equals", "hashcode", "tostring", "canequal")
+
+
+def signatures(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, signature) of every public or protected method: ``type name(number of parameters)``, generics left out of the type."""
+    found = lambda group: F.regexp_extract_all(text, F.lit(SIGNATURE), F.lit(group))
+    rows = files.select(key, F.explode(F.arrays_zip(found(1).alias("type"), found(2).alias("name"), found(3).alias("params"))).alias("m"))
+    many = F.size(F.filter(F.split("m.params", ","), lambda p: F.trim(p) != ""))
+    return rows.select(key, F.concat(F.substring_index("m.type", "<", 1), F.lit(" "), "m.name", F.lit("("), many.cast("string"), F.lit(")")).alias("signature"))
+
+
+def implementors(parsed: DataFrame) -> DataFrame:
+    """(iface, class_name, file_path): every class of a file implements what the file's text says."""
+    lists = F.regexp_extract_all("source", F.lit(IMPLEMENTS), F.lit(1))
+    names = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda i: F.substring_index(F.regexp_replace(i, r"^\s+|\s+$", ""), "<", 1))))
+    rows = parsed.select("file_path", F.explode("classes").alias("class_name"), names.alias("names")).select("file_path", "class_name", F.explode("names").alias("iface"))
+    return rows.where("iface <> ''").select("iface", "class_name", "file_path")
+
+
+def strategy_findings(parsed: DataFrame, least: int = 3) -> DataFrame:
+    counts = implementors(parsed).groupBy("iface").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    exempt = F.lit(False)
+    for suffix in STRATEGY_EXEMPT:
+        exempt = exempt | F.col("iface").endswith(suffix)
+    return counts.where(~exempt).select(F.lit("PAT-005").alias("rule_id"), F.lit("info").alias("severity"), F.format_string("Strategy pattern: %s has %d implementations", "iface", "n").alias("title"))
+
+
+def duplicate_signatures(parsed: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+    """Findings for the signatures that most classes share; of those with the same classes the first.
+
+    Of classes of one name the last file in path order counts.  A set of classes is told by its size
+    and two sums of hashes, so no list of a signature's classes is ever gathered.
+    """
+    last = parsed.select("file_path", "source", F.explode("classes").alias("class_name")).groupBy("class_name").agg(F.max_by("source", "file_path").alias("source"))
+    mark = F.xxhash64("class_name")
+    shared = signatures(last, "class_name", "source").groupBy("signature").agg(F.count("*").alias("classes"), F.sum(mark.cast("decimal(38,0)")).alias("a"), F.bit_xor(mark).alias("b")).where(F.col("classes") >= least)
+    top = shared.orderBy(F.desc("classes"), "signature").limit(most)
+    first = top.groupBy("classes", "a", "b").agg(F.min("signature").alias("signature"))
+    return first.select(F.lit("DUP-001").alias("rule_id"), F.lit("low").alias("severity"), F.format_string("Duplicate method signature '%s' in %d classes", "signature", "classes").alias("title"), "classes")
+
+
+def containing(needles: DataFrame, names: DataFrame, needle: str, name: str, width: int = 6) -> DataFrame:
+    """(needle) that some name contains: an equality join of each needle's first letters with every run of letters of a name, then a look."""
+    start = F.substring(needle, 1, width)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda w: F.substr(F.col(name), i, w))))
+    spread = names.select(F.col(name).alias("_name"), F.explode(F.array_distinct(runs)).alias("_start")).distinct()
+    hit = needles.select(needle).distinct().withColumn("_start", start).join(spread, "_start").where(F.contains("_name", F.col(needle)))
+    return hit.select(needle).distinct()
+
+
+def missing_tests(parsed: DataFrame) -> DataFrame:
+    """Services and controllers whose name is in no test class's name."""
+    classes = parsed.select("file_path", "annotations", F.explode("classes").alias("class_name"))
+    is_test = F.lit(False)
+    for suffix in TEST_SUFFIXES:
+        is_test = is_test | F.col("class_name").endswith(suffix)
+    tests = classes.where(is_test).select(F.col("class_name").alias("test")).distinct()
+    units = classes.where(F.arrays_overlap("annotations", F.array(*map(F.lit, TESTABLE))))
+    missing = units.join(containing(units, tests, "class_name", "test"), "class_name", "left_anti")
+    return missing.select(F.lit("DEBT-007").alias("rule_id"), F.lit("medium").alias("severity"), F.concat(F.lit("No test class found for "), "class_name").alias("title"), "file_path")
+
+
+def metadata_findings(parsed: DataFrame, imports: int = 20, domains: int = 4, loc: float = 40, behaviour: int = 3) -> DataFrame:
+    """Findings that need no text: wide imports, entities without behaviour, long methods on average."""
+    domain = F.array_distinct(F.transform(F.filter("imports", lambda i: F.size(F.split(i, r"\.")) >= 2), lambda i: F.substring_index(i, ".", 2)))
+    plain = F.filter("methods", lambda m: ~F.lower(m).rlike("^(" + "|".join(ACCESSORS) + ")"))
+    average = F.col("lines_of_code") / F.size("methods")
+    finding = lambda rule, title: F.struct(F.lit(rule).alias("rule_id"), F.lit("low").alias("severity"), title.alias("title"))
+    rows = parsed.select("imports", "annotations", "methods", "lines_of_code", F.posexplode("classes").alias("place", "class_name")).withColumns({"domains": F.size(domain), "plain": F.size(plain), "average": average})
+    checks = F.array(
+        F.when((F.size("imports") > imports) & (F.col("domains") > domains), finding("SOLID-S003", F.format_string("SRP: %s imports from %d domains", "class_name", "domains"))),
+        F.when(F.arrays_overlap("annotations", F.array(*map(F.lit, ENTITIES))) & (F.col("plain") <= behaviour), finding("ANTI-003", F.format_string("Anemic Domain Model: %s has no domain behaviour", "class_name"))),
+        F.when((F.col("place") == 0) & (F.size("methods") > 0) & (F.col("average") > loc), finding("MAINT-001", F.format_string("Long methods detected in %s (avg ~%.0f LOC)", "class_name", F.bround("average", 0)))),
+    )
+    return rows.select(F.inline(F.array_compact(checks)))

@@ -1,18 +1,18 @@
-"""Java sources as tables: scanning a tree, file metadata, and dependency edges.
+"""Java sources as tables: scanning a tree, file metadata, types, and dependency edges.
 
-Files are read once, as one table; everything else is columns over their content.  Comments
-and string contents are blanked in place first, so that what looks like a declaration in a
-comment is none.  Edges come from a scan of each top-level type's braces.  Patterns stand in for a parser: nested generic types are taken by their last name.
+Files are read once, as one table, and scanned once, by a function over Arrow batches that
+matches braces (``java_types``); everything else is columns over what it returns.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithograph.sources.java_types import FILE_SCHEMA, read
+
 # Which files are scanned, and directories that are not.
 EXTENSIONS = (".java", ".xml", ".properties", ".yaml", ".yml", ".md")
 EXCLUDED = ("target", "build", ".git", ".gradle", ".mvn", "node_modules", ".idea", ".vscode", "__pycache__", "generated-sources", "generated-test-sources", "test-classes", "classes")
@@ -24,6 +24,14 @@ LIBRARIES = (
     "io.micrometer.", "org.hibernate.", "org.aspectj.", "reactor.", "kotlin.", "scala.", "groovy.",
 )
 INJECTION = ("Autowired", "Inject", "Resource", "Value", "Qualifier")
+# Component types by annotation, and the colours of nodes.
+COMPONENT_TYPES = {
+    "Service": "service", "RestController": "controller", "Controller": "controller", "RequestMapping": "controller", "Repository": "repository", "Component": "component",
+    "Configuration": "configuration", "Bean": "bean", "Singleton": "service", "Named": "component",
+}
+NODE_COLORS = {
+    "controller": "#FF6B6B", "service": "#4ECDC4", "repository": "#45B7D1", "component": "#96CEB4", "configuration": "#FFEAA7", "bean": "#FFEAA7", "unknown": "#DFE6E9",
+}
 EDGE_PRIORITY = {"constructor_injection": 3, "field_injection": 2, "import": 1}
 
 
@@ -32,111 +40,95 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    rows = files.select(rel.alias("file_path"), F.col("content"))
+    return supported(files.select(rel.alias("file_path"), F.col("content")))
+
+
+def supported(rows: DataFrame) -> DataFrame:
+    """Rows whose ``file_path`` has a known extension and no excluded part."""
     suffix = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
     inside = F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, EXCLUDED)))
     return rows.where(suffix.isin(*EXTENSIONS) & ~inside)
 
 
-_BLANKED = re.compile(r'/\*.*?(?:\*/|\Z)|//[^\n]*|"""(?:\\.|.)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
-
-
-def blank(text: str) -> str:
-    """Source with blanks for comments and contents of literals: lengths and line breaks are kept."""
-
-    def clear(m: re.Match) -> str:
-        empty = re.sub(r"[^\n]", " ", m[0])
-        return m[0][0] + empty[1:-1] + m[0][-1] if m[0][0] in "\"'" else empty
-
-    return _BLANKED.sub(clear, text)
-
-
-def bare(content) -> Column:
-    @F.pandas_udf("string")
-    def blanked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else blank(t))
-
-    return blanked(content)
-
+def parse(files: DataFrame) -> DataFrame:
+    """One metadata row per Java file: package, imports, annotations, types, methods, size and hash; ``error`` where one cannot be read.
 
-def _all(source: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+    ``classes``, ``interfaces`` and ``enums`` hold nested types too; ``methods`` the methods and
+    constructors of all types; each name once, in order.
+    """
 
+    @F.udf(FILE_SCHEMA, useArrow=True)
+    def scanned(raw):
+        return read(bytes(raw) if raw is not None else None)
 
-def parse(files: DataFrame) -> DataFrame:
-    """One metadata row per Java file: package, imports, annotations, types, methods, size and hash."""
-    java = files.where(F.col("file_path").endswith(".java")).withColumn("text", F.col("content").cast("string"))
-    rows = java.withColumn("source", bare(F.col("text")))
-    source = F.col("source")
-    last = lambda names: F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1))
-    marks = F.filter(F.array_distinct(last(_all(source, r"@([A-Za-z_][\w.]*)"))), lambda a: ~a.isin(*JAVADOC_WORDS, "interface"))
-    imports = F.transform(_all(source, r"(?m)^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;"), lambda i: i)
-    methods = _all(source, r"(?m)^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|protected|private|static|final|abstract|default|synchronized)\s+)*(?:<[^>]+>\s*)?(?:[\w.]+(?:<[^;={}()]*>)?(?:\[\])*\s+)?(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]")
-    words = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized", "super", "this", "throw", "else")
+    java = files.where(F.col("file_path").endswith(".java"))
+    rows = java.withColumn("f", scanned("content"))
+    named = lambda kind: F.array_distinct(F.transform(F.filter("f.types", lambda t: t["kind"] == kind), lambda t: t["name"]))
+    callable_ = F.flatten(F.transform("f.types", lambda t: F.transform(F.filter(t["members"], lambda m: m["kind"] != "field"), lambda m: m["name"])))
+    text = F.col("content").cast("string")
     return rows.select(
-        "file_path", F.nullif(F.regexp_extract(source, r"(?m)^\s*package\s+([\w.]+)\s*;", 1), F.lit("")).alias("package"), imports.alias("imports"), marks.alias("annotations"),
-        F.array_distinct(_all(source, r"\bclass\s+(\w+)")).alias("classes"), F.array_distinct(_all(source, r"(?<!@)\binterface\s+(\w+)")).alias("interfaces"), F.array_distinct(_all(source, r"\benum\s+(\w+)")).alias("enums"),
-        F.filter(F.array_distinct(methods), lambda m: ~m.isin(*words)).alias("methods"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines_of_code"), F.md5("content").alias("content_hash"), "source",
+        "file_path", F.col("f.package").alias("package"), F.transform("f.imports", lambda i: i["name"]).alias("imports"), F.array_except("f.annotations", F.array(*map(F.lit, JAVADOC_WORDS))).alias("annotations"),
+        named("class").alias("classes"), named("interface").alias("interfaces"), named("enum").alias("enums"), F.array_distinct(callable_).alias("methods"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines_of_code"), F.md5("content").alias("content_hash"),
+        F.col("f.imports").alias("import_lines"), F.col("f.types").alias("types"), text.alias("source"), F.col("f.error").alias("error"),
     )
 
 
-EDGES = "array<struct<src: string, dst: string, dep_type: string, line: int, seq: int>>"
-_TYPE = re.compile(r"[{}]|(?<![@\w.])(?:class|interface|enum|record(?=\s+\w+\s*[<(]))\s+(\w+)")
-_IMPORT = re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;", re.M)
-_FIELD = re.compile(r"@(?:" + "|".join(INJECTION) + r")\b(?:\([^)]*\))?\s+(?:(?:private|protected|public|final)\s+)*(?:[\w.]+<[^>]*?(\w+)>|(\w+))\s+\w+\s*[;=]")
-_PARAM = re.compile(r"(?:final\s+)?(?:@\w+\s+)*([A-Z]\w*)\s+\w+")
-
-
-def type_bodies(source: str) -> list[tuple[str, int, str]]:
-    """(name, offset, body) of each top-level type of a blanked source; bodies keep their own members only."""
-    out, depth, name, begin, held = [], 0, None, 0, []
-    for m in _TYPE.finditer(source):
-        if m[0] == "{":
-            depth += 1
-            if depth == 1:
-                begin, held, last = m.end(), [], m.end()
-            elif depth == 2:
-                held.append(source[last : m.end()])
-                last = m.end()
-        elif m[0] == "}":
-            depth = max(0, depth - 1)
-            if depth == 1:
-                held.append(re.sub(r"[^\n]", " ", source[last : m.start()]))
-                last = m.start()
-            elif depth == 0 and name:
-                out.append((name, begin, "".join(held) + source[last : m.start()]))
-                name = None
-        elif depth == 0:
-            name = m[1]
-    return out
-
-
-def file_edges(source: str) -> list[dict]:
-    imports = [(m[1].split(".")[-1], m.start(1)) for m in _IMPORT.finditer(source) if not m[1].startswith(LIBRARIES)]
-    out: list[dict] = []
-    for name, begin, body in type_bodies(source):
-        fields = [(m[1] or m[2], begin + m.start()) for m in _FIELD.finditer(body)]
-        heads = re.finditer(r"^[ \t]*(?:@\w+\s+)*(?:(?:public|protected|private)\s+)?" + re.escape(name) + r"\s*\(([^)]*)\)\s*(?:throws\b|\{)", body, re.M)
-        made = [(p[1], begin + m.end(0) - len(m[0].lstrip())) for m in heads for x in m[1].split(",") if (p := _PARAM.fullmatch(x.strip()))]
-        for kind, found in (("import", [i for i in imports if i[0][:1].isupper()]), ("field_injection", fields), ("constructor_injection", made)):
-            out += [{"src": name, "dst": dst, "dep_type": kind, "line": source.count("\n", 0, at) + 1, "seq": k} for k, (dst, at) in enumerate(found)]
-    return out
+def types(parsed: DataFrame) -> DataFrame:
+    """One row per type, nested ones too (``depth`` 0: top level): file_path, package, place in the file and what ``read`` tells."""
+    rows = parsed.select("file_path", "package", "imports", "import_lines", F.posexplode("types").alias("seq", "t"))
+    return rows.select("file_path", "package", "imports", "import_lines", "seq", "t.*")
+
+
+def class_type(annotations: Column) -> Column:
+    """The component type of the first annotation that has one; else unknown."""
+    known = F.create_map(*(F.lit(x) for kv in COMPONENT_TYPES.items() for x in kv))
+    return F.coalesce(F.get(F.filter(F.transform(annotations, lambda a: known[a]), lambda t: t.isNotNull()), F.lit(0)), F.lit("unknown"))
 
 
 def edges(parsed: DataFrame) -> DataFrame:
-    """(src, dst, dep_type, line, seq): imports, injected fields and constructor parameters of each top-level type."""
+    """(src, dst, dep_type, source_file, line, seq): imports, injected fields and constructor parameters of each top-level type.
+
+    An import counts if its last segment is capitalised and it is no library's.  Of several edges
+    between two types of a file the strongest stays, then the first.
+    """
+    top = types(parsed).where("depth = 0")
+    library = F.lit("^(" + "|".join(re.escape(p) for p in LIBRARIES) + ")")
+    taken = F.transform(F.filter("import_lines", lambda i: ~F.regexp_like(i["name"], library)), lambda i: F.struct(F.element_at(F.split(i["name"], r"\."), -1).alias("dst"), F.lit("import").alias("dep_type"), i["line"].alias("line")))
 
-    @F.pandas_udf(EDGES)
-    def found(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda t: file_edges(t or ""))
+    def members(kind: str, dep_type: str, *, injected: bool):
+        own = F.filter("members", lambda m: (m["kind"] == kind) & (F.arrays_overlap(m["annotations"], F.array(*map(F.lit, INJECTION))) if injected else F.lit(True)))
+        return F.flatten(F.transform(own, lambda m: F.transform(m["targets"], lambda d: F.struct(d.alias("dst"), F.lit(dep_type).alias("dep_type"), m["line"].alias("line")))))
 
-    return parsed.select(F.explode(found("source")).alias("e")).select("e.*")
+    # Members of an enumeration are no dependencies of it.
+    own = F.concat(members("field", "field_injection", injected=True), members("constructor", "constructor_injection", injected=False))
+    rows = top.select(F.col("name").alias("src"), F.col("file_path").alias("source_file"), F.posexplode(F.concat(taken, F.when(F.col("kind") == "enum", F.slice(own, 1, 0)).otherwise(own))).alias("seq", "e"))
+    rows = rows.select("src", "source_file", "seq", "e.*").where(F.col("dst").rlike(r"^\p{Lu}") & (F.col("dst") != F.col("src")))
+    rank = F.create_map(*(F.lit(x) for kv in EDGE_PRIORITY.items() for x in kv))
+    best = F.min_by(F.struct("dep_type", "line", "seq"), F.struct(-rank[F.col("dep_type")], "seq"))
+    return rows.groupBy("src", "dst", "source_file").agg(best.alias("b")).select("src", "dst", "b.dep_type", "source_file", "b.line", "b.seq")
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
-    records = _all(F.col("source"), r"\brecord\s+(\w+)\s*[<(]")
-    return parsed.select(F.explode(F.concat("classes", "interfaces", "enums", records)).alias("id")).distinct()
+    """One row per name of a top-level type: id, package, class_type, annotations, file_path, color.
+
+    Of several types of one name the last file in path order tells its attributes.
+    """
+    rows = types(parsed).where("depth = 0").select(F.col("name").alias("id"), F.coalesce("package", F.lit("")).alias("package"), class_type(F.col("annotations")).alias("class_type"), "annotations", "file_path", "seq")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("package", "class_type", "annotations", "file_path"), F.struct("file_path", "seq")).alias("n")).select("id", "n.*")
+    colors = F.create_map(*(F.lit(x) for kv in NODE_COLORS.items() for x in kv))
+    return last.withColumn("color", F.coalesce(colors[F.col("class_type")], F.lit(NODE_COLORS["unknown"])))
+
+
+def graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and the internal edges among them: the strongest kind with its line, the file of the first."""
+    known = nodes(parsed)
+    raw = edges(parsed)
+    inner = raw.join(known.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst")
+    rank = F.create_map(*(F.lit(x) for kv in EDGE_PRIORITY.items() for x in kv))
+    order = F.struct("source_file", "seq")
+    merged = inner.groupBy("src", "dst").agg(F.min_by(F.struct("dep_type", "line"), F.struct(-rank[F.col("dep_type")], order)).alias("b"), F.min_by("source_file", order).alias("source_file"))
+    return known, merged.select("src", "dst", "b.dep_type", "source_file", "b.line")
 
 
 def incremental(files: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -69,4 +69,22 @@ def test_edges_of_every_top_level_type(spark):
     parsed = java.parse(spark.createDataFrame([("F.java", bytearray(text.encode()))], "file_path string, content binary"))
     found = {(r.src, r.dst, r.dep_type, r.line) for r in java.edges(parsed).collect()}
     assert found == {*((t, "Repo", "import", 4) for t in "ABER"), ("B", "Mailer", "field_injection", 9), ("B", "Clock", "constructor_injection", 12)}
-    assert {r.id for r in java.nodes(parsed).collect()} == {"A", "In", "B", "E", "R"}
+    assert {r.id for r in java.nodes(parsed).collect()} == {"A", "B", "E", "R"}
+
+
+def test_deep_long_and_hostile_bodies(spark):
+    """Bodies of any depth and length, braces in literals, comments between, generics and package-private members."""
+    deep = "class Deep { @Autowired private Repo r; String u = \"http://x{\"; @Inject Repo2 s; <T> Map<String, T> any(T t) { " + "if (a) { " * 200 + "}" * 200 + " }\n void last() { " + "x = x + 1; " * 2000 + "} }"
+    text = "package p;\nclass Outer<T extends Comparable<T>> {\n  record In(int a) { In { } int twice() { return a; } }\n  int[] n = {1, 2}; char c = '}';\n  Outer(@Q(\"a,b\") Repo r, Map<String, Repo3> m, int k) { }\n}\n" + deep
+    parsed = java.parse(spark.createDataFrame([("F.java", bytearray(text.encode())), ("Bad.java", bytearray(b"class X { void a( { } \xff")), ("Empty.java", bytearray())], "file_path string, content binary"))
+    row = {r.file_path: r for r in parsed.collect()}["F.java"]
+    assert row.classes == ["Outer", "Deep"] and row.methods == ["Outer", "twice", "any", "last"]
+    found = {(r.src, r.dst, r.dep_type) for r in java.edges(parsed).collect()}
+    assert found == {("Outer", "Repo", "constructor_injection"), ("Deep", "Repo", "field_injection"), ("Deep", "Repo2", "field_injection")}
+    from lithograph.operators import chunking
+
+    chunks = chunking.chunk_files(parsed.where("file_path = 'F.java'")).collect()
+    assert {(c.class_name, c.chunk_type) for c in chunks} == {("Outer", "class_summary"), ("Outer", "method"), ("In", "class_summary"), ("In", "method"), ("Deep", "class_summary"), ("Deep", "method"), ("Deep", "method_part")}
+    parts = [c for c in chunks if c.chunk_type == "method_part"]
+    assert len(parts) > 10 and all(c.method == "last" and c.page_content.startswith("// package: p\n// class Deep\n") for c in parts)
+    assert parsed.where("error IS NULL").count() == 3
