@@ -15,14 +15,22 @@ one row per hash costs about twenty bytes of shuffle; here it costs four to six:
 4.  The chunk lines the answers up with its positions again.
 
 The chunks' exchange is the same subplan in each step, so Spark runs it once and reuses
-its files.  Chunk and bucket sizes are constants, their numbers follow the input, and no
-step holds more than one chunk or one bucket in a Python worker.
+its files.  No step holds more than one chunk or one bucket in a Python worker.
+
+Traffic.  A chunk sends a bucket one row, so chunks x buckets rows carry the hashes.  With
+fixed sizes both numbers would follow the input, and rows its square; chunks and buckets
+therefore both grow with the square root of the input beyond ``SCALE_BYTES`` (``growth``),
+which holds the hashes of a row at about ten.  At 100 TB growth is 16: 1.5 million chunks
+of 64 MB, 1.2 million buckets of 16 million hashes (some 0.5 GB in a worker), 1.7e13 hashes
+in 1.8e12 rows, hence about 7 bytes of row for the 10 of a key and its count.  A hash that
+every document holds is 1.5 million entries (15 MB) of its bucket there.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -34,11 +42,19 @@ from pyspark.sql import functions as F
 #: Raw bytes of text in a chunk, and hashes in a bucket, about.
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
+#: Bytes of input beyond which chunks and buckets grow.
+SCALE_BYTES = 400e9
 
 DISTINCT_SCHEMA = "chunk long, sha binary, min_id long, copies long, weight long, text binary"
 REQUEST_SCHEMA = "bucket long, chunk long, n long, payload binary"
 ANSWER_SCHEMA = "chunk long, bucket long, payload binary"
 
+
+def growth(total_bytes: int) -> float:
+    """By what chunks and buckets are larger than their constants say."""
+    return max(1.0, math.sqrt(total_bytes / SCALE_BYTES))
+
+
 def release() -> None:
     """Give freed memory back to the system: workers live on, and their peaks would add up."""
     pa.default_memory_pool().release_unused()
@@ -63,13 +79,13 @@ def text_sha(text_col: str = "text"):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def distinct_texts(docs: DataFrame, total_bytes: int, id_col: str = "doc_id", text_col: str = "text", weight=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def distinct_texts(docs: DataFrame, total_bytes: int, id_col: str = "doc_id", text_col: str = "text", weight=None, chunk_bytes: int | None = None) -> DataFrame:
     """Rows of DISTINCT_SCHEMA, not yet merged over map batches (see load_chunk).
 
     ``min_id`` is the smallest non-null id, ``copies`` the number of rows, ``weight`` the
     sum of the integer column expression ``weight`` (1 by default).
     """
-    chunks = max(1, math.ceil(total_bytes / chunk_bytes))
+    chunks = max(1, math.ceil(total_bytes / ((chunk_bytes or CHUNK_BYTES) * growth(total_bytes))))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
@@ -142,22 +158,42 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+#: Words that are hashed at once.
+SLAB = 1 << 16
+_ALL = np.uint64((1 << 64) - 1)
+
+
+def _eight(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place as one number."""
+    held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[at]).view(np.uint64)[:, 0]
+    return held & (_ALL >> (np.uint64(64) - np.minimum(n, 8).astype(np.uint64) * np.uint64(8)))
+
+
+def word_hashes(texts: list[bytes], lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in one array, and where each text begins in it.
 
-    A word's hash is the polynomial of its bytes, taken from prefix sums over a block.
+    Words of up to 8 bytes keep all their bits, those of up to 16 mix two numbers, and longer
+    ones go through BLAKE2; other seeds give independent hashes.  (A polynomial of the bytes
+    modulo 2**64 would have collisions that can be written down.)
     """
     parts, counts = [np.empty(0, np.uint64)], [0]
+    start = mix(np.array([seed + 1], np.uint64))
+    key = seed.to_bytes(8, "little")
     for lo, hi in blocks(texts):
-        raw = np.frombuffer(b" ".join([b"", *texts[lo:hi], b""]), np.uint8)
+        raw = np.frombuffer(b" ".join([b"", *texts[lo:hi], b" " * 16]), np.uint8)
         space = SPACES[raw]
         begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        values = (LOWER[raw] if lower else raw).astype(np.uint64)
-        values += np.uint64(1)
-        values *= powers(BASE, len(raw))
-        prefix = np.cumsum(values, dtype=np.uint64)
-        parts.append(mix((prefix[end - 1] - prefix[begin - 1]) * powers(BASE_INVERSE, len(raw))[begin] + (end - begin).astype(np.uint64)))
+        size = np.flatnonzero(~space[:-1] & space[1:]) + 1 - begin
+        if lower:
+            raw = LOWER[raw]
+        for k in range(0, len(begin), SLAB):
+            at, n = begin[k : k + SLAB], size[k : k + SLAB]
+            out = mix(mix(_eight(raw, at, n) + start) + n.astype(np.uint64) * np.uint64(BASE))
+            if len(some := np.flatnonzero(n > 8)):
+                out[some] = mix(out[some] ^ mix(_eight(raw, at[some] + 8, n[some] - 8) - start))
+            for i in np.flatnonzero(n > 16).tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + n[i]], digest_size=8, salt=key).digest(), "little")
+            parts.append(out)
         edges = np.cumsum([1, *(len(t) + 1 for t in texts[lo:hi])])
         counts.extend(np.diff(np.searchsorted(begin, edges)).tolist())
     return np.concatenate(parts), np.cumsum(counts)
@@ -172,29 +208,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=6)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+#: Powers come from a table of the first ones and one of every ``STEP``-th.
+STEP = 1 << 12
+
+
+@functools.lru_cache(maxsize=8)
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def first(b: int, many: int) -> np.ndarray:
+        out = np.full(many, b, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    return first(base, STEP), first(pow(base, STEP, 1 << 64), n)
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
+    low, high = _tables(base, 1 << max(6, (n // STEP).bit_length()))
+    return np.multiply.outer(high[: -(-n // STEP)], low).reshape(-1)[:n]
+
+
+@functools.lru_cache(maxsize=4)
+def _slab(base: int, n: int) -> np.ndarray:
+    return powers(base, n)
+
+
+def slab_powers(base: int) -> np.ndarray:
+    """The powers of one slab."""
+    return _slab(base, SLAB)
+
+
+def power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64."""
+    low, high = _tables(base, 1 << max(6, (int(at.max(initial=0)) // STEP).bit_length()))
+    return high[at // STEP] * low[at % STEP]
 
 
 def rolling(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """Rabin-Karp hashes of every window of ``length`` values (across texts too).
 
     From prefix sums of value * BASE**i; multiplying by BASE**-i makes a window's hash
-    independent of where it starts.
+    independent of where it starts, so the values are taken slab by slab.
     """
     n = len(values) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, len(values)), dtype=np.uint64)])
-    return mix((prefix[length:] - prefix[:n]) * powers(BASE_INVERSE, n) + np.uint64((salt * 0x2545F4914F6CDD1D + length) % (1 << 64)))
+    out = np.empty(n, np.uint64)
+    most = min(n, SLAB)
+    up, down = powers(BASE, most + length - 1), slab_powers(BASE_INVERSE)
+    for lo in range(0, n, SLAB):
+        part = values[lo : lo + most + length - 1]
+        m = len(part) - length + 1
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)])
+        out[lo : lo + m] = mix((prefix[length:] - prefix[:m]) * down[:m] + np.uint64((salt * 0x2545F4914F6CDD1D + length) % (1 << 64)))
+    return out
 
 
 def window_starts(ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +279,8 @@ class Keys:
     keys treat a shared one as a candidate to confirm, never as a result.
     """
 
-    def __init__(self, expected: int, width: int | None = None):
-        self.bits = max(0, math.ceil(math.log2(max(1, expected) / BUCKET_KEYS)))
+    def __init__(self, expected: int, width: int | None = None, growth: float = 1.0):
+        self.bits = max(0, math.ceil(math.log2(max(1, expected) / (BUCKET_KEYS * growth))))
         narrow = 5 if expected < 1 << 33 else 6 if expected < 1 << 41 else 8
         self.width = min(8, width or narrow)
         self.whole = self.bits + 8 * self.width >= 64

@@ -316,10 +316,10 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """Per distinct text its lengths and scores; and one row of train_words and train_types."""
     spark = docs.sparkSession
     total = C.corpus_bytes(docs, text_col)
-    buckets = max(1, math.ceil(total / PATH_BYTES))
+    buckets = max(1, math.ceil(total / (PATH_BYTES * C.growth(total))))
     model = spark.sparkContext.broadcast(train(docs, training, buckets, text_col))
     texts = C.distinct_texts(docs, total, id_col, text_col, weight=training.cast("int"))
-    keys = C.Keys(total // 20 + 1, 8)
+    keys = C.Keys(total // 20 + 1, 8, C.growth(total))
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)

@@ -160,7 +160,7 @@ def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
 def _sets(docs: DataFrame, words_per: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     total = C.corpus_bytes(docs, text_col)
     texts = C.distinct_texts(docs, total, id_col, text_col)
-    keys = C.Keys(total // 5 + 1)
+    keys = C.Keys(total // 5 + 1, growth=C.growth(total))
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
@@ -259,12 +259,7 @@ def jaccard_components(docs: DataFrame, words_per: int = 5, percent: int = 80, i
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return document_links(docs)
-
-
-def _per_document(docs: DataFrame) -> DataFrame:
-    return document_links(docs).drop("n_links")
+    return document_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def document_links(docs: DataFrame) -> DataFrame:
@@ -272,3 +267,16 @@ def document_links(docs: DataFrame) -> DataFrame:
     out = C.attach(docs, jaccard_components(docs).select("sha", "n_shingles", "component_id", "n_links"))
     # Texts without words link with nothing, not even with each other.
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
+
+
+ORACLE_SQL = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT r, len(g) AS n, unnest(g) AS x FROM s),
+l AS (SELECT a.r AS u, b.r AS v FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+t(u, v) AS (SELECT r, r FROM s UNION SELECT t.u, l.v FROM t JOIN l ON t.v = l.u),
+c AS (SELECT u, min(doc_id) AS component_id FROM t JOIN s ON t.v = s.r GROUP BY u),
+k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM s JOIN c ON s.r = c.u LEFT JOIN k ON s.r = k.u""",
+}
