@@ -3,8 +3,9 @@
 Every window of ``window`` consecutive words of every text is hashed and counted over
 the corpus.  Windows that occur more than once cover the words to remove; overlapping
 ones merge into maximal intervals.  Counting takes two rounds: a hash of about 45 bits
-finds candidate windows, and the candidates are counted again by 96 bits of two
-independent Rabin-Karp hashes, which decides.
+finds candidate windows, and the candidates are counted again by 96 bits of two Rabin-Karp
+hashes over independent hashes of the words' bytes, which decides: among the 2e13 windows
+of 100 TB, any two different ones are taken for equal with a probability of about 0.003.
 
 Defined results
     * null text: no words; a text shorter than the window loses nothing;
@@ -30,12 +31,12 @@ TEXTS_SCHEMA = "sha binary, n_words long, n_removed long, starts array<long>, en
 def _windows(chunk: C.Chunk, window: int):
     words, ends = C.word_hashes(chunk.texts, False)
     at, text = C.window_starts(ends, window)
-    return words, ends, at, text, C.rolling(words, window)[at] if len(at) else np.empty(0, np.uint64)
+    return ends, at, text, C.rolling(words, window)[at] if len(at) else np.empty(0, np.uint64)
 
 
-def _second(words: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
-    """The other half of the confirming hash: other word values, another salt."""
-    return (C.rolling(C.mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+def _second(texts: list[bytes], window: int, at: np.ndarray) -> np.ndarray:
+    """The other half of the confirming hash: other hashes of the words, another salt."""
+    return (C.rolling(C.word_hashes(texts, False, 1)[0], window, 1)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _candidates(cut: np.ndarray, text: np.ndarray, chunk: C.Chunk):
@@ -50,7 +51,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     total = C.corpus_bytes(docs, text_col)
     texts = C.distinct_texts(docs, total, id_col, text_col)
-    first, second = C.Keys(total // 5 + 1), C.Keys(total // 20 + 1, 8)
+    grown = C.growth(total)
+    first, second = C.Keys(total // 5 + 1, growth=grown), C.Keys(total // 20 + 1, 8, grown)
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
@@ -60,11 +62,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     def pairs(chunk: C.Chunk, classes: np.ndarray):
         """Candidate windows, and their distinct 96-bit keys."""
-        words, ends, at, text, hashes = _windows(chunk, window)
+        ends, at, text, hashes = _windows(chunk, window)
         _, back, _ = _candidates(first.cut(hashes), text, chunk)
         found = classes[back] > 0 if len(back) else np.zeros(0, bool)
         at, text, one = at[found], text[found], hashes[found]
-        two = _second(words, window, at) if len(at) else np.empty(0, np.uint32)
+        two = _second(chunk.texts, window, at) if len(at) else np.empty(0, np.uint32)
         order = np.lexsort((two, one))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order].astype(np.int64)) != 0)
@@ -118,3 +120,16 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = substring_dedup(docs).select("sha", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return C.attach(docs, texts).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: SQL for rows of ``documents`` with the words of the query and the text that is kept.
+KEPT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT r, i, x, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS g FROM p),
+c AS (SELECT r, i, x, len(g) = 35 AND count(*) OVER (PARTITION BY array_to_string(g, ' ')) > 1 AS again FROM q),
+m AS (SELECT r, i, x, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY r)
+SELECT d.* EXCLUDE (r, w), CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.kept, '') AS kept_text FROM d LEFT JOIN k ON d.r = k.r"""
+
+ORACLE_SQL = {"op6_substring_dedup": f"SELECT doc_id, n_words, n_removed, sha256(kept_text) AS kept_sha256 FROM ({KEPT_SQL})"}
