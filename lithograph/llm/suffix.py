@@ -48,8 +48,15 @@ TEXTS_SCHEMA = "sha binary, min_id long, n_bytes long, n_removed long, starts ar
 
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """prefix[i]: polynomial hash of the first i bytes."""
-    values = (raw.astype(np.uint64) + np.uint64(1)) * C.powers(C.BASE, len(raw))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    out = np.zeros(len(raw) + 1, np.uint64)
+    for lo in range(0, len(raw), C.SLAB):  # in place: eight bytes for each
+        part = out[lo + 1 : lo + 1 + C.SLAB]
+        part[:] = raw[lo : lo + C.SLAB]
+        part += np.uint64(1)
+        part *= C.slab_powers(C.BASE)[: len(part)]
+        if lo:
+            part *= np.uint64(pow(C.BASE, lo, 1 << 64))
+    return np.cumsum(out, out=out)
 
 
 class Suffixes:
@@ -164,7 +171,7 @@ class Runs:
             base, end = int(pieces[lo, 1]), int(pieces[hi - 1, 2])
             block = self.raw[base:end]
             prefix = prefix_hashes(block)
-            grams = C.mix((prefix[GRAM:] - prefix[:-GRAM]) * C.powers(C.BASE_INVERSE, len(block))[: len(block) - GRAM + 1])
+            grams = C.mix((prefix[GRAM:] - prefix[:-GRAM]) * C.powers(C.BASE_INVERSE, len(block) - GRAM + 1))
             least = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
             span, held = length - GRAM + 1, 1
             while held * 2 <= span:
@@ -189,7 +196,7 @@ class Runs:
 
     def window_hashes(self, start: np.ndarray) -> np.ndarray:
         prefix = prefix_hashes(self.raw)
-        return C.mix((prefix[start + self.length] - prefix[start]) * C.powers(C.BASE_INVERSE, len(prefix))[start])
+        return C.mix((prefix[start + self.length] - prefix[start]) * C.power_at(C.BASE_INVERSE, start))
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -203,7 +210,7 @@ def _first_equal(raw, key, id_, rel, count, place, length: int) -> np.ndarray:
     Copies of one passage are sorted once this way, however many there are.
     """
     prefix, size = prefix_hashes(raw), count + length - 1
-    whole = (prefix[place + size] - prefix[place]) * C.powers(C.BASE_INVERSE, len(prefix))[place]
+    whole = (prefix[place + size] - prefix[place]) * C.power_at(C.BASE_INVERSE, place)
     del prefix
     order = np.lexsort((id_, whole, count, rel, key))
     fresh = np.ones(len(order), bool)
@@ -225,8 +232,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """Per distinct text: removed byte intervals [start, end) in the document with its smallest id, and what is kept there."""
     total = C.corpus_bytes(docs, text_col)
     texts = C.distinct_texts(docs, total, id_col, text_col, chunk_bytes=CHUNK_BYTES)
-    keys = C.Keys(total // 12 + 1)
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    keys = C.Keys(total // 12 + 1, growth=C.growth(total))
+    buckets = max(1, math.ceil(total / (BUCKET_BYTES * C.growth(total))))
 
     def anchors(chunk: C.Chunk):
         runs = Runs(chunk.texts, length)
@@ -395,3 +402,19 @@ def _per_document(docs: DataFrame, length: int = 50) -> DataFrame:
         F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
+
+
+ORACLE_SQL = {
+    "op7_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, unnest(regexp_extract_all(h, '..')) AS c, unnest(range(0, length(h) // 2)) AS i FROM d),
+l AS (SELECT *, list(c) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS x FROM p),
+g AS (SELECT r, doc_id, i, c, CASE WHEN len(x) = 50 THEN unhex(array_to_string(x, '')) END AS s FROM l),
+a AS (SELECT s, min(doc_id) AS least FROM g WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+f AS (SELECT r, i, c, coalesce(least < doc_id, doc_id IS NULL AND least IS NOT NULL) AS early FROM g LEFT JOIN a ON g.s = a.s),
+m AS (SELECT r, i, c, bool_or(early) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+n AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM m),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM n GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r""",
+}
