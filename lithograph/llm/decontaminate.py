@@ -4,15 +4,16 @@ A benchmark item is its windows of ``window`` consecutive words (a shorter item
 window).  A window occurs in a document if its words occur there in a row.
 
 1.  Windows are sets of shingles (runs of 4 words, or of the whole window if it is shorter).
-    The corpus is scanned once against the shingles of the benchmark; matches keep their
-    place and the few words around it.
-2.  Shingles are ordered by their number of matches.  A window that occurs brings its
-    rarest shingle along, so only that prefix of one shingle is joined.
+    How often each shingle of the benchmark occurs in the corpus is counted first.
+2.  Shingles are ordered by that rarity.  A window that occurs brings its rarest shingle
+    along, so its prefix is that one; windows whose rarest shingle does not occur are done.
+    Only the prefix shingles are joined with the corpus; matches keep their place and the
+    few words around it.
 3.  Length and place bounds drop candidates that would reach over either end of the text;
     the words of the rest are compared one by one.
 
-The benchmark's shingles are broadcast in blocks of ``BLOCK_SHINGLES`` at most (8 bytes
-each); a larger benchmark takes more passes over the corpus, and no larger broadcast.
+Shingles are broadcast in blocks of ``BLOCK_SHINGLES`` at most (8 bytes each); a larger
+benchmark takes more passes over the corpus, and no larger broadcast.
 
 Defined results
     * null text or item: no words; such items match nothing;
@@ -86,37 +87,30 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
     spark = docs.sparkSession
     wins = stash(windows_of(items, window), "windows")
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # at most SHINGLE numbers
-    found = []
+    out = None
     for n in sizes:
         own = wins.where(F.col("size") == n)
         tokens = with_shingles(own.select("win_id", F.col("win").alias("words")), n).select("win_id", F.posexplode("shingles").alias("offset", "token"))
         tokens = stash(tokens, "shingles")
-        blocks = max(1, math.ceil(tokens.select("token").distinct().count() / BLOCK_SHINGLES))
-        # One reading of the text for its words, then places of shared shingles.
         text = docs.select(F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
         text = with_shingles(text, n)
-        hits = None
-        for b in range(blocks):
-            block = tokens.where(F.pmod("token", F.lit(blocks)) == b) if blocks > 1 else tokens
-            block = block.select("token").distinct()
-            # Not a plain posexplode: its inferred filter on the array would be worked out again below.
-            places = text.select("text", "words", F.posexplode_outer("shingles").alias("at", "token"))
-            around = F.slice("words", F.greatest(F.col("at") + 1 - window, F.lit(0)) + 1, F.lit(2 * window + n))
-            hit = places.join(F.broadcast(block), "token").select(
+        # Not a plain explode: its inferred filter on the array would be worked out again.
+        every = text.select(F.explode_outer("shingles").alias("token"))
+        counts = _union(every.join(F.broadcast(block), "token").groupBy("token").agg(F.count("*").alias("matches")) for block in _blocks(tokens))
+        rarest = tokens.join(counts, "token").groupBy("win_id").agg(F.count("*").alias("found"), F.min(F.struct("matches", "token", "offset")).alias("r"))
+        # A window occurs only if all its shingles do.
+        whole = (F.col("length") - n + 1) == F.col("found")
+        prefix = rarest.join(own.select("win_id", "win", "length"), "win_id").where(whole).select("win_id", "win", "length", F.col("r.token").alias("token"), F.col("r.offset").alias("offset"))
+        prefix = stash(prefix, "prefix")
+        places = text.select("text", "words", F.posexplode_outer("shingles").alias("at", "token"))
+        around = F.slice("words", F.greatest(F.col("at") + 1 - window, F.lit(0)) + 1, F.lit(2 * window + n))
+        hit = _union(
+            places.join(F.broadcast(block), "token").select(
                 text_sha("text").alias("sha"), "token", "at", F.size("words").alias("n_words"),
                 F.greatest(F.col("at") + 1 - window, F.lit(0)).alias("from"), around.alias("around"),
-            )
-            hits = hit if hits is None else hits.unionByName(hit)
-        found.append((tokens, own, hits))
-    if not found:
-        return spark.createDataFrame([], "sha binary, start int, length int, win_id long"), wins
-    out = None
-    for tokens, own, hit in found:
-        hit = stash(hit.distinct(), "matches")
-        counts = hit.groupBy("token").agg(F.count("*").alias("matches"))
-        ranked = tokens.join(counts, "token", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-        rarest = ranked.groupBy("win_id").agg(F.min(F.struct("matches", "token", "offset")).alias("r"))
-        prefix = rarest.where("r.matches > 0").select("win_id", F.col("r.token").alias("token"), F.col("r.offset").alias("offset")).join(own.select("win_id", "win", "length"), "win_id")
+            )
+            for block in _blocks(prefix)
+        ).distinct()
         start = F.col("at") - F.col("offset")
         part = (
             hit.join(prefix, "token")
@@ -125,9 +119,24 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
             .select("sha", start.cast("int").alias("start"), "length", "win_id")
         )
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "sha binary, start int, length int, win_id long"), wins
     return out, wins
 
 
+def _blocks(tokens: DataFrame) -> list[DataFrame]:
+    """Distinct tokens in tables of BLOCK_SHINGLES, about."""
+    blocks = max(1, math.ceil(tokens.select("token").distinct().count() / BLOCK_SHINGLES))
+    return [tokens.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b).select("token").distinct() for b in range(blocks)]
+
+
+def _union(parts) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def contaminated_texts(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """Per hit text (``sha``): the hit word ranges (start, length), n_hit and the sorted ids of items that occur."""
     places, wins = occurrences(docs, items, window, text_col)
