@@ -3,7 +3,7 @@
 A rule has a host, a path prefix and a verdict.  It fits its host and all subdomains if
 the address's path starts with the rule's; of several the longest wins.  Rules are a short
 list that becomes one expression.  Addresses without a rule are judged by a model: n-grams
-of 3 to 5 bytes of host and path, hashed into a fixed number of weights, trained by
+of 3 to 5 characters of host and path, hashed into a fixed number of weights, trained by
 gradient descent on a small labelled table (``max_rows`` of it at most).
 
 Defined results
@@ -81,10 +81,10 @@ def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray
     """(address, bucket) of every n-gram; host and path have marks of their own at both ends."""
     rows, buckets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for kind, many in enumerate((hosts, paths)):
-        texts = [b"^" + t.encode() + b"$" for t in many]
+        texts = [f"^{t}$".encode("utf-32-le", "surrogatepass") for t in many]
         for lo, hi in C.blocks(texts):
-            raw = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-            ends = np.cumsum([0, *map(len, texts[lo:hi])])
+            raw = np.frombuffer(b"".join(texts[lo:hi]), np.uint32)
+            ends = np.cumsum([0, *(len(t) // 4 for t in texts[lo:hi])])
             for n in GRAMS:
                 at, text = C.window_starts(ends, n)
                 hashes = C.rolling(raw.astype(np.uint64) + np.uint64(1), n, 2 * n + kind)
