@@ -76,8 +76,8 @@ def test_jaccard(docs, empty):
         if doc is not None:
             ids[root(i)].append(doc)
     expected = [(doc, len(sets[i]), min(ids[root(i)], default=None) if sets[i] else doc) for i, (doc, _) in enumerate(texts())]
-    same(jaccard._per_document(docs).collect(), expected)
-    assert jaccard._per_document(empty).count() == 0
+    same(jaccard.document_links(docs).drop("n_links").collect(), expected)
+    assert jaccard.document_links(empty).count() == 0
 
 
 def test_divide_skip_finds_every_link_across_blocks():
@@ -110,9 +110,9 @@ def test_divide_skip_finds_every_link_across_blocks():
 
 
 def test_jaccard_in_blocks(docs, monkeypatch):
-    whole = jaccard._per_document(docs).collect()
+    whole = jaccard.document_links(docs).collect()
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
-    same(jaccard._per_document(docs).collect(), [tuple(r) for r in whole])
+    same(jaccard.document_links(docs).collect(), [tuple(r) for r in whole])
 
 
 @pytest.mark.parametrize("block", [None, 300])
@@ -358,6 +358,8 @@ def test_warc(spark):
     pages = [
         (1, "u", "a WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\n x"), (2, None, None), (3, "x\r\ny", "é"), (4, "u", "a"), (5, "u", "a"), (None, "u", "a"),
         (6, "u", ""), (7, "u", "WARC/1.1\r\n"), (8, "u", "z" * 100), (8, "u", "z" * 100), (9, "u", "WARC/1.1\r\nWARC/1.1\r\n\r\n\r\n"),
+        (10, "http://x/WARC/1.1", "one"), (11, "http://x/\u2028Content-Length: 0", "two"), (12, "WARC/1.1\r\nWARC/1.1", "three"), (13, "\nWARC/1.1\r\n", "four\r\n"), (14, "\u0085Content-Length: 0\r", "\r\n\r\n"),
+        (15, "u", "x\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\ny\r\n\r\n"), (16, "u", "\nWARC/1.1"), (17, "u", "\nWARC/1.1\r\n" * 40),
     ]
     first = {}
     for i, _, h in pages:
@@ -376,6 +378,7 @@ def test_warc(spark):
         warc.write_archives(table.coalesce(1), path, compression=compression)
         spark.conf.set("spark.sql.files.maxPartitionBytes", part)
         same(warc.read_archives(spark, path).select(*columns).collect(), expected)
+        assert warc.read_archives(spark, path).where("NOT intact").count() == 0
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     path = new_path(spark, "test")
     warc.write_archives(table.limit(0), path)
