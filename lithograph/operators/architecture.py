@@ -40,7 +40,7 @@ def classify(classes: DataFrame) -> DataFrame:
     roles = _map({k: v[0] for k, v in ANNOTATION_ROLES.items()})
     sure = _map({k: v[1] for k, v in ANNOTATION_ROLES.items()})
     known = F.get(F.filter("annotations", lambda a: roles[a].isNotNull()), F.lit(0))
-    by_interface = F.arrays_overlap("interfaces", F.array(*map(F.lit, REPOSITORY_INTERFACES)))
+    by_interface = F.arrays_overlap(F.transform("interfaces", lambda i: F.trim(F.substring_index(i, "<", 1))), F.array(*map(F.lit, REPOSITORY_INTERFACES)))
     by_suffix = None
     for suffix in sorted(SUFFIX_ROLES, key=lambda s: (-len(s), s)):  # the longest first
         fits = F.col("class_name").endswith(suffix) & (F.length("class_name") > len(suffix))
@@ -49,7 +49,7 @@ def classify(classes: DataFrame) -> DataFrame:
     segments = F.reverse(F.split(F.lower(F.coalesce("package", F.lit(""))), r"\."))
     by_package = F.get(F.filter(F.transform(segments, lambda s: hints[s]), lambda r: r.isNotNull()), F.lit(0))
     out = classes.withColumns({"_known": known, "_interface": F.coalesce(by_interface, F.lit(False)), "_suffix": by_suffix, "_package": by_package})
-    method = F.when(F.col("_known").isNotNull(), "annotation").when(F.col("_interface"), "interface").when(F.col("_suffix").isNotNull(), "naming").when(F.col("_package").isNotNull(), "package").otherwise("none")
+    method = F.when(F.col("_known").isNotNull(), "annotation").when(F.col("_interface"), "interface").when(F.col("_suffix").isNotNull(), "naming").when(F.col("_package").isNotNull(), "package").otherwise("unknown")
     out = out.withColumn("detection_method", method)
     pick = lambda *v: F.when(F.col("detection_method") == "annotation", v[0]).when(F.col("detection_method") == "interface", v[1]).when(F.col("detection_method") == "naming", v[2]).when(F.col("detection_method") == "package", v[3])
     out = out.withColumn("role", pick(roles[F.col("_known")], F.lit("repository"), F.col("_suffix"), F.col("_package")).otherwise("unknown"))

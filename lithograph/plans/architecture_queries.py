@@ -50,7 +50,7 @@ _ROLES = f"""WITH {_CLASSES},
 g AS (SELECT p_partkey, arg_max(h, i) AS hint FROM (SELECT p_partkey, i, {_HINT} AS h FROM (SELECT p_partkey, unnest(string_split(lower(package), '.')) AS x, generate_subscripts(string_split(lower(package), '.'), 1) AS i FROM c)) WHERE h IS NOT NULL GROUP BY p_partkey),
 r0 AS (SELECT c.*, {_BY_MARK} AS m, {_BY_SUFFIX} AS s, hint FROM c LEFT JOIN g USING (p_partkey)),
 r AS (SELECT *, coalesce(m, CASE WHEN crud THEN 'repository' END, s, hint, 'unknown') AS role,
-  CASE WHEN m IS NOT NULL THEN 'annotation' WHEN crud THEN 'interface' WHEN s IS NOT NULL THEN 'naming' WHEN hint IS NOT NULL THEN 'package' ELSE 'none' END AS detection_method FROM r0),
+  CASE WHEN m IS NOT NULL THEN 'annotation' WHEN crud THEN 'interface' WHEN s IS NOT NULL THEN 'naming' WHEN hint IS NOT NULL THEN 'package' ELSE 'unknown' END AS detection_method FROM r0),
 l AS (SELECT *, {_case("role", list(A.ROLE_LAYER.items()), "{column} = '{k}'")} AS layer FROM r)"""
 
 

@@ -91,10 +91,10 @@ def test_findings_dedup_collapses_equal_class_sets(spark):
 def test_roles(spark):
     rows = [
         ("OrderController", "com.demo.controller", ["RestController", "RequestMapping"], []), ("OrderDTO", "com.demo.dto", [], []), ("DatabaseConfig", "com.demo", [], []),
-        ("JwtFilter", "com.demo.security", [], []), ("Things", "com.demo", [], ["CrudRepository"]), ("Service", None, [], []),
+        ("JwtFilter", "com.demo.security", [], []), ("Things", "com.demo", [], ["CrudRepository"]), ("Service", None, [], []), ("Orders", "com.demo", [], ["JpaRepository<Order, Long>"]),
     ]
     got = {r.class_name: (r.role, r.detection_method) for r in architecture.classify(spark.createDataFrame(rows, "class_name string, package string, annotations array<string>, interfaces array<string>")).collect()}
-    assert got == {"OrderController": ("controller", "annotation"), "OrderDTO": ("dto", "naming"), "DatabaseConfig": ("configuration", "naming"), "JwtFilter": ("security", "package"), "Things": ("repository", "interface"), "Service": ("unknown", "none")}
+    assert got == {"OrderController": ("controller", "annotation"), "OrderDTO": ("dto", "naming"), "DatabaseConfig": ("configuration", "naming"), "JwtFilter": ("security", "package"), "Things": ("repository", "interface"), "Service": ("unknown", "unknown"), "Orders": ("repository", "interface")}
 
 
 def test_packages(spark):
