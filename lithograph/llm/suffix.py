@@ -204,14 +204,25 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
+def run_hashes(raw: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each run of bytes, some thousand runs at a time."""
+    out, table = np.empty(len(place), np.uint64), C.powers(C.BASE, int(size.max(initial=1)))
+    for lo in range(0, len(place), 5_000):
+        some = slice(lo, lo + 5_000)
+        first = np.cumsum(size[some]) - size[some]
+        values = raw[ragged(place[some], size[some])].astype(np.uint64) + np.uint64(1)
+        values *= table[ragged(np.zeros(len(first), np.int64), size[some])]
+        out[some] = np.add.reduceat(values, first)
+    return out
+
+
 def _first_equal(raw, key, id_, rel, count, place, length: int) -> np.ndarray:
     """For each run the equal run (key, offset and all bytes) of the smallest id, itself if there is none.
 
     Copies of one passage are sorted once this way, however many there are.
     """
-    prefix, size = prefix_hashes(raw), count + length - 1
-    whole = (prefix[place + size] - prefix[place]) * C.power_at(C.BASE_INVERSE, place)
-    del prefix
+    size = count + length - 1
+    whole = run_hashes(raw, place, size)
     order = np.lexsort((id_, whole, count, rel, key))
     fresh = np.ones(len(order), bool)
     for column in (key, rel, count, whole):
@@ -302,7 +313,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        sizes, payloads = table["n"].to_pylist(), table["payload"].to_pylist()
+        sizes, payloads = table["n"].to_pylist(), [p.as_buffer() for p in table["payload"]]
         part: dict[str, list] = {k: [] for k in ("key", "id", "rel", "count", "raw")}
         for n, p in zip(sizes, payloads):
             part["key"].append(np.frombuffer(p, np.uint64, n))
@@ -311,6 +322,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             part["count"].append(np.frombuffer(p, np.uint16, n, 18 * n))
             part["raw"].append(np.frombuffer(p, np.uint8, -1, 20 * n))
         key, id_, rel, count, raw = (np.concatenate(part[k]) for k in ("key", "id", "rel", "count", "raw"))
+        table = table.select(["chunk", "bucket"])
+        del part, payloads, p
         rel, count = rel.astype(np.int64), count.astype(np.int64)
         place = np.cumsum(count + length - 1) - (count + length - 1)
         answer_at = np.cumsum(count) - count
@@ -347,7 +360,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         edges = np.cumsum([0, *sizes])
         windows = np.concatenate([answer_at, [len(gone)]])
         bits = pa.array([np.packbits(gone[windows[a] : windows[b]]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-        del part, key, id_, rel, count, raw, gone
+        del key, id_, rel, count, raw, gone
         C.release()
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "payload": bits})
 
