@@ -83,10 +83,24 @@ def simple_paths(edges: DataFrame, source, target, cutoff: int) -> DataFrame:
     return done
 
 
-def shortest_path(edges: DataFrame, source, target, cutoff: int = 10) -> DataFrame:
-    """The shortest path; of equally short ones the first in the order of its nodes."""
-    found = simple_paths(edges, source, target, cutoff)
-    return found.orderBy("length", "path").limit(1)
+def shortest_path(edges: DataFrame, source, target, cutoff: int | None = None) -> DataFrame:
+    """(path, length) of the shortest path; of equally short ones the first in the order of its nodes.
+
+    Breadth first: every node is reached once, with the least path to it, so work follows nodes and edges.
+    """
+    kind = dict(edges.dtypes)["src"]
+    start = edges.sparkSession.createDataFrame([(source,)], ["id"]).select(F.col("id").cast(kind).alias("id"))
+    frontier = cut(start.select("id", F.array("id").alias("path")))
+    seen, depth = frontier.select("id"), 0
+    while cutoff is None or depth < cutoff:
+        depth += 1
+        step = frontier.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
+        frontier = cut(step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti"))
+        hit = frontier.where(F.col("id") == target).select("path", F.lit(depth).alias("length"))
+        if not hit.isEmpty() or frontier.isEmpty():
+            return hit
+        seen = cut(seen.unionByName(frontier.select("id")))
+    return frontier.limit(0).select("path", F.lit(depth).alias("length"))
 
 
 def path_steps(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,17 +109,20 @@ def path_steps(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.select("path", step.alias("step", "e")).select("path", "step", "e.src", "e.dst").join(edges, ["src", "dst"])
 
 
-def cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """(path, length) of elementary cycles of up to ``max_length`` edges, from their smallest node."""
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(path, length) of elementary cycles (of up to ``max_length`` edges), from their smallest node."""
     paths = edges.where("src < dst").select(F.col("src").alias("root"), F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
-    done = None
-    for length in range(2, max_length + 1):
+    done, length = None, 1
+    while True:
+        length += 1
         closed = paths.join(edges, (F.col("at") == F.col("src")) & (F.col("root") == F.col("dst"))).select("path", F.lit(length).alias("length"))
         done = closed if done is None else done.unionByName(closed)
         if length == max_length:
             break
         onward = paths.join(edges, F.col("at") == F.col("src")).where((F.col("dst") > F.col("root")) & ~F.array_contains("path", F.col("dst")))
         paths = cut(onward.select("root", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at")))
+        if max_length is None and paths.isEmpty():
+            break
     return done
 
 

@@ -60,3 +60,28 @@ def severity_rank(column: str, levels: tuple[str, ...]) -> Column:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def may(pairs: DataFrame, grants: DataFrame, permissions: tuple | None = None, owner: str = "owner_id", key: str = "id") -> DataFrame:
+    """Of (user_id, role, key, owner) the pairs that are allowed: administrators, owners, and users with a grant (one of ``permissions``)."""
+    enough = grants if permissions is None else grants.where(F.col("permission").isin(*permissions))
+    held = enough.select("user_id", key).distinct().withColumn("_held", F.lit(True))
+    out = pairs.join(held, ["user_id", key], "left")
+    return out.where((F.col("role") == "admin") | F.col(owner).eqNullSafe(F.col("user_id")) | F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def conflicts(rows: DataFrame, changes: DataFrame, key: str, unique: str) -> DataFrame:
+    """Changes whose new value of a unique column another row has already."""
+    taken = rows.select(F.col(unique).alias("_value"), F.col(key).alias("_other"))
+    hit = changes.where(F.col(unique).isNotNull()).join(taken, (F.col(unique) == F.col("_value")) & (F.col(key) != F.col("_other")), "left_semi")
+    return hit.select(changes.columns)
+
+
+def set_where(rows: DataFrame, condition: Column, **values) -> DataFrame:
+    """Columns set where the condition holds; all other rows as they were."""
+    return rows.select(*(F.when(F.coalesce(condition, F.lit(False)), F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns))
+
+
+def lookup(rows: DataFrame, **equals) -> DataFrame:
+    """Rows of one key; the predicate reaches the scan."""
+    return optional_filters(rows, **equals)

@@ -48,17 +48,20 @@ def _lines(order: str, line: str) -> Column:
 
 
 def text_report(found: DataFrame) -> DataFrame:
-    """One row, report: findings by severity, then by order."""
-    line = F.format_string("[%s] %s: %s", F.upper("severity"), "rule_id", "title")
-    key = F.format_string("%02d-%04d-%s", severity_order(), "rule_seq", "unit")
-    return found.select(key.alias("k"), line.alias("line")).agg(_lines("k", "line").alias("report"))
+    """(part, rule_seq, unit, k, line): findings under a head for each severity, worst first; ordered by the first four it is the text."""
+    order = severity_order().cast("int")
+    heads = found.groupBy("severity").agg(F.count("*").alias("n")).select(order.alias("part"), F.lit(-1).alias("rule_seq"), F.lit("").alias("unit"), F.posexplode(F.array(F.concat(F.upper("severity"), F.lit(" FINDINGS ("), F.col("n").cast("string"), F.lit(")")), F.lit("-" * 40))).alias("k", "line"))
+    body = F.array_compact(F.array(
+        F.concat(F.lit("  ["), "rule_id", F.lit("] "), "title"), F.concat(F.lit("    Category : "), "category"), F.concat(F.lit("    Classes  : "), "unit"),
+        F.when(F.col("evidence") != "", F.concat(F.lit("    Evidence : "), F.substring("evidence", 1, 150))), F.lit(""),
+    ))
+    return heads.unionByName(found.select(order.alias("part"), "rule_seq", "unit", F.posexplode(body).alias("k", "line")))
 
 
 def json_report(found: DataFrame) -> DataFrame:
-    """One row, json: findings in order, as an array of objects."""
-    item = F.struct("rule_id", "severity", F.substring("title", 1, 500).alias("title"))
-    ordered = F.array_sort(F.collect_list(F.struct("rule_seq", "unit", item.alias("f"))))
-    return found.agg(F.to_json(F.transform(ordered, lambda s: s["f"])).alias("json"))
+    """(rule_seq, unit, json): a finding an object, in order; evidence is cut to 500 characters and line numbers are left out."""
+    item = F.struct("category", "severity", "rule_id", "title", F.array(F.col("unit").cast("string")).alias("affected_classes"), F.substring(F.coalesce("evidence", F.lit("")), 1, 500).alias("evidence"))
+    return found.select("rule_seq", "unit", F.to_json(item).alias("json"))
 
 
 def mermaid(edges: DataFrame, src: str, dst: str) -> DataFrame:

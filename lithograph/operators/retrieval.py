@@ -84,3 +84,42 @@ def class_filter(chunks: DataFrame, needle: str, column: str, fallback: int = 4)
     return chunks.orderBy(chunks.columns[0]).limit(fallback) if hit.isEmpty() else hit
 
 
+
+
+def normalised(vectors: DataFrame) -> DataFrame:
+    """Vectors of length one; a zero vector stays as it is."""
+    size = norm("embedding")
+    return vectors.withColumn("embedding", F.transform("embedding", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double"))))
+
+
+def hybrid(docs: DataFrame | None, vectors: DataFrame, query_text: str, query_vector: DataFrame, k: int = 8, weights=(0.4, 0.6)) -> DataFrame:
+    """(id, score): words and vectors fused by rank; vectors alone where there are no documents."""
+    dense = ranked(cosine_top_k(vectors, query_vector, k), "vec_id").withColumnRenamed("vec_id", "id")
+    if docs is None or docs.isEmpty():
+        return reciprocal_rank_fusion([(dense, 1.0)], "id")
+    words = ranked(bm25_top_k(docs, query_text, k), "doc_id").withColumnRenamed("doc_id", "id")
+    return reciprocal_rank_fusion([(words, weights[0]), (dense, weights[1])], "id")
+
+
+def file_name(path) -> Column:
+    return F.substring_index(F.substring_index(path, "\\", -1), "/", -1)
+
+
+def explain(chunks: DataFrame, name: str, fallback: int = 4) -> DataFrame:
+    """Chunks whose class or file name holds the name, whatever the case; else the first few by ``rank``."""
+    needle = name.lower()
+    fits = F.lower(F.coalesce("class_name", F.lit(""))).contains(needle) | F.lower(file_name("file_path")).contains(needle)
+    hit = chunks.where(fits)
+    return chunks.orderBy("rank").limit(fallback) if hit.isEmpty() else hit
+
+
+def labelled(chunks: DataFrame) -> DataFrame:
+    """(rank, source, block): each chunk of a ranked list under its label: method, class, or file alone."""
+    name = file_name("file_path")
+    label = F.when(F.coalesce("method", F.lit("")) != "", F.concat(name, F.lit(" >> "), F.coalesce("class_name", F.lit("")), F.lit("."), "method", F.lit("()"))).when(F.coalesce("class_name", F.lit("")) != "", F.concat(name, F.lit(" >> "), "class_name")).otherwise(name)
+    return chunks.select("rank", name.alias("source"), F.concat(F.lit("--- ["), F.col("rank").cast("string"), F.lit("] "), label, F.lit(" ["), "chunk_type", F.lit("] ---\n"), "page_content").alias("block"))
+
+
+def sources(blocks: DataFrame) -> DataFrame:
+    """(source, rank): each source once, where it first comes."""
+    return blocks.groupBy("source").agg(F.min("rank").alias("rank"))

@@ -1,19 +1,22 @@
 """A review engine whose rules are data.
 
-A rule is (rule_id, category, severity, title, pattern, least): it finds a unit whose text
-matches the pattern at least ``least`` times; some take a set of required or suppressing
-patterns.  All rules compile to one projection over the units, so texts are read once.
-Findings are de-duplicated, scored, graded and summed up by grouped aggregates.
+A rule finds a unit whose text matches its pattern at least ``least`` times; some count
+different matches, need another pattern, or are silent where one is there.  All rules compile
+to one projection over the units, so texts are read once.  Findings are filtered,
+de-duplicated, scored, graded and summed up by grouped aggregates.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
+#: The order in which analyzers report.
+CATEGORIES = ("solid", "security", "performance", "maintainability", "duplicates", "tech_debt", "patterns")
 # The weight of a finding, and the least score of each grade.
 WEIGHTS = {"critical": 10, "high": 5, "medium": 2, "low": 1, "info": 0}
 GRADES = ((90, "A"), (75, "B"), (60, "C"), (45, "D"))
@@ -24,31 +27,78 @@ class Rule:
     rule_id: str
     category: str
     severity: str
-    title: str
+    title: str  # with {unit}, {hits} and {values}
     pattern: str
     least: int = 1
     distinct: bool = False  # count different matches
+    group: int = 0  # of the pattern, which is counted
     requires: str | None = None
     unless: str | None = None
+    needs: str | None = None  # a text that every match holds: looked for first
+    exempt: tuple[str, ...] = ()  # matches that end so do not count
+    silent: tuple[str, ...] = ()  # matches that begin so do not count
+    most: int | None = None  # hits told at most
+    worse: tuple[int, str] | None = None  # from so many hits on another severity
+    skip_lines: str | None = None  # lines that are not looked at
+
+
+def _values(r: Rule, content: Column) -> Column:
+    if r.skip_lines:
+        content = F.array_join(F.filter(F.split(content, "\n"), lambda x: ~x.rlike(r.skip_lines)), "\n")
+    found = F.regexp_extract_all(content, F.lit(r.pattern), F.lit(r.group))
+    if r.exempt:
+        found = F.filter(found, lambda x: ~x.rlike("(?:" + "|".join(r.exempt) + ")$"))
+    if r.silent:
+        found = F.filter(found, lambda x: ~x.rlike("^(?:" + "|".join(r.silent) + ")"))
+    return F.array_distinct(found) if r.distinct else found
+
+
+def _title(r: Rule, unit: Column, hits: Column, values: Column) -> Column:
+    parts = {"{unit}": unit.cast("string"), "{hits}": hits.cast("string"), "{values}": F.array_join(values, ", ")}
+    return F.concat(*(parts.get(x, F.lit(x)) for x in re.split(r"(\{\w+\})", r.title) if x))
 
 
 def findings(units: DataFrame, rules: tuple[Rule, ...], unit: str = "class_name", text: str = "content") -> DataFrame:
-    """(rule_seq, rule_id, category, severity, title, unit, hits), one row per rule that a unit breaks."""
+    """(unit, rule_seq, rule_id, category, severity, title, hits, evidence), one row per rule that a unit breaks."""
     content = F.coalesce(F.col(text), F.lit(""))
     checks = []
     for seq, r in enumerate(rules):
-        found = F.regexp_extract_all(content, F.lit(r.pattern), F.lit(0))
-        hits = F.size(F.array_distinct(found) if r.distinct else found)
-        broken = F.lit(True)
+        values = _values(r, content)
+        count = F.size(values)
+        hits = F.least(count, F.lit(r.most)) if r.most else count
+        broken = count >= r.least
+        if r.needs:
+            broken = content.contains(r.needs) & broken
         if r.requires:
             broken = broken & content.rlike(r.requires)
         if r.unless:
             broken = broken & ~content.rlike(r.unless)
-        checks.append(F.struct(
-            F.lit(seq).alias("rule_seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
-            F.concat(F.lit(r.title + " in "), F.col(unit).cast("string")).alias("title"), F.when(broken, hits).otherwise(0).alias("hits"), F.lit(r.least).alias("least"),
-        ))
-    return units.select(F.col(unit).alias("unit"), F.inline(F.array(*checks))).where("hits >= least").drop("least")
+        severity = F.when(count >= r.worse[0], r.worse[1]).otherwise(r.severity) if r.worse else F.lit(r.severity)
+        checks.append(F.when(broken, F.struct(
+            F.lit(seq).alias("rule_seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), severity.alias("severity"),
+            _title(r, F.col(unit), hits, values).alias("title"), hits.alias("hits"), F.substring(F.get(values, F.lit(0)), 1, 500).alias("evidence"),
+        )))
+    return units.select(F.col(unit).alias("unit"), F.inline(F.array_compact(F.array(*checks))))
+
+
+def chosen(rules: tuple[Rule, ...], categories: str | None) -> tuple[Rule, ...]:
+    """The rules of some analyzers, named in a comma-separated list; all of them without one."""
+    if not categories:
+        return rules
+    wanted = {c.strip().lower() for c in categories.split(",")}
+    return tuple(r for r in rules if r.category in wanted)
+
+
+def with_severity(found: DataFrame, *severities: str) -> DataFrame:
+    return found.where(F.col("severity").isin(*severities))
+
+
+def in_category(found: DataFrame, *categories: str) -> DataFrame:
+    return found.where(F.col("category").isin(*categories))
+
+
+def analyzer_order(column: str = "category") -> Column:
+    return F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col(column))
 
 
 def dedup(found: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def graph_shortest_path(spark, sf):
 
 @catalog.add(_PATHS + """ , best AS (SELECT path FROM walk WHERE here = 7 ORDER BY len(path), path LIMIT 1),
 step AS (SELECT unnest(path) AS id, generate_subscripts(path, 1) AS k FROM best)
-SELECT string_agg(n_name || ' (' || n_regionkey || ')', ' --[trade]--> ' ORDER BY k) AS chain FROM step JOIN nation ON n_nationkey = id""")
+SELECT coalesce(string_agg(n_name || ' (' || n_regionkey || ')', ' --[trade]--> ' ORDER BY k), '') AS chain FROM step JOIN nation ON n_nationkey = id""")
 def graph_chain_text(spark, sf):
     path = graph.shortest_path(cut(edges(spark, sf)), 3, 7, 5).select(F.posexplode("path").alias("k", "id"))
     named = path.join(table(spark, sf, "nation"), F.col("id") == F.col("n_nationkey"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithograph.functions.storage import cut
 from lithograph.operators import chunking, reports, rules
 from lithograph.operators import graph as G
 from lithograph.sources import java
@@ -65,6 +66,11 @@ def parsed(spark, sf):
     return java.parse(java.supported(java_files(spark, sf)))
 
 
+def kept(spark, sf):
+    """Parsed files that are read more than once."""
+    return cut(parsed(spark, sf))
+
+
 def _steps_sql() -> str:
     out = ["s0 AS (SELECT CAST(p_partkey AS BIGINT) AS k, (SELECT count(*) FROM part) AS n FROM part)"]
     for i, step in enumerate(STEPS):
@@ -118,7 +124,7 @@ def java_nodes(spark, sf):
 
 @catalog.add(_GRAPH + " SELECT * FROM edges")
 def java_graph_edges(spark, sf):
-    return java.graph(parsed(spark, sf))[1]
+    return java.graph(kept(spark, sf))[1]
 
 
 _RANK = "CASE class_type WHEN 'controller' THEN 3 WHEN 'service' THEN 2 WHEN 'component' THEN 2 WHEN 'repository' THEN 1 WHEN 'bean' THEN 1 ELSE 0 END"
@@ -126,14 +132,14 @@ _RANK = "CASE class_type WHEN 'controller' THEN 3 WHEN 'service' THEN 2 WHEN 'co
 
 @catalog.add(_GRAPH + f" SELECT src, dst FROM edges JOIN (SELECT id, {_RANK} AS r FROM nodes) s ON s.id = src JOIN (SELECT id, {_RANK} AS r FROM nodes) e ON e.id = dst WHERE s.r > 0 AND e.r > 0 AND s.r < e.r")
 def java_layer_violations(spark, sf):
-    nodes, edges = java.graph(parsed(spark, sf))
+    nodes, edges = java.graph(kept(spark, sf))
     ranks = nodes.select("id", F.expr(_RANK).alias("rank"))
     return G.layer_violations(edges, ranks).select("src", "dst")
 
 
 @catalog.add(_GRAPH + " SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
 def java_orphans(spark, sf):
-    nodes, edges = java.graph(parsed(spark, sf))
+    nodes, edges = java.graph(kept(spark, sf))
     return G.orphans(nodes, edges)
 
 
@@ -142,12 +148,12 @@ _DEGREES = _GRAPH + """, deg AS (SELECT id, coalesce(a.n, 0) AS ca, coalesce(e.n
 
 @catalog.add(_DEGREES + " SELECT id, ca, ce, round(CASE WHEN ca + ce = 0 THEN 0.0 ELSE CAST(ce AS DOUBLE) / (ca + ce) END, 3) AS instability, ca + ce > 4 AS highly_coupled FROM deg")
 def java_coupling(spark, sf):
-    return G.degrees(*java.graph(parsed(spark, sf)))
+    return G.degrees(*java.graph(kept(spark, sf)))
 
 
 @catalog.add(_DEGREES + """, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) SELECT d.id AS name, class_type, ca AS dependents FROM deg d JOIN nodes n ON n.id = d.id WHERE ca > 0 ORDER BY ca DESC, d.id LIMIT 10""")
 def java_most_depended_on(spark, sf):
-    nodes, edges = java.graph(parsed(spark, sf))
+    nodes, edges = java.graph(kept(spark, sf))
     return G.top_by_degree(nodes, edges, "dst", 10).where("degree > 0").join(nodes.select("id", "class_type"), "id").select(F.col("id").alias("name"), "class_type", F.col("degree").alias("dependents"))
 
 
@@ -157,7 +163,7 @@ _JSON_EDGE = """'{"source":"' || src || '","target":"' || dst || '","dep_type":"
 
 @catalog.add(_GRAPH + f" SELECT 'nodes' AS part, id AS key, {_JSON_NODE} AS json FROM nodes UNION ALL SELECT 'edges', src || '>' || dst, {_JSON_EDGE} FROM edges UNION ALL SELECT 'stats', '', '{{\"total_classes\":' || (SELECT count(*) FROM nodes) || ',\"total_dependencies\":' || (SELECT count(*) FROM edges) || '}}'")
 def java_adjacency_json(spark, sf):
-    nodes, edges = java.graph(parsed(spark, sf))
+    nodes, edges = java.graph(kept(spark, sf))
     return reports.adjacency_rows(nodes, edges)
 
 
@@ -165,7 +171,7 @@ def java_adjacency_json(spark, sf):
 UNION ALL SELECT 2, src || '>' || dst, '  "' || src || '" -> "' || dst || '" [style="' || {_case('dep_type', {k: v[0] for k, v in reports.DOT_EDGE_STYLE.items()}, 'dashed')} || '", color="' || {_case('dep_type', {k: v[1] for k, v in reports.DOT_EDGE_STYLE.items()}, 'gray')} || '", label="' || dep_type || '"];' FROM edges""")
 def java_dot(spark, sf):
     """Lines of a Graphviz text in order (part, key), without its fixed first and last lines."""
-    return reports.dot_rows(*java.graph(parsed(spark, sf))).where("part IN (1, 2)")
+    return reports.dot_rows(*java.graph(kept(spark, sf))).where("part IN (1, 2)")
 
 
 _PARTS = [(0, 0, 54), (1, 48, 102), (2, 96, 150), (3, 144, 151)]

@@ -52,27 +52,44 @@ _FOUND = Q.findings_sql(Q._JAVA, Q.JAVA_RULES)
 _ORD = Q._ORD
 
 
-@catalog.add(_FOUND + f" SELECT string_agg('[' || upper(severity) || '] ' || rule_id || ': ' || title, chr(10) ORDER BY {_ORD}, rule_seq, unit) AS report FROM found")
+@catalog.add(_FOUND + f""", c AS (SELECT severity, count(*) AS n FROM found GROUP BY severity) SELECT CAST({_ORD} AS INT) AS part, -1 AS rule_seq, '' AS unit, CAST(unnest(range(2)) AS INT) AS k, unnest([upper(severity) || ' FINDINGS (' || n || ')', repeat('-', 40)]) AS line FROM c
+UNION ALL SELECT part, rule_seq, unit, CAST(unnest(range(len(l))) AS INT), unnest(l) FROM (SELECT CAST({_ORD} AS INT) AS part, rule_seq, unit, list_filter(['  [' || rule_id || '] ' || title, '    Category : ' || category, '    Classes  : ' || unit,
+CASE WHEN evidence <> '' THEN '    Evidence : ' || evidence[1:150] END, ''], lambda x: x IS NOT NULL) AS l FROM found)""")
 def review_text_report(spark, sf):
     return P.text_report(Q._java_findings(spark, sf))
 
 
-@catalog.add(_FOUND + """ SELECT '[' || string_agg('{"rule_id":"' || rule_id || '","severity":"' || severity || '","title":"' || title || '"}', ',' ORDER BY rule_seq, unit) || ']' AS json FROM found""")
+_JSON = r"""'{"category":"' || category || '","severity":"' || severity || '","rule_id":"' || rule_id || '","title":' || to_json(title) || ',"affected_classes":["' || unit || '"],"evidence":' || to_json(evidence) || '}'"""
+
+
+@catalog.add(_FOUND + f" SELECT rule_seq, unit, {_JSON} AS json FROM found")
 def review_json_report(spark, sf):
     return P.json_report(Q._java_findings(spark, sf))
 
 
+@catalog.add(_FOUND + f" SELECT count(*) AS findings, count(DISTINCT j->>'rule_id') AS rules FROM (SELECT CAST({_JSON} AS JSON) AS j FROM found)")
+def review_report_saved(spark, sf):
+    """The report written as JSON lines in order, and read again."""
+    from lithograph.sources import metadata
+    from lithograph.streaming.events import work_folder
+
+    path = work_folder(spark, "review")
+    metadata.save_lines(P.json_report(Q._java_findings(spark, sf)), path, ["rule_seq", "unit"], "json")
+    back = metadata.load_json(spark, path, "category string, rule_id string, title string")
+    return back.agg(F.count("rule_id").alias("findings"), F.count_distinct("rule_id").alias("rules"))
+
+
 @catalog.add(_FOUND + Q._SCORE + f""", g AS ({Q._GRADE.strip()}), c AS (SELECT category, 10 * count(*) FILTER (WHERE severity = 'critical') + 5 * count(*) FILTER (WHERE severity = 'high') + 2 * count(*) FILTER (WHERE severity = 'medium') AS p FROM found GROUP BY category ORDER BY p DESC, category LIMIT 3)
 SELECT format('{{}} findings ({{}} critical, {{}} high, {{}} medium). Score {{:.1f}} ({{}}). Focus: {{}}.', count(*), count(*) FILTER (WHERE severity = 'critical'), count(*) FILTER (WHERE severity = 'high'), count(*) FILTER (WHERE severity = 'medium'),
 (SELECT score FROM g), (SELECT grade FROM g), (SELECT string_agg(category, ', ' ORDER BY p DESC, category) FROM c)) AS summary FROM found""")
 def review_executive_summary(spark, sf):
     found = Q._java_findings(spark, sf)
-    return P.executive_summary(found, E.quality_score(found, len(Q.JAVA)), E.executive_top(found))
+    return P.executive_summary(found, E.quality_score(found, Q.java_units(spark, sf).count()), E.executive_top(found))
 
 
 @catalog.add(_FOUND + f" SELECT rule_id, f.unit, content[1:800] AS snippet FROM (SELECT * FROM found ORDER BY {_ORD}, rule_seq, unit LIMIT 5) f JOIN units ON units.unit = f.unit")
 def review_first_snippets(spark, sf):
-    chunks = Q.java_units(spark).select(F.col("class_name").alias("unit"), "content", F.lit(0).alias("chunk_index"))
+    chunks = Q.java_units(spark, sf).select(F.col("class_name").alias("unit"), "content", F.lit(0).alias("chunk_index"))
     return P.first_snippets(Q._java_findings(spark, sf), chunks)
 
 
@@ -104,23 +121,6 @@ def rule_metadata_thresholds(spark, sf):
     return m.select("unit", F.inline(F.array_compact(F.array(*checks)))).select("rule_id", "severity", "unit")
 
 
-#: Rules whose patterns look around; SQL of the other engine has no such patterns.  Fixed values, as above.
-LOOKAROUND_RULES = (
-    E.Rule("SOLID-D001", "solid", "medium", "@Autowired field injection", r"@Autowired\s*\n\s*(?:private|protected|public)\s+(?!static)"),
-    E.Rule("SOLID-I001", "solid", "medium", "Wide interface", r"(?m)(?:public\s+)?(?:default\s+)?(?!void\s+\w+\s*=)[a-zA-Z_$<>\[\]]+\s+\w+\s*\([^)]*\)\s*(?:throws[^;{]+)?[;{]", least=11),
-    E.Rule("MAINT-003", "maintainability", "low", "Magic numbers", r"(?<![A-Z_=])\b(?!0\b|1\b)(?:\d{2,}|[02-9]\.\d+)\b(?!\s*[;,)]?\s*;?\s*//)", least=4, distinct=True),
-    E.Rule("MAINT-010", "maintainability", "medium", "Public mutable fields", r"(?m)^\s*public\s+(?!static\s+final)(?!class|interface|enum|@interface|void)[A-Za-z_$][\w<>\[\]]*\s+[a-z]\w*\s*[=;]"),
-    E.Rule("DEBT-005", "tech_debt", "medium", "Hardcoded address", r'"https?://(?!localhost|127\.0\.0\.1|example\.com|schemas\.)[^"]{5,}"'),
-)
-
-
-@catalog.add()
-def rule_findings_lookaround(spark, sf):
-    own = [("Fields", "class Fields {\n    @Autowired\n    private Engine engine;\n    public int speed;\n}"), ("Numbers", 'class Numbers { int[] a = {12, 34, 56, 78}; String u = "https://api.vendor.io/v1"; }'), ("Fine", 'class Fine { String u = "http://localhost:80/x"; }')]
-    units = Q.java_units(spark).unionByName(spark.createDataFrame(own, "class_name string, content string"))
-    return E.findings(units, LOOKAROUND_RULES).select("rule_id", "severity", "title", "unit", "hits")
-
-
 @catalog.add("""SELECT name AS iface, count(DISTINCT doc_id) AS implementors FROM (SELECT doc_id, unnest(list_distinct(string_split(source, 'c'))) AS name FROM documents) WHERE name <> '' AND NOT ends_with(name, '7') GROUP BY name HAVING count(DISTINCT doc_id) >= 3""")
 def strategy_implementors(spark, sf):
     """Interfaces with three implementors or more, but for exempt names."""
@@ -134,16 +134,6 @@ _PARAMS = r"(?:public|protected|private)\s+[\w<>\[\]]+\s+\w+\s*\(([^)]+)\)"
 _PRIMITIVE = r"(?:int|long|double|float|boolean|short|byte|char)\s+\w+"
 _PUBLIC, _JAVADOC = r"public\s+[\w<>\[\]]+\s+\w+\s*\(", r"/\*\*"
 
-COMPUTED = (
-    ("Api", "@RestController class Api { public Order make(@RequestBody Order o) { return o; } public Order put(@Valid @RequestBody Order o, @RequestBody Note n) { return o; } }"),
-    ("GoodApi", "@RestController class GoodApi { public Order put(@Valid @RequestBody Order o) { return o; } }"),
-    ("Wide", "class Wide { public void go(int a, int b, long c, String d, double e, boolean f) {} private int one(int a) { return a; } }"),
-    ("Silent", "class Silent {" + " int x;" * 3 + "}" + "\nint y;" * 60),
-    ("Spoken", "class Spoken {\n/** why */\npublic int a() { return 1; }\n/** why */\npublic int b() { return 2; }\n}" + "\n// note" * 60),
-    ("Mute", "class Mute { public int a() { return 1; } public int b() { return 2; } }"),
-)
-
-
 def _hits(pattern):
     return f"len(regexp_extract_all(content, {Q._quote(pattern)}))"
 
@@ -158,10 +148,7 @@ _COMPUTED_SQL = {
     "MAINT-009": ("info", f"len({_LINES}) >= 50 AND {_COMMENTS} < 0.05 * len({_LINES})"),
     "DEBT-003": ("low", f"{_hits(_PUBLIC)} > 0 AND {_hits(_JAVADOC)} < 0.5 * {_hits(_PUBLIC)}"),
 }
-_CORPUS = "(VALUES " + ", ".join(f"({Q._quote(c)}, " + " || chr(10) || ".join(Q._quote(x) for x in t.split("\n")) + ")" for c, t in COMPUTED) + ") v(unit, content)"
-
-
-@catalog.add(" UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity, unit FROM {_CORPUS} WHERE {c}" for r, (s, c) in _COMPUTED_SQL.items()))
+@catalog.add(" UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity, unit FROM {Q._corpus_sql()} WHERE {c}" for r, (s, c) in _COMPUTED_SQL.items()))
 def rule_findings_computed(spark, sf):
     """Rules that compare counts: validation, parameter lists, comments."""
     count = lambda p: F.size(F.regexp_extract_all("content", F.lit(p), F.lit(0)))
@@ -177,5 +164,5 @@ def rule_findings_computed(spark, sf):
         "DEBT-003": (count(_PUBLIC) > 0) & (count(_JAVADOC) < 0.5 * count(_PUBLIC)),
     }
     checks = [F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(_COMPUTED_SQL[r][0]).alias("severity"))) for r, c in broken.items()]
-    units = spark.createDataFrame(list(COMPUTED), "unit string, content string")
+    units = Q.java_units(spark, sf).withColumnRenamed("class_name", "unit")
     return units.select("unit", F.inline(F.array_compact(F.array(*checks)))).select("rule_id", "severity", "unit")

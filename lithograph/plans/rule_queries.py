@@ -1,7 +1,9 @@
-"""Review rules over documents, pages and a small Java corpus, all through one engine."""
+"""Review rules over documents, pages and a Java class for each part, all through one engine."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lithograph.operators import rules as E
@@ -9,54 +11,59 @@ from lithograph.plans.tables import Catalog, table
 
 catalog = Catalog()
 
-# Patterns that decide what a rule finds.  Those of the Java rules must be these for equal results.
+# Patterns that decide what a rule finds, and the titles of findings.  Those of the Java rules must be these for equal results.
+_CREDENTIAL = r'(?i)(?:password|passwd|secret|api[_-]?key|token|credential|auth)\s*=\s*"[^"]{4,}"'
+_SECURITY_WORD = r"(?i)(?:token|session|nonce|salt|key|secret|otp|password)"
+_MAGIC_STRING = r'(?:return|=|\+=)\s*"([A-Za-z][^"]{5,})"'
+_EXEMPT = ("Exception", "Error", "Builder", "DTO", "Dto", "Request", "Response", "Event", "ArrayList", "HashMap", "HashSet", "LinkedList", "LinkedHashMap", "StringBuilder", "StringBuffer", "Random", "Date", "BigDecimal", "BigInteger", "LocalDate", "LocalDateTime", "ZonedDateTime")
+_FINAL = r"(?:static\s+)?final\s+\w+\s+[A-Z_][A-Z0-9_]*\s*="
+
 TEXT_RULES = (
-    E.Rule("SEC-002", "security", "critical", "Hardcoded credential", r'(?i)(?:password|passwd|secret|api[_-]?key|token|credential|auth)\s*=\s*"[^"]{4,}"'),
-    E.Rule("SEC-006", "security", "medium", "Security word", r"(?i)(?:token|session|nonce|salt|key|secret|otp|password)"),
-    E.Rule("MAINT-003b", "maintainability", "low", "Magic string", r'(?:return|=|\+=)\s*"([A-Za-z0-9][^"]{5,})"'),
-    E.Rule("ANTI-005", "patterns", "low", "Primitive parameter", r"(?:int|long|double|float|boolean|short|byte|char)\s+[A-Za-z0-9_]+", least=2),
-    E.Rule("PII-001", "privacy", "high", "E-mail address", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}"),
-    E.Rule("PII-002", "privacy", "medium", "IPv4 literal", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    E.Rule("TXT-001", "maintainability", "info", "Multi-digit number", r"[0-9]{5,}"),
+    E.Rule("SEC-002", "security", "critical", "Hardcoded credential in {unit}", _CREDENTIAL, needs='"'),
+    E.Rule("TXT-002", "security", "medium", "Security word in {unit}", _SECURITY_WORD),
+    E.Rule("TXT-003", "maintainability", "low", "Quoted text in {unit}", _MAGIC_STRING, needs='"'),
+    E.Rule("TXT-004", "patterns", "low", "Primitive parameter in {unit}", r"(?:int|long|double|float|boolean|short|byte|char)\s+[A-Za-z0-9_]+", least=2),
+    E.Rule("PII-001", "privacy", "high", "E-mail address in {unit}", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}", needs="@"),
+    E.Rule("PII-002", "privacy", "medium", "IPv4 literal in {unit}", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    E.Rule("TXT-001", "maintainability", "info", "{hits} multi-digit number(s) in {unit}", r"[0-9]{5,}"),
 )
 
 JAVA_RULES = (
-    E.Rule("SOLID-O001", "solid", "medium", "instanceof checks", r"\binstanceof\s+([A-Z][a-zA-Z0-9_]+)", least=3),
-    E.Rule("SOLID-O002", "solid", "low", "Long else-if chain", r"\belse\s+if\s*\(", least=4),
-    E.Rule("SOLID-L001", "solid", "high", "Unsupported operation", r"throw\s+new\s+(?:UnsupportedOperationException|NotImplementedException)"),
-    E.Rule("SOLID-D002", "solid", "low", "Concrete classes made", r"=\s*new\s+([A-Z][a-zA-Z0-9_]+)\s*\(", least=2, distinct=True),
-    E.Rule("SEC-001", "security", "critical", "SQL injection risk", r'(?i)(?:query|sql|hql|jpql|nativeQuery|createQuery|createNativeQuery)[^;]*?"[^"]*"\s*\+'),
-    E.Rule("SEC-002", "security", "critical", "Hardcoded credential", r'(?i)(?:password|passwd|secret|api[_-]?key|token|credential|auth)\s*=\s*"[^"]{4,}"'),
-    E.Rule("SEC-004", "security", "high", "Sensitive data logging", r"(?i)(?:log|logger|LOG)\s*\.\s*(?:info|debug|warn|error|trace)\s*\([^)]*(?:password|passwd|secret|token|credential|credit[_-]?card)"),
-    E.Rule("SEC-005", "security", "high", "Weak cryptographic algorithm", r'(?i)(?:getInstance|getMessageDigest)\s*\(\s*"(?:MD5|SHA-?1|DES|3DES|RC4|RC2)"'),
-    E.Rule("SEC-006", "security", "medium", "Insecure random", r"new\s+java\.util\.Random\s*\(\s*\)|new\s+Random\s*\(\s*\)", requires=r"(?i)(?:token|session|nonce|salt|key|secret|otp|password)"),
-    E.Rule("SEC-007", "security", "high", "Unsafe deserialization", r"new\s+ObjectInputStream\s*\(|\.readObject\s*\("),
-    E.Rule("SEC-008", "security", "high", "Path traversal risk", r"(?i)new\s+(?:File|FileInputStream|FileOutputStream|Path)\s*\([^)]*(?:getParameter|getPathVariable|requestParam|param)"),
-    E.Rule("SEC-009", "security", "info", "No method-level security annotation", r"@(?:RestController|Controller)\b", unless=r"@(?:PreAuthorize|PostAuthorize|Secured|RolesAllowed|PermitAll|DenyAll)"),
-    E.Rule("SEC-010", "security", "high", "CSRF protection disabled", r"\.csrf\s*\(\s*\w*\s*->\s*\w+\.disable\s*\(\s*\)"),
-    E.Rule("PERF-001", "performance", "high", "N+1 query risk", r"(?s)\b(?:for|while)\b[^{]*\{[^}]*(?:repository|repo|dao|Repo|Repository|DAO)\s*\.\s*\w+\s*\("),
-    E.Rule("PERF-002", "performance", "low", "Missing readOnly on read methods", r"(?:public|protected)\s+(?:List|Optional|Page|Set|Collection|Stream|[A-Z]\w+)\s+(?:find|get|list|fetch|search|load|query)\w*\s*\(", requires=r"@(?:Service|Component)\b", unless=r"readOnly\s*=\s*true|@Transactional\b"),
-    E.Rule("PERF-003", "performance", "medium", "Unbounded findAll()", r"\.\s*findAll\s*\(\s*\)", unless=r"Pageable|PageRequest|Page<"),
-    E.Rule("PERF-004", "performance", "medium", "EAGER fetch type", r"@(?:OneToMany|ManyToMany|ManyToOne|OneToOne)\s*\([^)]*fetch\s*=\s*FetchType\.EAGER"),
-    E.Rule("PERF-005", "performance", "low", "String concatenation in loop", r'(?s)(?:for|while)\b[^{]*\{[^}]*(?:String\s+\w+|[a-z]\w*)\s*\+=\s*"'),
-    E.Rule("PERF-006", "performance", "info", "Consider @Cacheable", r"(?:public|protected)\s+[A-Z\w<>\[\]]+\s+(?:calculate|compute|build|generate|process|aggregate|summarise|summarize)\w*\s*\(", unless=r"@Cacheable\b"),
-    E.Rule("PERF-007", "performance", "medium", "Coarse-grained synchronization", r"public\s+synchronized\s+\w"),
-    E.Rule("PERF-008", "performance", "low", "Async-named methods lack @Async", r"(?:public|protected)\s+\w[\w<>\[\]]*\s+(?:sendAsync|processAsync|handleAsync|\w+Async|async\w+)\s*\(", unless=r"@Async\b"),
-    E.Rule("MAINT-002", "maintainability", "medium", "Deep nesting", r"(?m)^(?:    ){5}|\t{5}", least=3),
-    E.Rule("MAINT-004", "maintainability", "high", "Empty catch block", r"catch\s*\([^)]+\)\s*\{\s*(?://[^\n]*)?\s*\}"),
-    E.Rule("MAINT-006", "maintainability", "low", "Single-character variable names", r"(?:int|String|long|boolean|double|float|Object|var)\s+([a-wz])\b\s*[=;]", least=3, distinct=True),
-    E.Rule("DEBT-001", "tech_debt", "low", "TODO/FIXME/HACK comments", r"(?i)//\s*(?:TODO|FIXME|HACK|XXX|BUG|WORKAROUND)[^\n]*"),
-    E.Rule("DEBT-002", "tech_debt", "medium", "@Deprecated elements", r"@Deprecated\b"),
-    E.Rule("DEBT-005", "tech_debt", "medium", "Hardcoded IP or port", r'"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?"|(?:port|PORT)\s*=\s*(?:80[89]\d|90\d{2}|[1-9]\d{4})\b'),
-    E.Rule("DEBT-006", "tech_debt", "high", "Deprecated Spring MVC pattern", r"(?:extends\s+(?:SimpleFormController|AbstractController|MultiActionController)|springMVC|spring-webmvc\s+3\.|org\.springframework\.web\.servlet\.mvc\.AbstractController)"),
-    E.Rule("DEBT-009", "tech_debt", "high", "System.exit() call", r"\bSystem\.exit\s*\(", unless=r"public\s+static\s+void\s+main\s*\("),
-    E.Rule("PAT-001", "patterns", "info", "Singleton pattern", r"private\s+static\s+(?:volatile\s+)?(?:final\s+)?[A-Z]\w+\s+(?:instance|INSTANCE|singleton)\b", requires=r"public\s+static\s+\w+\s+getInstance\s*\("),
-    E.Rule("PAT-002", "patterns", "info", "Factory Method pattern", r"public\s+static\s+[A-Z]\w+\s+(?:create|build|of|from|newInstance|make)\w*\s*\("),
-    E.Rule("PAT-003", "patterns", "info", "Builder pattern", r"class\s+\w*Builder\b|public\s+\w*Builder\s+\w+\s*\("),
-    E.Rule("PAT-004", "patterns", "info", "Observer/Event pattern", r"@(?:EventListener|ApplicationListener|KafkaListener|RabbitListener)\b|(?:applicationEventPublisher|eventPublisher)\s*\.\s*publishEvent\s*\("),
-    E.Rule("ANTI-002", "patterns", "high", "Service Locator anti-pattern", r"(?i)(?:applicationContext|ctx|context)\s*\.\s*getBean\s*\("),
-    E.Rule("ANTI-005", "patterns", "low", "Primitive Obsession", r"(?:int|long|double|float|boolean|short|byte|char)\s+\w+", least=4),
-    E.Rule("ANTI-006", "patterns", "low", "Complex inheritance", r"\bextends\s+([A-Z]\w+)", least=2),
+    E.Rule("SOLID-O001", "solid", "medium", "OCP: {unit} uses {hits} instanceof checks", r"\binstanceof\s+([A-Z][a-zA-Z0-9_]+)", least=3, needs="instanceof"),
+    E.Rule("SOLID-O002", "solid", "low", "OCP: {unit} has a long else-if chain ({hits} branches)", r"\belse\s+if\s*\(", least=4, needs="else"),
+    E.Rule("SOLID-L001", "solid", "high", "LSP Violation: {unit} throws UnsupportedOperationException", r"throw\s+new\s+(?:UnsupportedOperationException|NotImplementedException)", needs="throw"),
+    E.Rule("SOLID-D002", "solid", "low", "DIP: {unit} instantiates {hits} concrete class(es)", r"=\s*new\s+([A-Z][a-zA-Z0-9_]+)\s*\(", least=2, distinct=True, group=1, needs="new", exempt=_EXEMPT),
+    E.Rule("SEC-001", "security", "critical", "SQL Injection risk in {unit}", r'(?i)(?:query|sql|hql|jpql|nativeQuery|createQuery|createNativeQuery)[^;]*?"[^"]*"\s*\+', needs='"'),
+    E.Rule("SEC-002", "security", "critical", "Hardcoded credential in {unit}", _CREDENTIAL, needs='"'),
+    E.Rule("SEC-004", "security", "high", "Sensitive data logging in {unit}", r"(?i)(?:log|logger|LOG)\s*\.\s*(?:info|debug|warn|error|trace)\s*\([^)]*(?:password|passwd|secret|token|credential|credit[_-]?card)|System\.out\.(?:print|println)\s*\([^)]*(?:password|passwd|secret|token|credential)"),
+    E.Rule("SEC-005", "security", "high", "Weak cryptographic algorithm in {unit}: {values}", r'(?i)(?:getInstance|getMessageDigest)\s*\(\s*"(?:MD5|SHA-?1|DES|3DES|RC4|RC2)"', distinct=True, needs='"'),
+    E.Rule("SEC-006", "security", "medium", "Insecure random in {unit}", r"new\s+java\.util\.Random\s*\(\s*\)|new\s+Random\s*\(\s*\)", requires=_SECURITY_WORD, needs="Random"),
+    E.Rule("SEC-007", "security", "high", "Unsafe deserialization in {unit}", r"new\s+ObjectInputStream\s*\(|\.readObject\s*\("),
+    E.Rule("SEC-008", "security", "high", "Path traversal risk in {unit}", r"(?i)new\s+(?:File|FileInputStream|FileOutputStream|Path)\s*\([^)]*(?:getParameter|getPathVariable|requestParam|param)"),
+    E.Rule("SEC-009", "security", "info", "No method-level security annotation in {unit}", r"@(?:RestController|Controller)\b", unless=r"@(?:PreAuthorize|PostAuthorize|Secured|RolesAllowed|PermitAll|DenyAll)", needs="@"),
+    E.Rule("SEC-010", "security", "high", "CSRF protection disabled in {unit}", r"\.csrf\s*\(\s*\w*\s*->\s*\w+\.disable\s*\(\s*\)", needs="csrf"),
+    E.Rule("PERF-001", "performance", "high", "N+1 query risk in {unit}", r"(?s)\b(?:for|while)\b[^{]*\{[^}]*(?:repository|repo|dao|Repo|Repository|DAO)\s*\.\s*\w+\s*\("),
+    E.Rule("PERF-002", "performance", "low", "Missing @Transactional(readOnly=true) on read methods in {unit}", r"(?:public|protected)\s+(?:List|Optional|Page|Set|Collection|Stream|[A-Z]\w+)\s+(?:find|get|list|fetch|search|load|query)\w*\s*\(", requires=r"@(?:Service|Component)\b", unless=r"readOnly\s*=\s*true|@Transactional\b"),
+    E.Rule("PERF-003", "performance", "medium", "Unbounded findAll() in {unit}", r"\.\s*findAll\s*\(\s*\)", unless=r"Pageable|PageRequest|Page<", needs="findAll"),
+    E.Rule("PERF-004", "performance", "medium", "EAGER fetch type in {unit} ({hits} relation(s))", r"@(?:OneToMany|ManyToMany|ManyToOne|OneToOne)\s*\([^)]*fetch\s*=\s*FetchType\.EAGER", needs="EAGER"),
+    E.Rule("PERF-005", "performance", "low", "String concatenation in loop in {unit}", r'(?s)(?:for|while)\b[^{]*\{[^}]*(?:String\s+\w+|[a-z]\w*)\s*\+=\s*"', needs="+="),
+    E.Rule("PERF-006", "performance", "info", "Consider @Cacheable on expensive methods in {unit}", r"(?:public|protected)\s+[A-Z\w<>\[\]]+\s+(?:calculate|compute|build|generate|process|aggregate|summarise|summarize)\w*\s*\(", unless=r"@Cacheable\b"),
+    E.Rule("PERF-007", "performance", "medium", "Coarse-grained synchronization in {unit}", r"public\s+synchronized\s+\w", needs="synchronized"),
+    E.Rule("PERF-008", "performance", "low", "Async-named methods lack @Async in {unit}", r"(?:public|protected)\s+\w[\w<>\[\]]*\s+(?:sendAsync|processAsync|handleAsync|\w+Async|async\w+)\s*\(", unless=r"@Async\b"),
+    E.Rule("MAINT-002", "maintainability", "medium", "Deep nesting in {unit} ({hits} deeply nested line(s))", r"(?m)^(?:    ){5}|\t{5}", least=3),
+    E.Rule("MAINT-003b", "maintainability", "low", "Magic strings in {unit}", _MAGIC_STRING, least=3, distinct=True, group=1, needs='"', silent=("http",)),
+    E.Rule("MAINT-004", "maintainability", "high", "Empty catch block in {unit} ({hits} occurrence(s))", r"catch\s*\([^)]+\)\s*\{\s*(?://[^\n]*)?\s*\}", needs="catch"),
+    E.Rule("MAINT-006", "maintainability", "low", "Single-character variable names in {unit}: {values}", r"(?:int|String|long|boolean|double|float|Object|var)\s+([a-wz])\b\s*[=;]", least=3, distinct=True, group=1),
+    E.Rule("DEBT-001", "tech_debt", "low", "Technical debt: {hits} TODO/FIXME/HACK comment(s) in {unit}", r"(?i)//\s*(?:TODO|FIXME|HACK|XXX|BUG|WORKAROUND)[^\n]*", needs="//", worse=(5, "medium")),
+    E.Rule("DEBT-002", "tech_debt", "medium", "{unit} has {hits} @Deprecated element(s)", r"@Deprecated\b", needs="@Deprecated"),
+    E.Rule("DEBT-006", "tech_debt", "high", "Deprecated Spring MVC pattern in {unit}", r"(?:extends\s+(?:SimpleFormController|AbstractController|MultiActionController)|springMVC|spring-webmvc\s+3\.|org\.springframework\.web\.servlet\.mvc\.AbstractController)"),
+    E.Rule("DEBT-009", "tech_debt", "high", "System.exit() call in non-main class {unit}", r"\bSystem\.exit\s*\(", unless=r"public\s+static\s+void\s+main\s*\(", needs="System.exit"),
+    E.Rule("PAT-001", "patterns", "info", "Singleton pattern in {unit}", r"private\s+static\s+(?:volatile\s+)?(?:final\s+)?[A-Z]\w+\s+(?:instance|INSTANCE|singleton)\b", requires=r"public\s+static\s+\w+\s+getInstance\s*\("),
+    E.Rule("PAT-002", "patterns", "info", "Factory Method pattern in {unit}", r"public\s+static\s+[A-Z]\w+\s+(?:create|build|of|from|newInstance|make)\w*\s*\("),
+    E.Rule("PAT-003", "patterns", "info", "Builder pattern in {unit}", r"class\s+\w*Builder\b|public\s+\w*Builder\s+\w+\s*\(", needs="Builder"),
+    E.Rule("PAT-004", "patterns", "info", "Observer/Event pattern in {unit}", r"@(?:EventListener|ApplicationListener|KafkaListener|RabbitListener)\b|(?:applicationEventPublisher|eventPublisher)\s*\.\s*publishEvent\s*\("),
+    E.Rule("ANTI-002", "patterns", "high", "Service Locator anti-pattern in {unit}", r"(?i)(?:applicationContext|ctx|context)\s*\.\s*getBean\s*\("),
+    E.Rule("ANTI-006", "patterns", "low", "Complex inheritance in {unit}", r"\bextends\s+([A-Z]\w+)", least=2, needs="extends"),
 )
 
 #: A small corpus of our own: (class, content), with positive and negative rows for the Java rules.
@@ -89,6 +96,19 @@ JAVA = (
     ("Listener", "class Listener { @EventListener void on(Event e) { eventPublisher.publishEvent(e); Object o = context.getBean(\"x\"); } }"),
     ("Maker", "class Maker { void make() { a = new Engine(); b = new Wheel(); } }"),
     ("Plain", "class Plain { private final Engine engine; Plain(Engine engine) { this.engine = engine; } }"),
+    ("Fields", "class Fields {\n    @Autowired\n    private Engine engine;\n    public int speed;\n    public static final int MOST = 99;\n}"),
+    ("Numbers", 'class Numbers {\n  int[] a = {12, 34, 56, 78};\n  static final int MAX = 999;\n  String u = "https://api.vendor.io/v1"; String l = "http://localhost:80/x";\n}'),
+    ("Fine", 'class Fine { String u = "http://localhost:80/x"; }'),
+    ("Port", "interface Port { " + " ".join(f"void do{x}(int n);" for x in "ABCDEFGHIJKL") + " }"),
+    ("Words", 'class Words { String a() { return "one and two"; } String b() { return "three four"; } String c = "five six"; String d = "http://not.counted"; }'),
+    ("Debts", "class Debts {\n// TODO a\n// FIXME b\n// HACK c\n// XXX d\n// BUG e\n}"),
+    ("Lists", "class Lists { void make() { a = new ArrayList(); b = new HashMap(); c = new Engine(); } }"),
+    ("Api", "@RestController class Api { public Order make(@RequestBody Order o) { return o; } public Order put(@Valid @RequestBody Order o, @RequestBody Note n) { return o; } }"),
+    ("GoodApi", "@RestController class GoodApi { public Order put(@Valid @RequestBody Order o) { return o; } }"),
+    ("Wide", "class Wide { public void go(int a, int b, long c, String d, double e, boolean f) {} private int one(int a) { return a; } }"),
+    ("Silent", "class Silent {" + " int x;" * 3 + "}" + "\nint y;" * 60),
+    ("Spoken", "class Spoken {\n/** why */\npublic int a() { return 1; }\n/** why */\npublic int b() { return 2; }\n}" + "\n// note" * 60),
+    ("Mute", "class Mute { public int a() { return 1; } public int b() { return 2; } }"),
 )
 
 
@@ -97,22 +117,55 @@ def _quote(text: str) -> str:
 
 
 def _corpus_sql() -> str:
-    rows = ", ".join(f"({_quote(c)}, {_quote(t)})" for c, t in JAVA)
-    return f"(SELECT * FROM (VALUES {rows}) v(unit, content))"
+    """A unit for each part: one of the classes above under a name of its own, and a comment that names the part."""
+    rows = ", ".join(f"({i}, {_quote(c)}, {_quote(t)})" for i, (c, t) in enumerate(JAVA))
+    return f"(SELECT v.name || '_' || p_partkey AS unit, v.content || chr(10) || '// part ' || p_name AS content FROM part JOIN (VALUES {rows}) v(i, name, content) ON p_partkey % {len(JAVA)} = v.i)"
+
+
+def _found_sql(r) -> str:
+    content = "content"
+    if r.skip_lines:
+        content = f"array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, {_quote(r.skip_lines)})), chr(10))"
+    found = PLAIN_SQL[r.rule_id].format(content=content) if r.rule_id in PLAIN_SQL and "(?" in r.pattern and r in LOOKAROUND_RULES else f"regexp_extract_all({content}, {_quote(r.pattern)}, {r.group})"
+    if r.exempt:
+        found = f"list_filter({found}, lambda x: NOT regexp_matches(x, {_quote('(?:' + '|'.join(r.exempt) + ')$')}))"
+    if r.silent:
+        found = f"list_filter({found}, lambda x: NOT regexp_matches(x, {_quote('^(?:' + '|'.join(r.silent) + ')')}))"
+    return f"list_filter({found}, lambda x, i: list_position({found}, x) = i)" if r.distinct else found
 
 
 def findings_sql(units: str, rules) -> str:
     parts = []
     for seq, r in enumerate(rules):
-        found = f"regexp_extract_all(content, {_quote(r.pattern)})"
-        hits = f"len(list_distinct({found}))" if r.distinct else f"len({found})"
-        where = f"{hits} >= {r.least}"
+        title = " || ".join({"{unit}": "unit", "{hits}": "hits", "{values}": "array_to_string(found, ', ')"}.get(x, _quote(x)) for x in re.split(r"(\{\w+\})", r.title) if x)
+        hits = f"least(len(found), {r.most})" if r.most else "len(found)"
+        where = f"n >= {r.least}"
         if r.requires:
             where += f" AND regexp_matches(content, {_quote(r.requires)})"
         if r.unless:
             where += f" AND NOT regexp_matches(content, {_quote(r.unless)})"
-        parts.append(f"SELECT unit, {seq} AS rule_seq, '{r.rule_id}' AS rule_id, '{r.category}' AS category, '{r.severity}' AS severity, {_quote(r.title + ' in ')} || unit AS title, CAST({hits} AS INT) AS hits FROM units WHERE {where}")
-    return f"WITH units AS ({units}), found AS (" + " UNION ALL ".join(parts) + ")"
+        severity = f"CASE WHEN n >= {r.worse[0]} THEN '{r.worse[1]}' ELSE '{r.severity}' END" if r.worse else f"'{r.severity}'"
+        parts.append(f"SELECT unit, {seq} AS rule_seq, '{r.rule_id}' AS rule_id, '{r.category}' AS category, {severity} AS severity, {title} AS title, hits, found[1][1:500] AS evidence FROM (SELECT unit, content, found, len(found) AS n, CAST({hits} AS INT) AS hits FROM (SELECT unit, content, {_found_sql(r)} AS found FROM units)) WHERE {where}")
+    return f"WITH units AS MATERIALIZED ({units}), found AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+#: Rules whose patterns look around.  Fixed values, as above.
+LOOKAROUND_RULES = (
+    E.Rule("SOLID-D001", "solid", "medium", "DIP/Best Practice: {unit} uses @Autowired field injection", r"@Autowired\s*\n\s*(?:private|protected|public)\s+(?!static)", needs="@Autowired"),
+    E.Rule("SOLID-I001", "solid", "medium", "ISP Violation: {unit} declares {hits} methods", r"(?m)(?:public\s+)?(?:default\s+)?(?!void\s+\w+\s*=)[a-zA-Z_$<>\[\]]+\s+\w+\s*\([^)]*\)\s*(?:throws[^;{]+)?[;{]", least=11, requires=r"\binterface\s+\w"),
+    E.Rule("MAINT-003", "maintainability", "low", "Magic numbers in {unit} ({hits} distinct value(s))", r"(?<![A-Z_=])\b(?!0\b|1\b)(?:\d{2,}|[02-9]\.\d+)\b(?!\s*[;,)]?\s*;?\s*//)", least=4, distinct=True, most=8, skip_lines=_FINAL + r"|^\s*//"),
+    E.Rule("MAINT-010", "maintainability", "medium", "Public mutable fields in {unit} ({hits} field(s))", r"(?m)^\s*public\s+(?!static\s+final)(?!class|interface|enum|@interface|void)[A-Za-z_$][\w<>\[\]]*\s+[a-z]\w*\s*[=;]", needs="public"),
+    E.Rule("DEBT-005", "tech_debt", "medium", "Hardcoded URL/IP/port in {unit}", r'"https?://(?!localhost|127\.0\.0\.1|example\.com|schemas\.)[^"]{5,}"|"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?"|(?:port|PORT)\s*=\s*(?:80[89]\d|90\d{2}|[1-9]\d{4})\b'),
+)
+
+#: The same matches without looking around, for the other engine.
+PLAIN_SQL = {
+    "SOLID-D001": r"list_filter(regexp_extract_all({content}, '@Autowired\s*\n\s*(?:private|protected|public)\s+(?:static)?'), lambda x: NOT ends_with(x, 'static'))",
+    "SOLID-I001": r"regexp_extract_all({content}, '(?m)(?:public\s+)?(?:default\s+)?[a-zA-Z_$<>\[\]]+\s+\w+\s*\([^)]*\)\s*(?:throws[^;{{]+)?[;{{]')",
+    "MAINT-003": r"regexp_extract_all({content}, '(?:^|[^A-Za-z0-9_=])((?:[0-9]{{2,}}|[2-9]\.[0-9]+))\b', 1)",
+    "MAINT-010": r"list_filter(regexp_extract_all({content}, '(?m)^\s*public\s+[A-Za-z_$][\w<>\[\]]*\s+[a-z]\w*\s*[=;]'), lambda x: NOT regexp_matches(x, '^\s*public\s+(?:static\s+final|class|interface|enum|void)'))",
+    "DEBT-005": r"""list_filter(regexp_extract_all({content}, '"https?://[^"]{{5,}}"|"\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?::\d+)?"|(?:port|PORT)\s*=\s*(?:80[89]\d|90\d{{2}}|[1-9]\d{{4}})\b'), lambda x: NOT regexp_matches(x, '^"https?://(?:localhost|127\.0\.0\.1|example\.com|schemas\.)'))""",
+}
 
 
 _DOCS = "SELECT CAST(doc_id AS VARCHAR) AS unit, text AS content FROM documents"
@@ -121,8 +174,11 @@ _JAVA = f"SELECT * FROM {_corpus_sql()}"
 _ORD = "list_position(['critical', 'high', 'medium', 'low', 'info'], severity)"
 
 
-def java_units(spark):
-    return spark.createDataFrame(list(JAVA), "class_name string, content string")
+def java_units(spark, sf):
+    """(class_name, content): a class for each part."""
+    classes = F.broadcast(spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(JAVA)], "i long, name string, text string"))
+    rows = table(spark, sf, "part").join(classes, F.col("p_partkey") % len(JAVA) == F.col("i"))
+    return rows.select(F.concat("name", F.lit("_"), "p_partkey").alias("class_name"), F.concat("text", F.lit("\n// part "), "p_name").alias("content"))
 
 
 def document_units(spark, sf):
@@ -134,7 +190,7 @@ def _doc_findings(spark, sf):
 
 
 def _java_findings(spark, sf):
-    return E.findings(java_units(spark), JAVA_RULES)
+    return E.findings(java_units(spark, sf), JAVA_RULES)
 
 
 @catalog.add(findings_sql(_DOCS, TEXT_RULES) + " SELECT rule_id, severity, title, unit, hits FROM found")
@@ -192,7 +248,7 @@ def rule_quality_score(spark, sf):
 
 @catalog.add(findings_sql(_JAVA, JAVA_RULES) + _SCORE + _GRADE)
 def rule_grade(spark, sf):
-    return E.quality_score(_java_findings(spark, sf), len(JAVA))
+    return E.quality_score(_java_findings(spark, sf), java_units(spark, sf).count())
 
 
 @catalog.add(findings_sql(_JAVA, JAVA_RULES) + """ SELECT category, count(*) AS total, 10 * count(*) FILTER (WHERE severity = 'critical') + 5 * count(*) FILTER (WHERE severity = 'high') + 2 * count(*) FILTER (WHERE severity = 'medium') AS priority
@@ -213,7 +269,7 @@ FROM (SELECT unit, string_split(content, chr(10)) AS l FROM """ + _corpus_sql()
 def rule_comment_ratio(spark, sf):
     lines = F.split("content", "\n")
     comment = F.filter(lines, lambda x: F.trim(x).startswith("//") | F.trim(x).startswith("*") | F.trim(x).startswith("/*"))
-    return java_units(spark).select(F.col("class_name").alias("unit"), F.size(comment).cast("long").alias("comments"), F.size(lines).cast("long").alias("loc"))
+    return java_units(spark, sf).select(F.col("class_name").alias("unit"), F.size(comment).cast("long").alias("comments"), F.size(lines).cast("long").alias("loc"))
 
 
 @catalog.add(findings_sql(_DOCS, TEXT_RULES) + " SELECT rule_id, arg_min(unit, lpad(CAST(100000 - hits AS VARCHAR), 6, '0') || lpad(unit, 20, '0')) AS unit, max(hits) AS hits FROM found GROUP BY rule_id")
@@ -221,10 +277,39 @@ def rule_worst_offender(spark, sf):
     return _doc_findings(spark, sf).groupBy("rule_id").agg(F.min_by("unit", F.struct(-F.col("hits"), F.lpad("unit", 20, "0"))).alias("unit"), F.max("hits").alias("hits"))
 
 
-@catalog.add("SELECT p_partkey, p_name FROM part p WHERE p_size = 1 AND NOT EXISTS (SELECT 1 FROM part t WHERE t.p_size = 50 AND contains(t.p_name, p.p_name) AND t.p_brand = p.p_brand)")
+@catalog.add("""WITH n AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS unit FROM part), t AS (SELECT DISTINCT p_name AS name FROM part) SELECT unit FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(substr(name, strpos(name, ' ') + 1), unit))""")
 def rule_missing_counterpart(spark, sf):
-    """Units without a counterpart whose name holds theirs (an anti join with an inexact match, keyed by brand)."""
-    part = table(spark, sf, "part")
-    unit = part.where("p_size = 1").select("p_partkey", "p_name", "p_brand")
-    other = part.where("p_size = 50").select(F.col("p_name").alias("t"), F.col("p_brand").alias("b")).distinct()
-    return unit.join(other, (F.col("b") == F.col("p_brand")) & F.contains("t", "p_name"), "left_anti").select("p_partkey", "p_name")
+    """First words of part names that the rest of no name holds: an anti join with an inexact match, without a cross join."""
+    names = table(spark, sf, "part").select("p_name").distinct()
+    units = names.select(F.split("p_name", " ")[0].alias("unit")).distinct()
+    rest = names.select(F.expr("substr(p_name, instr(p_name, ' ') + 1)").alias("rest")).distinct()
+    return units.join(E.containing(units, rest, "unit", "rest"), "unit", "left_anti")
+
+
+@catalog.add(findings_sql(_JAVA, LOOKAROUND_RULES) + " SELECT rule_id, severity, title, unit, hits FROM found")
+def rule_findings_lookaround(spark, sf):
+    return E.findings(java_units(spark, sf), LOOKAROUND_RULES).select("rule_id", "severity", "title", "unit", "hits")
+
+
+@catalog.add(findings_sql(_JAVA, E.chosen(JAVA_RULES, "security, tech_debt")) + " SELECT rule_id, severity, unit FROM found WHERE severity IN ('critical', 'high')")
+def rule_findings_switched(spark, sf):
+    """Some analyzers only, and their grave findings."""
+    found = E.findings(java_units(spark, sf), E.chosen(JAVA_RULES, "security, tech_debt"))
+    return E.with_severity(found, "critical", "high").select("rule_id", "severity", "unit")
+
+
+_PLACED = ", placed AS (SELECT *, CAST(row_number() OVER (ORDER BY list_position(['solid', 'security', 'performance', 'maintainability', 'duplicates', 'tech_debt', 'patterns'], category), rule_seq, unit) AS BIGINT) AS place FROM found)"
+
+
+@catalog.add(findings_sql(_JAVA, JAVA_RULES) + _PLACED + " SELECT place, category, rule_id, unit FROM placed")
+def rule_findings_ordered(spark, sf):
+    """The findings of all analyzers in their order, numbered."""
+    from lithograph.functions.order import numbered
+
+    return numbered(_java_findings(spark, sf).select("category", "rule_seq", "rule_id", "unit"), [E.analyzer_order(), F.col("rule_seq"), F.col("unit")]).drop("rule_seq")
+
+
+@catalog.add(findings_sql(_JAVA, JAVA_RULES) + f" SELECT rule_id, severity, unit FROM found WHERE severity IN ('critical', 'high') ORDER BY {_ORD}, rule_seq, unit LIMIT 15")
+def rule_grave_15(spark, sf):
+    grave = E.with_severity(_java_findings(spark, sf), "critical", "high")
+    return grave.orderBy(E.severity_order(), "rule_seq", "unit").limit(15).select("rule_id", "severity", "unit")

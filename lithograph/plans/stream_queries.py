@@ -20,6 +20,19 @@ def stream_upsert_latest(spark, sf):
     return S.upsert_latest(spark, sf).select("user_id", "event_type", "event_id", "value")
 
 
-@catalog.add("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@catalog.add("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
 def stream_tumbling_counts(spark, sf):
     return S.tumbling_counts(spark, sf).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@catalog.add("""SELECT user_id, CASE arg_max(event_type, lpad(CAST(epoch_us(ts) AS VARCHAR), 20, '0') || lpad(CAST(event_id AS VARCHAR), 20, '0')) WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
+count(*) AS steps FROM events GROUP BY user_id""")
+def stream_job_states(spark, sf):
+    return S.job_states(spark, sf)
+
+
+@catalog.add("""SELECT conv_id, max(turn) AS last_turn, string_agg(turn || ':' || role, ',' ORDER BY turn) AS window
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 6 GROUP BY conv_id""")
+def stream_conversation_windows(spark, sf):
+    return S.conversation_windows(spark, sf)

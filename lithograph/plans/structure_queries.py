@@ -18,7 +18,7 @@ BASE = "com.demo"
 
 
 def roles(spark, sf):
-    return S.detect(J.parsed(spark, sf))
+    return S.detect(J.kept(spark, sf))
 
 
 _KIND = {0: ("controller", "Presentation"), 1: ("service", "Business"), 2: ("repository", "Persistence"), 3: ("entity", "Data Model"), 4: ("configuration", "Configuration"), 5: ("utility", "Cross-cutting")}
@@ -64,7 +64,7 @@ SELECT p.place, r.layer, count(*) AS class_count, count(DISTINCT package) AS pac
 (SELECT count(*) FROM edges e JOIN m ON m.class_name = e.dst LEFT JOIN nodes s ON s.id = e.src JOIN own o ON o.layer = m.layer WHERE m.layer = r.layer AND NOT list_contains(o.kinds, s.class_type)) AS inbound,
 (SELECT count(*) FROM edges e JOIN m ON m.class_name = e.src WHERE m.layer = r.layer) AS outbound FROM roles r JOIN places p ON p.layer = r.layer GROUP BY p.place, r.layer""")
 def arch_layers(spark, sf):
-    files = J.parsed(spark, sf)
+    files = J.kept(spark, sf)
     return S.layers(S.detect(files), *java.graph(files))
 
 
@@ -98,14 +98,14 @@ _STATS = "SELECT 'com.demo' AS base_package, count(*) AS total_classes, count(*)
 
 @catalog.add(_ROLES + " " + _STATS)
 def arch_stats(spark, sf):
-    files = J.parsed(spark, sf)
+    files = J.kept(spark, sf)
     base = A.base_package(files.select("package")).first().base
     return S.stats(S.detect(files), base)
 
 
 @catalog.add(_ROLES + " SELECT 'Spring Boot' AS framework, 2 AS features, count(DISTINCT a) AS marks, false AS imported FROM (SELECT unnest(annotations) AS a FROM roles) WHERE a <> 'Deprecated'")
 def arch_framework(spark, sf):
-    files = J.parsed(spark, sf)
+    files = J.kept(spark, sf)
     return S.framework(files, S.detect(files))
 
 
@@ -199,7 +199,7 @@ def arch_summaries(spark, sf):
 
 
 def _answers(spark, sf):
-    files = J.parsed(spark, sf)
+    files = J.kept(spark, sf)
     return S.aspects(S.detect(files), *java.graph(files), BASE)
 
 
@@ -238,3 +238,15 @@ def arch_aspects(spark, sf):
     """The short answers, by name."""
     answers = _answers(spark, sf)
     return S.union(*(answers[name]().select(F.lit(name).alias("aspect"), "key", "line") for name in _SHORT))
+
+
+@catalog.add(_ROLES + """, ly AS (SELECT layer, count(*) AS n FROM roles GROUP BY layer), coupled AS (SELECT count(*) AS n FROM (SELECT id FROM nodes WHERE id IN (SELECT src FROM edges) OR id IN (SELECT dst FROM edges) LIMIT 15))
+SELECT unnest(range(1, 9)) AS section, unnest(['## 1. Project Overview', '## 2. Architecture', '## 3. Detected Patterns', '## 4. Key Components', '## 5. Modules', '## 6. Dependencies', '## 7. Request Flow', '## 8. Technical Debt']) AS heading,
+unnest([3, 1 + (SELECT count(*) FROM ly), 3, 1 + (SELECT count(DISTINCT role) FROM roles), 1 + (SELECT count(DISTINCT string_split(package, '.')[3]) FROM roles), 1 + (SELECT n FROM coupled), 19, 2]) AS lines""")
+def document_advanced(spark, sf):
+    """The sections of the document for an advanced reader: heading and number of lines."""
+    from lithograph.operators import document
+
+    files = J.kept(spark, sf)
+    rows = document.sections(S.detect(files), *java.graph(files), BASE, "advanced")
+    return rows.groupBy(F.col("section").cast("long").alias("section")).agg(F.max(F.when(F.col("part") == 0, F.col("line"))).alias("heading"), F.count("*").alias("lines"))

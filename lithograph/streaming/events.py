@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lithograph.functions.storage import ensure_checkpoint_dir
 from lithograph.operators.relational import keep_best
@@ -40,28 +42,84 @@ def append_log(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest event of each (user, type), merged batch by batch; a repeated batch changes nothing."""
-    folder = work_folder(spark, "upsert")
-    rows = event_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", "value")
-    held: dict[str, str] = {}
+def _newest(spark: SparkSession, folder: str, before: int) -> str | None:
+    """The finished table of the last batch before this one: the folder is the only memory, so a restart finds it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return None
+    numbers = [int(f.getPath().getName().removeprefix("table-")) for f in system.listStatus(root) if f.getPath().getName().startswith("table-")]
+    done = [n for n in numbers if n < before and system.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{n}/_SUCCESS"))]
+    for old in sorted(done)[:-1]:  # a batch that is run again needs only the one before it
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{old}"), True)
+    return f"{folder}/table-{max(done)}" if done else None
+
+
+def merged(rows: DataFrame, keys: list[str], order: list[str], folder: str, mode: str = "append") -> DataFrame:
+    """The latest row of each key of a stream, as a table that each batch replaces; a repeated batch changes nothing."""
+    spark = rows.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch if "path" not in held else batch.unionByName(spark.read.parquet(held["path"]))
-        path = f"{folder}/table-{number}"
-        keep_best(both, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], last=True).write.mode("overwrite").parquet(path)
-        held["path"] = path
+        held = _newest(spark, folder, number)
+        both = batch if held is None else batch.unionByName(spark.read.parquet(held))
+        keep_best(both, keys, [F.col(c) for c in order], last=True).write.mode("overwrite").parquet(f"{folder}/table-{number}")
+
+    _run(rows.writeStream.outputMode(mode).foreachBatch(merge), folder)
+    held = _newest(spark, folder, 1 << 62)
+    return spark.read.parquet(held) if held else spark.createDataFrame([], rows.schema)
 
-    _run(rows.writeStream.foreachBatch(merge), folder)
-    return spark.read.parquet(held["path"]) if held else spark.createDataFrame([], rows.schema)
+
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each (user, type), merged batch by batch."""
+    rows = event_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", "value")
+    return merged(rows, ["user_id", "event_type"], ["ts", "event_id"], work_folder(spark, "upsert"))
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and value by window and type; state older than the watermark is dropped."""
+    """Events by window and type, each window written once, when the watermark has passed it; its state goes then."""
     folder = work_folder(spark, "windows")
     rows = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    counts = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
-    name = f"w{uuid.uuid4().hex}"
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("w.start").alias("start"), "event_type", "n")
+    counts = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    _run(counts.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out"), folder)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
+#: What an event makes of a job.  A job that has ended takes no further step until it begins anew.
+JOB_STATES = {"signup": "pending", "view": "running", "click": "running", "purchase": "completed", "error": "failed"}
+JOB_SCHEMA = "user_id long, status string, steps long, ts timestamp, event_id long"
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, status, steps): each user's events as one job whose state is kept between batches."""
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
+
+    def advance(key, parts, state):
+        last, event, status, steps = state.get if state.exists else (None, -1, None, 0)
+        events = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        steps += len(events)
+        newest = events.iloc[-1]
+        if last is None or (newest.ts.value, int(newest.event_id)) > (last, event):
+            last, event, status = newest.ts.value, int(newest.event_id), JOB_STATES[newest.event_type]
+        state.update((last, event, status, steps))
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "steps": [steps], "ts": [pd.Timestamp(last)], "event_id": [event]})
+
+    jobs = rows.groupBy("user_id").applyInPandasWithState(advance, JOB_SCHEMA, "last long, event long, status string, steps long", "update", GroupStateTimeout.NoTimeout)
+    return merged(jobs, ["user_id"], ["steps"], work_folder(spark, "jobs"), "update").select("user_id", "status", "steps")
+
+
+def conversation_windows(spark: SparkSession, sf_dir: str, turns: int = 6) -> DataFrame:
+    """(conv_id, last_turn, window): the roles of the last turns of each conversation, kept as state of that size."""
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
+
+    def slide(key, parts, state):
+        held = list(zip(*state.get)) if state.exists else []
+        for part in parts:
+            held = sorted({*held, *zip(part["turn"].astype(int).tolist(), part["role"].tolist())})[-turns:]
+        state.update(tuple(list(x) for x in zip(*held)))
+        yield pd.DataFrame({"conv_id": [key[0]], "last_turn": [held[-1][0]], "window": [",".join(f"{t}:{r}" for t, r in held)]})
+
+    slim = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role")
+    windows = slim.groupBy("conv_id").applyInPandasWithState(slide, "conv_id long, last_turn long, window string", "turns array<long>, roles array<string>", "update", GroupStateTimeout.NoTimeout)
+    return merged(windows, ["conv_id"], ["last_turn"], work_folder(spark, "conversations"), "update")
