@@ -99,10 +99,10 @@ def modules(roles: DataFrame, base: str) -> DataFrame:
     return rows.groupBy("module").agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), (has("controller") & has("service") & has("repository")).alias("is_full_stack"))
 
 
-def dominant(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The commonest value of each group; ties go to the first in code-point order."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    return counts.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("dominant"), F.max("n").alias("n"))
+def dominant(rows: DataFrame, group: str, value: str, order: str | None = None) -> DataFrame:
+    """The commonest value of each group; ties go to the first seen in ``order``, or without one to the first in code-point order."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"), (F.min(order) if order else F.min(value)).alias("_first"))
+    return counts.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), "_first", F.col(value))).alias("dominant"), F.max("n").alias("n"))
 
 
 def patterns(roles: DataFrame) -> DataFrame:

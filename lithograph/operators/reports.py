@@ -111,3 +111,11 @@ def adjacency_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), node.alias("json"))
     out = out.unionByName(edges.select(F.lit("edges").alias("part"), F.concat("src", F.lit(">"), "dst").alias("key"), edge.alias("json")))
     return out.unionByName(totals.select(F.lit("stats").alias("part"), F.lit("").alias("key"), F.to_json(F.struct("total_classes", "total_dependencies")).alias("json")))
+
+
+def node_link_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, key, json): nodes and links with all their attributes, a row a value."""
+    node = F.to_json(F.struct("package", "class_type", "annotations", "file_path", "color", "id"))
+    link = F.to_json(F.struct("dep_type", "source_file", "line", F.col("src").alias("source"), F.col("dst").alias("target")))
+    out = nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), node.alias("json"))
+    return out.unionByName(edges.select(F.lit("links").alias("part"), F.concat("src", F.lit(">"), "dst").alias("key"), link.alias("json")))

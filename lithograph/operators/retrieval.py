@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithograph.functions.storage import cut
+
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -46,15 +48,17 @@ def bm25_top_k(docs: DataFrame, query: str, k: int, k1: float = 1.5, b: float =
     idf, over all words, is worked out only if a query word needs it.
     """
     terms = sorted(set(query.split()))
-    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    sized = docs.select("doc_id", words.alias("words")).withColumn("size", F.size("words"))
-    counts = [F.size("words") - F.size(F.array_remove("words", t)) for t in terms]
-    counts = [c.alias(f"tf{i}") for i, c in enumerate(counts)]
-    tf = sized.select("doc_id", "size", *counts)
+    # Words with two blanks between them: a word is counted as a replaced text, within compiled code.
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+", "  "), F.lit(" "))
+    count = lambda t: ((F.length("spaced") - F.length(F.replace(F.col("spaced"), F.lit(t), F.lit("")))) / len(t)).cast("int")
+    size = F.when(F.length("spaced") > 2, count("  ") + 1).otherwise(0)
+    tf = docs.select("doc_id", spaced.alias("spaced")).select("doc_id", size.alias("size"), *(count(f" {t} ").alias(f"tf{i}") for i, t in enumerate(terms)))
+    tf = cut(tf)  # a few numbers a document, from one reading of the texts
     row = tf.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     idf = [math.log(row["n"] - row[f"df{i}"] + 0.5) - math.log(row[f"df{i}"] + 0.5) for i in range(len(terms))]
     if any(x < 0 for x in idf):
-        df = sized.select("doc_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+        words = F.array_distinct(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+        df = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
         mean = df.agg(F.avg(F.log(F.lit(row["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
         idf = [epsilon * mean if x < 0 else x for x in idf]
     score = F.lit(0.0)

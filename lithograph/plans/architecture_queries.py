@@ -84,11 +84,19 @@ def module_rollup_fullstack(spark, sf):
     return A.modules(roles(spark, sf), "com.demo")
 
 
-@catalog.add(f"WITH {_CLASSES} SELECT 'com.demo' AS base FROM c LIMIT 1")
+@catalog.add(f"""WITH {_CLASSES}, p AS (SELECT DISTINCT package FROM c WHERE package <> ''), s AS (SELECT unnest(string_split(package, '.')) AS x, generate_subscripts(string_split(package, '.'), 1) AS i FROM p),
+g AS (SELECT i, min(x) AS x, count(DISTINCT x) = 1 AND count(*) = (SELECT count(*) FROM p) AS same FROM s GROUP BY i)
+SELECT coalesce(string_agg(x, '.' ORDER BY i), '') AS base FROM g WHERE i < coalesce((SELECT min(i) FROM g WHERE NOT same), 1000)""")
 def base_package_lcp(spark, sf):
     return A.base_package(classes(spark, sf))
 
 
+@catalog.add(f"""WITH {_CLASSES} SELECT package, upper(string_split(package, '.')[-1][1]) || lower(string_split(package, '.')[-1][2:]) AS name FROM (SELECT DISTINCT package FROM c)""")
+def app_names(spark, sf):
+    """What an application is called after its package."""
+    return classes(spark, sf).select("package").distinct().select("package", render.app_name(F.col("package")).alias("name"))
+
+
 _HOSTS = """h AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')), '.') AS package FROM pages)"""
 
 
@@ -110,9 +118,9 @@ def package_tree_rollup(spark, sf):
     return A.subtree_totals(hosts(spark, sf).groupBy("package").agg(F.count("*").alias("n")))
 
 
-@catalog.add(_ROLES + """ SELECT package, arg_min(role, lpad(CAST(1000000 - n AS VARCHAR), 8, '0') || role) AS dominant, max(n) AS n FROM (SELECT package, role, count(*) AS n FROM l GROUP BY ALL) GROUP BY package""")
+@catalog.add(_ROLES + """ SELECT package, arg_min(role, lpad(CAST(1000000 - n AS VARCHAR), 8, '0') || lpad(CAST(p AS VARCHAR), 12, '0')) AS dominant, max(n) AS n FROM (SELECT package, role, count(*) AS n, min(p_partkey) AS p FROM l GROUP BY ALL) GROUP BY package""")
 def dominant_role_mode(spark, sf):
-    return A.dominant(roles(spark, sf), "package", "role")
+    return A.dominant(roles(spark, sf), "package", "role", "p_partkey")
 
 
 @catalog.add(_ROLES + """ SELECT count(*) AS total_classes, count(*) FILTER (WHERE role = 'controller') AS controllers, count(*) FILTER (WHERE role = 'service') AS services,

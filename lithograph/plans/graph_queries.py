@@ -126,6 +126,11 @@ def graph_all_paths_cutoff(spark, sf):
     return _paths(spark, sf).select(F.array_join("path", ">").alias("path"), "length")
 
 
+@catalog.add(_PATHS.replace("len(path) <= 5", "len(path) <= 10") + " SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM walk WHERE here = 7")
+def graph_all_paths_10(spark, sf):
+    return graph.simple_paths(cut(edges(spark, sf)), 3, 7, 10).select(F.array_join("path", ">").alias("path"), "length")
+
+
 @catalog.add(_PATHS + " SELECT array_to_string(p, '>') AS path, CAST(len(p) - 1 AS INT) AS length FROM (SELECT path AS p FROM walk WHERE here = 7 ORDER BY len(path), path LIMIT 1) t")
 def graph_shortest_path(spark, sf):
     return graph.shortest_path(cut(edges(spark, sf)), 3, 7, 5).select(F.array_join("path", ">").alias("path"), "length")

@@ -261,3 +261,24 @@ def java_target_classes(spark, sf):
     """Files with one of the wanted classes; interfaces do not count."""
     wanted = F.array(F.lit("P7Service"), F.lit("P9Entity"), F.lit("P8Repository"), F.lit("P17HelperTest"))
     return parsed(spark, sf).where(F.arrays_overlap("classes", wanted)).select("file_path")
+
+
+@catalog.add(_GRAPH + f""" SELECT 'nodes' AS part, id AS key, '{{"package":"' || package || '","class_type":"' || class_type || '","annotations":[' || CASE WHEN annotations = '' THEN '' ELSE '"' || replace(annotations, ',', '","') || '"' END || '],"file_path":"' || file_path || '","color":"' || {_case('class_type', java.NODE_COLORS, '')} || '","id":"' || id || '"}}' AS json FROM nodes
+UNION ALL SELECT 'links', src || '>' || dst, '{{"dep_type":"' || dep_type || '","source_file":"' || source_file || '","line":' || line || ',"source":"' || src || '","target":"' || dst || '"}}' FROM edges""")
+def java_node_link(spark, sf):
+    return reports.node_link_rows(*java.graph(kept(spark, sf)))
+
+
+@catalog.add(_DEGREES + " SELECT id, ca + ce AS total FROM deg WHERE ca + ce > 0 ORDER BY ca + ce DESC, id LIMIT 12")
+def java_top_coupled(spark, sf):
+    """The twelve most coupled classes, most coupled first."""
+    total = F.col("ca") + F.col("ce")
+    return G.degrees(*java.graph(kept(spark, sf))).where(total > 0).orderBy(F.desc(total), "id").limit(12).select("id", total.alias("total"))
+
+
+@catalog.add(f"WITH {_steps_sql()} SELECT file_path, CASE WHEN k % 50 <> 0 AND k % 37 <> 0 THEN md5(source) ELSE md5('') END AS content, k % 50 <> 0 AND k % 37 <> 0 AS readable FROM s{len(STEPS)}")
+def java_contents(spark, sf):
+    """Every file's text; an empty one where it cannot be read."""
+    files = java_files(spark, sf)
+    texts = java.supported(files).where(F.col("file_path").endswith(".java"))
+    return java.with_content(files.select("file_path"), texts).select("file_path", F.md5("content").alias("content"), "readable")

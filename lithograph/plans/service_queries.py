@@ -38,25 +38,25 @@ _TRADE = _TRADE.replace("FROM flow) WHERE k <= 2),\nnodes AS", "FROM flow) WHERE
 _REACH = _TRADE + ", reach(root, id) AS (SELECT src, dst FROM e UNION SELECT root, dst FROM reach JOIN e ON src = id)"
 
 _WHO = """SELECT n.id AS class, package, class_type, CASE WHEN e.src IS NOT NULL THEN 'direct' ELSE 'transitive' END AS relationship, coalesce(e.dep_type, 'transitive') AS dep_type
-FROM (SELECT DISTINCT root AS id FROM reach WHERE reach.id = 'GERMANY' AND root <> 'GERMANY') r JOIN n ON n.id = r.id LEFT JOIN e ON e.src = r.id AND e.dst = 'GERMANY'"""
+FROM (SELECT DISTINCT root AS id FROM reach WHERE reach.id = 'NATION_7' AND root <> 'NATION_7') r JOIN n ON n.id = r.id LEFT JOIN e ON e.src = r.id AND e.dst = 'NATION_7'"""
 _WHAT = """SELECT n.id AS class, package, class_type, CASE WHEN e.src IS NOT NULL THEN 'direct' ELSE 'transitive' END AS relationship, coalesce(e.dep_type, 'transitive') AS dep_type
-FROM (SELECT DISTINCT id FROM reach WHERE root = 'CANADA' AND id <> 'CANADA') r JOIN n ON n.id = r.id LEFT JOIN e ON e.src = 'CANADA' AND e.dst = r.id"""
+FROM (SELECT DISTINCT id FROM reach WHERE root = 'NATION_3' AND id <> 'NATION_3') r JOIN n ON n.id = r.id LEFT JOIN e ON e.src = 'NATION_3' AND e.dst = r.id"""
 
 
 @catalog.add(_REACH + f" SELECT *, CAST(row_number() OVER (ORDER BY relationship, class) AS BIGINT) AS place FROM ({_WHO})")
 def graph_dependents_sorted(spark, sf):
     """All that depend on a node with package, type and kind, numbered by (relationship, class)."""
     nodes, edges = _trade(spark, sf)
-    return numbered(Q.related(nodes, edges, "GERMANY", inward=True), [F.col("relationship"), F.col("class")])
+    return numbered(Q.related(nodes, edges, "NATION_7", inward=True), [F.col("relationship"), F.col("class")])
 
 
-_CHAIN = _TRADE + """, walk(here, path) AS (SELECT dst, [src, dst] FROM e WHERE src = 'CANADA' UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN e ON src = here WHERE here <> 'GERMANY' AND NOT list_contains(path, dst) AND len(path) <= 6),
-best AS (SELECT path FROM walk WHERE here = 'GERMANY' ORDER BY len(path), path LIMIT 1), s AS (SELECT unnest(path) AS class, unnest(list_append(path[2:], NULL)) AS next, unnest(range(len(path))) AS step FROM best)"""
+_CHAIN = _TRADE + """, walk(here, path) AS (SELECT dst, [src, dst] FROM e WHERE src = 'NATION_3' UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN e ON src = here WHERE here <> 'NATION_7' AND NOT list_contains(path, dst) AND len(path) <= 6),
+best AS (SELECT path FROM walk WHERE here = 'NATION_7' ORDER BY len(path), path LIMIT 1), s AS (SELECT unnest(path) AS class, unnest(list_append(path[2:], NULL)) AS next, unnest(range(len(path))) AS step FROM best)"""
 
 
 @catalog.add(_CHAIN + " SELECT CAST(step AS INT) AS step, class, package, class_type, dep_type, next FROM s JOIN n ON n.id = class LEFT JOIN e ON e.src = class AND e.dst = next")
 def graph_chain_steps(spark, sf):
-    return Q.chain(*_trade(spark, sf), "CANADA", "GERMANY")
+    return Q.chain(*_trade(spark, sf), "NATION_3", "NATION_7")
 
 
 @catalog.add(_TRADE + """, walk(root, here, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT root, dst, list_append(path, dst) FROM walk JOIN e ON src = here WHERE dst > root AND NOT list_contains(path, dst))
@@ -71,7 +71,7 @@ def graph_cycles_all(spark, sf):
 def _all_answers(spark, sf):
     nodes, edges = _trade(spark, sf)
     wanted = {
-        "who_depends_on": {"class_name": "GERMANY"}, "get_dependencies": {"class_name": "CANADA"}, "dependency_chain": {"source": "CANADA", "target": "GERMANY"},
+        "who_depends_on": {"class_name": "NATION_7"}, "get_dependencies": {"class_name": "NATION_3"}, "dependency_chain": {"source": "NATION_3", "target": "NATION_7"},
         "cycles": {}, "most_depended_on": {}, "orphans": {}, "stats": {}, "by_type": {"class_name": "t1"}, "nonsense": {},
     }
     return {name: (lambda name=name, how=how: Q.ask(nodes, edges, name, **how)) for name, how in wanted.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithograph.functions.order import numbered
 from lithograph.operators import retrieval as R
 from lithograph.operators import text as T
 from lithograph.operators.relational import top_per_group
@@ -26,9 +27,9 @@ def file_metadata(spark, sf):
     return documents(spark, sf).select("doc_id", T.line_count("text").cast("long").alias("lines_of_code"), F.md5("text").alias("content_hash"))
 
 
-@catalog.add("SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 300")
+@catalog.add("SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
 def chunk_lines_explode(spark, sf):
-    return T.lines(documents(spark, sf)).where("length(line) > 300").select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+    return T.lines(documents(spark, sf)).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 
 _WINDOWS = """SELECT doc_id, CAST(i AS INT) AS chunk_index, substr(text, CAST(i * 1300 + 1 AS BIGINT), 1500) AS chunk
@@ -46,11 +47,12 @@ def chunk_ids(spark, sf):
     return chunks.select(T.chunk_id("doc_id", "kind", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index")
 
 
-@catalog.add("SELECT doc_id, md5(text) AS content_hash FROM documents WHERE lang = 'de' AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' OR source = 'src0')")
+@catalog.add("SELECT doc_id, md5(text) AS content_hash FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
 def incremental_anti_hash(spark, sf):
-    """What an incremental load still has to index: rows whose hash the indexed part lacks."""
-    rows = documents(spark, sf).select("doc_id", "lang", "source", F.md5("text").alias("content_hash"))
-    return rows.where("lang = 'de'").join(rows.where("lang = 'en' OR source = 'src0'"), "content_hash", "left_anti").select("doc_id", "content_hash")
+    """What an incremental load still has to index: documents whose hash the indexed ones (those with labels) lack."""
+    rows = documents(spark, sf).select("doc_id", F.md5("text").alias("content_hash"))
+    indexed = rows.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("content_hash")
+    return rows.join(indexed, "content_hash", "left_anti").select("doc_id", "content_hash")
 
 
 _SETS = """s AS (SELECT DISTINCT doc_id AS k, unnest(string_split(text, chr(10))) AS v FROM documents), z AS (SELECT k, count(*) AS n FROM s GROUP BY k HAVING count(*) >= {least}),
@@ -73,9 +75,9 @@ def jaccard_import_like(spark, sf):
     return _clones(spark, sf, 0.85, 8)
 
 
-@catalog.add("SELECT md5(line) AS signature, count(*) AS classes FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20 GROUP BY line HAVING count(*) >= 3")
+@catalog.add("SELECT md5(line) AS signature, count(*) AS classes FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line HAVING count(*) >= 3")
 def shared_signature_3plus(spark, sf):
-    items = documents(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 20").distinct()
+    items = documents(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct()
     return items.groupBy("line").agg(F.count("*").alias("classes")).where("classes >= 3").select(F.md5("line").alias("signature"), "classes")
 
 
@@ -131,8 +133,5 @@ def rrf_hybrid(spark, sf):
 
 @catalog.add("SELECT doc_id, '[' || row_number() OVER (ORDER BY doc_id) || '] ' || source || ': ' || text[1:200] AS snippet FROM documents WHERE lower(source) LIKE '%src7%'")
 def retrieval_context_format(spark, sf):
-    from pyspark.sql import Window as W
-
-    hit = R.class_filter(documents(spark, sf).select("doc_id", "source", "text"), "SRC7", "source")
-    place = F.row_number().over(W.orderBy("doc_id"))
-    return hit.select("doc_id", F.concat(F.lit("["), place, F.lit("] "), "source", F.lit(": "), F.substring("text", 1, 200)).alias("snippet"))
+    hit = numbered(R.class_filter(documents(spark, sf).select("doc_id", "source", "text"), "SRC7", "source"), [F.col("doc_id")])
+    return hit.select("doc_id", F.concat(F.lit("["), "place", F.lit("] "), "source", F.lit(": "), F.substring("text", 1, 200)).alias("snippet"))

@@ -50,6 +50,13 @@ def supported(rows: DataFrame) -> DataFrame:
     return rows.where(suffix.isin(*EXTENSIONS) & ~inside)
 
 
+def with_content(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the content of their files, read once; empty, and not ``readable``, where there is none."""
+    found = texts.select("file_path", "content", F.lit(True).alias("readable"))
+    out = rows.join(found, "file_path", "left")
+    return out.withColumns({"content": F.coalesce("content", F.lit("").cast("binary")), "readable": F.coalesce("readable", F.lit(False))})
+
+
 def parse(files: DataFrame) -> DataFrame:
     """One metadata row per Java file: package, imports, annotations, types, methods, size and hash; ``error`` where one cannot be read.
 
