@@ -101,7 +101,17 @@ def vector_topk_per_label(spark, sf):
     return top_per_group(scored, ["label"], [F.desc("score"), F.col("vec_id")], 3).select("label", "vec_id")
 
 
-@catalog.add()
+def _mmr_sql(k: int, fetch: int, balance: float) -> str:
+    """Greedy choice in k steps: each takes the best of those that are left, less its likeness to those that were taken."""
+    unit = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+    out = f"WITH c AS (SELECT e.vec_id AS id, {_COS} AS score, {unit.replace('embedding', 'e.embedding')} AS u FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT {fetch}), g0 AS (SELECT id, 0 AS rank FROM c WHERE false)"
+    for i in range(1, k + 1):
+        near = f"coalesce((SELECT max(list_dot_product(c.u, d.u)) FROM c d WHERE d.id IN (SELECT id FROM g{i - 1})), 0)"
+        out += f", g{i} AS MATERIALIZED (SELECT id, rank FROM g{i - 1} UNION ALL (SELECT id, {i} FROM c WHERE id NOT IN (SELECT id FROM g{i - 1}) ORDER BY round({balance} * score - {1 - balance} * {near}, 12) DESC, id LIMIT 1))"
+    return out + f" SELECT rank, id AS vec_id FROM g{k}"
+
+
+@catalog.add(_mmr_sql(8, 40, 0.6))
 def mmr_top8(spark, sf):
     near = R.cosine_top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 40)
     return spark.createDataFrame(R.mmr(near, 8, 0.6), "rank int, vec_id long")
