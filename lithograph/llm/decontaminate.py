@@ -49,9 +49,9 @@ def words_of(text: Column) -> Column:
     return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
 
 
-def lowered(words: Column) -> Column:
-    """Words with A-Z lowered and nothing else."""
-    return F.transform(words, lambda w: F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
+def lowered(text: Column) -> Column:
+    """A-Z lowered and nothing else."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def count_words(text: Column) -> Column:
@@ -59,23 +59,14 @@ def count_words(text: Column) -> Column:
 
 
 def with_shingles(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` with ``shingles``: hashes of every n consecutive ``words``, built up by doubling.
-
-    Each step is a column of its own, else it would be worked out anew wherever it is used.
-    Case is dropped altogether here, which can only add matches; words are compared later.
-    """
-    out, held = rows.withColumn("shingles", F.transform("words", lambda w: F.xxhash64(F.lower(w)))), 1
-    while held < n:
-        step = min(held, n - held)
-        left = F.greatest(F.size("words") - held - step + 1, F.lit(0))
-        out = out.withColumn("shingles", F.zip_with(F.slice("shingles", F.lit(1), left), F.slice("shingles", F.lit(1 + step), left), lambda a, b: F.xxhash64(a, b)))
-        held += step
-    return out
+    """``rows`` with ``shingles``: hashes of every n consecutive ``words``."""
+    first = F.slice("words", F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(0)))
+    return rows.withColumn("shingles", F.transform(first, lambda w, i: F.xxhash64(w, *(F.get(F.col("words"), i + k) for k in range(1, n)))))
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
     """(win, length, size, items, win_id): distinct windows and the ids of the items that hold them."""
-    words = items.select("item_id", lowered(words_of(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    words = items.select("item_id", words_of(lowered(F.col("text"))).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     wins = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.lit(window)))).alias("win"))
     grouped = wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
@@ -92,7 +83,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
         own = wins.where(F.col("size") == n)
         tokens = with_shingles(own.select("win_id", F.col("win").alias("words")), n).select("win_id", F.posexplode("shingles").alias("offset", "token"))
         tokens = stash(tokens, "shingles")
-        text = docs.select(F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
+        text = docs.select(F.col(text_col).alias("text")).withColumn("words", words_of(lowered(F.col("text"))))
         text = with_shingles(text, n)
         # Not a plain explode: its inferred filter on the array would be worked out again.
         every = text.select(F.explode_outer("shingles").alias("token"))
@@ -103,19 +94,16 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
         prefix = rarest.join(own.select("win_id", "win", "length"), "win_id").where(whole).select("win_id", "win", "length", F.col("r.token").alias("token"), F.col("r.offset").alias("offset"))
         prefix = stash(prefix, "prefix")
         places = text.select("text", "words", F.posexplode_outer("shingles").alias("at", "token"))
-        around = F.slice("words", F.greatest(F.col("at") + 1 - window, F.lit(0)) + 1, F.lit(2 * window + n))
-        hit = _union(
-            places.join(F.broadcast(block), "token").select(
-                text_sha("text").alias("sha"), "token", "at", F.size("words").alias("n_words"),
-                F.greatest(F.col("at") + 1 - window, F.lit(0)).alias("from"), around.alias("around"),
-            )
+        begin = F.greatest(F.col("at") + 1 - window, F.lit(0))
+        hit = stash(_union(
+            places.join(F.broadcast(block), "token").select(text_sha("text").alias("sha"), "token", "at", F.size("words").alias("n_words"), F.slice("words", begin + 1, F.lit(2 * window + n)).alias("around"))
             for block in _blocks(prefix)
-        ).distinct()
+        ).distinct(), "matches")
         start = F.col("at") - F.col("offset")
         part = (
             hit.join(prefix, "token")
             .where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
-            .where(lowered(F.slice("around", start - F.col("from") + 1, F.col("length"))) == F.col("win"))
+            .where(F.slice("around", start - begin + 1, F.col("length")) == F.col("win"))
             .select("sha", start.cast("int").alias("start"), "length", "win_id")
         )
         out = part if out is None else out.unionByName(part)
@@ -127,6 +115,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text_col: s
 def _blocks(tokens: DataFrame) -> list[DataFrame]:
     """Distinct tokens in tables of BLOCK_SHINGLES, about."""
     blocks = max(1, math.ceil(tokens.select("token").distinct().count() / BLOCK_SHINGLES))
+    if blocks == 1:  # a filter would be inferred for the corpus too
+        return [tokens.select("token").distinct()]
     return [tokens.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b).select("token").distinct() for b in range(blocks)]
 
 
