@@ -113,6 +113,7 @@ def ask(nodes: DataFrame, edges: DataFrame, question: str, class_name: str = "",
     return QUESTIONS[question](nodes, edges, class_name, source, target)
 
 
+# Rounds and characters.
 #: Specialists and the words that call them; rounds after which a conversation ends, and characters of an answer that are kept.
 SPECIALISTS = {
     "search": ("how does", "show", "source", "method", "explain"), "architecture": ("layer", "module", "architecture", "spring", "structure"),

@@ -41,6 +41,44 @@ FRAMEWORK_ANNOTATIONS = (
 FRAMEWORK_IMPORTS = ("org.springframework.", "javax.persistence.", "jakarta.persistence.")
 CORE_BOOT = ("RestController", "SpringBootApplication", "EnableAutoConfiguration")
 
+# The lines of diagrams and texts, and the wording of summaries.
+LAYER_HEAD = ("graph TB", "    %% Architectural Layer Diagram")
+PACKAGE_HEAD = ("graph LR", "    %% Package Structure Diagram")
+PIE_HEAD = "pie title Architecture Component Distribution"
+FLOW_HEAD = ("flowchart TD", "    %% Dependency Flow Diagram", "", "    Client([HTTP Client])", "")
+FLOW_LINES = (
+    "sequenceDiagram", "    autonumber", "    participant Client", "    participant {c}", "    participant {s}", "    participant {r}", "    participant Database", "", "    Client->>{c}: HTTP Request", "    {c}->>{c}: Validate input / map DTO",
+    "    {c}->>{s}: Call business method", "    {s}->>{s}: Apply business rules", "    {s}->>{r}: Query data", "    {r}->>Database: SQL / NoSQL query", "    Database-->>{r}: Result set", "    {r}-->>{s}: Entity / domain object",
+    "    {s}-->>{c}: DTO / response object", "    {c}->>Client: HTTP Response (JSON)",
+)
+BAR = "=" * 60
+CONTAINER_MAIN = (
+    BAR, "  C4 Model -- Level 2: Container", BAR, "", "Containers:", "", "  [Container: Spring Boot Application]  {app}-service", "    Technology : Java {}, Spring Boot", "    Description: Main application container. Hosts",
+    "                 %d controller(s),", "                 %d service(s),", "                 %d repository/repositories.", "",
+)
+CONTAINER_STORE = ("  [Container: Database]  relational-db", "    Technology : PostgreSQL / MySQL / H2 (via JPA/Hibernate)", "    Description: Persistent storage for", "                 %d entity type(s).", "")
+CONTAINER_CACHE = ("  [Container: Cache]  redis-cache", "    Technology : Redis", "    Description: Distributed cache layer.", "")
+CONTAINER_TAIL = ("Container Relationships:", "  Client        --[HTTPS/REST/JSON]-->  {app}-service", "  {app}-service  --[JDBC/JPA]-->   relational-db")
+PATTERN_TEXTS = (
+    "Spring Boot application: %s", "REST API: %d REST controller(s)", "JPA/ORM: %d entity class(es)", "Spring Data: %d repository/repositories", "Spring Security configured", "Scheduled tasks (@Scheduled)",
+    "Async processing (@Async)", "DTO pattern: %d transfer object(s)",
+)
+SUMMARY_TEXTS = {
+    "layer_summary": "The application uses a %d-layer architecture: %s. The presentation layer contains %d controller(s), the business layer has %d service(s), and the persistence layer exposes %d repository/repositories.",
+    "modules": "%d module(s) detected. ",
+    "full_stack": "%d are full-stack (controller + service + repository). ",
+    "module_names": "Modules: %s.",
+    "no_modules": "No distinct feature modules detected. The codebase appears to use a flat, role-based package structure (all controllers in one package, all services in another).",
+    "patterns": "Spring Boot patterns detected: %s.",
+    "no_patterns": "No specific Spring Boot patterns detected.",
+    "onboarding_intro": "This is a Spring Boot application (entry point: %s) with %d Java classes. Start by reading %s to understand the API surface, then trace through %s for business logic. The codebase follows a standard layered architecture with %s layers.",
+    "quick_start": "Key entry points: %s. Trace a request from Controller -> Service -> Repository to understand the data flow.",
+    "unclassified": "%d unclassified class(es) -- consider adding Spring stereotypes or renaming: %s",
+    "flat": "No feature modules detected -- consider organising by feature (order/, customer/, etc.) rather than by role.",
+    "issues": "Architecture issues found: %s",
+    "no_issues": "No major architectural issues detected from static analysis.",
+}
+
 ORDER = ("file_path", "place")
 
 
@@ -105,7 +143,7 @@ def layer_diagram(roles: DataFrame, most: int = 12) -> DataFrame:
     box, node = safe("layer"), safe(F.col("name"))
     each = shown.select("layer", "place", F.posexplode("names").alias("k", "name"))
     return union(
-        lines(spark, 0, ("graph TB", "    %% Architectural Layer Diagram")),
+        lines(spark, 0, LAYER_HEAD),
         shown.select((F.col("place") * 10).alias("part"), F.lit(0).cast("long").alias("k"), F.format_string('    subgraph %s["%s Layer (%d classes)"]', box, "layer", "n").alias("line")),
         each.select((F.col("place") * 10 + 1).alias("part"), F.col("k").cast("long").alias("k"), F.concat(F.lit("        "), node, F.lit("["), "name", F.lit("]")).alias("line")),
         shown.where(F.col("n") > most).select((F.col("place") * 10 + 2).alias("part"), F.lit(0).cast("long").alias("k"), F.format_string("        more%s[...%d more]", box, F.col("n") - most).alias("line")),
@@ -124,7 +162,7 @@ def package_diagram(roles: DataFrame, base: str) -> DataFrame:
     node = F.format_string('    %s["%s (%s, %d)"]', safe("package"), simple, lookup(ROLE_LABELS, "role"), "n")
     above = F.regexp_replace("package", r"\.[^.]*$", "")
     inside = F.col("package").startswith(base) & (F.col("package") != base)
-    head = spark.createDataFrame([(0, "0", "graph LR"), (0, "1", "    %% Package Structure Diagram"), *([(0, "2", f'    {base.replace(".", "_")}["{base}"]')] if base else [])], "part int, key string, line string")
+    head = spark.createDataFrame([*((0, str(k), t) for k, t in enumerate(PACKAGE_HEAD)), *([(0, "2", f'    {base.replace(".", "_")}["{base}"]')] if base else [])], "part int, key string, line string")
     nodes = counts.join(main, "package").select(F.lit(1).alias("part"), F.col("package").alias("key"), node.alias("line"))
     edges = counts.where(inside).select(F.lit(2).alias("part"), F.col("package").alias("key"), F.concat(F.lit("    "), safe(above), F.lit(" --> "), safe("package")).alias("line"))
     return union(head, nodes, edges)
@@ -134,17 +172,10 @@ def component_pie(roles: DataFrame) -> DataFrame:
     """Classes by role, most first; ties by role."""
     counts = roles.where("role <> 'unknown'").groupBy("role").agg(F.count("*").alias("n"))
     line = F.format_string('    "%s" : %d', lookup(ROLE_LABELS, "role"), "n")
-    head = roles.sparkSession.createDataFrame([(0, 0, "", "pie title Architecture Component Distribution")], "part int, k long, key string, line string")
+    head = roles.sparkSession.createDataFrame([(0, 0, "", PIE_HEAD)], "part int, k long, key string, line string")
     return head.unionByName(counts.select(F.lit(1).alias("part"), (-F.col("n")).alias("k"), F.col("role").alias("key"), line.alias("line")))
 
 
-FLOW_LINES = (
-    "sequenceDiagram", "    autonumber", "    participant Client", "    participant {c}", "    participant {s}", "    participant {r}", "    participant Database", "", "    Client->>{c}: HTTP Request", "    {c}->>{c}: Validate input / map DTO",
-    "    {c}->>{s}: Call business method", "    {s}->>{s}: Apply business rules", "    {s}->>{r}: Query data", "    {r}->>Database: SQL / NoSQL query", "    Database-->>{r}: Result set", "    {r}-->>{s}: Entity / domain object",
-    "    {s}-->>{c}: DTO / response object", "    {c}->>Client: HTTP Response (JSON)",
-)
-
-
 def first_of(roles: DataFrame, role: str, otherwise: str) -> Column:
     return F.coalesce(F.min_by("class_name", F.when(F.col("role") == role, F.struct(*ORDER))), F.lit(otherwise))
 
@@ -167,7 +198,7 @@ def dependency_flow(roles: DataFrame, most: int = 4) -> DataFrame:
     ident = lambda name: name.replace("-", "_").replace(" ", "_")
     at = F.col("place").cast("long").alias("k")
     return union(
-        lines(spark, 0, ("flowchart TD", "    %% Dependency Flow Diagram", "", "    Client([HTTP Client])", "")),
+        lines(spark, 0, FLOW_HEAD),
         shown.select(F.lit(1).alias("part"), at, node.alias("line")),
         lines(spark, 2, ("",)),
         shown.where("layer = 'Presentation'").select(*row(3, 0, F.lit("    Client -->|HTTP| Presentation"))),
@@ -210,14 +241,10 @@ def patterns(roles: DataFrame) -> DataFrame:
 
 def pattern_lines(facts: DataFrame) -> DataFrame:
     """(k, line): what ``patterns`` found, in words."""
-    say = lambda k, when, line: F.when(when, F.struct(F.lit(k).alias("k"), line.alias("line")))
+    say = lambda k, when, *values: F.when(when, F.struct(F.lit(k).alias("k"), F.format_string(PATTERN_TEXTS[k], *values).alias("line")))
     found = F.array(
-        say(0, F.col("entry_point").isNotNull(), F.concat(F.lit("Spring Boot application: "), "entry_point")),
-        say(1, F.col("rest_controllers") > 0, F.format_string("REST API: %d REST controller(s)", "rest_controllers")),
-        say(2, F.col("entities") > 0, F.format_string("JPA/ORM: %d entity class(es)", "entities")),
-        say(3, F.col("spring_data") > 0, F.format_string("Spring Data: %d repository/repositories", "spring_data")),
-        say(4, F.col("has_security"), F.lit("Spring Security configured")), say(5, F.col("has_scheduling"), F.lit("Scheduled tasks (@Scheduled)")),
-        say(6, F.col("has_async"), F.lit("Async processing (@Async)")), say(7, F.col("dtos") > 0, F.format_string("DTO pattern: %d transfer object(s)", "dtos")),
+        say(0, F.col("entry_point").isNotNull(), "entry_point"), say(1, F.col("rest_controllers") > 0, "rest_controllers"), say(2, F.col("entities") > 0, "entities"), say(3, F.col("spring_data") > 0, "spring_data"),
+        say(4, F.col("has_security")), say(5, F.col("has_scheduling")), say(6, F.col("has_async")), say(7, F.col("dtos") > 0, "dtos"),
     )
     return facts.select(F.inline(F.array_compact(found)))
 
@@ -250,18 +277,12 @@ def framework(parsed: DataFrame, roles: DataFrame) -> DataFrame:
     return facts.crossJoin(marks).crossJoin(imports).select(kind.alias("framework"), "features", "marks", "imported")
 
 
-BAR = "=" * 60
-
-
 def container_text(roles: DataFrame, app: str) -> DataFrame:
     """The containers of an application and how they relate."""
     count = lambda r: F.count_if(F.col("role") == r)
     facts = roles.agg(count("controller").alias("c"), count("service").alias("s"), count("repository").alias("r"), count("entity").alias("e"), F.coalesce(F.max(F.contains("class_name", F.lit("Redis"))), F.lit(False)).alias("redis"))
-    main = [BAR, "  C4 Model -- Level 2: Container", BAR, "", "Containers:", "", f"  [Container: Spring Boot Application]  {app}-service", "    Technology : Java {}, Spring Boot", "    Description: Main application container. Hosts", "                 %d controller(s),", "                 %d service(s),", "                 %d repository/repositories.", ""]
-    store = ["  [Container: Database]  relational-db", "    Technology : PostgreSQL / MySQL / H2 (via JPA/Hibernate)", "    Description: Persistent storage for", "                 %d entity type(s).", ""]
-    cache = ["  [Container: Cache]  redis-cache", "    Technology : Redis", "    Description: Distributed cache layer.", ""]
-    tail = ["Container Relationships:", f"  Client        --[HTTPS/REST/JSON]-->  {app}-service", f"  {app}-service  --[JDBC/JPA]-->   relational-db"]
-    text = [(0, k, t, "always") for k, t in enumerate(main)] + [(1, k, t, "e") for k, t in enumerate(store)] + [(2, k, t, "redis") for k, t in enumerate(cache)] + [(3, k, t, "always") for k, t in enumerate(tail)]
+    parts = ((CONTAINER_MAIN, "always"), (CONTAINER_STORE, "e"), (CONTAINER_CACHE, "redis"), (CONTAINER_TAIL, "always"))
+    text = [(part, k, t.replace("{app}", app), needs) for part, (many, needs) in enumerate(parts) for k, t in enumerate(many)]
     table = roles.sparkSession.createDataFrame(text, "part int, k long, t string, needs string").crossJoin(F.broadcast(facts))
     number = F.when((F.col("part") == 0) & (F.col("k") == 9), F.col("c")).when((F.col("part") == 0) & (F.col("k") == 10), F.col("s")).when((F.col("part") == 0) & (F.col("k") == 11), F.col("r")).otherwise(F.col("e"))
     shown = (F.col("needs") == "always") | ((F.col("needs") == "e") & (F.col("e") > 0)) | ((F.col("needs") == "redis") & F.col("redis"))
@@ -298,17 +319,15 @@ def summaries(roles: DataFrame, base: str) -> DataFrame:
     one = facts.crossJoin(names).crossJoin(some).crossJoin(counts).crossJoin(said).crossJoin(unknown)
     joined = lambda sep, *parts: F.array_join(F.array_compact(F.array(*parts)), sep)
     entry = joined("; ", F.when(F.col("fm") != "", F.concat(F.lit("main: "), "fm")), F.when(F.col("c") > 0, F.concat(F.lit("controller: "), "fc")), F.when(F.col("s") > 0, F.concat(F.lit("service: "), "fs")))
-    issues = joined(
-        "; ", F.when(F.col("u") > 0, F.concat(F.col("u").cast("string"), F.lit(" unclassified class(es) -- consider adding Spring stereotypes or renaming: "), "strange")),
-        F.when(F.col("m") == 0, F.lit("No feature modules detected -- consider organising by feature (order/, customer/, etc.) rather than by role.")),
-    )
+    text = lambda name, *values: F.format_string(SUMMARY_TEXTS[name], *values)
+    issues = joined("; ", F.when(F.col("u") > 0, text("unclassified", "u", "strange")), F.when(F.col("m") == 0, text("flat")))
     texts = {
-        "layer_summary": F.concat(F.format_string("The application uses a %d-layer architecture: %s. ", F.size("layers"), F.array_join("layers", ", ")), F.format_string("The presentation layer contains %d controller(s), the business layer has %d service(s), and the persistence layer exposes %d repository/repositories.", "c", "s", "r")),
-        "module_summary": F.when(F.col("m") > 0, F.concat(F.format_string("%d module(s) detected. ", "m"), F.when(F.col("full") > 0, F.format_string("%d are full-stack (controller + service + repository). ", "full")).otherwise(""), F.format_string("Modules: %s.", "modules"))).otherwise("No distinct feature modules detected. The codebase appears to use a flat, role-based package structure (all controllers in one package, all services in another)."),
-        "spring_patterns": F.when(F.col("patterns") != "", F.concat(F.lit("Spring Boot patterns detected: "), "patterns", F.lit("."))).otherwise("No specific Spring Boot patterns detected."),
-        "onboarding_intro": F.format_string("This is a Spring Boot application (entry point: %s) with %d Java classes. Start by reading %s to understand the API surface, then trace through %s for business logic. The codebase follows a standard layered architecture with %s layers.", F.when(F.col("fm") != "", F.col("fm")).otherwise("the main Application class"), "n", "fc", "fs", F.array_join(F.slice("layers", 1, 3), ", ")),
-        "quick_start": F.concat(F.lit("Key entry points: "), entry, F.lit(". Trace a request from Controller -> Service -> Repository to understand the data flow.")),
-        "critique": F.when(issues != "", F.concat(F.lit("Architecture issues found: "), issues)).otherwise("No major architectural issues detected from static analysis."),
+        "layer_summary": text("layer_summary", F.size("layers"), F.array_join("layers", ", "), "c", "s", "r"),
+        "module_summary": F.when(F.col("m") > 0, F.concat(text("modules", "m"), F.when(F.col("full") > 0, text("full_stack", "full")).otherwise(""), text("module_names", "modules"))).otherwise(text("no_modules")),
+        "spring_patterns": F.when(F.col("patterns") != "", text("patterns", "patterns")).otherwise(text("no_patterns")),
+        "onboarding_intro": text("onboarding_intro", F.when(F.col("fm") != "", F.col("fm")).otherwise("the main Application class"), "n", "fc", "fs", F.array_join(F.slice("layers", 1, 3), ", ")),
+        "quick_start": text("quick_start", entry),
+        "critique": F.when(issues != "", text("issues", issues)).otherwise(text("no_issues")),
     }
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("text")) for k, v in texts.items()))))
 

@@ -130,7 +130,7 @@ def _ident(name: str) -> str:
 
 
 @catalog.add(_ROLES + f""", each AS (SELECT layer, place, unnest(names[1:12]) AS name, unnest(range(0, least(n, 12))) AS k FROM shown), text_(part, k, line) AS (
-{_fixed(0, ("graph TB", "    %% Architectural Layer Diagram"))} UNION ALL SELECT place * 10, 0, '    subgraph ' || {_BOX} || '["' || layer || ' Layer (' || n || ' classes)"]' FROM shown
+{_fixed(0, S.LAYER_HEAD)} UNION ALL SELECT place * 10, 0, '    subgraph ' || {_BOX} || '["' || layer || ' Layer (' || n || ' classes)"]' FROM shown
 UNION ALL SELECT place * 10 + 1, k, '        ' || {_NODE} || '[' || name || ']' FROM each UNION ALL SELECT place * 10 + 2, 0, '        more' || {_BOX} || '[...' || (n - 12) || ' more]' FROM shown WHERE n > 12
 UNION ALL SELECT place * 10 + 3, 0, '    end' FROM shown UNION ALL {_arrows(200, S.LAYER_ARROWS, lambda a, b: f"    {a} --> {b}")} UNION ALL SELECT place + 300, k, '    style ' || {_NODE} || ' ' || {_STYLE} FROM each)
 SELECT CAST(part AS INT) AS part, CAST(k AS BIGINT) AS k, line FROM text_""")
@@ -160,7 +160,7 @@ def arch_request_flow(spark, sf):
     return S.request_flow(roles(spark, sf))
 
 
-@catalog.add(_ROLES + f""", text_(part, k, line) AS ({_fixed(0, ("flowchart TD", "    %% Dependency Flow Diagram", "", "    Client([HTTP Client])", ""))}
+@catalog.add(_ROLES + f""", text_(part, k, line) AS ({_fixed(0, S.FLOW_HEAD)}
 UNION ALL SELECT 1, place, '    ' || {_BOX} || '["' || layer || '\\n' || array_to_string(names[1:4], ', ') || CASE WHEN n > 4 THEN ' +' || (n - 4) || ' more' ELSE '' END || '"]' FROM shown UNION ALL SELECT 2, 0, ''
 UNION ALL SELECT 3, 0, '    Client -->|HTTP| Presentation' FROM shown WHERE layer = 'Presentation' UNION ALL {_arrows(4, S.FLOW_ARROWS, lambda a, b, t: f'    {_ident(a)} -->|"{t}"| {_ident(b)}')}
 UNION ALL SELECT 5, place, '    style ' || {_BOX} || ' ' || {_STYLE} FROM shown) SELECT CAST(part AS INT) AS part, CAST(k AS BIGINT) AS k, line FROM text_""")
