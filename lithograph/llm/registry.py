@@ -18,9 +18,6 @@ MODULES = {
     "op7_suffix_array_dedup": "suffix",
 }
 
-#: Module -> name of its dictionary of SQL by query, where it has one.
-SQL: dict[str, str] = {}
-
 
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"lithograph.llm.{module}"), name) for name, module in MODULES.items()}
