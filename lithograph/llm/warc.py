@@ -42,6 +42,8 @@ from lithograph.llm.storage import drop, new_path, stash
 MAGIC = "WARC/1.1\r\n"
 SEPARATOR = "\n" + MAGIC
 END = "\r\n\r\n"
+#: What a header ends with where its last line break opens a separator: its payload begins with MAGIC.
+CLIPPED_END = END.removesuffix("\n")
 
 #: Records of one archive file at most.
 FILE_RECORDS = 4096
@@ -155,7 +157,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     ``live`` is false for a file's first text where that is no record.
     """
     # The first text of a file begins with its own first line; all others follow a separator.
-    header = F.substring_index("value", END, 1)
+    # A payload that begins with the separator's end takes the last break of its header with it.
+    clipped = (F.instr("value", END) == 0) & F.endswith("value", F.lit(CLIPPED_END))
+    header = F.when(clipped, F.expr(f"left(value, char_length(value) - {len(CLIPPED_END)})")).otherwise(F.substring_index("value", END, 1))
     name = lambda n, pattern: F.regexp_extract("header", rf"(?i)(?:^|\r\n){n}:[ \t]*{pattern}", 1)
     rows = _scan(spark, path).withColumn("header", header).withColumn("bytes", F.octet_length("value").cast("long"))
     rows = rows.withColumn("body_at", F.octet_length("header").cast("long") + len(END)).withColumn("length", name("Content-Length", r"([0-9]{1,18})").try_cast("long"))

@@ -385,6 +385,35 @@ def test_warc(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_payloads_around_the_separator(spark):
+    """Payloads that are, begin with or end in the separator or a part of it, as first, middle and last record of a file."""
+    parts = [warc.SEPARATOR, warc.MAGIC, "WARC/1.1\r", "WARC/1.1", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\nWARC/1.1\r\n", "\r\n\r" + warc.SEPARATOR]
+    awkward = parts + [p + "tail" for p in parts] + ["lead" + p for p in parts] + [warc.MAGIC * 3, warc.SEPARATOR * 3, warc.MAGIC + "x" * 1_200_000 + warc.SEPARATOR]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for compression, part in (("gzip", before), ("none", "300")):
+        for where in ("first", "middle", "last") if compression == "gzip" else ("middle",):
+            path, pages = new_path(spark, "test"), []
+            for k, html in enumerate(awkward if compression == "gzip" else awkward[:-1]):
+                around = {"first": (), "middle": (f"before{k}",), "last": (f"before{k}", f"also{k}")}[where], {"first": (f"after{k}",), "middle": (f"after{k}",), "last": ()}[where]
+                pages += [(k * 10 + n, h) for n, h in enumerate((*around[0], html, *around[1]))]
+            schema = "page_id long, html string"
+            held = spark.createDataFrame(pages, schema).selectExpr("page_id", "'u' AS url", "html")
+            # One file for each awkward payload, or one for all.
+            if where == "middle":
+                warc.write_archives(held.coalesce(1), path, compression=compression)
+            else:
+                warc.write_archives(held.repartition(2), path, compression=compression)
+                for k in (1, len(awkward) - 1):
+                    warc.write_archives(held.where(F.col("page_id").between(k * 10, k * 10 + 9)).orderBy("page_id").coalesce(1), f"{path}-{k}", compression=compression)
+                    assert warc.read_archives(spark, f"{path}-{k}").count() == sum(k * 10 <= i <= k * 10 + 9 for i, _ in pages)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+            found = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            assert len(found) == len(pages)
+            for i, html in pages:
+                assert found[i].payload_bytes == len(html.encode()) and found[i].payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() and found[i].intact
+
+
 def test_urls(spark):
     pages = [(1, "https://Example.COM/en/7x?q#f"), (2, "http://a.example.net/de/81"), (3, "http://x.net/de/1"), (4, None), (5, "no scheme"), (6, "ftp://org"), (6, "ftp://org"), (7, "http://notcom/en/1"), (8, "http://a.com/en/" + "y" * 5000)]
     table = spark.createDataFrame([(*p, "h") for p in pages], "page_id long, url string, host string")
