@@ -16,6 +16,9 @@ MODULES = {
     "op9_benchmark_decontamination": "decontaminate",
     "op10_context_tree_scores": "ctw",
     "op7_suffix_array_dedup": "suffix",
+    "op11_merkle_manifest": "merkle",
+    "op12_chat_format": "chat",
+    "op13_hard_negatives": "negatives",
 }
 
 
