@@ -1,12 +1,15 @@
 """Dependency-graph analytics over edges (src, dst) and nodes (id).
 
 Nodes and edges are tables.  One-step questions are joins and grouped counts; reachability
-and components are frontier loops whose rounds are cut by checkpoints; simple paths and
-cycles carry their path and are bounded by a length, as the questions are.
+and components are frontier loops whose rounds are cut by checkpoints.  Simple paths and
+cycles carry their path, and grow only where a backward search says that they can still end:
+paths within their cutoff, cycles inside a strong component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,19 +70,52 @@ def closure(edges: DataFrame, node) -> DataFrame:
     return found.select("id", F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("relationship"))
 
 
+def distances(edges: DataFrame, targets: DataFrame, max_depth: int | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(target, id, distance): fewest edges from each node to each target (column id of ``targets``), the target itself at 0.
+
+    ``within`` (target, id) says through which nodes a search may go; without it, through all.
+    """
+    seen = cut(targets.select(F.col("id").alias("target"), "id", F.lit(0).alias("distance")))
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = frontier.join(edges, F.col("id") == F.col("dst")).select("target", F.col("src").alias("id")).distinct()
+        if within is not None:
+            step = step.join(within, ["target", "id"], "left_semi")
+        frontier = cut(step.join(seen.select("target", "id"), ["target", "id"], "left_anti").withColumn("distance", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def path_rounds(edges: DataFrame, source, target, cutoff: int) -> Iterator[tuple[int, DataFrame]]:
+    """(length, paths of that length from source that can still reach target), path by array, ``at`` its end.
+
+    One backward search tells how far each node is from the target; a path goes on only to
+    nodes that are near enough for what is left of ``cutoff``.
+    """
+    kind = dict(edges.dtypes)["src"]
+    edges = edges.select("src", "dst").distinct()
+    at = edges.sparkSession.createDataFrame([(target,)], ["id"]).select(F.col("id").cast(kind).alias("id"))
+    far = cut(distances(edges, at, cutoff).select(F.col("id").alias("dst"), "distance"))
+    near = edges.join(far, "dst")
+    paths = near.where((F.col("src") == source) & (F.col("dst") != source) & (F.col("distance") < cutoff)).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
+    for length in range(1, cutoff + 1):
+        paths = cut(paths)
+        yield length, paths
+        if length == cutoff or paths.isEmpty():
+            return
+        onward = paths.where(F.col("at") != target).join(near, F.col("at") == F.col("src")).where((F.col("distance") + length + 1 <= cutoff) & ~F.array_contains("path", F.col("dst")))
+        paths = onward.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"))
+
+
 def simple_paths(edges: DataFrame, source, target, cutoff: int) -> DataFrame:
-    """(path, length) of every simple path from source to target of at most ``cutoff`` edges."""
-    paths = edges.where(F.col("src") == source).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
+    """(path, length) of every simple path from source to target of at most ``cutoff`` edges; none from a node to itself."""
     done = None
-    for length in range(1, cutoff + 1):
+    for length, paths in path_rounds(edges, source, target, cutoff):
         hit = paths.where(F.col("at") == target).select("path", F.lit(length).alias("length"))
         done = hit if done is None else done.unionByName(hit)
-        if length == cutoff:
-            break
-        onward = paths.where(F.col("at") != target).join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        paths = cut(onward.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at")))
-        if paths.isEmpty():
-            break
     return done
 
 
@@ -109,20 +145,114 @@ def path_steps(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.select("path", step.alias("step", "e")).select("path", "step", "e.src", "e.dst").join(edges, ["src", "dst"])
 
 
-def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
-    """(path, length) of elementary cycles (of up to ``max_length`` edges), from their smallest node."""
-    paths = edges.where("src < dst").select(F.col("src").alias("root"), F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
-    done, length = None, 1
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that lead on and are led to, round by round: what is left holds every cycle."""
+    rest, count = edges, edges.count()
+    while count:
+        entered, left = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+        rest = cut(rest.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        before, count = count, rest.count()
+        if count == before:
+            break
+    return rest
+
+
+def _first_sources(edges: DataFrame) -> DataFrame:
+    """(id, colour): the least node from which each node is reached, itself included.
+
+    What reaches a node's colour reaches the node, so colours follow their own colours as well as edges.
+    """
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    colours = cut(ends.select("id", F.col("id").alias("colour")))
     while True:
-        length += 1
-        closed = paths.join(edges, (F.col("at") == F.col("src")) & (F.col("root") == F.col("dst"))).select("path", F.lit(length).alias("length"))
-        done = closed if done is None else done.unionByName(closed)
-        if length == max_length:
+        offered = edges.join(colours, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offer"))
+        lower = colours.join(offered, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "offer").alias("colour"))
+        further = colours.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
+        after = cut(lower.join(further, "colour", "left").select("id", "was", F.least("colour", "further").alias("colour")))
+        colours = after.select("id", "colour")
+        if after.where("colour <> was").isEmpty():
+            return colours
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest node that a node reaches and is reached from (itself, if there is no other).
+
+    Nodes on no cycle are trimmed.  A forward search gives each node the least node that
+    reaches it, its colour; a backward search inside each colour, from the node that is its
+    own colour, finds that node's component.  All colours are searched at once; what was not
+    found goes another round.
+    """
+    rest, done = cut(edges.where("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        rest = _trimmed(rest)
+        if rest.isEmpty():
             break
-        onward = paths.join(edges, F.col("at") == F.col("src")).where((F.col("dst") > F.col("root")) & ~F.array_contains("path", F.col("dst")))
-        paths = cut(onward.select("root", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at")))
-        if max_length is None and paths.isEmpty():
+        colours = _first_sources(rest)
+        own = rest.join(colours.select(F.col("id").alias("src"), "colour"), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("to_colour")), "dst").where("colour = to_colour")
+        own = cut(own.select("src", "dst"))
+        found = cut(colours.where("id = colour"))
+        frontier = found
+        while True:
+            step = frontier.join(own, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "colour").distinct()
+            frontier = cut(step.join(found, ["id"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            found = cut(found.unionByName(frontier))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("id")
+        rest = cut(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    if done is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return nodes.select("id").join(done, "id", "left").select("id", F.coalesce("colour", "id").alias("component"))
+
+
+def cycle_rounds(edges: DataFrame, max_length: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """(length, open paths of that length from a root), each of which can come back to its root within ``max_length``.
+
+    A cycle lies within one strong component and starts at its smallest node, so a path keeps
+    to its component and to nodes above its root, and goes on only to nodes from which a
+    backward search of the root has come.  Columns: root, path, at.
+    """
+    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    parts = strong_components(ends, edges)
+    inner = edges.join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("to")), "dst").where("component = to")
+    inner = cut(inner.select("src", "dst"))
+    roots = inner.where("src < dst").select(F.col("src").alias("id")).distinct()
+    # Backward from every root at once, through nodes above it.
+    back = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance")))
+    frontier, depth = back, 0
+    while max_length is None or depth < max_length - 1:
+        depth += 1
+        step = frontier.join(inner, F.col("id") == F.col("dst")).where("src > root").select("root", F.col("src").alias("id")).distinct()
+        frontier = cut(step.join(back, ["root", "id"], "left_anti").withColumn("distance", F.lit(depth)))
+        if frontier.isEmpty():
             break
+        back = cut(back.unionByName(frontier))
+    back = cut(back.where("distance > 0").select("root", F.col("id").alias("dst"), "distance"))
+    paths, length = inner.join(back.withColumnRenamed("root", "src"), ["src", "dst"]).select(F.col("src").alias("root"), F.array("src", "dst").alias("path"), F.col("dst").alias("at")), 1
+    while True:
+        paths = cut(paths)
+        if paths.isEmpty():
+            return
+        yield length, paths
+        length += 1
+        if length == max_length:
+            return
+        onward = paths.join(inner, F.col("at") == F.col("src")).where((F.col("dst") > F.col("root")) & ~F.array_contains("path", F.col("dst"))).join(back, ["root", "dst"])
+        if max_length is not None:
+            onward = onward.where(F.col("distance") + length <= max_length)
+        paths = onward.select("root", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"))
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(path, length) of all elementary cycles of two edges or more (up to ``max_length`` where that is given), from their smallest node."""
+    links, done = edges.select("src", "dst").distinct(), None
+    for length, paths in cycle_rounds(edges, max_length):
+        closed = paths.join(links, (F.col("at") == F.col("src")) & (F.col("root") == F.col("dst"))).select("path", F.lit(length + 1).alias("length"))
+        done = closed if done is None else done.unionByName(closed)
+    if done is None:
+        return edges.select(F.array("src", "dst").alias("path"), F.lit(0).alias("length")).where("false")
     return done
 
 

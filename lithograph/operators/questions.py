@@ -89,7 +89,7 @@ def _stats(nodes, edges) -> DataFrame:
 
 
 def _cycle_lines(edges) -> DataFrame:
-    found = G.cycles(edges.select("src", "dst"), 6)
+    found = G.cycles(edges.select("src", "dst"))
     return _listed(found, F.format_string("%04d-%s", "length", F.array_join("path", ">")), F.concat(F.lit("  - "), F.array_join("path", " -> "), F.lit(" -> "), F.get("path", F.lit(0))))
 
 

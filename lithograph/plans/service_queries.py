@@ -80,7 +80,7 @@ def _all_answers(spark, sf):
 _DEG = ", deg AS (SELECT n.id, n.class_type, (SELECT count(*) FROM e WHERE dst = n.id) AS ca, (SELECT count(*) FROM e WHERE src = n.id) AS ce FROM n)"
 
 
-@catalog.add(_REACH + _CHAIN[len(_TRADE):] + _DEG + f""", cyc(root, here, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT root, dst, list_append(path, dst) FROM cyc JOIN e ON src = here WHERE dst > root AND NOT list_contains(path, dst) AND len(path) <= 5),
+@catalog.add(_REACH + _CHAIN[len(_TRADE):] + _DEG + f""", cyc(root, here, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT root, dst, list_append(path, dst) FROM cyc JOIN e ON src = here WHERE dst > root AND NOT list_contains(path, dst)),
 both_ways AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), conn(a, b) AS (SELECT id, id FROM n UNION SELECT conn.a, both_ways.b FROM conn JOIN both_ways ON conn.b = both_ways.a),
 st AS (SELECT (SELECT count(*) FROM n) AS nn, (SELECT count(*) FROM e) AS ne, NOT EXISTS (SELECT 1 FROM reach WHERE root = id) AS dag, (SELECT count(DISTINCT m) FROM (SELECT min(b) AS m FROM conn GROUP BY a)) AS parts)
 SELECT 'who_depends_on' AS agent, relationship || '-' || class AS key, '  - ' || class || ' (' || class_type || ') [' || relationship || ', ' || dep_type || ']' AS line FROM ({_WHO})
@@ -97,7 +97,7 @@ def graph_questions(spark, sf):
     return Q.fan_out(_all_answers(spark, sf))
 
 
-@catalog.add(_TRADE + _DEG + """, cyc(root, here, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT root, dst, list_append(path, dst) FROM cyc JOIN e ON src = here WHERE dst > root AND NOT list_contains(path, dst) AND len(path) <= 4),
+@catalog.add(_TRADE + _DEG + """, cyc(root, here, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT root, dst, list_append(path, dst) FROM cyc JOIN e ON src = here WHERE dst > root AND NOT list_contains(path, dst)),
 v AS (SELECT src, dst FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.class_type <> 't0' AND b.class_type <> 't0' AND a.class_type < b.class_type)
 SELECT unnest(['00', '01', '02', '03', '04']) AS key, unnest(['  Classes analysed     : ' || (SELECT count(*) FROM n), '  Circular deps        : ' || (SELECT count(*) FROM cyc JOIN e ON src = here AND dst = root), '  Orphan classes       : ' || (SELECT count(*) FROM deg WHERE ca + ce = 0),
   '  Highly coupled       : ' || (SELECT count(*) FROM deg WHERE ca + ce > 4), '  Layer violations     : ' || (SELECT count(*) FROM v)]) AS line
@@ -106,7 +106,7 @@ UNION ALL SELECT '2-' || id, '    ' || id FROM deg WHERE ca + ce = 0 UNION ALL S
 def graph_report(spark, sf):
     nodes, edges = _trade(spark, sf)
     ranks = nodes.select("id", F.substring("class_type", 2, 1).cast("int").alias("rank"))
-    return Q.report_lines(Q.report(nodes, edges, ranks, 5))
+    return Q.report_lines(Q.report(nodes, edges, ranks))
 
 
 # Access and updates: customers are repositories, owned by nations as users; events are grants.
