@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from lithograph.functions.storage import cut
 from lithograph.operators import chunking, reports, rules
 from lithograph.operators import graph as G
-from lithograph.sources import java
 from lithograph.plans.tables import Catalog, table
+from lithograph.sources import java
+from lithograph.streaming.events import work_folder
+from lithograph.streaming.ingest import ChunkIndex, ingest
 
 catalog = Catalog()
 
@@ -56,7 +58,8 @@ STEPS = (
 def java_files(spark, sf):
     """(file_path, content) of a file for each part."""
     part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"))
-    rows = part.crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))
+    # One small part file is one split; the scanner works on as many as the shuffle has.
+    rows = part.repartition("k").crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))
     for step in STEPS:
         rows = rows.selectExpr("*", *(f"{e} AS {c}" for c, e in step.items()))
     return rows.select("file_path", F.col("source").cast("binary").alias("content"))
@@ -198,14 +201,38 @@ def java_chunks(spark, sf):
     return chunking.chunk_files(parsed(spark, sf)).select("chunk_id", "file_path", "package", "class_name", "annotations", "method", "chunk_type", "chunk_index", F.md5("page_content").alias("content"))
 
 
-@catalog.add(f"WITH found AS ({_CHUNKS}) SELECT chunk_type, class_name LIKE '%Test' AS of_test, count(*) AS n FROM found GROUP BY ALL")
-def java_chunk_upsert(spark, sf):
-    """An index that takes the same chunks twice holds each once."""
-    from lithograph.operators.relational import upsert_latest
+def drops(spark, sf):
+    """Three drops of the files: all, every tenth in an older version; those as they are now; every seventh gone."""
+    rows = java_files(spark, sf).withColumn("k", F.regexp_extract("file_path", r"/P([0-9]+)[^/]*$", 1).cast("long"))
+    drop = lambda rows, content, version: rows.select("file_path", content.alias("content"), F.lit(version).cast("long").alias("version"), F.lit("2026-01-01").cast("timestamp").alias("dropped"))
+    older = F.lit("package com.old;\nclass Old { void old() { } }\n").cast("binary")
+    return (
+        drop(rows, F.when(F.col("k") % 10 == 0, older).otherwise(F.col("content")), 1),
+        drop(rows.where("k % 10 = 0"), F.col("content"), 2),
+        drop(rows.where("k % 7 = 0"), F.lit(None).cast("binary"), 3),
+    )
 
-    chunks = chunking.chunk_files(parsed(spark, sf)).withColumn("round", F.lit(1))
-    index = upsert_latest(chunks, chunks.withColumn("round", F.lit(2)), ["chunk_id", "class_name"], [F.col("round")])
-    return index.groupBy("chunk_type", F.col("class_name").endswith("Test").alias("of_test")).agg(F.count("*").alias("n"))
+
+@catalog.add(_CHUNKS + " WHERE file_path IN (SELECT file_path FROM f WHERE k % 7 <> 0)")
+def java_chunk_upsert(spark, sf):
+    """The index after new, changed and deleted files came in three batches."""
+    index = ChunkIndex(spark, work_folder(spark, "index"))
+    for drop in drops(spark, sf):
+        index.take(drop)
+    return index.chunks.read().select("chunk_id", "file_path", "package", "class_name", "annotations", "method", "chunk_type", "chunk_index", F.md5("page_content").alias("content"))
+
+
+@catalog.add(_FILES + f""", n AS (SELECT file_path, count(*) AS chunks FROM ({_CHUNKS}) GROUP BY file_path)
+SELECT s.file_path, CASE WHEN k % 7 = 0 THEN '' ELSE md5(source) END AS content_hash, CAST(CASE WHEN k % 7 = 0 THEN 3 WHEN k % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, coalesce(CASE WHEN k % 7 <> 0 THEN chunks END, 0) AS chunks FROM s{len(STEPS)} s LEFT JOIN n ON n.file_path = s.file_path""")
+def stream_java_ingest(spark, sf):
+    """The same drops as a stream that repeats the first one at its end: the version that each file is of, and how many chunks it has."""
+    folder = work_folder(spark, "ingest")
+    first, *rest = drops(spark, sf)
+    for number, drop in enumerate((first, *rest, first)):
+        drop.coalesce(1).write.parquet(f"{folder}/drops/{number}")
+    index = ingest(spark, f"{folder}/drops", folder, per_batch=1)
+    counts = index.chunks.read().groupBy("file_path").agg(F.count("*").alias("chunks"))
+    return index.files.read().join(counts, "file_path", "left").na.fill(0, ["chunks"])
 
 
 @catalog.add(_FILES + " SELECT file_path, 'List find(2)' AS signature FROM f WHERE is_class UNION ALL SELECT file_path, 'int big(0)' FROM f WHERE is_class AND k % 9 = 0")

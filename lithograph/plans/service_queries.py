@@ -118,8 +118,9 @@ def _access(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "error", "admin").otherwise("read")
     grants = table(spark, sf, "events").where("event_type IN ('purchase', 'error', 'signup')").select((F.col("user_id") % 25).cast("long").alias("user_id"), (F.col("event_id") % 1500 + 1).cast("long").alias("id"), kind.alias("permission"))
     repositories = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("owner_id"))
-    # Requests: every user asks for the repositories of the next nation.
-    pairs = users.join(repositories, (F.col("owner_id") == F.col("user_id")) | (F.col("owner_id") == (F.col("user_id") + 1) % 25))
+    # Requests: every user asks for its own repositories and those of the next nation, by one equality join.
+    wanted = users.withColumn("owner_id", F.explode(F.array("user_id", (F.col("user_id") + 1) % 25)))
+    pairs = wanted.join(repositories, "owner_id")
     return pairs, grants
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lithograph.functions.storage import ensure_checkpoint_dir
-from lithograph.operators.relational import keep_best
+from lithograph.sources.keyed import KeyedTable
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -42,32 +42,16 @@ def append_log(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def _newest(spark: SparkSession, folder: str, before: int) -> str | None:
-    """The finished table of the last batch before this one: the folder is the only memory, so a restart finds it."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return None
-    numbers = [int(f.getPath().getName().removeprefix("table-")) for f in system.listStatus(root) if f.getPath().getName().startswith("table-")]
-    done = [n for n in numbers if n < before and system.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{n}/_SUCCESS"))]
-    for old in sorted(done)[:-1]:  # a batch that is run again needs only the one before it
-        system.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{old}"), True)
-    return f"{folder}/table-{max(done)}" if done else None
-
-
-def merged(rows: DataFrame, keys: list[str], order: list[str], folder: str, mode: str = "append") -> DataFrame:
-    """The latest row of each key of a stream, as a table that each batch replaces; a repeated batch changes nothing."""
-    spark = rows.sparkSession
+def merged(rows: DataFrame, keys: list[str], order: list[str], folder: str, mode: str = "append", buckets: int = 16) -> DataFrame:
+    """The latest row of each key of a stream, as a table of which each batch rewrites the buckets it touches; a repeated batch changes nothing."""
+    table = KeyedTable(rows.sparkSession, f"{folder}/table", rows.schema, tuple(keys), buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = _newest(spark, folder, number)
-        both = batch if held is None else batch.unionByName(spark.read.parquet(held))
-        keep_best(both, keys, [F.col(c) for c in order], last=True).write.mode("overwrite").parquet(f"{folder}/table-{number}")
+        table.upsert(batch, order, number)
+        table.vacuum()
 
     _run(rows.writeStream.outputMode(mode).foreachBatch(merge), folder)
-    held = _newest(spark, folder, 1 << 62)
-    return spark.read.parquet(held) if held else spark.createDataFrame([], rows.schema)
+    return table.read()
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
