@@ -100,6 +100,14 @@ inner_edges AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY prio
 edges AS (SELECT src, dst, dep_type, source_file, line FROM inner_edges WHERE best = 1)"""
 
 
+@catalog.add(f"WITH {_steps_sql()} SELECT file_path, md5(source) AS content_hash, CAST(strlen(source) AS BIGINT) AS bytes FROM s{len(STEPS)} WHERE k % 50 <> 0 AND k % 37 <> 0")
+def java_scan(spark, sf):
+    """The files as a tree in a folder, scanned: excluded directories and other extensions are not opened."""
+    root = work_folder(spark, "tree [a+b], {c}")
+    java.write_tree(java_files(spark, sf), root)
+    return java.scan(spark, root).select("file_path", F.md5("content").alias("content_hash"), F.length("content").cast("long").alias("bytes"))
+
+
 @catalog.add(_FILES + """, m AS (SELECT f.*, CASE WHEN is_class THEN marked || ',Autowired' ELSE '' END AS annotations FROM (SELECT f.*, t.annotations AS marked FROM f JOIN t ON t.k = f.k AND t.place = 1) f)
 SELECT file_path, package, CASE WHEN is_class THEN 'java.util.List,' || a_package || '.' || a || ',com.demo.util.Texts.join,com.demo.shared' || CASE WHEN k % 13 = 0 THEN '""" + "".join(f",d{i % 6}.p{i % 6}.x{i}" for i in range(22)) + """' ELSE '' END ELSE e_package || '.' || e END AS imports,
 annotations, CASE WHEN is_class THEN name || CASE WHEN k % 8 = 2 AND b || 'Test' <> name THEN ',' || b || 'Test' ELSE '' END ELSE '' END AS classes, CASE WHEN NOT is_class THEN name WHEN k % 8 = 0 THEN name || 'Port' ELSE '' END AS interfaces,

@@ -26,9 +26,16 @@ def stream_tumbling_counts(spark, sf):
     return S.tumbling_counts(spark, sf).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
-@catalog.add("""SELECT user_id, CASE arg_max(event_type, lpad(CAST(epoch_us(ts) AS VARCHAR), 20, '0') || lpad(CAST(event_id AS VARCHAR), 20, '0')) WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
-count(*) AS steps FROM events GROUP BY user_id""")
+_ASKED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.JOB_STATES.items()) + " END"
+_ALLOWED = " OR ".join(f"(s.state = '{state}' AND e.state IN ({', '.join(repr(n) for n in after)}))" for state, after in S.TRANSITIONS.items())
+
+
+@catalog.add(f"""WITH o AS (SELECT user_id, max(ts) AS last, list({{'state': {_ASKED}, 'steps': 0, 'refused': 0}} ORDER BY ts, event_id) AS asked FROM events GROUP BY user_id),
+j AS (SELECT user_id, last, list_reduce(list_prepend({{'state': 'none', 'steps': 0, 'refused': 0}}, asked), lambda s, e: CASE WHEN {_ALLOWED} THEN {{'state': e.state, 'steps': s.steps + 1, 'refused': s.refused}} ELSE {{'state': s.state, 'steps': s.steps, 'refused': s.refused + 1}} END) AS s FROM o),
+d AS (SELECT *, s.state IN ('pending', 'running') AND last + INTERVAL 2 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS overdue FROM j)
+SELECT user_id, CASE WHEN overdue THEN 'failed' ELSE s.state END AS status, CAST(s.steps AS BIGINT) AS steps, CAST(s.refused AS BIGINT) AS refused, CAST(0 AS BIGINT) AS late, CAST(overdue AS BIGINT) AS stuck FROM d""")
 def stream_job_states(spark, sf):
+    """A state machine for each user: allowed steps taken, others refused and counted, jobs that stopped failed by a timer."""
     return S.job_states(spark, sf)
 
 

@@ -7,7 +7,9 @@ matches braces (``java_types``); everything else is columns over what it returns
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +37,76 @@ NODE_COLORS = {
 EDGE_PRIORITY = {"constructor_injection": 3, "field_injection": 2, "import": 1}
 
 
+def walk(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, threads: int = 32) -> tuple[list[str], list[str]]:
+    """All directories of a tree, itself first, and its files without a byte; excluded directories are never opened.
+
+    Each directory is listed once, through Hadoop's file system, many at a time.  The driver holds
+    their names, as it does for any table of files.
+    """
+    jvm = spark.sparkContext._jvm
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    system = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def below(name: str) -> tuple[list[str], list[str]]:
+        inside, empty = [], []
+        for status in system.listStatus(jvm.org.apache.hadoop.fs.Path(name)):
+            path = status.getPath()
+            if status.isDirectory():
+                inside += [path.toString()] if path.getName() not in excluded else []
+            elif status.getLen() == 0:
+                empty.append(path.toString())
+        return inside, empty
+
+    found = level = [system.makeQualified(start).toString()]
+    blank: list[str] = []
+    with ThreadPoolExecutor(threads) as pool:
+        while level:
+            held = list(pool.map(below, level))
+            level = [d for inside, _ in held for d in inside]
+            blank += [f for _, empty in held for f in empty]
+            found = found + level
+    return found, blank
+
+
+def _literal(path: str) -> str:
+    """A path that stands for itself where a pattern could stand."""
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path relative to root, content) of files with a known extension outside excluded directories."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    return supported(files.select(rel.alias("file_path"), F.col("content")))
+    """(file_path relative to root, content) of files with a known extension outside excluded directories.
+
+    The directories that are kept are a scan's paths and the extensions its file pattern, so neither
+    excluded directories nor other files are opened, and Spark deals the files that are read.
+    """
+    kept, blank = walk(spark, root)
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in EXTENSIONS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{{{any_case}}}").load([_literal(d) for d in kept])
+    # Spark lists no file without a byte.
+    known = [(f, bytearray()) for f in blank if f.lower().endswith(EXTENSIONS)]
+    both = files.select("path", "content").unionByName(spark.createDataFrame(known, "path string, content binary"))
+    return both.select(F.expr(f"substr(path, {len(kept[0]) + 2})").alias("file_path"), "content")
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write each file below ``root``, in any store that Arrow's file systems reach; how many there were."""
+
+    def write(batches):
+        from pyarrow import fs as stores
+
+        if ":" in root.partition("/")[0] and not root.startswith("file:"):
+            store, base = stores.FileSystem.from_uri(root)
+        else:
+            store, base = stores.LocalFileSystem(), re.sub("^file:/*", "/", root)
+        for batch in batches:
+            for name, raw in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist()):
+                target = f"{base}/{name}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(raw or b"")
+            yield pa.record_batch({"n": pa.array([len(batch)], pa.int64())})
+
+    return files.select("file_path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def supported(rows: DataFrame) -> DataFrame:

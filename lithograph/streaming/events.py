@@ -11,6 +11,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lithograph.functions.storage import ensure_checkpoint_dir
@@ -69,27 +70,90 @@ def tumbling_counts(spark: SparkSession, sf_dir: str, width: str = "1 hour", lat
     return spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
 
-#: What an event makes of a job.  A job that has ended takes no further step until it begins anew.
+#: What an event asks of a job.
 JOB_STATES = {"signup": "pending", "view": "running", "click": "running", "purchase": "completed", "error": "failed"}
-JOB_SCHEMA = "user_id long, status string, steps long, ts timestamp, event_id long"
+#: State -> states that may come next; a job that has ended takes no further step until it begins anew.
+TRANSITIONS = {"none": ("pending",), "pending": ("running", "failed"), "running": ("running", "completed", "failed"), "completed": ("pending",), "failed": ("pending",)}
+OPEN_STATES = ("pending", "running")
+JOB_SCHEMA = "user_id long, status string, steps long, refused long, late long, stuck long, ts timestamp, version long"
+
+
+class JobMachine(StatefulProcessor):
+    """One job for each key: its state, and a timer that fails it when event time has passed its last step by ``patience``.
+
+    Steps come in the order of (time, id) within a batch.  One that the table of transitions
+    does not allow is refused and counted, and so is one that is older than the last step that
+    was taken or refused (late); those behind the watermark never come here.  A timer that was
+    set before a later step does nothing.
+    """
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, steps long, refused long, late long, stuck long, last long, event long, version long")
+
+    def _held(self) -> list:
+        return list(self.job.get()) if self.job.exists() else ["none", 0, 0, 0, 0, -1, -1, 0]
+
+    def _told(self, key, job) -> pd.DataFrame:
+        status, steps, refused, late, stuck, last, _, version = job
+        return pd.DataFrame({"user_id": [key[0]], "status": [status], "steps": [steps], "refused": [refused], "late": [late], "stuck": [stuck], "ts": [pd.Timestamp(last * 1000)], "version": [version]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        job = self._held()
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for ts, event_id, kind in zip(events["ts"], events["event_id"], events["event_type"]):
+            asked, at = JOB_STATES[kind], ts.value // 1000
+            if (at, int(event_id)) <= (job[5], job[6]):
+                job[3] += 1
+                continue
+            job[5], job[6] = at, int(event_id)
+            if asked in TRANSITIONS[job[0]]:
+                job[0], job[1] = asked, job[1] + 1
+            else:
+                job[2] += 1
+        job[7] += 1
+        self.job.update(tuple(job))
+        # Long before the watermark nothing can be due yet; a step moves the timer on.
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if job[0] in OPEN_STATES:
+            self.handle.registerTimer(job[5] // 1000 + self.patience_ms)
+        yield self._told(key, job)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        job = self._held()
+        if job[0] in OPEN_STATES and expiredTimerInfo.getExpiryTimeInMs() >= job[5] // 1000 + self.patience_ms:
+            job[0], job[4], job[7] = "failed", job[4] + 1, job[7] + 1
+            self.job.update(tuple(job))
+            yield self._told(key, job)
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def jobs(events: DataFrame, folder: str, patience: str = "2 hours", lateness: str = "10 minutes") -> DataFrame:
+    """(user_id, status, steps, refused, late, stuck) from a stream (user_id, event_type, ts, event_id): a job for each user."""
+    spark = events.sparkSession
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)  # keyed state with timers needs this store
+    try:
+        rows = events.withWatermark("ts", lateness).groupBy("user_id")
+        told = rows.transformWithStateInPandas(JobMachine(int(pd.Timedelta(patience).total_seconds() * 1000)), JOB_SCHEMA, "update", "eventTime")
+        return merged(told, ["user_id"], ["version"], folder, "update").drop("ts", "version")
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, status, steps): each user's events as one job whose state is kept between batches."""
+    """Each user's events as the steps of one job."""
     rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
-
-    def advance(key, parts, state):
-        last, event, status, steps = state.get if state.exists else (None, -1, None, 0)
-        events = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        steps += len(events)
-        newest = events.iloc[-1]
-        if last is None or (newest.ts.value, int(newest.event_id)) > (last, event):
-            last, event, status = newest.ts.value, int(newest.event_id), JOB_STATES[newest.event_type]
-        state.update((last, event, status, steps))
-        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "steps": [steps], "ts": [pd.Timestamp(last)], "event_id": [event]})
-
-    jobs = rows.groupBy("user_id").applyInPandasWithState(advance, JOB_SCHEMA, "last long, event long, status string, steps long", "update", GroupStateTimeout.NoTimeout)
-    return merged(jobs, ["user_id"], ["steps"], work_folder(spark, "jobs"), "update").select("user_id", "status", "steps")
+    return jobs(rows, work_folder(spark, "jobs"))
 
 
 def conversation_windows(spark: SparkSession, sf_dir: str, turns: int = 6) -> DataFrame:

@@ -91,3 +91,51 @@ def test_ingest(spark):
     assert other.take(spark.read.schema(DROP).parquet(f"{drops}/1")) == ([], []) and other.take(spark.read.schema(DROP).parquet(f"{drops}/2")) == ([], [])
     # A late version of a file that is gone stays out.
     assert other.take(stamp([("src/C3.java", source("C3"), 1)])) == ([], [])
+
+
+def test_scan_opens_no_excluded_directory(spark, tmp_path):
+    from lithograph.sources import java
+
+    root = tmp_path / "a+b (x) [y], {z} %20"
+    files = {
+        "A.java": b"a", "src/p q/B.JAVA": b"bb", "src/p/C.yml": b"ccc", "src/p/README.md": b"", "src/p/pom.Xml": b"d", "src/p/target.properties": b"e", "src/empty/x.txt": b"no", "no_suffix": b"no", "src/x.javac": b"no",
+        ".git/objects/big.java": b"x" * 10_000, "src/target/classes/D.java": b"no", "module/build/E.java": b"no", "node_modules/deep/er/F.java": b"no", "classes/G.md": b"no",
+    }
+    for name, raw in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(raw)
+    kept = {"A.java", "src/p q/B.JAVA", "src/p/C.yml", "src/p/README.md", "src/p/pom.Xml", "src/p/target.properties"}
+    found = java.scan(spark, str(root))
+    assert {r.file_path: bytes(r.content) for r in found.collect()} == {n: files[n] for n in kept}
+    # What the scan plans to open, and its bytes, are those files alone.
+    opened = found.inputFiles()
+    assert len(opened) == len(kept) and not any("objects" in f or "deep" in f for f in opened)
+    assert found.agg(F.sum(F.length("content"))).first()[0] == sum(len(files[n]) for n in kept)
+    assert not any(d.endswith(("/.git", "/target", "/objects", "/deep", "/classes", "/build")) for d in java.walk(spark, str(root))[0])
+    (tmp_path / "nothing").mkdir()
+    assert java.scan(spark, str(tmp_path / "nothing")).count() == 0
+    copy = work_folder(spark, "copy")
+    assert java.write_tree(found, copy) == len(kept) and java.scan(spark, copy).count() == len(kept)
+
+
+def test_job_machine_refuses_times_out_and_goes_on_after_a_restart(spark):
+    from lithograph.streaming import events as S
+
+    folder, source = work_folder(spark, "jobs"), work_folder(spark, "events")
+    schema = "user_id long, event_type string, ts timestamp, event_id long"
+
+    def run(rows):
+        spark.createDataFrame(rows, "user_id long, event_type string, t string, event_id long").selectExpr("user_id", "event_type", "CAST(t AS TIMESTAMP) AS ts", "event_id").coalesce(1).write.mode("append").parquet(source)
+        return {r.user_id: tuple(r)[1:] for r in S.jobs(spark.readStream.schema(schema).parquet(source), folder, "1 hour", "10 minutes").collect()}
+
+    day = "2026-01-01 "
+    first = run([
+        (1, "signup", day + "10:00:00", 1), (1, "click", day + "10:01:00", 2), (1, "purchase", day + "10:02:00", 3), (1, "click", day + "10:03:00", 4),
+        (2, "click", day + "10:00:00", 5), (2, "signup", day + "10:00:01", 6), (2, "purchase", day + "10:00:02", 7), (3, "signup", day + "10:30:00", 8), (4, "signup", day + "12:00:00", 9), (4, "view", day + "12:00:00", 10),
+    ])
+    # steps, refused, late, stuck: user 2 may not run before it is pending nor complete before it runs; 2 and 3 have waited too long.
+    assert first == {1: ("completed", 3, 1, 0, 0), 2: ("failed", 1, 2, 0, 1), 3: ("failed", 1, 0, 0, 1), 4: ("running", 2, 0, 0, 0)}
+    second = run([(4, "purchase", day + "11:59:00", 11), (4, "click", day + "12:30:00", 12), (1, "signup", day + "12:10:00", 13), (1, "error", day + "12:20:00", 14), (5, "view", day + "13:15:00", 15)])
+    assert second[4] == ("running", 3, 0, 1, 0) and second[1] == ("failed", 5, 1, 0, 0) and second[5] == ("none", 0, 1, 0, 0)
+    third = run([(5, "signup", day + "18:00:00", 16)])
+    assert third[4] == ("failed", 3, 0, 1, 1) and third[5] == ("pending", 1, 1, 0, 0)
