@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithograph.functions.storage import cut
+
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 #: The order in which analyzers report.
 CATEGORIES = ("solid", "security", "performance", "maintainability", "duplicates", "tech_debt", "patterns")
@@ -196,13 +198,52 @@ def duplicate_signatures(parsed: DataFrame, least: int = 3, most: int = 10) -> D
     return first.select(F.lit("DUP-001").alias("rule_id"), F.lit("low").alias("severity"), F.format_string("Duplicate method signature '%s' in %d classes", "signature", "classes").alias("title"), "classes")
 
 
-def containing(needles: DataFrame, names: DataFrame, needle: str, name: str, width: int = 6) -> DataFrame:
-    """(needle) that some name contains: an equality join of each needle's first letters with every run of letters of a name, then a look."""
-    start = F.substring(needle, 1, width)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda w: F.substr(F.col(name), i, w))))
-    spread = names.select(F.col(name).alias("_name"), F.explode(F.array_distinct(runs)).alias("_start")).distinct()
-    hit = needles.select(needle).distinct().withColumn("_start", start).join(spread, "_start").where(F.contains("_name", F.col(needle)))
-    return hit.select(needle).distinct()
+#: Names that a needle meets at one gram in one task at most; where more hold it, they meet in blocks of that many.
+GRAM_BLOCK = 65536
+
+
+def name_grams(names: DataFrame, name: str, widths: list[int]) -> DataFrame:
+    """(_name, _gram): every run of as many letters as ``widths`` says, once for each name."""
+    length = F.length("_name")
+
+    def runs(width: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda i: i <= length - width + 1)
+        return F.transform(starts, lambda i: F.substr(F.col("_name"), i, F.lit(width)))
+
+    return names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct().select("_name", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, widths))))).alias("_gram"))
+
+
+def rarest_grams(needles: DataFrame, index: DataFrame, needle: str, width: int) -> DataFrame:
+    """(needle, _gram, _n): of each needle's grams the one that fewest names hold; needles with a gram that no name holds are left out.
+
+    A needle's grams are its runs of ``width`` letters; one that is shorter is its own gram.
+    """
+    own = F.when(F.length(needle) < width, F.array(needle)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(needle) - width + 1, F.lit(1))), lambda i: F.substr(F.col(needle), i, F.lit(width))))
+    grams = needles.select(needle).where(F.col(needle).isNotNull()).distinct().select(needle, F.explode(F.array_distinct(own)).alias("_gram"))
+    counts = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    met = grams.join(counts, "_gram", "left").groupBy(needle).agg(F.min_by(F.struct("_gram", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_g"))
+    return met.select(needle, "_g._gram", "_g._n").where("_n IS NOT NULL")
+
+
+def containing(needles: DataFrame, names: DataFrame, needle: str, name: str, width: int = 5, block: int = GRAM_BLOCK) -> DataFrame:
+    """(needle) that some name contains; an empty needle is contained in any.
+
+    Each needle is looked up in an index of the names by its rarest gram, so a beginning that a
+    whole project shares is no key.  Names of a gram that very many hold meet the needle in blocks.
+    """
+    wanted = cut(needles.select(needle).where(F.col(needle).isNotNull()).distinct())
+    # As many widths as ``width`` at most.
+    widths = sorted(r[0] for r in wanted.select(F.least(F.length(needle), F.lit(width))).distinct().collect() if r[0])
+    blank = wanted.where(F.col(needle) == "").join(names.where(F.col(name).isNotNull()).select(F.lit("").alias(needle)).limit(1), needle, "left_semi")
+    if not widths:
+        return blank
+    index = cut(name_grams(names, name, widths))
+    rare = rarest_grams(wanted.where(F.col(needle) != ""), index, needle, width).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    rare = cut(rare)
+    asked = rare.select(needle, "_gram", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    dealt = index.join(rare.select("_gram", "_blocks").distinct(), "_gram").withColumn("_block", F.pmod(F.xxhash64("_name"), F.col("_blocks")).cast("int"))
+    hit = asked.join(dealt.select("_name", "_gram", "_block"), ["_gram", "_block"]).where(F.contains("_name", F.col(needle)))
+    return hit.select(needle).distinct().unionByName(blank)
 
 
 def missing_tests(parsed: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def incremental_anti_hash(spark, sf):
 
 
 _SETS = """s AS (SELECT DISTINCT doc_id AS k, unnest(string_split(text, chr(10))) AS v FROM documents), z AS (SELECT k, count(*) AS n FROM s GROUP BY k HAVING count(*) >= {least}),
-p AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM s x JOIN s y ON x.v = y.v AND x.k < y.k GROUP BY ALL)
-SELECT a, b, shared, shared / CAST(za.n + zb.n - shared AS DOUBLE) AS similarity FROM p JOIN z za ON za.k = a JOIN z zb ON zb.k = b WHERE shared / CAST(za.n + zb.n - shared AS DOUBLE) >= {t}"""
+p AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM s x JOIN s y ON x.v = y.v AND x.k < y.k GROUP BY ALL),
+c AS (SELECT a, b, shared, shared / CAST(za.n + zb.n - shared AS DOUBLE) AS similarity FROM p JOIN z za ON za.k = a JOIN z zb ON zb.k = b WHERE shared / CAST(za.n + zb.n - shared AS DOUBLE) >= {t}),
+r AS (SELECT z.k, n, coalesce(min(c.a), z.k) AS representative FROM z LEFT JOIN c ON c.b = z.k AND c.similarity = 1 GROUP BY z.k, n)"""
+_CLONES = " SELECT least(ra.representative, rb.representative) AS a, greatest(ra.representative, rb.representative) AS b, min(shared) AS shared, min(similarity) AS similarity, count(*) AS pairs FROM c JOIN r ra ON ra.k = c.a JOIN r rb ON rb.k = c.b GROUP BY 1, 2"
 
 
 def _clones(spark, sf, threshold, least):
@@ -65,14 +67,21 @@ def _clones(spark, sf, threshold, least):
     return T.similar_sets(items, "doc_id", "line", threshold, least)
 
 
-@catalog.add("WITH " + _SETS.format(least=5, t=0.7))
+@catalog.add("WITH " + _SETS.format(least=5, t=0.7) + _CLONES)
 def jaccard_line_clones(spark, sf):
-    return _clones(spark, sf, 0.70, 5)
+    """Pairs of representatives, and how many pairs of documents each stands for."""
+    return T.clone_pairs(*_clones(spark, sf, 0.70, 5), "doc_id")
 
 
-@catalog.add("WITH " + _SETS.format(least=8, t=0.85))
+@catalog.add("WITH " + _SETS.format(least=8, t=0.85) + _CLONES)
 def jaccard_import_like(spark, sf):
-    return _clones(spark, sf, 0.85, 8)
+    return T.clone_pairs(*_clones(spark, sf, 0.85, 8), "doc_id")
+
+
+@catalog.add("WITH " + _SETS.format(least=5, t=0.7) + " SELECT k AS doc_id, representative, n FROM r")
+def clone_members(spark, sf):
+    """Which documents each representative stands for: those with the same lines."""
+    return _clones(spark, sf, 0.70, 5)[1]
 
 
 @catalog.add("SELECT md5(line) AS signature, count(*) AS classes FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line HAVING count(*) >= 3")

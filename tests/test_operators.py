@@ -113,14 +113,52 @@ def test_conversation_trim(spark):
     assert conversation.last_answer(rows).first().turn == 20
 
 
-def test_similar_sets_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [text.BLOCK_SETS, 3])
+def test_similar_sets_matches_brute_force(spark, block):
     import random
 
     r = random.Random(3)
-    sets = {k: set(r.sample(range(30), r.randint(3, 9))) for k in range(60)}
-    table = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "k int, v int")
-    got = {(x.a, x.b): x.shared for x in text.similar_sets(table, "k", "v", 0.5, 3).collect()}
-    assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    sets = {k: frozenset(r.sample(range(30), r.randint(3, 9))) for k in range(60)} | {100 + k: frozenset(range(5, 11)) for k in range(9)} | {200 + k: frozenset({50, 51, 52, 53, 60 + k}) for k in range(8)}
+    sets |= {300: frozenset({1, 2}), 301: frozenset({1, 2})}
+    table = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s] + [(5, v) for v in sets[5]], "k int, v int")
+    pairs, members = text.similar_sets(table, "k", "v", 0.5, 3, block)
+    kept = {k: s for k, s in sets.items() if len(s) >= 3}
+    first = {s: min(k for k in kept if kept[k] == s) for s in set(kept.values())}
+    assert {r.k: (r.representative, r.n) for r in members.collect()} == {k: (first[s], len(s)) for k, s in kept.items()}
+    alike = {(a, b): len(sets[a] & sets[b]) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    own = set(first.values())
+    assert {(x.a, x.b): x.shared for x in pairs.collect()} == {p: n for p, n in alike.items() if p[0] in own and p[1] in own}
+    told = text.clone_pairs(pairs, members, "k").collect()
+    assert sum(x.pairs for x in told) == len(alike) and {(x.a, x.b): (x.shared, x.pairs) for x in told}[(100, 100)] == (6, 36)
+
+
+def test_equal_sets_and_common_values_do_not_meet_in_one_task(spark):
+    """A thousand equal sets are one row of a join, and a value of 400 sets meets in cells of about 20."""
+    items = spark.createDataFrame([(k, v) for k in range(1000) for v in range(6)] + [(2000 + k, v) for k in range(400) for v in (10, 11, 12, 13, 100 + k)], "k int, v int")
+    pairs, members = text.similar_sets(items, "k", "v", 0.9, 3)
+    assert pairs.count() == 0 and members.select("representative").distinct().count() == 401
+    left, right = text._in_blocks(spark.range(400).selectExpr("id AS k", "'hot' AS v"), "v", "k", 20)
+    cells = left.groupBy("cell_i", "cell_j").count().join(right.groupBy("cell_i", "cell_j").agg(F.count("*").alias("other")), ["cell_i", "cell_j"])
+    most = cells.agg(F.max("count"), F.max("other"), F.sum(F.col("count") * F.col("other"))).first()
+    assert most[0] <= 40 and most[1] <= 40 and most[2] == 400 * 400
+
+
+def test_containing_by_the_rarest_gram(spark):
+    import random
+
+    r = random.Random(5)
+    names = ["AbstractBaseOrder" + "".join(r.choices("abc", k=5)) + r.choice(["Service", "Test", ""]) for _ in range(500)] + ["", "x", "Order", None]
+    needles = sorted({n[r.randrange(0, 12):][: r.randint(1, 14)] for n in names if n} | {"AbstractBaseOrder", "Order", "zz", "", "Service", "AbstractBaseOrderabcabcaX"})
+    table = spark.createDataFrame([(n,) for n in needles] + [("Order",), (None,)], "n string")
+    held = spark.createDataFrame([(n,) for n in names], "t string")
+    expected = sorted(n for n in needles if any(n in t for t in names if t is not None))
+    for block in (rules.GRAM_BLOCK, 7):
+        assert sorted(x.n for x in rules.containing(table, held, "n", "t", block=block).collect()) == expected
+    # The beginning that all names share is no needle's gram where it has another.
+    index = rules.name_grams(held, "t", [5])
+    rare = {x.n: (x._gram, x._n) for x in rules.rarest_grams(table.where(F.length("n") >= 5), index, "n", 5).collect()}
+    assert all(n <= 60 for needle, (_, n) in rare.items() if needle.startswith("AbstractBaseOrder") and len(needle) > 21)
+    assert rules.containing(table.where("n = ''"), held.limit(0), "n", "t").count() == 0
 
 
 def test_retrieval(spark):
