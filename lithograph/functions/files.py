@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import SparkSession
@@ -43,3 +44,13 @@ def remove(spark: SparkSession, name: str) -> bool:
     """Whether there was anything to remove."""
     system, path = _path(spark, name)
     return bool(system.delete(path, True))
+
+
+def fingerprint(table) -> str:
+    """Of the files that a table is read from: their names, sizes and times."""
+    spark, told = table.sparkSession, []
+    for name in sorted(table.inputFiles()):
+        system, path = _path(spark, name)
+        status = system.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(name)))
+        told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(told).encode()).hexdigest()

@@ -23,3 +23,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the shared checkpoint folder that stays the same for the same name, for what is made once and read again."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root.rstrip('/')}/kept/{name}"

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithograph.functions.files import fingerprint
 from lithograph.functions.order import numbered
+from lithograph.functions.storage import kept_folder
+from lithograph.operators import keyword_index as keyword
 from lithograph.operators import retrieval as R
 from lithograph.operators import text as T
+from lithograph.operators import vector_index as vectors
 from lithograph.operators.relational import top_per_group
 from lithograph.plans.tables import Catalog, table
 
@@ -110,6 +114,37 @@ def vector_topk_per_label(spark, sf):
     return top_per_group(scored, ["label"], [F.desc("score"), F.col("vec_id")], 3).select("label", "vec_id")
 
 
+def vector_index(spark, sf):
+    """The index of the embeddings, made once for the same files."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return vectors.opened(rows, kept_folder(spark, f"vectors-{fingerprint(rows)}"))
+
+
+def _asked(spark, sf):
+    """Every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@catalog.add(f"SELECT query, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query, e.vec_id, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10")
+def vector_index_exact(spark, sf):
+    """The ten nearest of each query, from every cell of the index."""
+    return vector_index(spark, sf).search(_asked(spark, sf), 10).select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@catalog.add("SELECT count(*) AS queries, 10 AS k, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf):
+    """Whether the probes that the index keeps find nine of ten true neighbours."""
+    return vector_index(spark, sf).recall(_asked(spark, sf), 10).select("queries", "k", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@catalog.add(f"SELECT rank, vec_id, round(score, 6) AS score FROM (SELECT e.vec_id, {_COS} AS score, CAST(row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE e.label = q.label) WHERE rank <= 5")
+def vector_index_in_label(spark, sf):
+    """The nearest of one label, the label filtered before rows are scored; all cells."""
+    one = table(spark, sf, "embeddings").where("vec_id = 0").first()
+    index = vector_index(spark, sf)
+    return index.near(list(one.embedding), 5, len(index.centroids()), F.col("label") == one.label).select("rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def _mmr_sql(k: int, fetch: int, balance: float) -> str:
     """Greedy choice in k steps: each takes the best of those that are left, less its likeness to those that were taken."""
     unit = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
@@ -136,16 +171,29 @@ b AS (SELECT f.doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END * tf
   FROM f JOIN i ON i.x = f.x JOIN w ON w.doc_id = f.doc_id, n, m WHERE f.x IN ('the', 'reading', 'onner', 'de', 'token') GROUP BY f.doc_id)"""
 
 
+def keyword_index(spark, sf):
+    """The index of the documents, made once for the same files."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return keyword.opened(docs, kept_folder(spark, f"words-{fingerprint(docs)}"))
+
+
 @catalog.add(_BM25 + " SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 8")
 def bm25_top8(spark, sf):
-    return R.bm25_top_k(documents(spark, sf), BM25_QUERY, 8).select("doc_id", F.round("score", 6).alias("score"))
+    return keyword_index(spark, sf).top_k(BM25_QUERY, 8).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@catalog.add("SELECT w AS word, count(*) AS df, sum(tf) AS occurrences FROM (SELECT doc_id, x AS w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS x FROM documents) GROUP BY ALL) GROUP BY w")
+def bm25_index_words(spark, sf):
+    """The whole index, summed up by word."""
+    rows = keyword_index(spark, sf).blocks().select("word", F.inline("postings"))
+    return rows.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @catalog.add(_BM25 + f""", kw AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY score DESC, doc_id LIMIT 8),
 v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY rank LIMIT 8)
 SELECT id, round(sum(p), 6) AS score FROM (SELECT id, 0.4 / (60 + rank) AS p FROM kw UNION ALL SELECT id, 0.6 / (60 + rank) FROM v) GROUP BY id""")
 def rrf_hybrid(spark, sf):
-    words = R.ranked(R.bm25_top_k(documents(spark, sf), BM25_QUERY, 8), "doc_id").withColumnRenamed("doc_id", "id")
+    words = R.ranked(keyword_index(spark, sf).top_k(BM25_QUERY, 8), "doc_id").withColumnRenamed("doc_id", "id")
     dense = R.ranked(R.cosine_top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 8), "vec_id").withColumnRenamed("vec_id", "id")
     return R.reciprocal_rank_fusion([(words, 0.4), (dense, 0.6)], "id").select("id", F.round("score", 6).alias("score"))
 
