@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithograph.operators.rules import SEVERITIES, severity_order
+from lithograph.operators.rules import CATEGORIES, SEVERITIES, severity_order
 
-CATEGORIES = ("solid", "security", "performance", "maintainability", "duplicates", "tech_debt", "patterns")
 REPLY = "findings array<struct<category string, severity string, rule_id string, title string>>"
 
 
@@ -47,23 +46,6 @@ def _lines(order: str, line: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(line).alias("_line")))), lambda s: s["_line"]), "\n")
 
 
-def text_report(found: DataFrame) -> DataFrame:
-    """(part, rule_seq, unit, k, line): findings under a head for each severity, worst first; ordered by the first four it is the text."""
-    order = severity_order().cast("int")
-    heads = found.groupBy("severity").agg(F.count("*").alias("n")).select(order.alias("part"), F.lit(-1).alias("rule_seq"), F.lit("").alias("unit"), F.posexplode(F.array(F.concat(F.upper("severity"), F.lit(" FINDINGS ("), F.col("n").cast("string"), F.lit(")")), F.lit("-" * 40))).alias("k", "line"))
-    body = F.array_compact(F.array(
-        F.concat(F.lit("  ["), "rule_id", F.lit("] "), "title"), F.concat(F.lit("    Category : "), "category"), F.concat(F.lit("    Classes  : "), "unit"),
-        F.when(F.col("evidence") != "", F.concat(F.lit("    Evidence : "), F.substring("evidence", 1, 150))), F.lit(""),
-    ))
-    return heads.unionByName(found.select(order.alias("part"), "rule_seq", "unit", F.posexplode(body).alias("k", "line")))
-
-
-def json_report(found: DataFrame) -> DataFrame:
-    """(rule_seq, unit, json): a finding an object, in order; evidence is cut to 500 characters and line numbers are left out."""
-    item = F.struct("category", "severity", "rule_id", "title", F.array(F.col("unit").cast("string")).alias("affected_classes"), F.substring(F.coalesce("evidence", F.lit("")), 1, 500).alias("evidence"))
-    return found.select("rule_seq", "unit", F.to_json(item).alias("json"))
-
-
 def mermaid(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """One row, diagram: a flow chart with safe node names, edges in order."""
     safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")

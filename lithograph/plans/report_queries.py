@@ -4,87 +4,127 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithograph.functions.storage import cut
 from lithograph.operators import reports as P
+from lithograph.operators import review as V
 from lithograph.operators import rules as E
 from lithograph.plans import graph_queries as G
 from lithograph.plans import rule_queries as Q
 from lithograph.plans.tables import Catalog, table
+from lithograph.streaming.events import work_folder
 
 catalog = Catalog()
 
-REPLIES = (
-    (1, 'Here: {"findings": [{"category": "Security", "severity": "HIGH", "rule_id": "X-1", "title": "one"}, {"category": "nonsense", "severity": "high", "title": "two"}]} done'),
-    (2, "no braces at all"),
-    (3, '{"findings": [{"title": "three"}, {"category": "solid", "severity": "grave", "title": "four"}]}'),
-    (4, '{"findings": []}'),
-    (5, '{"findings": [{"category": "patterns", "severity": "low", "rule_id": null, "title": "five"}]}'),
-)
-
-NOTES = (
-    (1, "# Top\nintro\n## Layers\na\nb\n### Deep\nc\n## Other\nd"),
-    (2, "# Layers of it\nx\n# End\ny"),
-    (3, "no header\nlayers"),
-)
-
-
+#: A model's reply to each turn of a conversation, the same text for both engines: prose, a JSON object in it, broken JSON, values that are not known.
+_QUOTED = "translate(text, chr(10) || chr(92) || chr(34) || '{}', '     ')"
+_REPLY = f"""CASE CAST((conv_id * 7 + turn) % 6 AS INT)
+  WHEN 0 THEN 'Here: ' || chr(123) || '"findings": [' || chr(123) || '"category": "Security", "severity": "HIGH", "rule_id": "X-' || turn || '", "title": "' || {_QUOTED} || '"' || chr(125) || ', ' || chr(123) || '"category": "nonsense", "severity": "high", "title": "two"' || chr(125) || ']' || chr(125) || ' done' || chr(10) || 'ok'
+  WHEN 1 THEN 'no braces at all: ' || translate(text, '{{}}', '  ')
+  WHEN 2 THEN chr(123) || '"findings": [' || chr(123) || '"title": "' || role || '"' || chr(125) || ', ' || chr(123) || '"category": "solid", "severity": "grave", "title": "four"' || chr(125) || ']' || chr(125)
+  WHEN 3 THEN chr(123) || '"findings": []' || chr(125) WHEN 4 THEN 'cut off: ' || chr(123) || '"findings": [' || chr(123)
+  ELSE chr(123) || '"findings": [' || chr(123) || '"category": "patterns", "severity": "low", "rule_id": null, "title": "' || conv_id || '"' || chr(125) || ']' || chr(125) END"""
 
-_REPLIES = "(VALUES " + ", ".join(f"({i}, " + " || chr(10) || ".join(Q._quote(x) for x in t.split("\n")) + ")" for i, t in REPLIES) + ") v(id, body)"
-_NOTES = "(VALUES " + ", ".join(f"({i}, " + " || chr(10) || ".join(Q._quote(x) for x in t.split("\n")) + ")" for i, t in NOTES) + ") v(id, body)"
 
-
-@catalog.add(f"""WITH b AS (SELECT id, regexp_extract(body, '(?s)\\{{.*\\}}') AS j FROM {_REPLIES}),
-i AS (SELECT id, unnest(CAST(json_extract(j, '$.findings') AS JSON[])) AS f FROM b WHERE j <> ''),
-x AS (SELECT id, lower(coalesce(f->>'category', 'maintainability')) AS category, lower(coalesce(f->>'severity', 'info')) AS severity, coalesce(f->>'rule_id', 'LLM-000') AS rule_id, coalesce(f->>'title', '') AS title FROM i)
+@catalog.add(f"""WITH b AS (SELECT conv_id, turn, regexp_extract(body, '(?s)\\{{.*\\}}') AS j FROM (SELECT conv_id, turn, {_REPLY} AS body FROM conversations)),
+i AS (SELECT conv_id, turn, unnest(CAST(json_extract(j, '$.findings') AS JSON[])) AS f FROM b WHERE j <> ''),
+x AS (SELECT conv_id, turn, lower(coalesce(f->>'category', 'maintainability')) AS category, lower(coalesce(f->>'severity', 'info')) AS severity, coalesce(f->>'rule_id', 'LLM-000') AS rule_id, coalesce(f->>'title', '') AS title FROM i)
 SELECT * FROM x WHERE category IN ('solid', 'security', 'performance', 'maintainability', 'duplicates', 'tech_debt', 'patterns') AND severity IN ('critical', 'high', 'medium', 'low', 'info')""")
 def parse_llm_findings(spark, sf):
-    return P.parse_findings(spark.createDataFrame(list(REPLIES), "id int, body string"), "id", "body").drop("pos")
+    """The findings in the replies to all turns of all conversations."""
+    replies = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.expr(_REPLY).alias("body"))
+    return P.parse_findings(replies, "id", "body").select("id.*", "category", "severity", "rule_id", "title")
+
 
+#: Each document as Markdown: every third line of it is a header, of a level and a title that its number gives.
+_NOTE = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 THEN repeat('#', CAST(1 + (doc_id + i) % 4 AS INT)) || CASE WHEN (doc_id + i) % 5 = 0 THEN ' The Layers ' WHEN (doc_id + i) % 7 = 0 THEN 'layers, no header ' ELSE ' Part ' END || x[1:20] ELSE x END)"
 
-@catalog.add(f"""WITH l AS (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM {_NOTES}),
-m AS (SELECT *, length(regexp_extract(line, '^(#+)\\s', 1)) AS lv FROM l), s AS (SELECT id, min(pos) AS p FROM m WHERE lv > 0 AND contains(lower(line), 'layers') GROUP BY id),
+
+@catalog.add(f"""WITH n AS (SELECT doc_id AS id, {_NOTE} AS ls FROM documents), l AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM n),
+m AS (SELECT *, length(regexp_extract(line, '^(#+)\s', 1)) AS lv FROM l), s AS (SELECT id, min(pos) AS p FROM m WHERE lv > 0 AND contains(lower(line), 'layers') GROUP BY id),
 t AS (SELECT s.id, p, lv AS sl FROM s JOIN m ON m.id = s.id AND m.pos = p), e AS (SELECT t.id, min(pos) AS q FROM t JOIN m ON m.id = t.id AND pos > p AND lv > 0 AND lv <= sl GROUP BY t.id)
-SELECT m.id, string_agg(line, chr(10) ORDER BY pos) AS section FROM m JOIN t ON t.id = m.id LEFT JOIN e ON e.id = m.id WHERE pos >= p AND pos < coalesce(q, 1000000) GROUP BY m.id""")
+SELECT m.id AS doc_id, string_agg(line, chr(10) ORDER BY pos) AS section FROM m JOIN t ON t.id = m.id LEFT JOIN e ON e.id = m.id WHERE pos >= p AND pos < coalesce(q, 1000000) GROUP BY m.id""")
 def markdown_section(spark, sf):
-    return P.markdown_section(spark.createDataFrame(list(NOTES), "id int, body string"), "id", "body", "Layers")
+    """The section about layers of every document that has one."""
+    docs = table(spark, sf, "documents")
+    number = lambda i: F.col("doc_id") + i + 1
+    title = lambda x, i: F.concat(F.repeat(F.lit("#"), (1 + number(i) % 4).cast("int")), F.when(number(i) % 5 == 0, " The Layers ").when(number(i) % 7 == 0, "layers, no header ").otherwise(" Part "), F.substring(x, 1, 20))
+    note = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, title(x, i)).otherwise(x)), "\n")
+    return P.markdown_section(docs.select("doc_id", note.alias("body")), "doc_id", "body", "Layers")
 
 
 _FOUND = Q.findings_sql(Q._JAVA, Q.JAVA_RULES)
 _ORD = Q._ORD
 
 
-@catalog.add(_FOUND + f""", c AS (SELECT severity, count(*) AS n FROM found GROUP BY severity) SELECT CAST({_ORD} AS INT) AS part, -1 AS rule_seq, '' AS unit, CAST(unnest(range(2)) AS INT) AS k, unnest([upper(severity) || ' FINDINGS (' || n || ')', repeat('-', 40)]) AS line FROM c
-UNION ALL SELECT part, rule_seq, unit, CAST(unnest(range(len(l))) AS INT), unnest(l) FROM (SELECT CAST({_ORD} AS INT) AS part, rule_seq, unit, list_filter(['  [' || rule_id || '] ' || title, '    Category : ' || category, '    Classes  : ' || unit,
-CASE WHEN evidence <> '' THEN '    Evidence : ' || evidence[1:150] END, ''], lambda x: x IS NOT NULL) AS l FROM found)""")
-def review_text_report(spark, sf):
-    return P.text_report(Q._java_findings(spark, sf))
+@catalog.add(_FOUND + Q._SCORE + f""", g AS ({Q._GRADE.strip()}), c AS (SELECT category, 10 * count(*) FILTER (WHERE severity = 'critical') + 5 * count(*) FILTER (WHERE severity = 'high') + 2 * count(*) FILTER (WHERE severity = 'medium') AS p FROM found GROUP BY category ORDER BY p DESC, category LIMIT 3)
+SELECT format('{{}} findings ({{}} critical, {{}} high, {{}} medium). Score {{:.1f}} ({{}}). Focus: {{}}.', count(*), count(*) FILTER (WHERE severity = 'critical'), count(*) FILTER (WHERE severity = 'high'), count(*) FILTER (WHERE severity = 'medium'),
+(SELECT score FROM g), (SELECT grade FROM g), (SELECT string_agg(category, ', ' ORDER BY p DESC, category) FROM c)) AS summary FROM found""")
+def review_executive_summary(spark, sf):
+    found = Q._java_findings(spark, sf)
+    return P.executive_summary(found, E.quality_score(found, Q.java_units(spark, sf).count()), E.executive_top(found))
 
 
-_JSON = r"""'{"category":"' || category || '","severity":"' || severity || '","rule_id":"' || rule_id || '","title":' || to_json(title) || ',"affected_classes":["' || unit || '"],"evidence":' || to_json(evidence) || '}'"""
+_PATH, _AT = "/repositories/demo", "2026-01-01 00:00 UTC"
 
 
-@catalog.add(_FOUND + f" SELECT rule_seq, unit, {_JSON} AS json FROM found")
-def review_json_report(spark, sf):
-    return P.json_report(Q._java_findings(spark, sf))
+def _case(column: str, pairs: dict[str, str], default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {Q._quote(v)}" for k, v in pairs.items()) + f" ELSE {default} END"
 
 
-@catalog.add(_FOUND + f" SELECT count(*) AS findings, count(DISTINCT j->>'rule_id') AS rules FROM (SELECT CAST({_JSON} AS JSON) AS j FROM found)")
-def review_report_saved(spark, sf):
-    """The report written as JSON lines in order, and read again."""
-    from lithograph.sources import metadata
-    from lithograph.streaming.events import work_folder
+def _worded(place: int) -> str:
+    return _case("rule_id", {k: v[place] for k, v in V.WORDING.items()}, _case("category", {k: v[place] for k, v in V.DEFAULT_WORDING.items()}, "''"))
 
+
+# d: findings with all their fields; r: the facts.
+_REVIEW = _FOUND + Q._SCORE + f""", g AS ({Q._GRADE.strip()}), c3 AS (SELECT category, 10 * count(*) FILTER (WHERE severity = 'critical') + 5 * count(*) FILTER (WHERE severity = 'high') + 2 * count(*) FILTER (WHERE severity = 'medium') AS p FROM found GROUP BY category ORDER BY p DESC, category LIMIT 3),
+d AS (SELECT *, {_worded(0)} || ' Seen ' || hits || ' time(s) in ' || unit || '.' || CASE WHEN evidence <> '' THEN ' First: ' || evidence ELSE '' END AS description, {_worded(1)} AS recommendation, 'src/' || unit || '.java' AS file, CAST({_ORD} AS INT) AS o FROM found),
+one AS (SELECT *, row_number() OVER (PARTITION BY rule_id, title[1:60] ORDER BY o, rule_seq, unit) AS k FROM d),
+issues AS (SELECT row_number() OVER (ORDER BY o, rule_seq, unit) AS i, '[' || upper(severity) || '] ' || title AS issue FROM one WHERE k = 1 ORDER BY o, rule_seq, unit LIMIT 5),
+cats AS (SELECT category, list_position(['solid', 'security', 'performance', 'maintainability', 'duplicates', 'tech_debt', 'patterns'], category) AS place, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}" for x in ("critical", "high", "medium", "low"))} FROM found GROUP BY category),
+r AS (SELECT (SELECT count(*) FROM units) AS n, (SELECT count(*) FROM found) AS total_findings, (SELECT score FROM g) AS score, (SELECT grade FROM g) AS grade,
+  (SELECT format('{{}} findings ({{}} critical, {{}} high, {{}} medium). Score {{:.1f}} ({{}}). Focus: {{}}.', count(*), count(*) FILTER (WHERE severity = 'critical'), count(*) FILTER (WHERE severity = 'high'), count(*) FILTER (WHERE severity = 'medium'),
+    (SELECT score FROM g), (SELECT grade FROM g), (SELECT string_agg(category, ', ' ORDER BY p DESC, category) FROM c3)) FROM found) AS summary)"""
+
+
+def _review(spark, sf):
+    found = cut(Q._java_findings(spark, sf))
+    units = Q.java_units(spark, sf)
+    n = units.count()
+    files = units.select(F.col("class_name").alias("unit"), F.concat(F.lit("src/"), "class_name", F.lit(".java")).alias("file"), F.array().cast("array<string>").alias("methods"))
+    return V.review(found, _PATH, n, n, _AT, files)
+
+
+@catalog.add(_REVIEW + f"""
+SELECT 0 AS part, 0 AS severity_rank, -1 AS rule_seq, '' AS unit, CAST(unnest(range(10)) AS INT) AS k, unnest(['{V.RULE}', '  CODE REVIEW REPORT', '{V.RULE}', 'Repository    : {_PATH}', 'Files Reviewed: ' || n, 'Total Classes : ' || n, 'Total Findings: ' || total_findings, format('Quality Score : {{:.1f}}/100  (Grade: {{}})', score, grade), 'Generated At  : {_AT}', '']) AS line FROM r
+UNION ALL SELECT 1, 0, -1, '', CAST(unnest(range(4)) AS INT), unnest(['EXECUTIVE SUMMARY', '{V.UNDER}', summary, '']) FROM r
+UNION ALL SELECT 2, 0, -1, '', CAST(unnest(range(len(l))) AS INT), unnest(l) FROM (SELECT list_concat(['TOP ISSUES', '{V.UNDER}'], list('  ' || i || '. ' || issue ORDER BY i), ['']) AS l FROM issues HAVING count(*) > 0)
+UNION ALL SELECT 3, 0, -1, '', CAST(unnest(range(len(l))) AS INT), unnest(l) FROM (SELECT list_concat(['FINDINGS BY CATEGORY', '{V.UNDER}'], list('  ' || rpad(category, 22, ' ') || ' ' || lpad(CAST(total AS VARCHAR), CAST(greatest(3, length(CAST(total AS VARCHAR))) AS INT), ' ') || ' total  (CRITICAL:' || critical || '  HIGH:' || high || '  MEDIUM:' || medium || '  LOW:' || low || ')' ORDER BY total DESC, category), ['']) AS l FROM cats HAVING count(*) > 0)
+UNION ALL SELECT 4, o, -1, '', CAST(unnest(range(2)) AS INT), unnest([upper(severity) || ' FINDINGS (' || n || ')', '{V.UNDER}']) FROM (SELECT severity, o, count(*) AS n FROM d GROUP BY severity, o)
+UNION ALL SELECT 4, o, rule_seq, unit, CAST(unnest(range(len(l))) AS INT), unnest(l) FROM (SELECT o, rule_seq, unit, list_filter(['  [' || rule_id || '] ' || title, '    Category : ' || category, '    Classes  : ' || unit, '    Desc     : ' || description[1:200], '    Fix      : ' || recommendation[1:200],
+  CASE WHEN evidence <> '' THEN '    Evidence : ' || evidence[1:150] END, ''], lambda x: x IS NOT NULL) AS l FROM d)""")
+def review_text_report(spark, sf):
+    """The whole text of a review, as ordered lines."""
+    return _review(spark, sf).text()
+
+
+@catalog.add(_REVIEW + """ SELECT rule_id, category, severity, title, description, recommendation, file AS affected_files, unit AS affected_classes, '' AS affected_methods, coalesce(evidence, '') AS evidence FROM d""")
+def review_json_report(spark, sf):
+    """The findings of a review that was saved as JSON and read again, with all their fields."""
     path = work_folder(spark, "review")
-    metadata.save_lines(P.json_report(Q._java_findings(spark, sf)), path, ["rule_seq", "unit"], "json")
-    back = metadata.load_json(spark, path, "category string, rule_id string, title string")
-    return back.agg(F.count("rule_id").alias("findings"), F.count_distinct("rule_id").alias("rules"))
+    _review(spark, sf).save(path)
+    rows = V.load(spark, path)[1]
+    return rows.select(*(F.array_join(c, ",").alias(c) if c.startswith("affected") else F.col(c) for c in rows.columns))
 
 
-@catalog.add(_FOUND + Q._SCORE + f""", g AS ({Q._GRADE.strip()}), c AS (SELECT category, 10 * count(*) FILTER (WHERE severity = 'critical') + 5 * count(*) FILTER (WHERE severity = 'high') + 2 * count(*) FILTER (WHERE severity = 'medium') AS p FROM found GROUP BY category ORDER BY p DESC, category LIMIT 3)
-SELECT format('{{}} findings ({{}} critical, {{}} high, {{}} medium). Score {{:.1f}} ({{}}). Focus: {{}}.', count(*), count(*) FILTER (WHERE severity = 'critical'), count(*) FILTER (WHERE severity = 'high'), count(*) FILTER (WHERE severity = 'medium'),
-(SELECT score FROM g), (SELECT grade FROM g), (SELECT string_agg(category, ', ' ORDER BY p DESC, category) FROM c)) AS summary FROM found""")
-def review_executive_summary(spark, sf):
-    found = Q._java_findings(spark, sf)
-    return P.executive_summary(found, E.quality_score(found, Q.java_units(spark, sf).count()), E.executive_top(found))
+@catalog.add(_REVIEW + f""" SELECT '{_PATH}' AS repository_path, n AS reviewed_files, n AS total_classes, total_findings, score AS quality_score, grade, summary, (SELECT string_agg(issue, '|' ORDER BY i) FROM issues) AS top_issues, '{_AT}' AS generated_at,
+(SELECT string_agg(category || ':' || total || ':' || critical || ':' || high || ':' || medium || ':' || low, '|' ORDER BY place) FROM cats) AS category_summaries FROM r""")
+def review_report_saved(spark, sf):
+    """The facts of a review that was saved as JSON and read again."""
+    path = work_folder(spark, "review")
+    _review(spark, sf).save(path)
+    facts = V.load(spark, path)[0]
+    told = F.array_join(F.transform("category_summaries", lambda c: F.concat_ws(":", c["category"], *(c[x].cast("string") for x in ("total", "critical", "high", "medium", "low")))), "|")
+    return facts.withColumns({"category_summaries": told, "top_issues": F.array_join("top_issues", "|")})
 
 
 @catalog.add(_FOUND + f" SELECT rule_id, f.unit, content[1:800] AS snippet FROM (SELECT * FROM found ORDER BY {_ORD}, rule_seq, unit LIMIT 5) f JOIN units ON units.unit = f.unit")
