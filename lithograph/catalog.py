@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph_queries", "platform_queries", "chat_queries", "text_queries", "rule_queries", "architecture_queries", "stream_queries", "report_queries", "java_queries", "dependency_queries", "structure_queries", "service_queries")
+MODULES = ("graph_queries", "platform_queries", "chat_queries", "text_queries", "rule_queries", "architecture_queries", "stream_queries", "report_queries", "java_queries", "dependency_queries", "odd_queries", "structure_queries", "service_queries")
 
 
 def _catalogs():

@@ -258,16 +258,25 @@ def missing_tests(parsed: DataFrame) -> DataFrame:
     return missing.select(F.lit("DEBT-007").alias("rule_id"), F.lit("medium").alias("severity"), F.concat(F.lit("No test class found for "), "class_name").alias("title"), "file_path")
 
 
+#: Sizes from which a class is told of.  Fixed values.
+MOST_METHODS, MOST_LINES, LARGE_LINES = 15, 300, 500
+GOD_LINES, GOD_METHODS, WORST_LINES, WORST_METHODS = 500, 20, 800, 30
+
+
 def metadata_findings(parsed: DataFrame, imports: int = 20, domains: int = 4, loc: float = 40, behaviour: int = 3) -> DataFrame:
-    """Findings that need no text: wide imports, entities without behaviour, long methods on average."""
+    """Findings that need no text: many methods, long files, wide imports, entities without behaviour, long methods on average, god classes."""
     domain = F.array_distinct(F.transform(F.filter("imports", lambda i: F.size(F.split(i, r"\.")) >= 2), lambda i: F.substring_index(i, ".", 2)))
     plain = F.filter("methods", lambda m: ~F.lower(m).rlike("^(" + "|".join(ACCESSORS) + ")"))
-    average = F.col("lines_of_code") / F.size("methods")
-    finding = lambda rule, title: F.struct(F.lit(rule).alias("rule_id"), F.lit("low").alias("severity"), title.alias("title"))
-    rows = parsed.select("imports", "annotations", "methods", "lines_of_code", F.posexplode("classes").alias("place", "class_name")).withColumns({"domains": F.size(domain), "plain": F.size(plain), "average": average})
+    average = F.try_divide("lines_of_code", F.size("methods"))
+    finding = lambda rule, title, severity="low": F.struct(F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), title.alias("title"))
+    rows = parsed.select("imports", "annotations", "methods", "lines_of_code", F.posexplode("classes").alias("place", "class_name")).withColumns({"domains": F.size(domain), "plain": F.size(plain), "average": average, "n": F.size("methods")})
+    lines = F.col("lines_of_code")
     checks = F.array(
+        F.when(F.col("n") > MOST_METHODS, finding("SOLID-S001", F.format_string("SRP: %s has too many methods (%d)", "class_name", "n"), "medium")),
+        F.when(lines > MOST_LINES, finding("SOLID-S002", F.format_string("SRP: %s is too large (%d LOC)", "class_name", lines), F.when(lines > LARGE_LINES, "medium").otherwise("low"))),
         F.when((F.size("imports") > imports) & (F.col("domains") > domains), finding("SOLID-S003", F.format_string("SRP: %s imports from %d domains", "class_name", "domains"))),
         F.when(F.arrays_overlap("annotations", F.array(*map(F.lit, ENTITIES))) & (F.col("plain") <= behaviour), finding("ANTI-003", F.format_string("Anemic Domain Model: %s has no domain behaviour", "class_name"))),
         F.when((F.col("place") == 0) & (F.size("methods") > 0) & (F.col("average") > loc), finding("MAINT-001", F.format_string("Long methods detected in %s (avg ~%.0f LOC)", "class_name", F.bround("average", 0)))),
+        F.when((lines >= GOD_LINES) | (F.col("n") >= GOD_METHODS), finding("ANTI-001", F.format_string("God Class anti-pattern: %s (%d LOC, %d methods)", "class_name", lines, "n"), F.when((lines > WORST_LINES) | (F.col("n") > WORST_METHODS), "high").otherwise("medium"))),
     )
     return rows.select(F.inline(F.array_compact(checks)))

@@ -158,8 +158,10 @@ class Source:
 def read(raw: bytes | str | None) -> dict:
     """Package, imports, all annotations and all types of a file (FILE_SCHEMA); a failure is told in ``error``."""
     out: dict = {"package": None, "imports": [], "annotations": [], "types": [], "error": None}
+    if raw is None:
+        return out | {"error": "no content"}
     try:
-        source = Source(raw.decode("utf-8", "replace") if isinstance(raw, (bytes, bytearray)) else raw or "")
+        source = Source(raw.decode("utf-8", "replace") if isinstance(raw, (bytes, bytearray)) else raw)
         for start, brace, end in source.declarations(0, len(source.code)):
             head = source.code[source.modifiers(start, end)[1] : end] if brace is None else ""
             if m := re.match(r"package\s+([\w.]+)\s*;", head):
