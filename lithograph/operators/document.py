@@ -1,16 +1,15 @@
 """Documents made of ordered lines: sections by a reader's level, as Markdown rows or a word-processor file.
 
-A section is a table of lines; a document is (section, part, key, line) in that order.  Rows
-can be written as text of any size; the packed file format holds a bounded number of lines.
+A section is a table of lines; a document is (section, part, key, line) in that order, written
+as text or as a packed file, of any length.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
-from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.operators import structure as S
@@ -31,9 +30,8 @@ GLOSSARY = (
     ("DTO", "carries data between parts"), ("Layer", "is a group of classes with one duty"),
 )
 
-#: Classes and packages that a section names, and lines of a packed file.
+#: Classes and packages that a section names.
 NAMED = 15
-MOST_LINES = 20_000
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -44,6 +42,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 def sections(roles: DataFrame, nodes: DataFrame, edges: DataFrame, base: str, level: str) -> DataFrame:
     """(section, part, key, line) of the document for a level; a heading is the first line of each section."""
+    return documents(roles, nodes, edges, base, (level,)).drop("level")
+
+
+def documents(roles: DataFrame, nodes: DataFrame, edges: DataFrame, base: str, levels: tuple[str, ...] = tuple(SECTIONS)) -> DataFrame:
+    """(level, section, part, key, line) of the documents for several levels; what levels share is made once."""
     from lithograph.operators import graph as G
 
     spark = roles.sparkSession
@@ -67,9 +70,12 @@ def sections(roles: DataFrame, nodes: DataFrame, edges: DataFrame, base: str, le
         "recommendations": lambda: summary("critique"),
         "glossary": lambda: spark.createDataFrame([(1, f"{k:02d}", f"* {a}: {b}") for k, (a, b) in enumerate(GLOSSARY)], "part int, key string, line string"),
     }
-    wanted = SECTIONS[level]
-    heads = spark.createDataFrame([(n, 0, "", f"## {n}. {TITLES[name]}") for n, name in enumerate(wanted, 1)], "section int, part int, key string, line string")
-    return S.union(heads, *(made[name]().select(F.lit(n).alias("section"), (F.col("part") + 1).cast("int").alias("part"), "key", "line") for n, name in enumerate(wanted, 1)))
+    places = [(level, n, name) for level in levels for n, name in enumerate(SECTIONS[level], 1)]
+    heads = spark.createDataFrame([(level, n, 0, "", f"## {n}. {TITLES[name]}") for level, n, name in places], "level string, section int, part int, key string, line string")
+    names = sorted({name for _, _, name in places})
+    bodies = S.union(*(made[name]().select(F.lit(name).alias("name"), (F.col("part") + 1).cast("int").alias("part"), "key", "line") for name in names))
+    told = bodies.join(F.broadcast(spark.createDataFrame(places, "level string, section int, name string")), "name")  # a row for each section of each level
+    return heads.unionByName(told.select("level", "section", "part", "key", "line"))
 
 
 _TYPES = (
@@ -82,33 +88,60 @@ _RELATIONS = (
 )
 
 
-def packed(lines: list[str]) -> bytes:
-    """A word-processor file with a paragraph a line; headings are bold."""
+_BODY = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>', "</w:body></w:document>")
 
-    def paragraph(line: str) -> str:
-        bold = "<w:rPr><w:b/></w:rPr>" if line.startswith("#") else ""
-        return f'<w:p><w:r>{bold}<w:t xml:space="preserve">{escape(line.lstrip("# ") if bold else line)}</w:t></w:r></w:p>'
 
-    body = "".join(map(paragraph, lines))
-    text = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
-        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELATIONS), ("word/document.xml", text)):
-            file.writestr(name, part)
-    return out.getvalue()
+def paragraph(line: Column) -> Column:
+    """A line as a paragraph of a word-processor file; headings are bold."""
+    bold = line.startswith("#")
+    clean = F.regexp_replace(line, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    text = F.replace(F.replace(F.replace(F.when(bold, F.regexp_replace(clean, "^[# ]+", "")).otherwise(clean), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit("<w:p><w:r>"), F.when(bold, "<w:rPr><w:b/></w:rPr>").otherwise(""), F.lit('<w:t xml:space="preserve">'), text, F.lit("</w:t></w:r></w:p>"))
 
 
 def save_packed(rows: DataFrame, path: str) -> int:
-    """The document as one file, through Hadoop's file system; a larger document must be written as text.  Returns its lines."""
-    order = ("section", "part", "key")
-    lines = [r.line for r in rows.orderBy(*order).limit(MOST_LINES + 1).collect()]
-    if len(lines) > MOST_LINES:
-        raise ValueError(f"over {MOST_LINES} lines: write them as text")
+    """The document as one file of any length; returns its lines.
+
+    Paragraphs are made and ordered by Spark and come to the driver a part at a time, which
+    it deflates into the store's stream: it holds a part and no document.
+    """
     spark = rows.sparkSession
+    order = ("section", "part", "key")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(paragraph(F.col("line")).alias("text"))
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    n = 0
     try:
-        stream.write(bytearray(packed(lines)))
+        with zipfile.ZipFile(_Out(stream), "w", zipfile.ZIP_DEFLATED) as file:
+            for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELATIONS)):
+                file.writestr(name, part)
+            with file.open("word/document.xml", "w", force_zip64=True) as body:
+                body.write(_BODY[0].encode())
+                for row in ordered.toLocalIterator():
+                    body.write(row.text.encode())
+                    n += 1
+                body.write(_BODY[1].encode())
     finally:
         stream.close()
-    return len(lines)
+    return n
+
+
+class _Out(io.RawIOBase):
+    """A file to write to, over a stream of the store; what is written goes on in pieces of 64 KB."""
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.held += data
+        if len(self.held) >= 1 << 16:
+            self.flush()
+        return len(data)
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(bytearray(self.held))
+            self.held.clear()

@@ -134,6 +134,36 @@ def route(questions: DataFrame, text: str = "question", rounds: str | None = Non
     return questions.withColumn("agents", agents).withColumn("next", step)
 
 
+#: What a coordinator says when nothing more shall be asked.
+FINISH = "FINISH"
+
+
+def named_route(rows: DataFrame, names: str = "next_agents", rounds: str | None = None) -> DataFrame:
+    """``rows`` with ``agents`` (the specialists among the names that a coordinator gave, in its order, each once) and ``next``.
+
+    Names that are no specialist's are dropped; without any that is, after FINISH, or when the rounds are spent, answers are put together.
+    """
+    known = F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isin(*SPECIALISTS)))
+    done = F.coalesce(F.array_contains(names, FINISH), F.lit(False))
+    if rounds is not None:
+        done = done | (F.col(rounds) >= MAX_ROUNDS)
+    agents = F.when(done, F.slice(known, 1, 0)).otherwise(known)
+    step = F.when(F.size("agents") == 0, "synthesize").when(F.size("agents") == 1, "one").otherwise("parallel")
+    return rows.withColumn("agents", agents).withColumn("next", step)
+
+
+def synthesis(question: str, results: DataFrame) -> DataFrame:
+    """(part, agent, key, line) of what the last step is given: the question, then each agent's answer under its name; one line where there is none."""
+    spark = results.sparkSession
+    fixed = lambda part, *texts: [(part, "", f"{k:03d}", t) for k, t in enumerate(texts)]
+    rows = lambda lines: spark.createDataFrame(lines, "part int, agent string, key string, line string")
+    if results.isEmpty():
+        return rows(fixed(0, "No information was gathered. Please try a more specific question."))
+    own = results.select("agent").distinct().select(F.lit(1).alias("part"), "agent", F.lit("").alias("key"), F.concat(F.lit("--- "), F.upper("agent"), F.lit(" AGENT ---")).alias("line"))
+    said = results.select(F.lit(1).alias("part"), "agent", F.concat(F.lit("-"), "key").alias("key"), "line")
+    return rows(fixed(0, f"Question: {question}", "", "Specialist Agent Results:") + fixed(2, "", "Synthesize a complete, grounded answer:")).unionByName(own).unionByName(said)
+
+
 def fan_out(answers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """(agent, key, line) of independent answers, worked out at the same time and cut to ANSWER_CHARS a line."""
     with ThreadPoolExecutor(max(1, len(answers))) as pool:

@@ -61,11 +61,18 @@ def executive_summary(found: DataFrame, score: DataFrame, top: DataFrame) -> Dat
     return totals.crossJoin(score).crossJoin(worst).select(text.alias("summary"))
 
 
-def first_snippets(found: DataFrame, chunks: DataFrame, limit: int = 5, width: int = 800) -> DataFrame:
-    """The first chunk of each of the first findings' units: unit, rule_id, snippet."""
-    head = found.orderBy(severity_order(), "rule_seq", "unit").limit(limit)
-    first = chunks.groupBy("unit").agg(F.min_by("content", "chunk_index").alias("content"))
-    return head.join(first, "unit", "left").select("rule_id", "unit", F.substring(F.coalesce("content", F.lit("")), 1, width).alias("snippet"))
+def first_snippets(found: DataFrame, chunks: DataFrame, limit: int = 5, classes: int = 2, width: int = 3000, severities: tuple[str, ...] = ("critical", "high")) -> DataFrame:
+    """(place, class_name, rule_id, snippet): the texts of the first classes of the gravest findings, each class once, where it first comes.
+
+    found: severity, rule_seq, unit, rule_id and affected_classes; chunks: unit, content, chunk_index.
+    """
+    head = found.where(F.col("severity").isin(*severities)).orderBy(severity_order(), "rule_seq", "unit").limit(limit)
+    order = F.struct(severity_order().alias("s"), "rule_seq", "unit", "k")
+    each = head.select("*", F.posexplode(F.slice("affected_classes", 1, classes)).alias("k", "class_name"))
+    once = each.groupBy("class_name").agg(F.min(order).alias("first"), F.min_by("rule_id", order).alias("rule_id"))
+    text = chunks.join(F.broadcast(once.select(F.col("class_name").alias("unit"))), "unit", "left_semi").groupBy(F.col("unit").alias("class_name")).agg(F.min_by("content", "chunk_index").alias("content"))  # limit * classes rows
+    rows = once.join(text, "class_name").where(F.coalesce("content", F.lit("")) != "")
+    return rows.select(F.row_number().over(W.orderBy("first")).alias("place"), "class_name", "rule_id", F.substring("content", 1, width).alias("snippet"))
 
 
 def _lookup(table: dict, key: str, default: str) -> Column:

@@ -362,6 +362,28 @@ def role_lines(roles: DataFrame, most: int = 5) -> DataFrame:
     return counts.select(F.lit(1).alias("part"), F.concat(F.lpad((F.lit(1 << 30) - F.col("n")).cast("string"), 12, "0"), F.lit(" "), "role").alias("key"), line.alias("line"))
 
 
+#: Names that the whole report tells of a layer and of a role.  Fixed values.
+LAYER_NAMES, ROLE_NAMES = 8, 5
+
+
+def report_lines(roles: DataFrame, base: str) -> DataFrame:
+    """(part, key, line): base package, layers with their first classes, modules, patterns and roles, most classes first."""
+    spark = roles.sparkSession
+    named = lambda most: F.concat(F.array_join("names", ", "), more(F.col("n"), most, " (+%d more)"))
+    titled = lambda part, *texts: spark.createDataFrame([(part, f"{k:03d}", t) for k, t in enumerate(texts)], "part int, key string, line string")
+    rows = lambda df, part, key, line: df.select(F.lit(part).alias("part"), key.cast("string").alias("key"), line.alias("line"))
+    top = roles.agg(F.count("*").alias("n")).select(F.posexplode(F.array(F.lit(f"Base Package: {base or 'unknown'}"), F.format_string("Total Classes: %d", "n"))).alias("k", "line"))
+    by_role = heads(roles.where("role <> 'unknown'"), "role", ROLE_NAMES)
+    full = F.when(F.col("is_full_stack"), "(full-stack)").otherwise("")
+    return union(
+        rows(top, 0, F.col("k"), F.col("line")),
+        titled(1, "", "Layers:"), rows(layer_heads(roles, LAYER_NAMES, ()), 2, F.lpad(F.col("place").cast("string"), 3, "0"), F.concat(F.format_string("  %s (%d): ", "layer", "n"), named(LAYER_NAMES))),
+        titled(3, "", "Modules:"), rows(modules(roles, base), 4, F.col("module"), F.concat(F.format_string("  %s: %d classes [", "module", "members"), F.replace("roles", F.lit(","), F.lit(", ")), F.lit("] "), full)),
+        titled(5, "", "Spring Boot Patterns:"), rows(pattern_lines(patterns(roles)), 6, F.col("k"), F.concat(F.lit("  - "), "line")),
+        titled(7, "", "Role Breakdown:"), rows(by_role, 8, F.concat(F.lpad((F.lit(1 << 30) - F.col("n")).cast("string"), 12, "0"), F.lit(" "), "role"), F.concat(F.lit("  "), lookup(ROLE_LABELS, "role"), F.lit(": "), named(ROLE_NAMES))),
+    )
+
+
 def aspects(roles: DataFrame, nodes: DataFrame, edges: DataFrame, base: str) -> dict:
     """Answers to named questions, each a function of (layer, module) that gives ordered lines (part, key, line)."""
     def layer_rows():

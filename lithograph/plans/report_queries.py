@@ -127,10 +127,18 @@ def review_report_saved(spark, sf):
     return facts.withColumns({"category_summaries": told, "top_issues": F.array_join("top_issues", "|")})
 
 
-@catalog.add(_FOUND + f" SELECT rule_id, f.unit, content[1:800] AS snippet FROM (SELECT * FROM found ORDER BY {_ORD}, rule_seq, unit LIMIT 5) f JOIN units ON units.unit = f.unit")
+_OTHER = "split_part({0}, '_', 1) || '_' || (CAST(split_part({0}, '_', 2) AS BIGINT) + CASE WHEN CAST(split_part({0}, '_', 2) AS BIGINT) > {1} THEN -{1} ELSE {1} END)"
+
+
+@catalog.add(_FOUND + f""", h AS (SELECT *, {_ORD} AS o FROM found WHERE severity IN ('critical', 'high') ORDER BY {_ORD}, rule_seq, unit LIMIT 5),
+e AS (SELECT o, rule_seq, unit, 0 AS k, rule_id, unit AS class_name FROM h UNION ALL SELECT o, rule_seq, unit, 1, rule_id, {_OTHER.format('unit', len(Q.JAVA))} FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY o, rule_seq, unit, k) AS n FROM e)
+SELECT CAST(row_number() OVER (ORDER BY o, rule_seq, f.unit, k) AS INT) AS place, class_name, rule_id, content[1:3000] AS snippet FROM f JOIN units ON units.unit = class_name WHERE n = 1 AND content <> ''""")
 def review_first_snippets(spark, sf):
+    """Texts of the classes that the gravest findings are about: here the class of a finding, the other one of its kind, and a third that is not told."""
     chunks = Q.java_units(spark, sf).select(F.col("class_name").alias("unit"), "content", F.lit(0).alias("chunk_index"))
-    return P.first_snippets(Q._java_findings(spark, sf), chunks)
+    found = Q._java_findings(spark, sf).withColumn("affected_classes", F.array("unit", F.expr(_OTHER.format("unit", len(Q.JAVA))), F.lit("Third")))
+    return P.first_snippets(found, chunks)
 
 
 @catalog.add(G.EDGES + " SELECT 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM (SELECT '    ' || regexp_replace(s.n_name, '[^A-Za-z0-9_]', '_', 'g') || ' --> ' || regexp_replace(d.n_name, '[^A-Za-z0-9_]', '_', 'g') AS line FROM edges JOIN nation s ON s.n_nationkey = src JOIN nation d ON d.n_nationkey = dst)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.functions.order import numbered
@@ -280,3 +281,34 @@ def agent_routes(spark, sf):
     """To which specialists each message goes; after eight rounds to none."""
     routed = Q.route(table(spark, sf, "conversations"), "text", "turn")
     return routed.select("conv_id", "turn", F.array_join("agents", ",").alias("agents"), "next")
+
+
+_NAMES = "array('search', 'dependency', 'nonsense', 'review', 'docs', 'FINISH', 'search')"
+
+
+@catalog.add("WITH q AS (SELECT conv_id, turn, list_slice(['search', 'dependency', 'nonsense', 'review', 'docs', 'FINISH', 'search'], 1 + CAST((conv_id + turn) % 6 AS INT), 1 + CAST((conv_id + turn) % 6 AS INT) + CAST(turn % 3 AS INT)) AS names FROM conversations), "
+    "k AS (SELECT *, list_filter(list_filter(names, lambda x, i: list_position(names, x) = i), lambda x: list_contains([" + ", ".join(f"'{n}'" for n in Q.SPECIALISTS) + "], x)) AS known FROM q) "
+    "SELECT conv_id, turn, CASE WHEN list_contains(names, 'FINISH') OR turn >= 8 THEN '' ELSE array_to_string(known, ',') END AS agents, CASE WHEN list_contains(names, 'FINISH') OR turn >= 8 OR len(known) = 0 THEN 'synthesize' WHEN len(known) = 1 THEN 'one' ELSE 'parallel' END AS next FROM k")
+def agent_named_routes(spark, sf):
+    """Routing by the names that a coordinator gives, some of them no specialist's."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(f"slice({_NAMES}, 1 + CAST((conv_id + turn) % 6 AS INT), 1 + CAST(turn % 3 AS INT))").alias("next_agents"))
+    return Q.named_route(rows, rounds="turn").select("conv_id", "turn", F.array_join("agents", ",").alias("agents"), "next")
+
+
+_ASKED = "What depends on what?"
+
+
+@catalog.add("WITH a AS MATERIALIZED (" + catalog.sql["graph_questions"] + f""")
+SELECT 0 AS part, '' AS agent, unnest(['000', '001', '002']) AS key, unnest(['Question: {_ASKED}', '', 'Specialist Agent Results:']) AS line UNION ALL SELECT 2, '', unnest(['000', '001']), unnest(['', 'Synthesize a complete, grounded answer:'])
+UNION ALL SELECT DISTINCT 1, agent, '', '--- ' || upper(agent) || ' AGENT ---' FROM a UNION ALL SELECT 1, agent, '-' || key, line[1:1500] FROM a""")
+def agent_synthesis(spark, sf):
+    """The answers of all specialists, run side by side, put together for the last step."""
+    return Q.synthesis(_ASKED, Q.fan_out(_all_answers(spark, sf)))
+
+
+@catalog.add(J._FILES + " SELECT (SELECT count(*) FROM f) AS file_count, CAST(row_number() OVER (ORDER BY file_path) AS INT) AS place, file_path FROM f ORDER BY file_path LIMIT 100")
+def java_first_files(spark, sf):
+    """How many files there are, and the first hundred by path."""
+    files = J.kept(spark, sf).select("file_path")
+    first = files.orderBy("file_path").limit(100).withColumn("place", F.row_number().over(W.orderBy("file_path")))
+    return first.crossJoin(files.agg(F.count("*").alias("file_count")))

@@ -250,3 +250,56 @@ def document_advanced(spark, sf):
     files = J.kept(spark, sf)
     rows = document.sections(S.detect(files), *java.graph(files), BASE, "advanced")
     return rows.groupBy(F.col("section").cast("long").alias("section")).agg(F.max(F.when(F.col("part") == 0, F.col("line"))).alias("heading"), F.count("*").alias("lines"))
+
+
+def _titled(part: int, title: str) -> str:
+    return f"SELECT {part} AS part, unnest(['000', '001']) AS key, unnest(['', '{title}']) AS line"
+
+
+_NAMED = "array_to_string(names[1:{0}], ', ') || CASE WHEN n > {0} THEN ' (+' || (n - {0}) || ' more)' ELSE '' END"
+
+
+@catalog.add(_ROLES + _MODULES + _FACTS + f""", by_layer AS (SELECT r.layer, p.place AS spot, count(*) AS n, list(class_name ORDER BY file_path, r.place) AS names FROM roles r JOIN places p ON p.layer = r.layer GROUP BY r.layer, p.place),
+by_role AS (SELECT role, count(*) AS n, list(class_name ORDER BY file_path, place) AS names FROM roles WHERE role <> 'unknown' GROUP BY role)
+SELECT 0 AS part, unnest(['0', '1']) AS key, unnest(['Base Package: com.demo', 'Total Classes: ' || (SELECT count(*) FROM roles)]) AS line
+UNION ALL {_titled(1, "Layers:")} UNION ALL SELECT 2, lpad(CAST(spot AS VARCHAR), 3, '0'), '  ' || layer || ' (' || n || '): ' || {_NAMED.format(8)} FROM by_layer
+UNION ALL {_titled(3, "Modules:")} UNION ALL SELECT 4, module, '  ' || module || ': ' || members || ' classes [' || replace(roles, ',', ', ') || '] ' || CASE WHEN is_full_stack THEN '(full-stack)' ELSE '' END FROM modules
+UNION ALL {_titled(5, "Spring Boot Patterns:")} UNION ALL SELECT 6, CAST(k AS VARCHAR), '  - ' || line FROM ({_SAID})
+UNION ALL {_titled(7, "Role Breakdown:")} UNION ALL SELECT 8, lpad(CAST(1073741824 - n AS VARCHAR), 12, '0') || ' ' || role, '  ' || {_label('role')} || ': ' || {_NAMED.format(5)} FROM by_role""")
+def arch_report_text(spark, sf):
+    """The whole report on an architecture, as ordered lines."""
+    return S.report_lines(roles(spark, sf), BASE)
+
+
+def _document_sql() -> str:
+    """Each section from the SQL of the query that tells its contents."""
+    from lithograph.operators import document as D
+
+    of = lambda name: f"({catalog.sql.get(name) or J.catalog.sql[name]})"
+    said = lambda *names: f"SELECT 2 AS part, name AS key, text AS line FROM {of('arch_summaries')} WHERE name IN ({', '.join(map(_quote, names))})"
+    coupled = f"(SELECT *, lpad(CAST(1000000000 - ca - ce AS VARCHAR), 10, '0') || '-' || id AS key FROM {of('java_coupling')} WHERE ca + ce > 0 ORDER BY ca + ce DESC, id LIMIT {D.NAMED})"
+    made = {
+        "overview": said("onboarding_intro", "layer_summary"), "getting_started": said("quick_start"), "recommendations": said("critique"),
+        "architecture": f"SELECT 2, lpad(CAST(place AS VARCHAR), 3, '0'), '| ' || layer || ' | ' || class_count || ' | ' || inbound || ' | ' || outbound || ' |' FROM {of('arch_layers')}",
+        "patterns": f"SELECT 2, CAST(k AS VARCHAR), '* ' || line FROM {of('arch_pattern_lines')}", "components": f"SELECT 2, key, line FROM {of('arch_aspects')} WHERE aspect = 'roles'",
+        "modules": f"SELECT 2, module, '| ' || module || ' | ' || members || ' | ' || roles || ' |' FROM {of('arch_modules')}",
+        "dependencies": f"SELECT 2, key, '* ' || id || ': ' || (ca + ce) FROM {coupled}", "coupling_metrics": f"SELECT 2, key, '| ' || id || ' | ' || ca || ' | ' || ce || ' | ' || printf('%.2f', instability) || ' |' FROM {coupled}",
+        "request_flow": f"SELECT part + 1, lpad(CAST(k AS VARCHAR), 10, '0'), line FROM {of('arch_request_flow')}", "c4": f"SELECT part + 1, lpad(CAST(k AS VARCHAR), 10, '0'), line FROM {of('arch_c4_container')}",
+        "debt": f"SELECT 2, '0', count(*) || ' highly coupled class(es)' FROM {of('java_coupling')} WHERE highly_coupled",
+        "glossary": " UNION ALL ".join(f"SELECT 2, '{k:02d}', {_quote(f'* {a}: {b}')}" for k, (a, b) in enumerate(D.GLOSSARY)),
+    }
+    tables = ", ".join(f"{name}(part, key, line) AS MATERIALIZED ({sql})" for name, sql in made.items())
+    rows = []
+    for level, names in D.SECTIONS.items():
+        for n, name in enumerate(names, 1):
+            rows.append(f"SELECT '{level}' AS level, {n} AS section, 0 AS part, '' AS key, {_quote(f'## {n}. {D.TITLES[name]}')} AS line UNION ALL SELECT '{level}', {n}, CAST(part AS INT), key, line FROM {name}")
+    return f"WITH {tables} " + " UNION ALL ".join(rows)
+
+
+@catalog.add(_document_sql())
+def document_lines(spark, sf):
+    """Every line of the documents for all levels of reader."""
+    from lithograph.operators import document
+
+    files = J.kept(spark, sf)
+    return document.documents(S.detect(files), *java.graph(files), BASE)
