@@ -31,6 +31,13 @@ def publish_json(spark: SparkSession, name: str, value) -> bool:
     return bool(system.rename(draft, path))
 
 
+def write_bytes(spark: SparkSession, name: str, raw: bytes) -> None:
+    system, path = _path(spark, name)
+    out = system.create(path, True)
+    out.write(bytearray(raw))
+    out.close()
+
+
 def read_json(spark: SparkSession, name: str):
     system, path = _path(spark, name)
     stream = system.open(path)

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lithograph.functions.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` after the library has been sent to the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 class Catalog:
     """Queries by name; ``add`` is a decorator that takes the equivalent SQL."""
 
@@ -21,7 +35,7 @@ class Catalog:
     def add(self, sql: str | None = None, name: str | None = None):
         def register(function):
             key = name or function.__name__
-            self.queries[key] = function
+            self.queries[key] = shipped(function)
             if sql:
                 self.sql[key] = sql
             return function

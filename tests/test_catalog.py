@@ -1,5 +1,6 @@
 """Registered queries: shapes, names, and the engine without the optional subpackage."""
 
+import os
 import pathlib
 import subprocess
 import sys
@@ -36,3 +37,21 @@ def test_nothing_else_imports_llm():
     for path in (ROOT / "lithograph").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "lithograph.llm" not in path.read_text()
+
+
+WORKER = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+seen = spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("importlib").util.find_spec("lithograph") is not None).collect()
+assert seen == [False], "the worker's own path has the library"
+from lithograph import catalog
+assert catalog.queries()["java_types"](spark, {data!r}).count() > 0
+"""
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_executors_need_no_library_on_their_path(tmp_path):
+    env = {"PATH": os.environ["PATH"], "HOME": str(tmp_path)} | {k: v for k, v in os.environ.items() if k.startswith(("JAVA", "SPARK"))}
+    subprocess.run([sys.executable, "-c", WORKER.format(root=str(ROOT), data=str(DATA))], cwd=tmp_path, check=True, env=env, timeout=300)
