@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from lithograph.plans.tables import shipped
+
 #: Query name -> module that defines it.
 MODULES = {
     "op1_url_filter": "urls",
@@ -23,7 +25,7 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"lithograph.llm.{module}"), name) for name, module in MODULES.items()}
+    return {name: shipped(getattr(importlib.import_module(f"lithograph.llm.{module}"), name)) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

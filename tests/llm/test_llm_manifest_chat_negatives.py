@@ -4,7 +4,11 @@ import collections
 import hashlib
 import itertools
 import math
+import os
+import pathlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lithograph.llm import chat, merkle, negatives
 
+DATA, ROOT = pathlib.Path("/root/testdata/sf0.001"), pathlib.Path(__file__).resolve().parents[2]
+
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
@@ -213,3 +219,20 @@ def test_scores_are_exact():
     for i, j in itertools.product(range(3), range(3)):
         exact = sum(int(x) * int(y) for x, y in zip(a[i], a[j]))
         assert got[i, j] == max(-negatives.MOST, min(negatives.MOST, exact))
+
+
+WORKER = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lithograph.llm import registry
+queries = registry.queries()
+assert queries["op6_substring_dedup"](spark, {data!r}).count() > 0 and queries["op13_hard_negatives"](spark, {data!r}).count() > 0
+"""
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_executors_need_no_library_on_their_path(tmp_path):
+    env = {"PATH": os.environ["PATH"], "HOME": str(tmp_path)} | {k: v for k, v in os.environ.items() if k.startswith(("JAVA", "SPARK"))}
+    subprocess.run([sys.executable, "-c", WORKER.format(root=str(ROOT), data=str(DATA))], cwd=tmp_path, check=True, env=env, timeout=300)
