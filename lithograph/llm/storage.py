@@ -19,12 +19,27 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Folders that this application has named and not removed, by its id.
+_HELD: dict[str, set[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lithograph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lithograph/{name}-{uuid.uuid4().hex}"
+    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove every table that operators of this application have left; to be called when their results have been read or written.  Returns how many."""
+    held = list(_HELD.get(spark.sparkContext.applicationId, ()))
+    for path in held:
+        delete(spark, path)
+    return len(held)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, whatever store it is in."""
+    _HELD.get(spark.sparkContext.applicationId, set()).discard(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,7 +8,8 @@ gradient descent on a small labelled table (``max_rows`` of it at most).
 
 Defined results
     * null, or no ``://``: host and path are empty and the model judges the empty address;
-    * repeated rows are judged alike; extra columns are ignored;
+    * repeated rows are judged alike; extra columns stay, but for those named like a result
+      (host, path, rule, p_block, verdict), which the result replaces;
     * an empty table gives an empty result; a model without training rows allows all.
 """
 

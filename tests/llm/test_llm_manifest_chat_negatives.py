@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lithograph.llm import chat, merkle, negatives
+from lithograph.llm import chat, merkle, negatives, storage
 
 DATA, ROOT = pathlib.Path("/root/testdata/sf0.001"), pathlib.Path(__file__).resolve().parents[2]
 
@@ -99,6 +99,18 @@ def test_manifest_query_and_changes(spark, tmp_path):
     assert [(r.doc_id, r.state) for r in merkle.verify(table, torn).where("state <> 'intact'").collect()] == [(21, "changed")]
 
 
+def test_left_tables_are_cleared(spark):
+    rows = spark.createDataFrame([(k, "s", "en", 1, f"t{k}") for k in range(40)], "doc_id long, source string, lang string, n_chars long, text string")
+    storage.clear(spark)
+    out = merkle.manifest(rows)
+    assert out.count() == 40
+    kept = storage.stash(out, "result")
+    left = storage.clear(spark)
+    assert left > 5 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        spark.read.parquet(kept.stash_path).count()
+
+
 CHATS = "conv_id long, turn long, role string, text string, formatted string, line string, k int, body string, name string"
 
 
