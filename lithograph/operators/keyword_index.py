@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ class KeywordIndex:
     spark: SparkSession
     folder: str
 
-    @property
+    @cached_property
     def facts(self) -> dict:
         return fs.read_json(self.spark, f"{self.folder}/facts.json")
 

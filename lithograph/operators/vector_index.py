@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,19 +74,21 @@ class VectorIndex:
     spark: SparkSession
     folder: str
 
-    @property
+    @cached_property
     def facts(self) -> dict:
         return fs.read_json(self.spark, f"{self.folder}/facts.json")
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/rows")
 
+    @cached_property
     def centroids(self) -> np.ndarray:
-        return np.array(self.facts["centroids"])
+        """Directions of the cells, a row each: ``CELL_VALUES`` numbers at most."""
+        return matrix(self.spark.read.parquet(f"{self.folder}/centroids").orderBy("cell").select("vector").toArrow()["vector"])
 
     def near_cells(self, queries: DataFrame, probes: int) -> DataFrame:
         """(query, vector, cell, place): the first ``probes`` cells of each query."""
-        held = self.centroids()
+        held = self.centroids
 
         def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -135,7 +138,7 @@ class VectorIndex:
     def near(self, vector: list[float], k: int, probes: int | None = None, keep: Column | None = None) -> DataFrame:
         """(rank, vec_id, score) for one vector, from the folders of its cells alone."""
         probes = self.facts["probes"] if probes is None else probes
-        order = np.argsort(-(self.centroids() @ np.array(vector, float)), kind="stable")[:probes]
+        order = np.argsort(-(self.centroids @ np.array(vector, float)), kind="stable")[:probes]
         rows = self.rows().where(F.col("cell").isin([int(c) for c in order]))
         rows = rows if keep is None else rows.where(keep)
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
@@ -173,7 +176,8 @@ def build(vectors: DataFrame, folder: str, k: int = 10, target: float = 0.95, ce
     blocked = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")).drop("_blocks")
     blocked.repartition("cell", "block").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
     index = VectorIndex(spark, folder)
-    facts = {"rows": n, "centroids": held.tolist(), "probes": len(held), "target": target}
+    spark.createDataFrame(list(enumerate(held.tolist())), "cell int, vector array<double>").write.mode("overwrite").parquet(f"{folder}/centroids")
+    facts = {"rows": n, "cells": len(held), "target": target}
     probes = len(held)
     if n:
         asked = rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(TUNING_ROWS).select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("vector"))

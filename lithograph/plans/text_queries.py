@@ -142,7 +142,7 @@ def vector_index_in_label(spark, sf):
     """The nearest of one label, the label filtered before rows are scored; all cells."""
     one = table(spark, sf, "embeddings").where("vec_id = 0").first()
     index = vector_index(spark, sf)
-    return index.near(list(one.embedding), 5, len(index.centroids()), F.col("label") == one.label).select("rank", "vec_id", F.round("score", 6).alias("score"))
+    return index.near(list(one.embedding), 5, index.facts["cells"], F.col("label") == one.label).select("rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def _mmr_sql(k: int, fetch: int, balance: float) -> str:

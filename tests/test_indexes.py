@@ -84,12 +84,12 @@ def test_vector_index(spark, monkeypatch):
         assert [round(exact[k * 50, n + 1][1], 9) for n in range(5)] == [round(line[i], 9) for i in best]
     facts = index.facts
     told = index.recall(ask, 5).first()
-    assert told.queries == 60 and told.recall >= 0.9 and facts["probes"] <= len(facts["centroids"]) / 2
-    assert index.recall(ask, 5, len(facts["centroids"])).first().recall == 1.0
+    assert told.queries == 60 and told.recall >= 0.9 and facts["probes"] <= facts["cells"] / 2
+    assert index.recall(ask, 5, facts["cells"]).first().recall == 1.0
     one = [float(x) for x in rows[2950]]
     near = index.near(one, 4)
     assert "PartitionFilters: [isnotnull(cell" in near._jdf.queryExecution().toString() or "PartitionFilters: [cell" in near._jdf.queryExecution().toString()
     assert near.collect()[0].vec_id == 2950
-    assert {r.vec_id % 3 for r in index.near(one, 6, len(facts["centroids"]), F.col("label") == 1).collect()} == {1}
+    assert {r.vec_id % 3 for r in index.near(one, 6, facts["cells"], F.col("label") == 1).collect()} == {1}
     lone = vector_index.build(table.where("vec_id = 5"), work_folder(spark, "vectors"))
     assert [r.vec_id for r in lone.search(ask.limit(1), 3).collect()] == [5]
