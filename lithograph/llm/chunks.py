@@ -64,6 +64,22 @@ def release() -> None:
         pass
 
 
+def released(task):
+    """A function of one Arrow table, or of two, after which freed memory goes back to the system."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = task(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = task(left, right)
+        release()
+        return out
+
+    return one if task.__code__.co_argcount == 1 else two
+
+
 #: An odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

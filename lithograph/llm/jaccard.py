@@ -162,12 +162,14 @@ def _sets(docs: DataFrame, words_per: int, percent: int, id_col: str, text_col:
     texts = C.distinct_texts(docs, total, id_col, text_col)
     keys = C.Keys(total // 5 + 1, growth=C.growth(total))
 
+    @C.released
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
         hashes, _ = shingle_sets(chunk.texts, words_per)
         distinct, counts = np.unique(keys.cut(hashes), return_counts=True)
         return C.request_table(keys.requests(chunk.number, distinct, counts.astype(np.uint32)))
 
+    @C.released
     def select(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
@@ -226,6 +228,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with_block"),
     ).select("node", "copies", "n_shingles", "shingles", "block", "task", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"))
 
+    @C.released
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
         nodes = table["node"].to_pylist()

@@ -54,6 +54,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     grown = C.growth(total)
     first, second = C.Keys(total // 5 + 1, growth=grown), C.Keys(total // 20 + 1, 8, grown)
 
+    @C.released
     def ask(table: pa.Table) -> pa.Table:
         chunk = C.Chunk(table)
         *_, text, hashes = _windows(chunk, window)
@@ -74,6 +75,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         group[order] = np.cumsum(fresh) - 1
         return ends, at, text, one[order][fresh], two[order][fresh], group
 
+    @C.released
     def confirm(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return C.request_table([])
@@ -82,6 +84,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         counts = np.minimum(np.bincount(group, chunk.copies[text]), 1 << 24).astype(np.uint32)
         return C.request_table(second.requests(chunk.number, one, counts, two))
 
+    @C.released
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("sha", "n_words", "n_removed", "starts", "ends", "kept")}
         chunk = C.Chunk(table) if table.num_rows else None
