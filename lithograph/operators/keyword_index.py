@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lithograph.functions import files as fs
 from lithograph.functions.storage import cut
 
+#: What is written, told in the names of kept folders: another form has another number.
+FORMAT = 1
 CELL_DOCS = 4096
 #: Cells that are scored first.
 FIRST_CELLS = 8

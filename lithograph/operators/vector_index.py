@@ -31,6 +31,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from lithograph.functions import files as fs
 from lithograph.functions.storage import cut
 
+#: What is written, told in the names of kept folders: another form has another number.
+FORMAT = 2
 SAMPLE_ROWS, SAMPLE_VALUES = 65536, 1 << 23
 #: Centroids at most, and numbers in them (16 MB), as tasks hold them all.
 MOST_CELLS, CELL_VALUES = 4096, 1 << 22

@@ -179,10 +179,11 @@ def java_adjacency_json(spark, sf):
 
 
 @catalog.add(_GRAPH + f""" SELECT 1 AS part, id AS key, '  "' || id || '" [label="' || id || '\\n[' || class_type || ']' || CASE WHEN package <> '' THEN '\\n' || package ELSE '' END || '", fillcolor="' || {_case('class_type', reports.DOT_FILL, 'lightgray')} || '"];' AS line FROM nodes
-UNION ALL SELECT 2, src || '>' || dst, '  "' || src || '" -> "' || dst || '" [style="' || {_case('dep_type', {k: v[0] for k, v in reports.DOT_EDGE_STYLE.items()}, 'dashed')} || '", color="' || {_case('dep_type', {k: v[1] for k, v in reports.DOT_EDGE_STYLE.items()}, 'gray')} || '", label="' || dep_type || '"];' FROM edges""")
+UNION ALL SELECT 2, src || '>' || dst, '  "' || src || '" -> "' || dst || '" [style="' || {_case('dep_type', {k: v[0] for k, v in reports.DOT_EDGE_STYLE.items()}, 'dashed')} || '", color="' || {_case('dep_type', {k: v[1] for k, v in reports.DOT_EDGE_STYLE.items()}, 'gray')} || '", label="' || dep_type || '"];' FROM edges
+UNION ALL SELECT 0, lpad(CAST(unnest(range({len(reports.DOT_HEAD)})) AS VARCHAR), 2, '0'), unnest([{", ".join("'" + x + "'" for x in reports.DOT_HEAD)}]) UNION ALL SELECT 3, '00', '}}'""")
 def java_dot(spark, sf):
-    """Lines of a Graphviz text in order (part, key), without its fixed first and last lines."""
-    return reports.dot_rows(*java.graph(kept(spark, sf))).where("part IN (1, 2)")
+    """Lines of a Graphviz text in order (part, key)."""
+    return reports.dot_rows(*java.graph(kept(spark, sf)))
 
 
 _PARTS = [(0, 0, 54), (1, 48, 102), (2, 96, 150), (3, 144, 151)]

@@ -256,18 +256,18 @@ def retrieval_class_fallback(spark, sf):
     return T.explain(_ranked_chunks(spark, sf), "NoSuchClass").select("chunk_id", "class_name")
 
 
-_TOP = f"WITH c AS ({_RANKED}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY chunk_id, class_name) AS BIGINT) AS rank FROM c WHERE package LIKE 'com.demo.m1.%'), l AS (SELECT *, regexp_extract(file_path, '[^/]*$') AS source FROM r)"
+_TOP = f"WITH c AS ({_RANKED}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY chunk_id, class_name) AS BIGINT) AS rank FROM c), l AS (SELECT *, regexp_extract(file_path, '[^/]*$') AS source FROM r)"
 
 
 @catalog.add(_TOP + """ SELECT rank, source, '--- [' || rank || '] ' || CASE WHEN method IS NOT NULL THEN source || ' >> ' || class_name || '.' || method || '()' ELSE source || ' >> ' || class_name END || ' [' || chunk_type || '] ---' || chr(10) || content AS block FROM l""")
 def retrieval_blocks(spark, sf):
-    chunks = chunking.chunk_files(J.parsed(spark, sf)).where("package LIKE 'com.demo.m1.%'")
+    chunks = chunking.chunk_files(J.parsed(spark, sf))
     return T.labelled(numbered(chunks, [F.col("chunk_id"), F.col("class_name")], "rank"))
 
 
 @catalog.add(_TOP + " SELECT source, min(rank) AS rank FROM l GROUP BY source")
 def retrieval_sources(spark, sf):
-    chunks = chunking.chunk_files(J.parsed(spark, sf)).where("package LIKE 'com.demo.m1.%'")
+    chunks = chunking.chunk_files(J.parsed(spark, sf))
     return T.sources(T.labelled(numbered(chunks, [F.col("chunk_id"), F.col("class_name")], "rank")))
 
 

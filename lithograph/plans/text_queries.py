@@ -117,7 +117,7 @@ def vector_topk_per_label(spark, sf):
 def vector_index(spark, sf):
     """The index of the embeddings, made once for the same files."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    return vectors.opened(rows, kept_folder(spark, f"vectors-{fingerprint(rows)}"))
+    return vectors.opened(rows, kept_folder(spark, f"vectors-{vectors.FORMAT}-{fingerprint(rows)}"))
 
 
 def _asked(spark, sf):
@@ -174,7 +174,7 @@ b AS (SELECT f.doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END * tf
 def keyword_index(spark, sf):
     """The index of the documents, made once for the same files."""
     docs = documents(spark, sf).select("doc_id", "text")
-    return keyword.opened(docs, kept_folder(spark, f"words-{fingerprint(docs)}"))
+    return keyword.opened(docs, kept_folder(spark, f"words-{keyword.FORMAT}-{fingerprint(docs)}"))
 
 
 @catalog.add(_BM25 + " SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 8")
