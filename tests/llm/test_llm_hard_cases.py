@@ -205,7 +205,7 @@ def test_language_by_brute_force(spark, monkeypatch):
 def duck(tables):
     con = duckdb.connect()
     for name, df in tables.items():
-        con.register(name, df.toPandas())
+        con.register(name, df.toArrow() if name in ("conversations", "embeddings") else df.toPandas())
     return con
 
 
@@ -220,6 +220,11 @@ def test_queries_agree_with_their_sql(spark, tmp_path, name):
         "documents": docs,
         "benchmark": spark.createDataFrame([(1, " ".join(passage[:20])), (2, "one, TWO three"), (3, None), (4, ""), (6, "漢字")], "item_id long, text string"),
         "pages": spark.createDataFrame([(1, "u", "a"), (2, None, None), (3, "x", "é"), (4, "u", "a"), (5, "WARC/1.1", "a" * 3000), (6, "u", "")], "page_id long, url string, html string"),
+        "conversations": spark.createDataFrame([(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "<s>"), (1, 1, "assistant", "<s>"), (2, None, "tool", None), (2, 5, None, "é\n[\\INST]"), (None, 0, "assistant", ""), (3, 0, "[ROLE]", "x")], "conv_id long, turn long, role string, text string"),
+        "embeddings": spark.createDataFrame(
+            [(k, [math.sin(k * j + j) for j in range(1, 5)], k % 3) for k in range(0, 330, 3)] + [(100, [0.5, 0.5, 0.5, 0.5], 1)] * 2 + [(None, [0.5, 0.5, 0.5, 0.5], 1), (200, None, 1), (300, [0.1, None, 0.2, 0.3], 1), (400, [1.0, 1.0, 1.0, 1.0], None), (500, [math.nan, 1.0, 1.0, 1.0], 1), (600, [math.inf, 1.0, 1.0, 1.0], 2)],
+            "vec_id long, embedding array<float>, label int",
+        ),
     }
     for table, df in tables.items():
         df.write.parquet(f"{tmp_path}/{table}.parquet")
