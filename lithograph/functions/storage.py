@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as compressed columns in the shared checkpoint folder: for wide rows that are made once and read in part, or more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept_folder(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint folder that stays the same for the same name, for what is made once and read again."""
     ensure_checkpoint_dir(spark)

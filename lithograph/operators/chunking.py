@@ -7,12 +7,11 @@ spaces, packed greedily.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithograph.functions.values import per_value
+
 SPLIT_SCHEMA = "array<string>"
 
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
@@ -48,12 +47,8 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 
 def splitter(size: int, overlap: int):
-    @F.pandas_udf(SPLIT_SCHEMA)
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: split_text(t or "", size, overlap))
-
-    return split
+    """Pieces of a column of texts; none of a null one."""
+    return per_value(lambda t: split_text(t or "", size, overlap), SPLIT_SCHEMA)
 
 
 CHUNK_COLUMNS = ("file_path", "package", "class_name", "annotations", "method", "method_annotations", "chunk_type", "chunk_index", "page_content")
@@ -70,24 +65,34 @@ def chunk_files(parsed: DataFrame, most: int = 3000, size: int = 1500, overlap:
     split = splitter(size, overlap)
     joined = lambda c: F.array_join(c, ",")
     nothing = F.lit(None).cast("string")
-    rows = parsed.select("file_path", F.coalesce("package", F.lit("")).alias("package"), F.explode("types").alias("t"))
+    # One row a type, or one for a file without any: files are read once for all kinds of chunks.
+    rows = parsed.select("file_path", F.coalesce("package", F.lit("")).alias("package"), F.col("annotations").alias("marks"), F.when(F.size("types") == 0, F.col("source")).alias("whole"), F.explode_outer("types").alias("t"))
     prefix = F.concat(
         F.when(F.col("package") != "", F.concat(F.lit("// package: "), "package", F.lit("\n"))).otherwise(""),
         F.when(F.size("t.annotations") > 0, F.concat(F.lit("// class annotations: "), F.array_join("t.annotations", ", "), F.lit("\n"))).otherwise(""),
         F.lit("// "), F.col("t.header"), F.lit("\n"),
     )
+    plain = F.col("t").isNull()
     own = F.when(F.col("t.kind") == "enum", F.slice("t.members", 1, 0)).otherwise(F.col("t.members"))
-    rows = rows.withColumn("head", prefix).withColumn("own", own).withColumns({"class_name": F.col("t.name"), "annotations": joined("t.annotations")})
+    rows = rows.withColumns({"own": own, "head": F.when(plain, "").otherwise(prefix), "class_name": F.col("t.name"), "annotations": joined(F.when(plain, F.col("marks")).otherwise(F.col("t.annotations")))})
     fields = F.transform(F.filter("own", lambda m: m["kind"] == "field"), lambda m: F.concat(F.lit("    "), m["text"]))
     calls = F.filter("own", lambda m: m["kind"] != "field")
     lines = F.array_join(F.concat(fields, F.transform(calls, lambda m: F.concat(F.lit("    "), m["signature"], F.lit(";")))), "\n")
+
+    def unit(method, method_annotations, kind: str, k, text):
+        return F.struct(method.alias("method"), method_annotations.alias("method_annotations"), F.lit(kind).alias("chunk_type"), k.cast("int").alias("k"), text.alias("text"))
+
+    summary = unit(nothing, nothing, "class_summary", F.lit(0), F.concat(F.col("t.header"), F.lit(" {\n"), lines, F.lit("\n}")))
+    methods = F.transform(calls, lambda m, i: unit(m["name"], joined(m["annotations"]), "method", i + 1, m["text"]))
+    units = F.when(plain, F.array(unit(nothing, nothing, "fallback", F.lit(0), F.col("whole")))).otherwise(F.concat(F.array(summary), methods))
     keep = ("file_path", "package", "class_name", "annotations")
-    summary = rows.select(*keep, nothing.alias("method"), nothing.alias("method_annotations"), F.lit("class_summary").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.concat("head", "t.header", F.lit(" {\n"), lines, F.lit("\n}")).alias("page_content"))
-    methods = rows.select(*keep, "head", F.posexplode(calls).alias("k", "m")).select(*keep, "head", (F.col("k") + 1).alias("k"), F.col("m.name").alias("method"), joined("m.annotations").alias("method_annotations"), F.col("m.text").alias("text"))
-    short = methods.where(F.length("text") <= most).select(*keep, "method", "method_annotations", F.lit("method").alias("chunk_type"), F.col("k").alias("chunk_index"), F.concat("head", "text").alias("page_content"))
-    long = methods.where(F.length("text") > most).select(*keep, "method", "method_annotations", "head", "k", F.posexplode(split("text")).alias("part", "piece"))
-    long = long.select(*keep, "method", "method_annotations", F.lit("method_part").alias("chunk_type"), (F.col("k") * 1000 + F.col("part")).alias("chunk_index"), F.concat("head", "piece").alias("page_content"))
-    plain = parsed.where(F.size("types") == 0).select("file_path", F.coalesce("package", F.lit("")).alias("package"), F.array_join("annotations", ",").alias("annotations"), F.posexplode(split("source")).alias("chunk_index", "page_content"))
-    plain = plain.select("file_path", "package", nothing.alias("class_name"), "annotations", nothing.alias("method"), nothing.alias("method_annotations"), F.lit("fallback").alias("chunk_type"), "chunk_index", "page_content")
-    out = summary.unionByName(short).unionByName(long).unionByName(plain)
+    rows = rows.select(*keep, "head", F.explode(units).alias("u")).select(*keep, "head", "u.*")
+    long = (F.col("chunk_type") == "method") & (F.length("text") > most)
+    rows = rows.withColumn("long", long).withColumn("pieces", split(F.when(F.col("long") | (F.col("chunk_type") == "fallback"), F.col("text"))))
+    whole = ~F.col("long") & (F.col("chunk_type") != "fallback")
+    rows = rows.select(*keep, "head", "method", "method_annotations", "chunk_type", "k", "long", F.posexplode(F.when(whole, F.array("text")).otherwise(F.col("pieces"))).alias("part", "piece"))
+    out = rows.select(
+        *keep, "method", "method_annotations", F.when(F.col("long"), "method_part").otherwise(F.col("chunk_type")).alias("chunk_type"),
+        F.when(F.col("long"), F.col("k") * 1000 + F.col("part")).otherwise(F.col("k") + F.col("part")).alias("chunk_index"), F.concat("head", "piece").alias("page_content"),
+    )
     return out.select(F.md5(F.concat("file_path", "chunk_type", F.col("chunk_index").cast("string"))).alias("chunk_id"), *CHUNK_COLUMNS)

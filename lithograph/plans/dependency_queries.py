@@ -15,7 +15,7 @@ from lithograph.functions.storage import cut
 from lithograph.operators import graph
 from lithograph.operators import questions as Q
 from lithograph.plans import java_queries as J
-from lithograph.plans.tables import Catalog, table
+from lithograph.plans.tables import Catalog, dealt, table
 from lithograph.sources import java
 
 catalog = Catalog()
@@ -32,7 +32,7 @@ IMPORTS = {
 def layered_files(spark, sf):
     """(file_path, content) of a class for each part that imports the classes at its offsets, counted from its group's first."""
     part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"))
-    rows = part.repartition(F.col("k")).selectExpr("k", "k div 16 AS g", "k % 16 AS o").selectExpr("*", *(f"{e} AS {c}" for c, e in IMPORTS.items()))
+    rows = dealt(part, "k").selectExpr("k", "k div 16 AS g", "k % 16 AS o").selectExpr("*", *(f"{e} AS {c}" for c, e in IMPORTS.items()))
     line = lambda c: F.when(F.col(c).isNotNull(), F.format_string("import com.layers.g%d.L%d;\n", F.expr(f"(g * 16 + {c}) div 16"), F.expr(f"g * 16 + {c}"))).otherwise("")
     source = F.concat(F.format_string("package com.layers.g%d;\n", "g"), *map(line, IMPORTS), F.format_string("// import com.layers.g0.L0;\npublic class L%d { String s = \"import com.layers.g0.L1;\"; }\n", "k"))
     return rows.select(F.format_string("src/com/layers/g%d/L%d.java", "g", "k").alias("file_path"), source.cast("binary").alias("content"))

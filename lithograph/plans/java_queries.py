@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithograph.functions.storage import cut
+from lithograph.functions.storage import saved
 from lithograph.operators import chunking, reports, rules
 from lithograph.operators import graph as G
-from lithograph.plans.tables import Catalog, table
+from lithograph.plans.tables import Catalog, dealt, table
 from lithograph.sources import java
 from lithograph.streaming.events import work_folder
 from lithograph.streaming.ingest import ChunkIndex, ingest
@@ -58,8 +58,8 @@ STEPS = (
 def java_files(spark, sf):
     """(file_path, content) of a file for each part."""
     part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"))
-    # One small part file is one split; the scanner works on as many as the shuffle has.
-    rows = part.repartition("k").crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))
+    # One small part file is one split, and keys alone are so small that they would be merged into one again.
+    rows = dealt(part, "k").crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))
     for step in STEPS:
         rows = rows.selectExpr("*", *(f"{e} AS {c}" for c, e in step.items()))
     return rows.select("file_path", F.col("source").cast("binary").alias("content"))
@@ -70,8 +70,9 @@ def parsed(spark, sf):
 
 
 def kept(spark, sf):
-    """Parsed files that are read more than once."""
-    return cut(parsed(spark, sf))
+    """Parsed files that are read more than once: what they declare, without their texts."""
+    bare = F.transform("types", lambda t: t.dropFields("header").withField("members", F.transform(t["members"], lambda m: m.dropFields("signature", "text"))))
+    return saved(parsed(spark, sf).drop("source").withColumn("types", bare))
 
 
 def _steps_sql() -> str:

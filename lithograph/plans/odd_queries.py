@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithograph.operators import chunking, rules
-from lithograph.plans.tables import Catalog, table
+from lithograph.plans.tables import Catalog, dealt, table
 from lithograph.sources import java, metadata
 from lithograph.streaming.events import work_folder
 
@@ -19,7 +19,7 @@ _PARTS = "(SELECT CAST(p_partkey AS BIGINT) AS k FROM part)"
 
 
 def parts(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k")).repartition("k")
+    return dealt(table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k")), "k")
 
 
 def _parsed(spark, sf, content):

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, per_task: int = 2048) -> DataFrame:
+    """``rows`` by the hash of ``key`` in a number of partitions that follows theirs and that adaptive execution does not merge: small rows that much work follows."""
+    number = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task))
+    return rows.repartition(number, key)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """``query`` after the library has been sent to the executors."""
 

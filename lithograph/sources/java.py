@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithograph.functions.values import per_value
 from lithograph.sources.java_types import FILE_SCHEMA, read
 
 # Which files are scanned, and directories that are not.
@@ -130,10 +131,7 @@ def parse(files: DataFrame) -> DataFrame:
     constructors of all types; each name once, in order.
     """
 
-    @F.udf(FILE_SCHEMA, useArrow=True)
-    def scanned(raw):
-        return read(bytes(raw) if raw is not None else None)
-
+    scanned = per_value(read, FILE_SCHEMA)
     java = files.where(F.col("file_path").endswith(".java"))
     rows = java.withColumn("f", scanned("content"))
     named = lambda kind: F.array_distinct(F.transform(F.filter("f.types", lambda t: t["kind"] == kind), lambda t: t["name"]))

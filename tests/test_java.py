@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lithograph.operators import graph
 from lithograph.sources import java
 
@@ -88,3 +90,30 @@ def test_deep_long_and_hostile_bodies(spark):
     parts = [c for c in chunks if c.chunk_type == "method_part"]
     assert len(parts) > 10 and all(c.method == "last" and c.page_content.startswith("// package: p\n// class Deep\n") for c in parts)
     assert parsed.where("error IS NULL").count() == 3
+
+
+def test_files_are_scanned_once_and_in_slices(spark, monkeypatch):
+    """Chunks of all kinds, filters and explodes over parsed files stand on one scan of them; results are handed on slice by slice."""
+    from lithograph.functions import values
+    from lithograph.operators import chunking
+
+    files = spark.createDataFrame([(f"F{k}.java", bytearray(f"package p;\nclass F{k} {{ void go() {{ }} }}\n".encode() if k % 3 else b"// note\n")) for k in range(40)], "file_path string, content binary")
+    for rows in (chunking.chunk_files(java.parse(files)), java.edges(java.parse(files)), java.parse(files).where("size(types) > 0")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("run(content") == 1, plan
+    seen = []
+    monkeypatch.setattr(values, "SLICE_VALUES", 7)
+    monkeypatch.setattr(values.F, "arrow_udf", lambda run, *_: type("Column", (), {"asNondeterministic": lambda self: run})())
+    import pyarrow as pa
+
+    sizes = [len(part) for part in values.per_value(lambda v: seen.append(v) or v, "string")(iter([pa.array(["x"] * 20), pa.array([], pa.string())]))]
+    assert sizes == [7, 7, 6, 0] and len(seen) == 20
+
+
+def test_small_keys_are_dealt_to_all_tasks(spark):
+    """Keys that much work follows stay in as many partitions as were asked for, though adaptive execution would merge so few bytes."""
+    from lithograph.plans.tables import dealt
+
+    rows = dealt(spark.range(5000).withColumnRenamed("id", "k"), "k", per_task=500)
+    counts = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(counts) == 10 and max(r["count"] for r in counts) < 1000
