@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithograph.functions.storage import cut
+from lithograph.functions.storage import saved
 
 
 def numbered(df: DataFrame, keys: list[Column], name: str = "place", group: str | None = None) -> DataFrame:
     """``df`` with ``name``: 1, 2, .. in the order of ``keys`` (within ``group``).
 
-    Rows are dealt by ranges of the keys and numbered within a range; the ranges' counts (one
-    number a partition and group) tell where each begins.
+    Rows are dealt by ranges of the keys, sorted and written once with their place in the range;
+    the ranges' counts (one number a partition and group) tell where each begins.  The ranges are
+    told from a sample, for which ``df`` is worked out once more: an expensive one is best saved first.
     """
     lead = [] if group is None else [F.col(group)]
-    rows = cut(df.repartitionByRange(*lead, *keys).withColumn("_range", F.spark_partition_id()))
-    counts = rows.groupBy(*lead, "_range").agg(F.count("*").alias("_n"))
+    sorted_ = df.repartitionByRange(*lead, *keys).sortWithinPartitions(*lead, *keys)
+    # An id holds the number of a partition, then that of a row in it.
+    rows = saved(sorted_.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    counts = rows.groupBy(*lead, "_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     by = W.partitionBy(*lead) if lead else W.partitionBy(F.lit(1))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     joined = rows.join(F.broadcast(before) if group is None else before, [*([group] if group else []), "_range"])
-    inside = F.row_number().over(W.partitionBy(*lead, "_range").orderBy(*keys))
-    return joined.withColumn(name, F.col("_before") + inside).drop("_range", "_before").select(*df.columns, name)
+    return joined.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1).select(*df.columns, name)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.functions.order import numbered
-from lithograph.functions.storage import cut
+from lithograph.functions.storage import cut, saved
 from lithograph.operators import chunking
 from lithograph.operators import questions as Q
 from lithograph.operators import relational as R
@@ -261,14 +261,14 @@ _TOP = f"WITH c AS ({_RANKED}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY
 
 @catalog.add(_TOP + """ SELECT rank, source, '--- [' || rank || '] ' || CASE WHEN method IS NOT NULL THEN source || ' >> ' || class_name || '.' || method || '()' ELSE source || ' >> ' || class_name END || ' [' || chunk_type || '] ---' || chr(10) || content AS block FROM l""")
 def retrieval_blocks(spark, sf):
-    chunks = chunking.chunk_files(J.parsed(spark, sf))
+    chunks = saved(chunking.chunk_files(J.parsed(spark, sf)).select("chunk_id", "class_name", "file_path", "method", "chunk_type", "page_content"))
     return T.labelled(numbered(chunks, [F.col("chunk_id"), F.col("class_name")], "rank"))
 
 
 @catalog.add(_TOP + " SELECT source, min(rank) AS rank FROM l GROUP BY source")
 def retrieval_sources(spark, sf):
-    chunks = chunking.chunk_files(J.parsed(spark, sf))
-    return T.sources(T.labelled(numbered(chunks, [F.col("chunk_id"), F.col("class_name")], "rank")))
+    chunks = saved(chunking.chunk_files(J.parsed(spark, sf)).select("chunk_id", "class_name", T.file_name("file_path").alias("source")))
+    return T.sources(numbered(chunks, [F.col("chunk_id"), F.col("class_name")], "rank"))
 
 
 def _called(words) -> str:
