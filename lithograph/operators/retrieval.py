@@ -113,7 +113,7 @@ def explain(chunks: DataFrame, name: str, fallback: int = 4) -> DataFrame:
     """Chunks whose class or file name holds the name, whatever the case; else the first few by ``rank``."""
     needle = name.lower()
     fits = F.lower(F.coalesce("class_name", F.lit(""))).contains(needle) | F.lower(file_name("file_path")).contains(needle)
-    hit = chunks.where(fits)
+    hit = cut(chunks.where(fits))  # one reading tells whether there are any, and which
     return chunks.orderBy("rank").limit(fallback) if hit.isEmpty() else hit
 
 
