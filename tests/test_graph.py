@@ -105,3 +105,12 @@ def test_paths_grow_towards_their_target_only(spark):
     assert near[1] == 1 and max(near.values()) <= 2
     assert [r.distance for r in graph.distances(edges, spark.createDataFrame([("t",)], "id string")).where("id = 'in0'").collect()] == [graph.shortest_path(edges, "in0", "t").first().length]
     assert edges.where(F.col("src") == "t").count() == 0
+
+
+def test_short_cycles_meet_in_the_middle(spark, monkeypatch):
+    """Cycles of a bounded length need no components of the whole graph, and come from halves: every length and both parities."""
+    monkeypatch.setattr(graph, "strong_components", lambda *_: pytest.fail("the whole graph was searched"))
+    edges = random_graph(5, 9, 24)
+    for limit in (1, 2, 3, 6):
+        found = graph.cycles(frame(spark, edges), limit).collect()
+        assert sorted(r.path for r in found) == (brute_cycles(edges, limit) if limit > 1 else []) and all(r.length == len(r.path) for r in found)
