@@ -174,15 +174,51 @@ def _first_sources(edges: DataFrame) -> DataFrame:
             return colours
 
 
+#: A search around one node goes on while it grows as in a large component: so many nodes after so many rounds, and no more rounds than these.
+GROWN_AFTER, GROWN_NODES, AROUND_ROUNDS = 6, 64, 64
+
+
+def _around(edges: DataFrame) -> DataFrame | None:
+    """(id, fore, back): which nodes the best connected node reaches, and which reach it; None where the search does not spread."""
+    out, into = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out")), edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
+    best = out.join(into, "id").orderBy(F.desc(F.col("n_out") * F.col("n_in")), "id").select("id").first()
+    if best is None:
+        return None
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    here = F.col("id") == F.lit(best.id)
+    state = cut(ends.select("id", here.alias("fore"), here.alias("back"), here.alias("new_fore"), here.alias("new_back")))
+    for depth in range(1, AROUND_ROUNDS + 1):
+        on = edges.join(state.where("new_fore").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.lit(True).alias("f"), F.lit(False).alias("b"))
+        off = edges.join(state.where("new_back").select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.lit(False).alias("f"), F.lit(True).alias("b"))
+        met = on.unionByName(off).groupBy("id").agg(F.max("f").alias("f"), F.max("b").alias("b"))
+        joined = state.join(met, "id", "left").na.fill(False, ["f", "b"])
+        state = cut(joined.select("id", (F.col("fore") | F.col("f")).alias("fore"), (F.col("back") | F.col("b")).alias("back"), (F.col("f") & ~F.col("fore")).alias("new_fore"), (F.col("b") & ~F.col("back")).alias("new_back")))
+        if state.where("new_fore OR new_back").isEmpty():
+            return state.select("id", "fore", "back")
+        if depth == GROWN_AFTER and state.where("fore OR back").count() < GROWN_NODES:
+            return None
+    return None
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node that a node reaches and is reached from (itself, if there is no other).
 
-    Nodes on no cycle are trimmed.  A forward search gives each node the least node that
+    If a search from the best connected node spreads, what it reaches and is reached from is a
+    component of its own, and no other goes from what it reaches to what it does not, or from what
+    reaches it to what does not: a large component goes first, and few edges stay.
+    Nodes on no cycle are then trimmed.  A forward search gives each node the least node that
     reaches it, its colour; a backward search inside each colour, from the node that is its
     own colour, finds that node's component.  All colours are searched at once; what was not
     found goes another round.
     """
     rest, done = cut(edges.where("src <> dst").select("src", "dst").distinct()), None
+    state = _around(rest)
+    if state is not None:
+        large = state.where("fore AND back").select("id")
+        done = cut(large.crossJoin(F.broadcast(large.agg(F.min("id").alias("colour")))))
+        side = F.struct("fore", "back")
+        left = rest.join(state.select(F.col("id").alias("src"), side.alias("at")), "src").join(state.select(F.col("id").alias("dst"), side.alias("to")), "dst")
+        rest = cut(left.where("at = to AND NOT (at.fore AND at.back)").select("src", "dst"))
     while True:
         rest = _trimmed(rest)
         if rest.isEmpty():
@@ -197,7 +233,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             frontier = cut(step.join(found, ["id"], "left_anti"))
             if frontier.isEmpty():
                 break
-            found = cut(found.unionByName(frontier))
+            found = cut(found.unionByName(frontier).repartition("id"))
         done = found if done is None else done.unionByName(found)
         gone = found.select("id")
         rest = cut(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
