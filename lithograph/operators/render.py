@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,10 @@ def _joined(key, line: Column, separator: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), line.alias("line")))), lambda s: s["line"]), separator)
 
 
-def layer_lines(roles: DataFrame) -> DataFrame:
-    """One row, text: a line per layer that has classes, outside in."""
+def layer_lines(roles: DataFrame, padded: Callable[[Column], Column] = lambda n: F.format_string("%5d", n)) -> DataFrame:
+    """One row, text: a line per layer that has classes, outside in; ``padded`` writes their number."""
     counts = roles.groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("package").alias("packages"))
-    line = F.format_string("%-14s %5d classes in %d packages", "layer", "n", "packages")
+    line = F.format_string("%-14s %s classes in %d packages", "layer", padded(F.col("n")), "packages")
     return counts.agg(_joined(layer_place(), line).alias("text"))
 
 
