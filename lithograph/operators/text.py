@@ -86,6 +86,19 @@ def similar_sets(items: DataFrame, key: str, value: str, threshold: float, least
     return shared.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("a", "b", "shared", "similarity"), members
 
 
+def all_pairs(pairs: DataFrame, members: DataFrame, key: str, block: int = BLOCK_SETS) -> DataFrame:
+    """(a, b, shared, similarity), a < b: every pair of keys that pairs of representatives and their members stand for.
+
+    As many rows as there are pairs; keys with equal sets meet in blocks, so no task holds all of a large class.
+    """
+    rows = members.select(F.col(key).alias("k"), "representative", "n")
+    ca, cb = rows.select(F.col("representative").alias("a"), F.col("k").alias("ka")), rows.select(F.col("representative").alias("b"), F.col("k").alias("kb"))
+    apart = pairs.join(ca, "a").join(cb, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared", "similarity")
+    left, right = _in_blocks(rows, "representative", "k", block)
+    same = left.withColumnRenamed("k", "a").join(right.select(F.col("k").alias("b"), "representative", "cell_i", "cell_j"), ["representative", "cell_i", "cell_j"]).where("a < b")
+    return apart.unionByName(same.select("a", "b", F.col("n").alias("shared"), F.lit(1.0).alias("similarity")))
+
+
 def clone_pairs(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """(a, b, shared, similarity, pairs): pairs of representatives and how many pairs of keys each stands for; (a, a, ..) for keys with equal sets."""
     copies = members.groupBy("representative", "n").agg(F.count(F.col(key)).alias("copies"))

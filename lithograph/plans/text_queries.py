@@ -71,14 +71,28 @@ def _clones(spark, sf, threshold, least):
     return T.similar_sets(items, "doc_id", "line", threshold, least)
 
 
-@catalog.add("WITH " + _SETS.format(least=5, t=0.7) + _CLONES)
+_PAIRS = " SELECT a, b, shared, similarity FROM c"
+
+
+@catalog.add("WITH " + _SETS.format(least=5, t=0.7) + _PAIRS)
 def jaccard_line_clones(spark, sf):
+    """Every pair of documents."""
+    return T.all_pairs(*_clones(spark, sf, 0.70, 5), "doc_id")
+
+
+@catalog.add("WITH " + _SETS.format(least=8, t=0.85) + _PAIRS)
+def jaccard_import_like(spark, sf):
+    return T.all_pairs(*_clones(spark, sf, 0.85, 8), "doc_id")
+
+
+@catalog.add("WITH " + _SETS.format(least=5, t=0.7) + _CLONES)
+def line_clone_classes(spark, sf):
     """Pairs of representatives, and how many pairs of documents each stands for."""
     return T.clone_pairs(*_clones(spark, sf, 0.70, 5), "doc_id")
 
 
 @catalog.add("WITH " + _SETS.format(least=8, t=0.85) + _CLONES)
-def jaccard_import_like(spark, sf):
+def import_clone_classes(spark, sf):
     return T.clone_pairs(*_clones(spark, sf, 0.85, 8), "doc_id")
 
 

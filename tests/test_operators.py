@@ -170,3 +170,35 @@ def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "cat sat"), (2, "dog sat down"), (3, "bird")], "doc_id int, text string")
     top = retrieval.bm25_top_k(docs, "cat", 2).collect()
     assert [r.doc_id for r in top] == [1] and top[0].score == pytest.approx((math.log(2.5) - math.log(1.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2)))
+
+
+def test_every_pair_of_equal_and_similar_sets(spark):
+    """Pairs of representatives and members stand for all pairs; a large class of equal sets meets in blocks."""
+    from itertools import combinations
+
+    from lithograph.operators import text
+
+    sets = {k: set("abcdef") for k in range(9)} | {20: set("abcdeg"), 21: set("abcdeg"), 30: set("xyz"), 31: set("xy")}
+    items = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "k long, v string")
+    found = {(r.a, r.b): (r.shared, round(r.similarity, 6)) for r in text.all_pairs(*text.similar_sets(items, "k", "v", 0.7, 3), "k", block=2).collect()}
+    ok = {(a, b): (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in combinations(sorted(sets), 2) if min(len(sets[a]), len(sets[b])) >= 3}
+    assert found == {p: v for p, v in ok.items() if v[1] >= 0.7} and len(found) == 36 + 18 + 1
+    assert text.all_pairs(*text.similar_sets(items, "k", "v", 0.7, 3), "k", block=2).count() == len(found)
+
+
+def test_layer_numbers_of_more_than_five_digits(spark):
+    """The query writes what its SQL writes; the operator itself keeps every digit."""
+    from lithograph.operators import render
+
+    rows = spark.range(123456).select(F.lit("Business").alias("layer"), F.lit("p").alias("package"))
+    assert render.layer_lines(rows).first().text == "Business       123456 classes in 1 packages"
+    assert render.layer_lines(rows, lambda n: F.lpad(n.cast("string"), 5, " ")).first().text == "Business       12345 classes in 1 packages"
+
+
+def test_first_chunks_of_one_rank_have_an_order(spark):
+    from lithograph.operators import retrieval
+
+    rows = [("c", n, "a/P1.java", 7) for n in ("P1", "P1Row", "Kind", "P0")] + [("b", "P2", "a/P2.java", 3)]
+    table = spark.createDataFrame(rows, "chunk_id string, class_name string, file_path string, rank long")
+    for parts in (1, 4):
+        assert [r.class_name for r in retrieval.explain(table.repartition(parts), "nowhere").collect()] == ["P2", "Kind", "P0", "P1Row"]
