@@ -118,13 +118,13 @@ def test_short_cycles_meet_in_the_middle(spark, monkeypatch):
 
 def test_a_large_component_goes_first(spark, monkeypatch):
     """With one large component and chains into and out of it, no least node has to be sent through the graph; many small components still are found."""
-    ring = [(f"r{k:02d}", f"r{(k + step) % 40:02d}") for k in range(40) for step in (1, 3, 7)]
-    chains = [(f"in{k}", f"in{k + 1}") for k in range(5)] + [("in5", "r00"), ("r09", "out0")] + [(f"out{k}", f"out{k + 1}") for k in range(5)]
+    ring = [(f"r{k:03d}", f"r{(k + step) % 150:03d}") for k in range(150) for step in (1, 3, 7, 31)]
+    chains = [(f"in{k}", f"in{k + 1}") for k in range(5)] + [("in5", "r000"), ("r009", "out0")] + [(f"out{k}", f"out{k + 1}") for k in range(5)]
     nodes = spark.createDataFrame([(x,) for x in sorted({x for e in ring + chains for x in e})], "id string")
     first_sources = graph._first_sources
     monkeypatch.setattr(graph, "_first_sources", lambda _: pytest.fail("the large component was not found first"))
     found = {r.id: r.component for r in graph.strong_components(nodes, frame(spark, ring + chains)).collect()}
-    assert found == {r.id: "r00" if r.id.startswith("r") else r.id for r in nodes.collect()}
+    assert found == {r.id: "r000" if r.id.startswith("r") else r.id for r in nodes.collect()}
     monkeypatch.setattr(graph, "_first_sources", first_sources)
     monkeypatch.setattr(graph, "GROWN_AFTER", 1)  # a search that does not spread is given up
     pairs = [(f"p{k}", f"q{k}") for k in range(5)] + [(f"q{k}", f"p{k}") for k in range(5)]
