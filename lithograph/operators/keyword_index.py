@@ -1,9 +1,10 @@
 """BM25 from an inverted index that is kept as tables, so that a query reads the blocks of its words and no text.
 
 Documents are dealt to cells by the hash of their id, about ``cell_docs`` to each; the postings
-of a word in a cell are one row (word, cell, postings, most, least): its documents with counts
-and sizes, the largest count and the smallest size.  Rows are range-partitioned and sorted by word
-and cell, so a filter on words prunes files and row groups.  A word that every document holds has
+of a word in a cell are one row (word, cell, postings, df, most, least): its documents with counts
+and sizes, their number, the largest count and the smallest size.  Texts are shuffled once, by cell;
+words are counted and blocks made within a cell's task.  Each file is sorted by word and cell, so
+a filter on words reads one row group of a file.  A word that every document holds has
 as many rows as there are cells; none is large.
 
 A query takes two steps.  From ``most`` and ``least`` alone each cell gets the score that no
@@ -22,14 +23,17 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.functions import files as fs
 from lithograph.functions.storage import cut
 
 #: What is written, told in the names of kept folders: another form has another number.
-FORMAT = 1
+FORMAT = 2
 CELL_DOCS = 4096
+#: Files that an index is written in at most.
+MOST_TASKS = 4096
 #: Cells that are scored first.
 FIRST_CELLS = 8
 BLANKS = r"[ \t\n\x0B\f\r]+"
@@ -102,24 +106,23 @@ def _gain(tf: Column, size: Column, mean: float, k1: float, b: float) -> Column:
 def build(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", cell_docs: int = CELL_DOCS) -> KeywordIndex:
     """Write the index of a table of texts, which is read once."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "").alias("words"))
-    counts = rows.groupBy("doc_id").agg(F.sum(F.size("words")).alias("size"))
-    n, mean = counts.agg(F.count("*"), F.avg("size")).first()
+    n = docs.select(doc_id).distinct().count()
     cells = 1 << max(0, math.ceil(math.log2(max(n, 1) / cell_docs)))
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell")
-    tf = rows.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").cast("int").alias("tf"))
-    # The size of a document is the sum of its counts: both have the same key, so neither is shuffled twice.
-    sized = tf.join(counts.select("doc_id", F.col("size").cast("int").alias("size")), "doc_id")
-    grouped = sized.groupBy("word", cell).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "size"))).alias("postings"), F.max("tf").alias("most"), F.min("size").alias("least"))
-    draft = f"{folder}/draft"
-    grouped.write.mode("overwrite").parquet(draft)
-    written = spark.read.parquet(draft)
-    written.repartitionByRange("word", "cell").sortWithinPartitions("word", "cell").write.mode("overwrite").parquet(f"{folder}/blocks")
-    words = written.groupBy("word").agg(F.sum(F.size("postings")).alias("df"))
-    words.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{folder}/words")
+    cell = F.pmod(F.xxhash64(doc_id), F.lit(cells)).cast("int")
+    # All that follows groups by cell and more, so rows that lie by cell are not shuffled again.
+    tasks = max(spark.sparkContext.defaultParallelism, min(cells, MOST_TASKS))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), cell.alias("cell")).repartition(tasks, "cell")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda w: w != "")
+    tf = rows.select("cell", "doc_id", F.explode(words).alias("word")).groupBy("cell", "doc_id", "word").agg(F.count("*").cast("int").alias("tf"))
+    # The size of a document is the sum of its counts.
+    sized = tf.withColumn("size", F.sum("tf").over(W.partitionBy("cell", "doc_id")).cast("int"))
+    grouped = sized.groupBy("cell", "word").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "size"))).alias("postings"), F.count("*").alias("df"), F.max("tf").alias("most"), F.min("size").alias("least"), F.sum("tf").alias("occurrences"))
+    grouped.sortWithinPartitions("word", "cell").write.mode("overwrite").parquet(f"{folder}/blocks")
+    counts = spark.read.parquet(f"{folder}/blocks").groupBy("word").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
+    counts.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{folder}/words")
+    mean = (spark.read.parquet(f"{folder}/words").agg(F.sum("occurrences")).first()[0] or 0) / max(n, 1)
     idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean_idf = spark.read.parquet(f"{folder}/words").agg(F.avg(idf)).first()[0]
-    fs.remove(spark, draft)
     fs.publish_json(spark, f"{folder}/facts.json", {"documents": n, "mean_size": float(mean or 0), "mean_idf": mean_idf or 0.0, "cells": cells})
     return KeywordIndex(spark, folder)
 

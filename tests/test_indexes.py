@@ -93,3 +93,11 @@ def test_vector_index(spark, monkeypatch):
     assert {r.vec_id % 3 for r in index.near(one, 6, facts["cells"], F.col("label") == 1).collect()} == {1}
     lone = vector_index.build(table.where("vec_id = 5"), work_folder(spark, "vectors"))
     assert [r.vec_id for r in lone.search(ask.limit(1), 3).collect()] == [5]
+
+
+def test_a_cell_of_the_keyword_index_is_made_by_one_task(spark):
+    """Texts are shuffled once, by cell: all blocks of a cell lie in one file, sorted by word, with their numbers beside the postings."""
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    rows = keyword_index.build(docs, work_folder(spark, "words"), cell_docs=50).blocks().withColumn("file", F.input_file_name())
+    assert rows.groupBy("cell").agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+    assert rows.where("df <> size(postings) OR occurrences <> aggregate(postings, 0L, (s, p) -> s + p.tf)").isEmpty()
