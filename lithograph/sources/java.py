@@ -10,9 +10,11 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithograph.functions.storage import saved
 from lithograph.functions.values import per_value
 from lithograph.sources.java_types import FILE_SCHEMA, read
 
@@ -74,12 +76,84 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+#: Up to so many files are planned by the driver; of more it holds no names, and tasks list and read them.
+PLANNED_FILES = 20_000
+#: Files that a task lists to read, and files and bytes that it hands on at once.
+TASK_FILES, READ_FILES, READ_BYTES = 2048, 256, 1 << 24
+
+
+def scan(spark: SparkSession, root: str, planned: int = PLANNED_FILES) -> DataFrame:
     """(file_path relative to root, content) of files with a known extension outside excluded directories.
 
-    The directories that are kept are a scan's paths and the extensions its file pattern, so neither
-    excluded directories nor other files are opened, and Spark deals the files that are read.
+    Neither excluded directories nor other files are opened.  Directories are listed by tasks,
+    level by level, and the driver holds names of directories alone.  The files of a small tree, or of a store
+    that Arrow does not reach, are planned as a table of files; those of a large one are dealt to tasks, which read them.
     """
+    try:
+        _store(root)
+    except (pa.ArrowException, OSError, ValueError):
+        return _planned(spark, root)
+    files = _listed(spark, root)
+    number = files.count()
+    if number <= planned:
+        return _planned(spark, root)
+
+    def contents(batches):
+        store, base = _store(root)
+        for batch in batches:
+            held, size = [], 0
+            for name in batch["file_path"].to_pylist():
+                with store.open_input_file(f"{base}/{name}") as source:
+                    held.append((name, source.read()))
+                size += len(held[-1][1])
+                if len(held) == READ_FILES or size >= READ_BYTES:
+                    yield _contents(held)
+                    held, size = [], 0
+            yield _contents(held)
+
+    return files.select("file_path").repartition(max(spark.sparkContext.defaultParallelism, -(-number // TASK_FILES)), "file_path").mapInArrow(contents, "file_path string, content binary")
+
+
+def _contents(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch({"file_path": pa.array([n for n, _ in rows], pa.string()), "content": pa.array([c for _, c in rows], pa.binary())})
+
+
+def _store(root: str):
+    """A store that Arrow reaches, and the path of ``root`` in it."""
+    if ":" in root.partition("/")[0] and not root.startswith("file:"):
+        return stores.FileSystem.from_uri(root)
+    return stores.LocalFileSystem(), re.sub("^file:/*", "/", root).rstrip("/")
+
+
+def _listed(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """(file_path, size) of the files that a scan reads, saved; each directory is listed by a task."""
+
+    def below(batches):
+        store, base = _store(root)
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                found = store.get_file_info(stores.FileSelector(f"{base}/{folder}".rstrip("/")))
+                folders = [f.type == stores.FileType.Directory for f in found]
+                # A folder's files are handed on at once: a name and a size for each.
+                yield pa.record_batch({
+                    "file_path": pa.array([f"{folder}/{f.base_name}".lstrip("/") for f in found], pa.string()), "size": pa.array([f.size or 0 for f in found], pa.int64()), "is_folder": pa.array(folders, pa.bool_()),
+                })
+
+    name = F.substring_index("file_path", "/", -1)
+    # As Spark's readers do, files whose name begins as a hidden one's are left out, but for empty ones.
+    shown = (F.col("size") == 0) | ~(name.startswith(".") | (name.startswith("_") & ~name.contains("=")))
+    level, files = [""], None
+    while level:
+        folders = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 4096), "folder")
+        found = saved(folders.mapInArrow(below, "file_path string, size long, is_folder boolean"))
+        level = [r[0] for r in found.where(F.col("is_folder") & ~name.isin(*excluded)).select("file_path").collect()]
+        known = found.where(~F.col("is_folder") & F.lower("file_path").rlike("(" + "|".join(re.escape(x) for x in EXTENSIONS) + ")$") & shown).select("file_path", "size")
+        files = known if files is None else files.unionByName(known)
+    return files
+
+
+def _planned(spark: SparkSession, root: str) -> DataFrame:
+    """The directories that are kept are a scan's paths and the extensions its file pattern, so Spark deals the files that are read."""
     kept, blank = walk(spark, root)
     any_case = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in EXTENSIONS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{{{any_case}}}").load([_literal(d) for d in kept])
@@ -93,16 +167,14 @@ def write_tree(files: DataFrame, root: str) -> int:
     """Write each file below ``root``, in any store that Arrow's file systems reach; how many there were."""
 
     def write(batches):
-        from pyarrow import fs as stores
-
-        if ":" in root.partition("/")[0] and not root.startswith("file:"):
-            store, base = stores.FileSystem.from_uri(root)
-        else:
-            store, base = stores.LocalFileSystem(), re.sub("^file:/*", "/", root)
+        (store, base), made = _store(root), set()
         for batch in batches:
             for name, raw in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist()):
                 target = f"{base}/{name}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(target) as out:
                     out.write(raw or b"")
             yield pa.record_batch({"n": pa.array([len(batch)], pa.int64())})

@@ -139,3 +139,17 @@ def test_job_machine_refuses_times_out_and_goes_on_after_a_restart(spark):
     assert second[4] == ("running", 3, 0, 1, 0) and second[1] == ("failed", 5, 1, 0, 0) and second[5] == ("none", 0, 1, 0, 0)
     third = run([(5, "signup", day + "18:00:00", 16)])
     assert third[4] == ("failed", 3, 0, 1, 1) and third[5] == ("pending", 1, 1, 0, 0)
+
+
+def test_files_of_a_large_tree_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver plans no file of a large tree; the result is the same."""
+    from lithograph.sources import java
+
+    root = tmp_path / "big [a]"
+    for name, raw in {"A.java": b"a", "src/p q/B.JAVA": b"bb", "src/p/README.md": b"", "src/_hidden.java": b"no", "src/target/D.java": b"no", "x.txt": b"no", "src/deep/er/E.yml": b"e" * 1000}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(raw)
+    found = java.scan(spark, str(root), planned=2)
+    assert found.inputFiles() == [] or not any(f.lower().endswith((".java", ".yml", ".md")) for f in found.inputFiles())
+    told = {r.file_path: bytes(r.content) for r in found.collect()}
+    assert told == {r.file_path: bytes(r.content) for r in java.scan(spark, str(root)).collect()} and len(told) == 4
