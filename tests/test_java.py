@@ -117,3 +117,20 @@ def test_small_keys_are_dealt_to_all_tasks(spark):
     rows = dealt(spark.range(5000).withColumnRenamed("id", "k"), "k", per_task=500)
     counts = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(counts) == 10 and max(r["count"] for r in counts) < 1000
+
+
+def test_a_source_is_gone_through_once(monkeypatch):
+    """The declarations of each body are found once, for its types and its members; comments on lines in a row are one match; long words take one step."""
+    from lithograph.sources import java_types
+
+    seen = []
+    found = java_types.Source.declarations
+    monkeypatch.setattr(java_types.Source, "declarations", lambda self, lo, hi: seen.append((lo, hi)) or found(self, lo, hi))
+    text = "class A {\n  // one {\n\n \t// two é\n  // three\n  int x;\n  class B { void go() { } }\n  enum E { P { void no() { } }, Q; int n; E(A a) { } class C { } }\n}\n"
+    types = java_types.read(text)["types"]
+    assert [(t["name"], t["depth"], t["line"], [m["name"] for m in t["members"]]) for t in types] == [("A", 0, 1, ["x"]), ("B", 1, 7, ["go"]), ("E", 1, 8, ["n", "E"]), ("C", 2, 8, [])]
+    assert len(seen) == len(set(seen)) == 1 + len(types)
+    lines = "int a;\n" + "  // b {\n" * 500 + "int c;"
+    assert len(java_types._BLANKED.findall(lines)) == 1
+    assert java_types.blank(lines) == "int a;\n" + " " * 8 + ("\n" + " " * 8) * 499 + "\nint c;"
+    assert java_types.blank("// é\n\t//  x\n") == "    \n      \n"
