@@ -77,45 +77,112 @@ def _keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _paths(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """DEPTH context bytes, the nearest first, and the byte itself in one number."""
     wide = raw.astype(np.uint64)
-    out = wide[at]
+    out = wide[DEPTH:]  # by place, and moved as a whole
     for d in range(1, DEPTH + 1):
-        out |= wide[at - d] << np.uint64(8 * (DEPTH + 1 - d))
-    return out
+        out = out | (wide[DEPTH - d : len(wide) - d] << np.uint64(8 * (DEPTH + 1 - d)))
+    return out[at - DEPTH]
+
+
+#: Bits that a path leaves free in 64, and a slab of places that they number.
+FREE = np.uint64(64 - 8 * (DEPTH + 1))
+PLACES = 1 << int(FREE)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _united(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of sorted distinct arrays, and the sums of their counts."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    both = np.sort(np.concatenate(keys))
+    both = both[_runs(both)]
+    out = np.zeros(len(both), np.int64)
+    for own, n in zip(keys, counts):
+        out[np.searchsorted(both, own)] += n
+    return both, out
 
 
 def path_counts(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct paths of all texts and how often each occurs, texts taken ``weights`` times."""
+    """Sorted distinct paths of all texts and how often each occurs, texts taken ``weights`` times.
+
+    A path and its weight are one number, so counting is one sort.  A weight beyond the free bits goes
+    digit by digit.
+    """
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    held: list[np.ndarray] = []
+    digit = 0
 
     def merge() -> None:
-        both, back = np.unique(np.concatenate(keys), return_inverse=True)
-        counts[:] = [np.bincount(back, np.concatenate(counts), len(both)).astype(np.int64)]
-        keys[:] = [both]
-
-    for lo, hi in C.blocks(texts):
-        one, back = np.unique(_paths(*_sequence(texts[lo:hi])), return_inverse=True)
-        keys.append(one)
-        counts.append(np.bincount(back, np.repeat(weights[lo:hi], [len(t) + 1 for t in texts[lo:hi]]), len(one)).astype(np.int64))
-        if sum(map(len, keys[1:])) > MERGE_KEYS:
+        both = np.concatenate(held)
+        held.clear()
+        both.sort()
+        paths = both >> FREE
+        first = _runs(paths)
+        n = np.add.reduceat(both & np.uint64(PLACES - 1), first).astype(np.int64) << (int(FREE) * digit)
+        one, sums = _united([keys[0], paths[first]], [counts[0], n])
+        keys[0], counts[0] = one, sums
+
+    while True:
+        own = (weights >> (int(FREE) * digit)) & (PLACES - 1)
+        # Each text is taken once at least, if with no weight; after that, those with more digits.
+        some = np.arange(len(texts)) if digit == 0 else np.flatnonzero(weights >> (int(FREE) * digit))
+        if not len(some):
+            return keys[0], counts[0]
+        taken = [texts[i] for i in some.tolist()]
+        for lo, hi in C.blocks(taken):
+            paths = _paths(*_sequence(taken[lo:hi]))
+            held.append((paths << FREE) | np.repeat(own[some[lo:hi]], [len(t) + 1 for t in taken[lo:hi]]).astype(np.uint64))
+            if sum(map(len, held)) > MERGE_KEYS:
+                merge()
+        if held:
             merge()
-    merge()
-    return keys[0], counts[0]
+        digit += 1
 
 
 def distinct_paths(texts: list[bytes]) -> np.ndarray:
     """The paths of ``path_counts`` alone, which takes no more than sorting."""
     keys: list[np.ndarray] = [np.empty(0, np.uint64)]
+
+    def merge() -> None:
+        both = np.concatenate(keys)
+        both.sort()
+        keys[:] = [both[_runs(both)]]
+
     for lo, hi in C.blocks(texts):
-        keys.append(np.unique(_paths(*_sequence(texts[lo:hi]))))
+        keys.append(_paths(*_sequence(texts[lo:hi])))
         if sum(map(len, keys[1:])) > MERGE_KEYS:
-            keys[:] = [np.unique(np.concatenate(keys))]
-    return np.unique(np.concatenate(keys))
+            merge()
+    merge()
+    return keys[0]
+
+
+def path_values(at: np.ndarray, paths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each path of ``at``; ``paths`` are sorted and have all of them.
+
+    Paths are looked up in their order, slab by slab with their places in the free bits: a search that goes
+    forward stays in the cache.
+    """
+    out = np.empty(len(at), values.dtype)
+    for lo in range(0, len(at), PLACES):
+        part = at[lo : lo + PLACES]
+        both = np.sort((part << FREE) | np.arange(len(part), dtype=np.uint64))
+        own = both >> FREE
+        first = _runs(own)
+        found = values[np.searchsorted(paths, own[first])]
+        out[lo + (both & np.uint64(PLACES - 1)).astype(np.int64)] = np.repeat(found, np.diff(np.append(first, len(own))))
+    return out
 
 
 def _dealt(paths: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each path's subtree, and the order of paths by bucket."""
     bucket = (C.mix(paths >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)).astype(np.int64)
-    return bucket, np.argsort(bucket, kind="stable")
+    # Sixteen bits are sorted by radix.
+    return bucket, np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
 
 
 def _path_table(chunk: int, paths: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
@@ -143,10 +210,8 @@ class Subtrees:
 
     def __init__(self, payloads: list[bytes]):
         self.parts = [_unpack_paths(p) for p in payloads]
-        paths = np.unique(np.concatenate([p[0] for p in self.parts]))
-        counts = np.zeros(len(paths))
-        for own, n in self.parts:
-            counts[np.searchsorted(paths, own)] += n
+        paths, counts = _united([p[0] for p in self.parts], [p[1].astype(np.int64) for p in self.parts])
+        counts = counts.astype(np.float64)
         #: By depth from DEPTH upwards: context and byte, counts, and the place of each in the depth above.
         self.keys, self.counts, self.up = [paths], [counts], []
         while len(self.keys) < DEPTH - TOP + 1:  # the last is of TOP bytes
@@ -231,9 +296,22 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
 
+#: Logarithms for small counts, which most nodes have.
+_SMALL = 1 << 12
+_HALVES, _WHOLES = (_log_gamma(np.arange(_SMALL) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_at(counts: np.ndarray, more: float, small: np.ndarray) -> np.ndarray:
+    """``_log_gamma`` of whole ``counts`` + ``more``; ``small`` has those of the first ones."""
+    out = small[np.minimum(counts, _SMALL - 1).astype(np.int32)]
+    large = counts >= _SMALL
+    out[large] = _log_gamma(counts[large] + more)
+    return out
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov block probability."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    """log of the Krichevsky-Trofimov block probability of whole counts."""
+    return _log_gamma_at(zeros, 0.5, _HALVES) + _log_gamma_at(ones, 0.5, _HALVES) - _log_gamma_at(zeros + ones, 1.0, _WHOLES) - math.log(math.pi)
 
 
 class Model:
@@ -306,12 +384,13 @@ class Model:
         paths = trees.keys[0]
         row = self.row[_swap((paths >> np.uint64(8 * (DEPTH - 1))).astype(np.int64))]
         byte = (paths & np.uint64(255)).astype(np.int64)
-        out = np.zeros(len(paths))
+        # Eight probabilities, none below one in twice the training bytes: their product stays in range.
+        out = np.ones(len(paths))
         for bit, _, _, node, seen, p in trees.decisions():
             place = row, (1 << bit) | (byte >> (8 - bit))
             one = np.where(seen[node], self.above[place] + self.rest[place] * p[node], self.base[place])
-            out += np.log10(np.where((byte >> (7 - bit)) & 1, one, 1 - one))
-        return out.astype(np.float32)
+            out *= np.where((byte >> (7 - bit)) & 1, one, 1 - one)
+        return np.log10(out).astype(np.float32)
 
 
 def train(docs: DataFrame, training: Column, buckets: int, text_col: str = "text") -> Model:
@@ -374,7 +453,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         logs[_dealt(paths, buckets)[1]] = answers
         out = np.zeros(len(texts))
         for lo, hi in C.blocks(texts):
-            own = logs[np.searchsorted(paths, _paths(*_sequence(texts[lo:hi])))]
+            own = path_values(_paths(*_sequence(texts[lo:hi])), paths, logs)
             lengths = np.array([len(t) + 1 for t in texts[lo:hi]], np.int64)
             out[lo:hi] = np.add.reduceat(own, np.cumsum(lengths) - lengths)
         return out

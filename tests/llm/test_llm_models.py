@@ -124,3 +124,31 @@ def test_fusion_decides_where_the_text_is_short_or_mixed(spark):
     short = [x.posterior for x in found if x.page_id % 20 < 2]
     plain = [x.posterior for x in found if x.page_id % 4 >= 2 and x.page_id % 20 >= 2]
     assert max(short) < 1.0 and sum(short) / len(short) < sum(plain) / len(plain)
+
+
+def test_context_tree_counts_small_nodes_from_tables_and_sorts_paths_once(monkeypatch):
+    """Weights of more than two bytes, values back in place over several slabs, and no logarithm of gamma for small counts."""
+    import numpy as np
+
+    from lithograph.llm import ctw
+
+    texts = [b"", b"abc", b"Abc abd", b"x" * 300, bytes(range(256)) * 300]
+    weights = np.array([3, 0, 70_000, (1 << 40) + 5, 65_536])
+    want: collections.Counter = collections.Counter()
+    for text, weight in zip(texts, weights.tolist()):
+        raw = ctw.PAD + bytes(ctw.C.LOWER[np.frombuffer(text, np.uint8)]) + b"\0"
+        for at in range(ctw.DEPTH, len(raw)):
+            want[sum(raw[at - d] << (8 * (ctw.DEPTH + 1 - d)) for d in range(1, ctw.DEPTH + 1)) | raw[at]] += weight
+    monkeypatch.setattr(ctw, "MERGE_KEYS", 1000)
+    keys, counts = ctw.path_counts(texts, weights)
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and (np.diff(keys.astype(np.int64)) > 0).all()
+    assert (ctw.distinct_paths(texts) == keys).all() and len(ctw.path_counts([], weights[:0])[0]) == 0
+    at = np.random.default_rng(1).permutation(np.repeat(keys, 600))
+    assert len(at) > 2 * 65536 and (ctw.path_values(at, keys, counts) == counts[np.searchsorted(keys, at)]).all()
+    n = np.array([0.0, 1, 5, 4095, 4096, 1e6])
+    assert np.allclose(ctw._log_kt(n, n[::-1]), [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(n, n[::-1])])
+    seen = []
+    found = ctw._log_gamma
+    monkeypatch.setattr(ctw, "_log_gamma", lambda x: seen.append(len(x)) or found(x))
+    list(ctw.Subtrees(ctw._path_table(0, *ctw.path_counts(texts[:3], np.ones(3, np.int64)), 1)["payload"].to_pylist()).decisions())
+    assert sum(seen) == 0
