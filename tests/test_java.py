@@ -134,3 +134,12 @@ def test_a_source_is_gone_through_once(monkeypatch):
     assert len(java_types._BLANKED.findall(lines)) == 1
     assert java_types.blank(lines) == "int a;\n" + " " * 8 + ("\n" + " " * 8) * 499 + "\nint c;"
     assert java_types.blank("// é\n\t//  x\n") == "    \n      \n"
+
+
+def test_generated_files_are_spread_over_tasks(spark):
+    """The files that the queries scan come in as many partitions as there are cores at least, so no task scans them all."""
+    from lithograph.plans import dependency_queries, java_queries, odd_queries
+
+    sf, least = "/root/testdata/sf0.001", min(4, spark.sparkContext.defaultParallelism)
+    for rows in (java_queries.java_files(spark, sf), dependency_queries.layered_files(spark, sf), odd_queries.parts(spark, sf)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= least
